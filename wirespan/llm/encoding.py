@@ -24,7 +24,7 @@ CACHE_CHARS = 64
 BYTE_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: The splitting pattern of the word-level vocabulary, for lower-cased Latin-1 words.
 _WORD_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^\sa-zà-öø-ÿ0-9]+")
-_LATIN_WORD = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_LATIN_WORD = re.compile(r"[!-~À-ÖØ-Þà-öø-ÿ]+")  # without the sharp s, which the library splits off
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 _encoders: dict[str, Callable[[str], bytes]] = {}
