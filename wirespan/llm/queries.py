@@ -30,8 +30,14 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(round_trip(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_token_output)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_token_output, op9_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
