@@ -30,6 +30,12 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(round_trip(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_components
 
@@ -37,7 +43,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_token_output, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_token_output, op7_quality_classifier, op9_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
