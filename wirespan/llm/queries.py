@@ -24,6 +24,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_documents
+
+    return mix_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import checksums, round_trip
 
@@ -36,6 +42,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_components
 
@@ -43,8 +55,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_token_output, op7_quality_classifier, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_source_mixing, op4_token_output, op7_quality_classifier, op8_line_dedup, op9_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import line_dedup, mixing
+
+    return {"op3_source_mixing": mixing.SQL, "op8_line_dedup": line_dedup.SQL}
