@@ -17,6 +17,14 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .vectors import exact_top_k, quantised
+
+    return exact_top_k(quantised(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -36,6 +44,15 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(round_trip(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .vectors import nearest_lists, valid
+
+    rows = valid(_table(spark, sf_dir, "embeddings")).filter(F.exists("v", lambda x: x != 0))
+    return nearest_lists(rows, F.col("vec_id") % 20 == 0)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score_documents
 
@@ -55,7 +72,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_source_mixing, op4_token_output, op7_quality_classifier, op8_line_dedup, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_source_mixing, op4_token_output, op6_nearest_neighbours, op7_quality_classifier, op8_line_dedup, op9_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
