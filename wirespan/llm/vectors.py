@@ -219,10 +219,11 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
 SAMPLE_ROWS = 20_000
 LIST_ROWS = 200
 MOST_LISTS = 16_384
-COPIES = 4
+COPIES = 2
 STRETCH = 1.15
-PROBES = 24
 PROBE_STRETCH = 1.6
+#: Recall that the number of lists to search is set for, on sampled rows.
+RECALL = 0.96
 PART_ROWS = 4096
 
 
@@ -314,13 +315,40 @@ def _lifted(x: np.ndarray, most: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(most - (x**2).sum(1), 0))[:, None]])
 
 
+def probes_for(sample: np.ndarray, centres: np.ndarray, most: float, k: int, recall: float = RECALL, tried: int = 300) -> int:
+    """How many lists a query must search so that sampled queries find that share of their k best sampled rows.
+
+    Among more rows the best are nearer to the query, so the number holds for tables larger than the sample.
+    """
+    lifted = _lifted(sample, most)
+    squares = (centres**2).sum(1)
+    picks = np.linspace(0, len(sample) - 1, min(tried, len(sample))).astype(int)
+    ranks = []
+    for i in picks.tolist():
+        scores = sample @ sample[i]
+        scores[i] = -np.inf
+        best = np.argsort(-scores)[: min(k, len(sample) - 1)]
+        if not len(best):
+            return 1
+        query = np.append(sample[i] * np.sqrt(most / max((sample[i] ** 2).sum(), 1e-300)), 0.0)
+        far = squares - 2 * (centres @ query) + most
+        rank = np.empty(len(centres), int)
+        rank[np.argsort(far)] = np.arange(len(centres))
+        own = squares - 2 * (lifted[best] @ centres.T) + (lifted[best] ** 2).sum(1)[:, None]
+        lists = np.argsort(own, axis=1)[:, :COPIES]
+        near = np.take_along_axis(own, lists, 1)
+        listed = np.sqrt(np.maximum(near, 0)) <= STRETCH * np.sqrt(np.maximum(near[:, :1], 0)) + 1e-9
+        ranks.append(np.where(listed, rank[lists], len(centres)).min(1))
+    return int(np.quantile(np.concatenate(ranks), recall)) + 2
+
+
 def nearest_lists(rows: DataFrame, is_query: Column, k: int = K, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products that each query finds in its posting lists.
 
     rows: vec_id long, v array of doubles, all of one length and not zero. Centres are fitted on at most sample_rows
     rows (those with the smallest hashes of vec_id); every row is then listed at its nearest centre and, near a
     boundary, at up to COPIES centres within STRETCH of the nearest distance. A query takes the centres that the graph
-    finds nearest, up to PROBES and PROBE_STRETCH times the nearest distance. Lists longer than PART_ROWS are split in
+    finds nearest, as many as probes_for says, within PROBE_STRETCH times the nearest distance. Lists longer than PART_ROWS are split in
     parts that all its queries meet, so common vectors spread over tasks. Fewer rows than k give all rows found.
     """
     spark = rows.sparkSession
@@ -336,6 +364,7 @@ def nearest_lists(rows: DataFrame, is_query: Column, k: int = K, sample_rows: in
     if not len(sample):
         sample = np.array([r.v for r in rows.select("v").limit(sample_rows).collect()])
     centres = balanced_centres(_lifted(sample, most), min(MOST_LISTS, max(1, len(sample) // 8), -(-n // list_rows)))
+    probes = probes_for(sample, centres, most, k)
     graph = spark.sparkContext.broadcast(CentreGraph(centres))
 
     def listed(query: bool):
@@ -347,7 +376,7 @@ def nearest_lists(rows: DataFrame, is_query: Column, k: int = K, sample_rows: in
                     part = batch.slice(a, 512)
                     x = _matrix(part.column(1))
                     z = np.hstack([x * np.sqrt(most / np.maximum((x**2).sum(1), 1e-300))[:, None], np.zeros((len(x), 1))]) if query else _lifted(x, most)
-                    near, dist = graph.value.search(z, PROBES if query else COPIES)
+                    near, dist = graph.value.search(z, probes if query else COPIES)
                     stretch = PROBE_STRETCH if query else STRETCH
                     keep = (near >= 0) & (np.sqrt(dist) <= stretch * np.sqrt(dist[:, :1]) + 1e-9)
                     if query:  # as many lists as k results need at least
