@@ -71,8 +71,14 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_source_mixing, op4_token_output, op6_nearest_neighbours, op7_quality_classifier, op8_line_dedup, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_source_mixing, op4_token_output, op6_nearest_neighbours, op7_quality_classifier, op8_line_dedup, op9_ngram_jaccard_join, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
