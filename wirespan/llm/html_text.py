@@ -185,6 +185,8 @@ def weights() -> tuple[dict[tuple[str, bool, bool], float], dict[str, float]]:
 OTHER_TAG = -0.25
 #: Weight of words and tags within a named part of the page, such as a menu or an advert.
 PART = 0.002
+#: Weight of tags within an article or main element, which the labelled pages show between words of the article alone.
+ROOTED = 0.02
 
 
 def _word_score(words: dict, context: str, rooted: bool, has_root: bool) -> float:
@@ -208,7 +210,7 @@ def main_text(page: str) -> str:
             part = context not in ("", "root")  # dropped below in any case, so it should hardly part an article in two
             scored.append(each * len(value.split()) * (PART if part else 1))
         else:
-            scored.append(tags.get(value, OTHER_TAG) * (PART if context not in ("", "root") else 1))
+            scored.append(tags.get(value, OTHER_TAG) * (1 if context == "" else ROOTED if context == "root" else PART))
     best, best_from, best_to, total, begin = 0.0, 0, 0, 0.0, 0
     for i, score in enumerate(scored):
         if total <= 0:
