@@ -44,6 +44,15 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(round_trip(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .repeats import dedup_substrings
+
+    kept = dedup_substrings(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -78,7 +87,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_source_mixing, op4_token_output, op6_nearest_neighbours, op7_quality_classifier, op8_line_dedup, op9_ngram_jaccard_join, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_source_mixing, op4_token_output, op5_suffix_array_dedup, op6_nearest_neighbours, op7_quality_classifier, op8_line_dedup, op9_ngram_jaccard_join, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
