@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,16 +34,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes a stored table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = shared_folder(spark)
-    for file in df.inputFiles()[:1]:
-        folder = file.rsplit("/", 1)[0]
-        if root.split(":", 1)[-1].strip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def released(df: DataFrame) -> DataFrame:
+    """df, once Spark may delete the shuffle files that nothing needs any more."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
 
 
 def slices(batches: Iterator, rows: int = ROWS) -> Iterator:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import released, slices, stored
 from .components import components
 from .shingles import set_keys, shingle_sets, text_bytes
 
@@ -24,8 +24,8 @@ WORDS = 5
 PERCENT = 75
 #: N-grams in more first columns than this come last in the order; the list of them has LISTED entries at most. Both
 #: only shape the order: the result is the same for any values.
-FREQUENT = 50
-LISTED = 500_000
+FREQUENT = 12
+LISTED = 1_000_000
 
 
 def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -115,48 +115,61 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent:
     """Links (a, b) between different sets that give the same components as all pairs similar enough."""
     plain = first_columns(docs, None, words, percent)
     often = plain.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > FREQUENT).orderBy(F.desc("c"), "gram").limit(LISTED)
-    frequent = np.sort(np.array([r.gram for r in often.select("gram").toLocalIterator()], np.int64).view(np.uint64))
+    frequent = np.sort(often.select("gram").toArrow().column(0).to_numpy().view(np.uint64))
     by_gram = Window.partitionBy("gram")
     rows = first_columns(docs, frequent, words, percent)
     # A column that only one set has links nothing.
     rows = rows.withColumn("least", F.min("node").over(by_gram)).withColumn("most", F.max("node").over(by_gram)).filter("least < most")
-    rows = stored(rows.select("gram", "node", "n", "end_late", "end", "least").distinct(), "join-columns")
+    rows = released(stored(rows.select("gram", "node", "n", "end_late", "end").distinct(), "join-columns"))
+    # Columns of the same rows, such as those of one passage, become one column with their number as its weight.
+    lists = rows.groupBy("gram").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    merged = lists.groupBy("c", "x", "y").agg(F.min("gram").alias("gram"), F.count("*").alias("weight")).select("gram", "c", "weight")
     need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
-    nodes = stored(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("end_late").alias("end_late"), F.first("end").alias("end")), "join-nodes")
+    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("end_late").alias("end_late"), F.first("end").alias("end"))
+    columns = stored(rows.select("gram", "node").join(merged, "gram"), "join-merged")
+    # How often a row's columns recur: what many copies were made from has more in common with them than they have.
+    middle = columns.groupBy("node").agg(F.sum(F.col("weight") * F.col("c")).alias("common"))
+    nodes = stored(nodes.join(middle, "node").withColumn("common", F.col("common") / F.col("n")), "join-nodes")
     texts = _texts(docs, sets, nodes.select("node"), words)
-    sizes = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     n_a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("end_late").alias("late_a"), F.col("end").alias("end_a"))
     n_b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("end_late").alias("late_b"), F.col("end").alias("end_b"))
 
     def sized(pairs: DataFrame) -> DataFrame:
         return pairs.join(n_a, "a").join(n_b, "b").filter(sizes)
 
-    # Linear rounds: each row with the least row of its columns that is in another component.
+    # Linear rounds: each row with one row of its columns that is in another component, the commonest or the least.
     links = None
-    parts = nodes.select("node", F.col("node").alias("component"))
-    for _ in range(3):
-        placed = rows.select("gram", "node").join(parts, "node")
-        head = F.min(F.struct("node", "component")).over(by_gram)
-        star = placed.withColumn("head", head).filter("component <> head.component").groupBy(F.col("head.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("overlap"))
+    parts = nodes.select("node", F.col("node").alias("component"), "common")
+    for chosen in ("common", "common", "least"):
+        placed = columns.join(parts, "node")
+        head = F.max(F.struct("common", "node", "component")) if chosen == "common" else F.min(F.struct("node", "component"))
+        star = placed.withColumn("head", head.over(by_gram)).filter("component <> head.component").groupBy(F.col("head.node").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("overlap"))
         best = sized(star).filter(F.col("overlap") * 8 >= F.least("n_a", "n_b") * (100 - percent) / 100)
         best = best.groupBy("b").agg(F.max_by("a", F.struct("overlap", "a")).alias("a")).select("a", "b")
+        if links is not None:
+            best = best.join(tried, ["a", "b"], "left_anti")
+        best = stored(best, "join-tried")
+        tried = best if links is None else tried.union(best)
         found = stored(_similar(best, texts, words, percent), "join-links")
         links = found if links is None else links.union(found)
-        if not found.limit(1).count():
-            break
-        parts = nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        parts = stored(parts, "join-parts")
+        parts = nodes.select("node", "common").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "common")
+        parts = released(stored(parts, "join-parts"))
     # The product: overlaps of all pairs still in different components, block by block of columns.
-    placed = rows.select("gram", "node").join(parts, "node")
+    placed = columns.join(parts, "node")
     apart = placed.withColumn("low", F.min("component").over(by_gram)).withColumn("high", F.max("component").over(by_gram)).filter("low < high")
-    apart = stored(apart.select("gram", "node", "component"), "join-apart")
-    left = apart.select("gram", F.col("node").alias("a"), F.col("component").alias("c_a"))
-    right = apart.select("gram", F.col("node").alias("b"), F.col("component").alias("c_b"))
-    product = left.join(right, "gram").filter("a < b and c_a <> c_b").groupBy("a", "b").agg(F.count("*").alias("overlap"))
+    apart = stored(apart.join(nodes.select("node", "n"), "node").select("gram", "node", "component", "weight", "n"), "join-apart")
+    left = apart.select("gram", F.col("node").alias("a"), F.col("component").alias("c_a"), "weight", F.col("n").alias("m_a"))
+    right = apart.select("gram", F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("m_b"))
+    near = (100 * F.col("m_a") >= percent * F.col("m_b")) & (100 * F.col("m_b") >= percent * F.col("m_a"))
+    product = left.join(right, "gram").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near).groupBy("a", "b").agg(F.sum("weight").alias("overlap"))
+    # What is past the earlier of two ends adds at most the rest of that row.
     rest_a, rest_b = (F.ceil(F.lit(percent) * F.col(n) / 100) - 1 for n in ("n_a", "n_b"))
     a_first = F.struct("late_a", "end_a") <= F.struct(F.col("late_b").alias("late_a"), F.col("end_b").alias("end_a"))
-    both_ends = F.when((F.col("late_a") == F.col("late_b")) & (F.col("end_a") == F.col("end_b")), F.greatest(rest_a, rest_b)).when(a_first, rest_a).otherwise(rest_b)
-    kept = sized(product).filter(F.col("overlap") + both_ends >= need).select("a", "b")
+    same_end = (F.col("late_a") == F.col("late_b")) & (F.col("end_a") == F.col("end_b"))
+    most = F.when(same_end, F.greatest(rest_a, rest_b)).when(a_first, rest_a).otherwise(rest_b)
+    kept = sized(product).filter(F.col("overlap") + most >= need).select("a", "b")
+    kept = kept.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     return links.union(stored(_similar(kept, texts, words, percent), "join-links"))
 
 

@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+BYTE_VOCABULARY = "byte_bpe_50k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """Path of an installed public vocabulary file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -28,7 +33,7 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    packed = pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    packed = pack_documents(_table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -41,7 +46,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import checksums, round_trip
 
-    return checksums(round_trip(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
+    return checksums(round_trip(_table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY)))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

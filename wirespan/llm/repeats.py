@@ -9,14 +9,13 @@ Burrows-Wheeler transform says which of their windows are equal (see suffix_arra
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 from .shingles import mixed, text_bytes
 from .suffix_array import equal_windows
 
@@ -119,13 +118,6 @@ def text_segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "anchor long, content long, doc_id long, at int, n int")
 
 
-def _released(df: DataFrame) -> DataFrame:
-    """df, once Spark may delete the shuffle files that nothing needs any more."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
-
-
 def _variants_removed(parts: DataFrame, window: int) -> DataFrame:
     """doc_id, s, e: removed bytes of the different segments (anchor, doc_id, at, bytes) of each anchor."""
 
@@ -182,7 +174,7 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, vari
     by_anchor = Window.partitionBy("anchor")
     rows = text_segments(docs, window, gram)
     rows = rows.withColumn("c", F.count("*").over(by_anchor)).withColumn("least", F.min("content").over(by_anchor)).withColumn("most", F.max("content").over(by_anchor))
-    rows = _released(stored(rows.filter("c > 1").select("anchor", "content", "doc_id", "at", "n", (F.col("least") < F.col("most")).alias("varied")), "segments"))
+    rows = released(stored(rows.filter("c > 1").select("anchor", "content", "doc_id", "at", "n", (F.col("least") < F.col("most")).alias("varied")), "segments"))
     first = stored(rows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.first("n").alias("n"), F.first("varied").alias("varied")), "first-segments")
     copies = rows.join(first.select("anchor", "content", "first"), ["anchor", "content"]).filter(~F.struct("doc_id", "at").eqNullSafe(F.col("first")))
     copies = copies.select("doc_id", F.col("at").cast("long").alias("s"), (F.col("at") + F.col("n") + (window - 1)).cast("long").alias("e"))
@@ -200,7 +192,7 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, vari
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"])).select("doc_id", "text", "wanted").mapInArrow(cut, "anchor long, doc_id long, at int, bytes binary")
-    parts = _released(stored(parts.dropDuplicates(["anchor", "doc_id", "at"]), "segment-bytes"))
+    parts = released(stored(parts.dropDuplicates(["anchor", "doc_id", "at"]), "segment-bytes"))
     counts = parts.groupBy("anchor").agg(F.count("*").alias("c"))
     usual = parts.join(counts.filter(F.col("c") <= variants).select("anchor"), "anchor", "left_semi")
     many = parts.join(counts.filter(F.col("c") > variants).select("anchor"), "anchor", "left_semi")
