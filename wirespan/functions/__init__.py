@@ -1 +1 @@
-"""functions"""
+"""Column functions over traces: prices, time labels, text."""
