@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wirespan.plans import spend
+from wirespan.plans import content, spend
 
-_MODULES = (spend,)
+_MODULES = (spend, content)
 
 
 def queries() -> dict:
