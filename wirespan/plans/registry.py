@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wirespan.plans import content, spend
+from wirespan.plans import content, spend, traces
 
-_MODULES = (spend, content)
+_MODULES = (spend, content, traces)
 
 
 def queries() -> dict:
