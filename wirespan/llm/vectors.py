@@ -225,6 +225,8 @@ PROBE_STRETCH = 1.6
 #: Recall that the number of lists to search is set for, on sampled rows.
 RECALL = 0.96
 PART_ROWS = 4096
+#: Hits that a task holds before it keeps each query's best alone.
+HELD_HITS = 400_000
 
 
 def balanced_centres(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -401,6 +403,20 @@ def nearest_lists(rows: DataFrame, is_query: Column, k: int = K, sample_rows: in
     def search(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The k best of each query so far, each vector once."""
+            own, ids, score = (np.concatenate([h[i] for h in held]) for i in range(3))
+            order = np.lexsort((ids, -score, own))
+            own, ids, score = own[order], ids[order], score[order]
+            once = np.ones(len(own), bool)  # copies of a row in two lists have the same score, so they stand together
+            once[1:] = (own[1:] != own[:-1]) | (ids[1:] != ids[:-1])
+            own, ids, score = own[once], ids[once], score[once]
+            top = np.arange(len(own)) - np.searchsorted(own, own) < k
+            return own[top], ids[top], score[top]
+
         for batch in batches:
             for r in batch.to_pylist():
                 ids, own = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
@@ -411,12 +427,16 @@ def nearest_lists(rows: DataFrame, is_query: Column, k: int = K, sample_rows: in
                     kth = np.partition(got, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
                     # Products as one sum a row, equal for equal vectors; a margin covers the matrix product's rounding.
                     i, j = np.nonzero((got >= kth[:, None] - 1e-9 * (1 + np.abs(kth[:, None]))) & (got > -np.inf))
-                    exact = (q[a + i] * data[j]).sum(1)
-                    order = np.lexsort((ids[j], -exact, i))
-                    i, j, exact = i[order], j[order], exact[order]
-                    place = np.arange(len(i)) - np.searchsorted(i, i)
-                    top = place < k
-                    yield pa.RecordBatch.from_arrays([pa.array(own[a + i[top]]), pa.array(ids[j[top]]), pa.array(exact[top])], ["query_id", "vec_id", "score"])
+                    held.append((own[a + i], ids[j], (q[a + i] * data[j]).sum(1)))
+                    size += len(i)
+                    if size > HELD_HITS:
+                        held = [merged()]
+                        size = len(held[0][0])
+                        if size > HELD_HITS // 2:
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["query_id", "vec_id", "score"])
+                            held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["query_id", "vec_id", "score"])
 
     hits = blocks.join(packed, "part").select("ids", "data", "q_ids", "q_data").mapInArrow(search, HITS)
     return ranked(hits.dropDuplicates(["query_id", "vec_id"]), k)
