@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -34,11 +35,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(df: DataFrame) -> DataFrame:
-    """df, once Spark may delete the shuffle files that nothing needs any more."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries whose DataFrames are gone; call it once no variable holds them."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def slices(batches: Iterator, rows: int = ROWS) -> Iterator:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import released, slices, stored
+from .common import release, slices, stored
 from .components import components
 from .shingles import set_keys, shingle_sets, text_bytes
 
@@ -120,7 +120,9 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent:
     rows = first_columns(docs, frequent, words, percent)
     # A column that only one set has links nothing.
     rows = rows.withColumn("least", F.min("node").over(by_gram)).withColumn("most", F.max("node").over(by_gram)).filter("least < most")
-    rows = released(stored(rows.select("gram", "node", "n", "end_late", "end").distinct(), "join-columns"))
+    rows = stored(rows.select("gram", "node", "n", "end_late", "end").distinct(), "join-columns")
+    del plain, often
+    release(docs.sparkSession)
     # Columns of the same rows, such as those of one passage, become one column with their number as its weight.
     lists = rows.groupBy("gram").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     merged = lists.groupBy("c", "x", "y").agg(F.min("gram").alias("gram"), F.count("*").alias("weight")).select("gram", "c", "weight")
@@ -154,7 +156,7 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent:
         found = stored(_similar(best, texts, words, percent), "join-links")
         links = found if links is None else links.union(found)
         parts = nodes.select("node", "common").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "common")
-        parts = released(stored(parts, "join-parts"))
+        parts = stored(parts, "join-parts")
     # The product: overlaps of all pairs still in different components, block by block of columns.
     placed = columns.join(parts, "node")
     apart = placed.withColumn("low", F.min("component").over(by_gram)).withColumn("high", F.max("component").over(by_gram)).filter("low < high")

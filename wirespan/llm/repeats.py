@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import released, stored
+from .common import release, stored
 from .shingles import mixed, text_bytes
 from .suffix_array import equal_windows
 
@@ -169,16 +169,26 @@ def _variants_removed(parts: DataFrame, window: int) -> DataFrame:
     return parts.select("anchor", "doc_id", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, s long, e long")
 
 
-def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, variants: int = VARIANTS) -> DataFrame:
-    """doc_id, s, e: byte ranges covered by windows that also start earlier; ranges may overlap and repeat."""
+def _shared_segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """Stored segments whose anchor occurs again, and whether all segments of the anchor are equal."""
     by_anchor = Window.partitionBy("anchor")
     rows = text_segments(docs, window, gram)
     rows = rows.withColumn("c", F.count("*").over(by_anchor)).withColumn("least", F.min("content").over(by_anchor)).withColumn("most", F.max("content").over(by_anchor))
-    rows = released(stored(rows.filter("c > 1").select("anchor", "content", "doc_id", "at", "n", (F.col("least") < F.col("most")).alias("varied")), "segments"))
-    first = stored(rows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.first("n").alias("n"), F.first("varied").alias("varied")), "first-segments")
+    return stored(rows.filter("c > 1").select("anchor", "content", "doc_id", "at", "n", (F.col("least") < F.col("most")).alias("varied")), "segments")
+
+
+def _first_segments(rows: DataFrame) -> DataFrame:
+    return stored(rows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.first("n").alias("n"), F.first("varied").alias("varied")), "first-segments")
+
+
+def _copies(rows: DataFrame, first: DataFrame, window: int) -> DataFrame:
+    """Stored doc_id, s, e of the segments that an equal one comes before; in ranges of bytes."""
     copies = rows.join(first.select("anchor", "content", "first"), ["anchor", "content"]).filter(~F.struct("doc_id", "at").eqNullSafe(F.col("first")))
-    copies = copies.select("doc_id", F.col("at").cast("long").alias("s"), (F.col("at") + F.col("n") + (window - 1)).cast("long").alias("e"))
-    # The bytes of the segments that differ under one anchor, cut from their texts.
+    return stored(copies.select("doc_id", F.col("at").cast("long").alias("s"), (F.col("at") + F.col("n") + (window - 1)).cast("long").alias("e")), "copied-ranges")
+
+
+def _segment_bytes(docs: DataFrame, first: DataFrame, window: int) -> DataFrame:
+    """Stored anchor, doc_id, at, bytes of the segments that differ under one anchor, cut from their texts."""
     varied = first.filter("varied").select("anchor", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"), (F.col("n") + (window - 1)).alias("length"))
     wanted = varied.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("anchor", "at", "length")).alias("wanted"))
 
@@ -192,7 +202,11 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, vari
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"])).select("doc_id", "text", "wanted").mapInArrow(cut, "anchor long, doc_id long, at int, bytes binary")
-    parts = released(stored(parts.dropDuplicates(["anchor", "doc_id", "at"]), "segment-bytes"))
+    return stored(parts.dropDuplicates(["anchor", "doc_id", "at"]), "segment-bytes")
+
+
+def _varied_ranges(parts: DataFrame, window: int, variants: int) -> DataFrame:
+    """Stored doc_id, s, e of the repeats among segments that differ under one anchor."""
     counts = parts.groupBy("anchor").agg(F.count("*").alias("c"))
     usual = parts.join(counts.filter(F.col("c") <= variants).select("anchor"), "anchor", "left_semi")
     many = parts.join(counts.filter(F.col("c") > variants).select("anchor"), "anchor", "left_semi")
@@ -201,7 +215,22 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, vari
     single = single.select("anchor", F.unhex(F.md5(F.expr(f"substring(bytes, o + 1, {window})"))).alias("digest"), "doc_id", (F.col("at") + F.col("o")).cast("long").alias("s"))
     earliest = single.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
     spread = single.join(earliest, ["anchor", "digest"]).filter(~F.struct("doc_id", "s").eqNullSafe(F.col("first"))).select("doc_id", "s", (F.col("s") + window).alias("e"))
-    return copies.unionByName(_variants_removed(usual, window)).unionByName(spread)
+    return stored(_variants_removed(usual, window).unionByName(spread), "varied-ranges")
+
+
+def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, variants: int = VARIANTS) -> DataFrame:
+    """doc_id, s, e: byte ranges covered by windows that also start earlier; ranges may overlap and repeat."""
+    spark = docs.sparkSession
+    rows = _shared_segments(docs, window, gram)
+    release(spark)
+    first = _first_segments(rows)
+    copies = _copies(rows, first, window)
+    release(spark)
+    parts = _segment_bytes(docs, first, window)
+    release(spark)
+    varied = _varied_ranges(parts, window, variants)
+    release(spark)
+    return copies.unionByName(varied)
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
