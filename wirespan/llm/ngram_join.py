@@ -28,22 +28,33 @@ FREQUENT = 12
 LISTED = 1_000_000
 
 
-def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, node (64-bit key of the set of shingles, 0 if empty), one row a document."""
+def document_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, node (64-bit key of the set of shingles, 0 if empty), grams (the least-hashed first columns),
+    one row a document."""
 
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in slices(batches):
             hashes, counts = shingle_sets(*text_bytes(batch.column(1)), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(set_keys(hashes, counts))], ["doc_id", "n_shingles", "node"])
+            first = _first(counts, percent)
+            place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+            grams = hashes[place < np.repeat(first, counts)].view(np.int64)
+            offsets = np.zeros(len(counts) + 1, np.int32)
+            np.cumsum(first, out=offsets[1:])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(set_keys(hashes, counts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams))], ["doc_id", "n_shingles", "node", "grams"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(sets, "doc_id long, n_shingles long, node long, grams array<long>")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(sets, "doc_id long, n_shingles long, node long")
 
+def _first(counts: np.ndarray, percent: int) -> np.ndarray:
+    """How many columns of a set of so many n-grams take part: n - ceil(t n) + 1, none of an empty one."""
+    return np.where(counts > 0, counts + (-percent * counts) // 100 + 1, 0)
 
-def first_columns(docs: DataFrame, frequent: np.ndarray | None, words: int, percent: int) -> DataFrame:
+
+def first_columns(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
     """gram, node, n, k, end_late, end: the first k = n - ceil(t n) + 1 n-grams of each document, frequent ones last."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent) if frequent is not None and len(frequent) else None
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def columns(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -54,15 +65,13 @@ def first_columns(docs: DataFrame, frequent: np.ndarray | None, words: int, perc
                 continue
             keys = set_keys(hashes, counts)
             text = np.repeat(np.arange(len(counts)), counts)
-            late = np.zeros(len(hashes), bool)
-            if shared is not None:
-                listed = shared.value
+            late, listed = np.zeros(len(hashes), bool), shared.value
+            if len(listed):
                 late = listed[np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)] == hashes
                 order = np.lexsort((hashes, late, text))
                 hashes, late = hashes[order], late[order]
             place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
-            first = counts + (-percent * counts) // 100 + 1
-            first[counts == 0] = 0
+            first = _first(counts, percent)
             ends = np.maximum(np.cumsum(counts) - counts + first - 1, 0)
             keep = place < first[text]
             t = text[keep]
@@ -108,20 +117,28 @@ def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame, words: int) -> Da
             yield batch.filter(pa.array(set_keys(*shingle_sets(*text_bytes(batch.column(1)), words)) == batch.column(0).to_numpy()))
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(least, "doc_id").select("node", "text").mapInArrow(own, "node long, text string")
-    return stored(found.dropDuplicates(["node"]), "join-texts")
+    return stored(found, "join-texts")  # rows that repeat a document repeat links, which changes nothing
 
 
-def similar_links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between different sets that give the same components as all pairs similar enough."""
-    plain = first_columns(docs, None, words, percent)
-    often = plain.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > FREQUENT).orderBy(F.desc("c"), "gram").limit(LISTED)
-    frequent = np.sort(often.select("gram").toArrow().column(0).to_numpy().view(np.uint64))
+def _shared_columns(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
+    """Stored first columns; a column that only one set has links nothing, and is left out."""
     by_gram = Window.partitionBy("gram")
     rows = first_columns(docs, frequent, words, percent)
-    # A column that only one set has links nothing.
     rows = rows.withColumn("least", F.min("node").over(by_gram)).withColumn("most", F.max("node").over(by_gram)).filter("least < most")
-    rows = stored(rows.select("gram", "node", "n", "end_late", "end").distinct(), "join-columns")
-    del plain, often
+    return stored(rows.select("gram", "node", "n", "end_late", "end").distinct(), "join-columns")
+
+
+def _frequent(sets: DataFrame) -> np.ndarray:
+    """The commonest n-grams among first columns, LISTED at most, ascending."""
+    often = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > FREQUENT).orderBy(F.desc("c"), "gram").limit(LISTED)
+    return np.sort(often.select("gram").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def similar_links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between different sets that give the same components as all pairs similar enough."""
+    frequent = _frequent(sets)
+    by_gram = Window.partitionBy("gram")
+    rows = _shared_columns(docs, frequent, words, percent)
     release(docs.sparkSession)
     # Columns of the same rows, such as those of one passage, become one column with their number as its weight.
     lists = rows.groupBy("gram").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
@@ -133,6 +150,7 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent:
     middle = columns.groupBy("node").agg(F.sum(F.col("weight") * F.col("c")).alias("common"))
     nodes = stored(nodes.join(middle, "node").withColumn("common", F.col("common") / F.col("n")), "join-nodes")
     texts = _texts(docs, sets, nodes.select("node"), words)
+    release(docs.sparkSession)
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     n_a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("end_late").alias("late_a"), F.col("end").alias("end_a"))
     n_b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("end_late").alias("late_b"), F.col("end").alias("end_b"))
@@ -143,14 +161,14 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent:
     # Linear rounds: each row with one row of its columns that is in another component, the commonest or the least.
     links = None
     parts = nodes.select("node", F.col("node").alias("component"), "common")
-    for chosen in ("common", "common", "least"):
+    for chosen in ("common", "least"):
         placed = columns.join(parts, "node")
         head = F.max(F.struct("common", "node", "component")) if chosen == "common" else F.min(F.struct("node", "component"))
         star = placed.withColumn("head", head.over(by_gram)).filter("component <> head.component").groupBy(F.col("head.node").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("overlap"))
         best = sized(star).filter(F.col("overlap") * 8 >= F.least("n_a", "n_b") * (100 - percent) / 100)
-        best = best.groupBy("b").agg(F.max_by("a", F.struct("overlap", "a")).alias("a")).select("a", "b")
         if links is not None:
             best = best.join(tried, ["a", "b"], "left_anti")
+        best = best.groupBy("b").agg(F.max_by("a", F.struct("overlap", "a")).alias("a")).select("a", "b")
         best = stored(best, "join-tried")
         tried = best if links is None else tried.union(best)
         found = stored(_similar(best, texts, words, percent), "join-links")
@@ -181,7 +199,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     Null and empty texts have no shingles, and link with nothing: their component is their own doc_id. Repeated rows
     are equal sets. A null doc_id keeps its row, but names no component. Other columns are ignored.
     """
-    sets = stored(document_sets(docs, words), "join-sets")
+    sets = stored(document_sets(docs, words, percent), "join-sets")
     joined = components(similar_links(docs, sets, words, percent))
     placed = sets.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = placed.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -202,7 +202,7 @@ def _segment_bytes(docs: DataFrame, first: DataFrame, window: int) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"])).select("doc_id", "text", "wanted").mapInArrow(cut, "anchor long, doc_id long, at int, bytes binary")
-    return stored(parts.dropDuplicates(["anchor", "doc_id", "at"]), "segment-bytes")
+    return stored(parts, "segment-bytes")  # a segment that repeated rows cut twice is one place, which removes nothing
 
 
 def _varied_ranges(parts: DataFrame, window: int, variants: int) -> DataFrame:
