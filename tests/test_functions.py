@@ -1,0 +1,131 @@
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from wirespan.functions import prices as P
+from wirespan.functions import texts as T
+from wirespan.functions.times import bucket_label, elapsed_ms, iso_time, parse_when
+from wirespan.operators import diff, redact, search
+from wirespan.operators.fleet import percentile
+from wirespan.sources.wire import djb2
+
+
+def one(spark, column, **values):
+    return spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items())).select(column.alias("x")).first().x
+
+
+@pytest.mark.parametrize("day, week", [("2026-01-01", "2026-W01"), ("2024-12-30", "2025-W01"), ("2023-01-01", "2022-W52"), ("2026-06-11", "2026-W24")])
+def test_weeks(spark, day, week):
+    ts = dt.datetime.fromisoformat(day + "T12:00:00+00:00").timestamp()
+    assert one(spark, bucket_label(F.col("t"), "weekly"), t=ts) == week
+    assert one(spark, bucket_label(F.col("t"), "daily"), t=ts) == day
+    assert one(spark, bucket_label(F.col("t"), "monthly"), t=ts) == day[:7]
+
+
+def test_time_zones_and_nulls(spark):
+    ts = dt.datetime(2026, 7, 1, 3, tzinfo=dt.timezone.utc).timestamp()
+    assert one(spark, bucket_label(F.col("t"), "daily", "America/Los_Angeles"), t=ts) == "2026-06-30"
+    assert one(spark, bucket_label(F.lit(None).cast("double"), "daily")) == "1970-01-01"
+    assert one(spark, iso_time(F.lit(1700000000123.0))) == "2023-11-14T22:13:20.123Z"
+    assert one(spark, iso_time(F.lit(0.0))) is None
+    assert one(spark, elapsed_ms(F.lit(10.0), F.lit(12.3456))) == 2346
+    assert one(spark, elapsed_ms(F.lit(10.0), F.lit(9.0))) is None
+    with pytest.raises(ValueError):
+        bucket_label(F.lit(1.0), "hourly")
+
+
+def test_parse_when():
+    now = dt.datetime(2026, 3, 10, 12, tzinfo=dt.timezone.utc)
+    start = lambda *d: dt.datetime(*d, tzinfo=dt.timezone.utc).timestamp()
+    assert parse_when("today", now=now) == start(2026, 3, 10)
+    assert parse_when("yesterday", True, now=now) == start(2026, 3, 9) + 86399
+    assert parse_when("7d", now=now) == start(2026, 3, 3)
+    assert parse_when("2026-01-02") == start(2026, 1, 2)
+    with pytest.raises(ValueError):
+        parse_when("soon")
+
+
+def test_prices(spark):
+    models = spark.createDataFrame([(m,) for m in ("gpt-5", "GPT-5-mini", "gpt-4o-mini-2024", "claude-opus-4-1-2025", "unknown", None)], "model string")
+    got = {r.model: r.key for r in P.resolved(models, P.price_table(spark)).collect()}
+    assert got == {"gpt-5": "gpt-5", "GPT-5-mini": "gpt-5", "gpt-4o-mini-2024": "gpt-4o-mini", "claude-opus-4-1-2025": "claude-opus-4-1", "unknown": None}
+    listing = {"sample_spec": {}, "x/a": {"input_cost_per_token": 1e-6, "output_cost_per_token": 2e-6}, "a": {"input_cost_per_token": 3e-6, "output_cost_per_token": 4e-6, "cache_read_input_token_cost": 1e-7}, "zero": {"input_cost_per_token": 0, "output_cost_per_token": 0}, "bad": {"input_cost_per_token": "1"}}
+    assert P.converted(listing) == {"a": (3.0, 4.0, 3.0, 0.1)}
+
+
+def test_price_sources(tmp_path):
+    cache = str(tmp_path / "p.json")
+    fetch = lambda: {"m": {"input_cost_per_token": 1e-6, "output_cost_per_token": 1e-6}}
+
+    def broken():
+        raise OSError
+
+    assert P.loaded(cache)[1] == "built in"
+    assert P.loaded(cache, fetch, now=1000)[1] == "network"
+    assert P.loaded(cache, broken, now=2000)[1] == "cache"
+    table, source = P.loaded(cache, broken, now=1e9)
+    assert source == "stale cache" and table["m"] == (1.0, 1.0, 1.0, 1.0) and "o3" in table
+
+
+def test_texts(spark):
+    volatile = "Generated 2026-01-02 03:04:05 cch=ab12; <system-reminder>a\nb</system-reminder> The user opened the file /x/y in the IDE."
+    assert one(spark, T.without_volatile(F.col("t")), t=volatile) == "Generated [TIMESTAMP] cch=[HASH]; [SYSTEM-REMINDER] The user opened file in IDE."
+    for text, want in (("Error: x", True), ("terrors", False), ("No such file here", True), ("stderr_x", False), ("(ENOENT)", True), ("", False)):
+        assert one(spark, T.looks_errored(F.col("t")), t=text) is want
+    assert one(spark, T.snippet(F.col("t"), ["needle"]), t="x" * 100 + " Needle " + "y" * 200) == "…" + "x" * 59 + " [Needle] " + "y" * 113 + "…"
+    assert one(spark, T.project_of(F.col("t")), t="/a/b/.claude-trace/log.jsonl") == "/a/b"
+    assert one(spark, T.flattened(F.col("t"), 5), t=" a  b\nc d e") == "a b …"
+    assert one(spark, T.entropy(F.col("t")), t="aabb") == pytest.approx(1.0)
+    assert djb2("hello") == format((lambda s: __import__("functools").reduce(lambda h, c: (h * 33 + ord(c)) % 2**32, s, 5381))("hello"), "x")
+    assert T.fuzzy_score("open session", "os") > T.fuzzy_score("close", "os") >= 0 and T.fuzzy_score("abc", "cb") == -1
+
+
+def test_percentiles(spark):
+    rows = spark.createDataFrame([(i,) for i in (10, 20, 30, 40)], "v long")
+    assert rows.agg(percentile("v", 0.5).alias("x")).first().x == 20
+    assert rows.filter("v < 0").agg(percentile("v", 0.5).alias("x")).first().x is None
+
+
+def tokens():
+    """Tokens of every shape, put together here so that none stands in the sources."""
+    a, h = "Ab3dEf6hIj9lMn2pQr5tUv8xYz1" * 3, "0123456789abcdef" * 4
+    return {
+        "jwt": "ey" + "J" + a[:10] + "." + a[:12] + "." + a[:14], "openai_key": "sk" + "-" + a[:30], "github_token": "gh" + "p_" + a[:36], "slack_token": "xo" + "xb-" + h[:24],
+        "aws_access_key_id": "AK" + "IA" + "ABCDEFGHIJKLMNOP", "bearer_token": "Bearer " + a[:30],
+    }
+
+
+def test_redaction(spark):
+    for kind, token in tokens().items():
+        text = f"é{token}, then." if kind == "aws_access_key_id" else f"before {token}, then."
+        shown = redact.redact_string(text)
+        assert f"[REDACTED:{kind}]" in shown and token.removeprefix("Bearer ") not in shown
+        assert redact.redact_string(shown) == shown
+        assert one(spark, redact.redacted(F.col("t")), t=text) == shown
+        assert (kind, token.removeprefix("Bearer ")) in redact.find_secrets(text)
+    assert redact.redact_string("sk-short and task-force is plain") == "sk-short and task-force is plain"
+    key = "Ab3/dEf6hIj9lMn2pQr5tUv8xYz1Kw4+sGo7Bc0D"
+    assert len(key) == 40 and redact.redact_string(key, "strict") == "[REDACTED:aws_secret_access_key]" and redact.redact_string(key) == key
+    assert redact.redact_string("DB_PASSWORD='h4x0r9q2w8e7z1'", "strict") == "DB_PASSWORD='[REDACTED:env_secret]'"
+    assert redact.redact_string("a" * 40, "strict") == "a" * 40
+    pair = {"request": {"headers": {"x": key}, "body": {"m": [tokens()["github_token"]]}}, "response": None}
+    assert redact.redact_pair(pair)["request"] == {"headers": {"x": key}, "body": {"m": ["[REDACTED:github_token]"]}}
+    assert redact.parse_mode("loud") == "standard" and redact.parse_mode("off") == "off"
+    assert one(spark, redact.redacted_json(F.col("t")), t=json.dumps({"b": 1, "a": tokens()["slack_token"]})) == '{"b":1,"a":"[REDACTED:slack_token]"}'
+
+
+def test_queries_of_search():
+    assert search.query_phrases("a OR b") == [["a"], ["or"], ["b"]]
+    assert search.query_phrases("foo.txt  ") == [["foo", "txt"]]
+    assert search.query_phrases('"*') == []
+    stems = {"caresses": "caress", "ponies": "poni", "relational": "relat", "hopping": "hop", "failing": "fail", "happy": "happi", "generalization": "gener", "adjustment": "adjust", "controlling": "control", "rate": "rate", "sky": "sky"}
+    assert {w: search.porter(w) for w in stems} == stems
+    assert search.folded("café") == "cafe"
+
+
+def test_line_diff():
+    assert diff.diff_lines("a\nb\nc", "a\nx\nc") == [("context", "a"), ("del", "b"), ("add", "x"), ("context", "c")]
+    assert diff.diff_lines("a\nb", "b\na") == [("del", "a"), ("context", "b"), ("add", "a")]
+    assert [o for o, _ in diff.diff_lines("a\nb", "c\nd", cells=1)] == ["del", "del", "add", "add"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,7 +105,7 @@ def djb2(text: Column) -> Column:
     """The 32-bit times-33-xor hash in lower-case hexadecimal, over UTF-16 units as scripts count them."""
 
     @F.pandas_udf("string")
-    def run(texts):
+    def run(texts: pd.Series) -> pd.Series:
         from wirespan.sources.wire import djb2 as of
 
         return texts.map(lambda t: None if t is None else of(t))
@@ -137,7 +138,7 @@ def fuzzy_score(text: str, query: str) -> int:
 
 def fuzzy(text: Column, query: str) -> Column:
     @F.pandas_udf("int")
-    def run(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda t: fuzzy_score(t or "", query)).astype("int32")
 

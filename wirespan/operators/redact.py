@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +111,7 @@ def redacted(text: Column, mode: str = "standard") -> Column:
         return text
 
     @F.pandas_udf("string")
-    def run(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda t: None if t is None else redact_string(t, "strict"))
 
@@ -127,7 +128,7 @@ def redacted_json(text: Column, mode: str = "standard") -> Column:
             return redact_string(t, mode)
 
     @F.pandas_udf("string")
-    def run(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(one)
 

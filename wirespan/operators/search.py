@@ -9,6 +9,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,7 +121,7 @@ def index_terms(steps: DataFrame, stem: bool = True) -> DataFrame:
         return rows
 
     @F.pandas_udf("string")
-    def fold(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
+    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for words in batches:
             yield words.map({w: folded(w) for w in words.unique()})
 

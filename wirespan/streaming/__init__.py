@@ -1 +1 @@
-"""streaming"""
+"""Streams of captured pairs."""
