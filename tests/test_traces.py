@@ -192,3 +192,19 @@ def test_follow(spark, tmp_path):
             assert seen[-1] == want
     finally:
         query.stop()
+
+
+def test_display(spark, tmp_path):
+    from wirespan.operators import display
+
+    turns, steps = rebuilt(spark, L.claude(), L.codex() + L.gemini())
+    heads = turns.groupBy(*trajectory.KEY).agg(F.min("pair_index").alias("at"), F.max_by("agent", "seq").alias("agent"), F.max_by("model", "seq").alias("model"))
+    got = {r.source_path: r.digest for r in display.digests(steps, heads).collect()}
+    assert got["log0"] == '## Session — claude (claude-opus-4)\nUSER: Read foo.txt please\nAGENT: I\'ll read it.\n  TOOL Read({"path":"foo.txt"})\n    -> hello world\nAGENT: It says hello world.'
+    assert got["log1"].startswith("## Session 1 — codex (gpt-5)\n") and "\n\n## Session 2 — gemini (gemini-2.5-flash)\nUSER: show" in got["log1"]
+    stats = display.summary(turns, trajectory.session_rows(turns, steps, P.price_table(spark)))
+    path = display.write_stats(str(tmp_path / "a.jsonl"), stats)
+    assert path.endswith("a.stats.json") and json.loads(open(path).read())["pair_count"] == 6
+    row = spark.range(1).select(display.short_tokens(F.lit(45_300)).alias("a"), display.short_tokens(F.lit(950)).alias("b"), display.short_cost(F.lit(123.4), F.lit(True)).alias("c"), display.histogram_text(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(3))).alias("d"), display.histogram_of(F.lit("{bad")).alias("e")).first()
+    assert tuple(row) == ("45.3K", "950", "$123+", "b×3, a×1", {})
+    assert display.sorted_json('{"b":1,"a":[2]}') == '{\n  "a": [\n    2\n  ],\n  "b": 1\n}'

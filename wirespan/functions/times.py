@@ -61,7 +61,3 @@ def elapsed_ms(start: Column, stop: Column) -> Column:
     """Whole milliseconds from start to stop (epoch seconds); null unless start is positive and stop not before it."""
     return F.when((start > 0) & (stop >= start), F.floor((stop - start) * 1000 + 0.5).cast("long"))
 
-
-def calendar(days: int = 182) -> str:
-    """SQL of a grid of days up to column last, from the Sunday on or before the first: day, week column, weekday row."""
-    return f"sequence(date_sub(last, {days - 1} + dayofweek(date_sub(last, {days - 1})) - 1), last)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wirespan.functions import prices as P
-from wirespan.operators import atif, trajectory
+from wirespan.operators import atif, display, fleet, trajectory
 from wirespan.plans import bindings as B
 from wirespan.sources.wire import decoded
 
@@ -103,3 +103,36 @@ def atif_export(spark, sf_dir):
     t = turns(spark, sf_dir, tools=True)
     docs = atif.documents(t, trajectory.steps(t))
     return docs.select("source_path", F.get_json_object("document", "$.schema_version").alias("schema_version"), F.get_json_object("document", "$.final_metrics.total_steps").cast("int").alias("total_steps"), F.length("document").alias("size"))
+
+
+@query("traj_summary", f"WITH {STEPS_SQL} SELECT count(*) AS pair_count, count(DISTINCT source_path) AS trajectory_count, sum(10 * turn + 1)::BIGINT AS prompt_tokens, sum(turn)::BIGINT AS completion_tokens, 0::BIGINT AS cache_creation_tokens, (7 * count(*))::BIGINT AS cache_read_tokens FROM steps WHERE role = 'agent'")
+def traj_summary(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    return display.summary(t, trajectory.session_rows(t, trajectory.steps(t), P.price_table(spark))).drop("reasoning_tokens")
+
+
+@query("traj_digest")
+def traj_digest(spark, sf_dir):
+    """The digest of each log, by its size and first line."""
+    t = turns(spark, sf_dir, tools=True)
+    heads = t.groupBy(*trajectory.KEY).agg(F.min("pair_index").alias("at"), F.max_by("agent", "seq").alias("agent"), F.max_by("model", "seq").alias("model"))
+    rows = display.digests(trajectory.steps(t), heads)
+    return rows.select("source_path", F.length("digest").alias("size"), F.substring_index("digest", "\n", 1).alias("head"))
+
+
+@query("tool_headline", f"WITH {STEPS_SQL} SELECT source_path, step_index, 'make ' || turn AS headline, 'command' AS kind FROM steps WHERE role = 'agent'")
+def tool_headline(spark, sf_dir):
+    calls = trajectory.steps(turns(spark, sf_dir, tools=True)).select("source_path", "step_index", F.explode("tool_calls").alias("c"))
+    args = F.to_json(F.struct(F.concat(F.lit("make "), F.get_json_object("c.args_json", "$.n")).alias("command"), F.lit("x").alias("description")))
+    return calls.select("source_path", "step_index", display.headline(args).alias("headline"), display.call_kind(args).alias("kind"))
+
+
+@query("trend_calendar", f"WITH {B.USAGE_SQL}, t AS (SELECT strftime(make_timestamp((ts * 1000000)::BIGINT), '%Y-%m-%d') AS day, coalesce(sum(micro_cost), 0)::DOUBLE / 1e12 AS cost_usd FROM usage_events GROUP BY 1), g AS (SELECT unnest(generate_series(DATE '2023-07-30', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS d) SELECT d::VARCHAR AS day, floor(date_diff('day', DATE '2023-07-30', d) / 7)::INT AS week, dayofweek(d)::INT AS weekday, coalesce(cost_usd, 0.0) AS cost_usd, CASE WHEN cost_usd > 0 THEN round(0.22 + 0.78 * sqrt(cost_usd / (SELECT max(cost_usd) FROM t)), 2) END AS opacity FROM g LEFT JOIN t ON t.day = g.d::VARCHAR")
+def trend_calendar(spark, sf_dir):
+    return display.calendar(fleet.daily_trend(B.usage_events(spark, sf_dir)), "2024-01-30")
+
+
+@query("short_numbers", f"WITH {B.USAGE_SQL}, t AS (SELECT agent, sum(cache_read_tokens)::BIGINT AS n FROM usage_events GROUP BY 1) SELECT agent, CASE WHEN n >= 10000000 THEN printf('%.0f', n / 1e6) || 'M' WHEN n >= 1000000 THEN printf('%.1f', n / 1e6) || 'M' WHEN n >= 100000 THEN printf('%.0f', n / 1e3) || 'K' WHEN n >= 1000 THEN printf('%.1f', n / 1e3) || 'K' ELSE n::VARCHAR END AS tokens FROM t")
+def short_numbers(spark, sf_dir):
+    rows = B.usage_events(spark, sf_dir).groupBy("agent").agg(F.sum("cache_read_tokens").alias("n"))
+    return rows.select("agent", display.short_tokens(F.col("n")).alias("tokens"))
