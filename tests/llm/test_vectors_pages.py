@@ -11,7 +11,7 @@ def vectors(spark, x, extra=()):
     return spark.createDataFrame([*rows, *extra], "vec_id long, embedding array<float>, label int, score int")
 
 
-ODD = [(5000, None, 0, 0), (5020, [1.0, None], 0, 0), (5040, [float("nan")] * 8, 0, 0), (None, [1.0] * 8, 0, 0), (5060, [float("inf")] * 8, 0, 0), (5080, [], 0, 0), (5081, [1.0, 2.0], 0, 0)]
+ODD = [(3, [9.0] * 8, 0, 0), (20, [9.0] * 8, 0, 0), (5000, None, 0, 0), (5020, [1.0, None], 0, 0), (5040, [float("nan")] * 8, 0, 0), (None, [1.0] * 8, 0, 0), (5060, [float("inf")] * 8, 0, 0), (5080, [], 0, 0), (5081, [1.0, 2.0], 0, 0)]
 
 
 def data(n=900):

@@ -44,15 +44,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     With sources by the ratio of limit to weight, the level of (words left) / (weights left) rises while limits bind and
     falls after, so its maximum is the level that shares all words.
     """
-    sizes.createOrReplaceTempView("mixing_sizes")
     case = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
     return sizes.sparkSession.sql(f"""
-        WITH s AS (SELECT source, sum(size) AS source_size FROM mixing_sizes GROUP BY source),
+        WITH s AS (SELECT source, sum(size) AS source_size FROM {{sizes}} GROUP BY source),
         w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(weights)} {case} END AS w FROM s),
         r AS (SELECT *, {epochs} * source_size AS most,
                 (sum(source_size) OVER () - coalesce(sum({epochs} * source_size) OVER before, 0)) / cast(sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS double) AS level
               FROM w WINDOW before AS (ORDER BY {epochs} * source_size / cast(w AS double), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-        SELECT source, source_size, least(cast(most AS double), max(level) OVER () * w) AS target FROM r""")
+        SELECT source, source_size, least(cast(most AS double), max(level) OVER () * w) AS target FROM r""", sizes=sizes)
 
 
 def _pass(rows: DataFrame, name: str) -> DataFrame:

@@ -27,6 +27,11 @@ def valid(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite)
 
 
+def _one_each(rows: DataFrame) -> DataFrame:
+    """One row for each vec_id: of rows that repeat one, that with the least vector."""
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
 def _one_length(rows: DataFrame) -> DataFrame:
     """Rows whose vectors have the commonest length (the shorter of equally common ones); others take no part."""
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").first()
@@ -145,13 +150,12 @@ HITS = "query_id long, vec_id long, score double"
 def exact_top_k(rows: DataFrame, is_query: Column, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products with all other rows.
 
-    rows: vec_id long (repeated ids are rows of their own, none of which a query with that id meets), v array of whole
-    numbers. Rows are dealt by a hash of vec_id to shards of about shard_rows, each with its own ball tree. The first
+    rows: vec_id long (of repeated ids the least vector counts), v array of whole numbers. Rows are dealt by a hash of vec_id to shards of about shard_rows, each with its own ball tree. The first
     round searches each query in one shard; its kth score bounds the second round in all other shards, where only
     nodes that may reach it are opened. Fewer rows than k give all; ties go to smaller vec_id; no rows give none.
     """
     spark = rows.sparkSession
-    rows = _one_length(stored(rows.withColumn("is_query", F.coalesce(is_query, F.lit(False))), "vectors"))
+    rows = _one_length(stored(_one_each(rows).withColumn("is_query", F.coalesce(is_query, F.lit(False))), "vectors"))
     shards = max(1, -(-rows.count() // shard_rows))
     dealt = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
     packed = stored(_packed(rows, dealt, "shard", "int64").select(F.col("part").alias("shard"), "ids", "data", "n"), "shards")
@@ -354,7 +358,7 @@ def nearest_lists(rows: DataFrame, is_query: Column, k: int = K, sample_rows: in
     parts that all its queries meet, so common vectors spread over tasks. Fewer rows than k give all rows found.
     """
     spark = rows.sparkSession
-    rows = _one_length(stored(rows.withColumn("is_query", F.coalesce(is_query, F.lit(False))), "vectors"))
+    rows = _one_length(stored(_one_each(rows).withColumn("is_query", F.coalesce(is_query, F.lit(False))), "vectors"))
     n, most = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
