@@ -8,11 +8,11 @@ summed by narrow score bins, made monotone, and interpolated to the probability
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +26,8 @@ THRESHOLD = 0.3
 BINS, LOW, HIGH = 600, -0.5, 1.5
 #: Shares of the labels (crc32 of the doc_id mod FOLDS): 0 is held out, 1 calibrates, the others fit.
 FOLDS = 5
+#: Tasks that add up what partitions have summed, before the driver adds theirs.
+STEP_TASKS = 8
 
 _CLASS = np.zeros(256, np.int64)  # 0: other
 for _c, _bytes in enumerate((range(97, 123), range(65, 91), range(48, 58), b" \t\r\x0b\x0c", b"\n", b".,;:'\"-()?", b"!", b"#$%&*+/<=>@[\\]^_`{|}~", range(128, 256)), 1):
@@ -123,7 +125,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, size: int, make) -> np.ndarray:
-    """Sum over all partitions of make(batch), arrays of so many doubles; added in two steps, of 64 tasks and one."""
+    """Sum over all partitions of make(batch), arrays of so many doubles: by partition, by STEP_TASKS tasks, on the driver."""
 
     def own(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -143,8 +145,7 @@ def _summed(rows: DataFrame, size: int, make) -> np.ndarray:
                 total += np.frombuffer(x)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-    parts = rows.mapInArrow(own, "total binary")
-    parts = parts.repartition(min(8, max(1, parts.rdd.getNumPartitions() // 8))) if parts.rdd.getNumPartitions() > 16 else parts
+    parts = rows.mapInArrow(own, "total binary").repartition(STEP_TASKS)
     return sum((np.frombuffer(r.total) for r in parts.mapInArrow(again, "total binary").collect()), np.zeros(size))
 
 
@@ -205,7 +206,6 @@ def fit(stats: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
     if full.sum() < 2:
         model.knots, model.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
         return model
-    # One label of each class in every pooled block keeps scores off 0 and 1.
     level = monotone(ones[full] / count[full], count[full])
     model.knots, model.values = centres[full], np.clip(level, 0.001, 0.999)
     # Within a flat block the score still rises a little with the raw score, so that ranks are kept.
@@ -242,15 +242,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = fit(text_statistics(docs), labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator) -> Iterator:
-        import pandas as pd
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import pyarrow as pa
 
         for texts in batches:
             yield pd.Series(np.concatenate([shared.value.score(statistics(pa.array(texts.iloc[i : i + 512], pa.string(), from_pandas=True))) for i in range(0, len(texts), 512)] or [np.zeros(0)]))
 
-    from pyspark.sql.functions import pandas_udf
-
-    score.__annotations__ = {}
-    udf = pandas_udf(score, "double", F.PandasUDFType.SCALAR_ITER)
-    return docs.filter(udf(F.col("text").cast("string")) >= threshold)
+    return docs.filter(F.pandas_udf(score, "double")(F.col("text").cast("string")) >= threshold)
