@@ -204,9 +204,6 @@ def sessions_text_filter(spark, sf_dir):
     return sessions.matching(stats(spark, sf_dir), "P4").select(*STAT_COLUMNS)
 
 
-_AS_STEPS = "transform(array(tool), x -> x) AS tool_names"
-
-
 @query("sessions_with_error", f"WITH {STATS_SQL} SELECT session_id, agent FROM stats s WHERE EXISTS (SELECT 1 FROM requests r WHERE r.session_id = s.session_id AND r.errored)")
 def sessions_with_error(spark, sf_dir):
     return sessions.with_steps(stats(spark, sf_dir), B.requests(spark, sf_dir), F.col("errored")).select("session_id", "agent")
