@@ -5,15 +5,16 @@ that a pair must share enter the product: under one order of all n-grams (freque
 asked share an n-gram among the first n - ceil(t n) + 1 of either. The product adds up each pair's overlap in these
 columns, and a pair whose overlap plus what the rest could add stays under the size-derived need is discarded; the
 others are counted in full. Equal sets are one row of the matrix. Rows that a first, linear product (each row with the
-least row of its columns) already joined need no pair of their own, so large groups of near copies stay linear.
+commonest row of its columns) already joined need no pair of their own, so large groups of near copies stay linear.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import release, slices, stored
@@ -147,24 +148,38 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent:
     nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("end_late").alias("end_late"), F.first("end").alias("end"))
     columns = stored(rows.select("gram", "node").join(merged, "gram"), "join-merged")
     # How often a row's columns recur: what many copies were made from has more in common with them than they have.
-    middle = columns.groupBy("node").agg(F.sum(F.col("weight") * F.col("c")).alias("common"))
-    nodes = stored(nodes.join(middle, "node").withColumn("common", F.col("common") / F.col("n")), "join-nodes")
+    middle = columns.groupBy("node").agg(F.sum(F.col("weight") * F.col("c")).alias("common"), F.sum("weight").alias("shared"))
+    # No overlap of a row exceeds its shared columns and all that follows its first columns.
+    most = F.col("shared") + F.ceil(F.lit(percent) * F.col("n") / 100) - 1
+    nodes = stored(nodes.join(middle, "node").select("node", "n", "end_late", "end", (F.col("common") / F.col("n")).alias("common"), most.cast("long").alias("most")), "join-nodes")
     texts = _texts(docs, sets, nodes.select("node"), words)
     release(docs.sparkSession)
-    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    n_a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("end_late").alias("late_a"), F.col("end").alias("end_a"))
-    n_b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("end_late").alias("late_b"), F.col("end").alias("end_b"))
+    def of_earlier(x: Column, y: Column) -> Column:
+        """x where a's first columns end before b's, y where after; the larger where they may end together."""
+        end_a, end_b = F.struct(F.col("late_a").alias("l"), F.col("end_a").alias("e")), F.struct(F.col("late_b").alias("l"), F.col("end_b").alias("e"))
+        return F.when(end_a < end_b, x).when(end_b < end_a, y).otherwise(F.greatest(x, y))
+
+    def may_link() -> Column:
+        """Whether sizes are near enough, and what the row whose first columns end earlier can share meets the need of
+        both sizes: those of its first columns that the other has are among the other's first columns too."""
+        near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+        return near & ((100 + percent) * of_earlier(F.col("most_a"), F.col("most_b")) >= percent * (F.col("n_a") + F.col("n_b")))
+
+    n_a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("end_late").alias("late_a"), F.col("end").alias("end_a"))
+    n_b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("end_late").alias("late_b"), F.col("end").alias("end_b"))
 
     def sized(pairs: DataFrame) -> DataFrame:
-        return pairs.join(n_a, "a").join(n_b, "b").filter(sizes)
+        return pairs.join(n_a, "a").join(n_b, "b").filter(may_link())
 
-    # Linear rounds: each row with one row of its columns that is in another component, the commonest or the least.
+    # Linear rounds: each row with the commonest row of its columns among those of about its size. Sizes that a link
+    # can join lie in one class of ratio 100 / percent, or in one of the classes shifted by half.
     links = None
-    parts = nodes.select("node", F.col("node").alias("component"), "common")
-    for chosen in ("common", "least"):
-        placed = columns.join(parts, "node")
-        head = F.max(F.struct("common", "node", "component")) if chosen == "common" else F.min(F.struct("node", "component"))
-        star = placed.withColumn("head", head.over(by_gram)).filter("component <> head.component").groupBy(F.col("head.node").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("overlap"))
+    parts = nodes.select("node", F.col("node").alias("component"), "common", "n", "most")
+    for shift in (0.0, 0.5):
+        size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + shift)
+        placed = columns.join(parts, "node").withColumn("class", size)
+        head = F.max(F.struct("common", "node", "component")).over(Window.partitionBy("gram", "class"))
+        star = placed.withColumn("head", head).filter("component <> head.component").groupBy(F.col("head.node").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("overlap"))
         best = sized(star).filter(F.col("overlap") * 8 >= F.least("n_a", "n_b") * (100 - percent) / 100)
         if links is not None:
             best = best.join(tried, ["a", "b"], "left_anti")
@@ -173,22 +188,18 @@ def similar_links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent:
         tried = best if links is None else tried.union(best)
         found = stored(_similar(best, texts, words, percent), "join-links")
         links = found if links is None else links.union(found)
-        parts = nodes.select("node", "common").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "common")
+        parts = nodes.select("node", "common", "n", "most").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "common", "n", "most")
         parts = stored(parts, "join-parts")
     # The product: overlaps of all pairs still in different components, block by block of columns.
     placed = columns.join(parts, "node")
     apart = placed.withColumn("low", F.min("component").over(by_gram)).withColumn("high", F.max("component").over(by_gram)).filter("low < high")
-    apart = stored(apart.join(nodes.select("node", "n"), "node").select("gram", "node", "component", "weight", "n"), "join-apart")
-    left = apart.select("gram", F.col("node").alias("a"), F.col("component").alias("c_a"), "weight", F.col("n").alias("m_a"))
-    right = apart.select("gram", F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("m_b"))
-    near = (100 * F.col("m_a") >= percent * F.col("m_b")) & (100 * F.col("m_b") >= percent * F.col("m_a"))
-    product = left.join(right, "gram").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near).groupBy("a", "b").agg(F.sum("weight").alias("overlap"))
-    # What is past the earlier of two ends adds at most the rest of that row.
+    apart = stored(apart.join(nodes.select("node", "end_late", "end"), "node").select("gram", "node", "component", "weight", "n", "most", "end_late", "end"), "join-apart")
+    side = lambda x: apart.select("gram", *(F.col(c).alias(f"{k}_{x}") for c, k in (("node", "node"), ("component", "c"), ("weight", "w"), ("n", "n"), ("most", "most"), ("end_late", "late"), ("end", "end"))))
+    product = side("a").join(side("b"), "gram").filter((F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & may_link())
+    product = product.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.sum("w_a").alias("overlap"))
+    # What follows the earlier end adds at most the rest of that row.
     rest_a, rest_b = (F.ceil(F.lit(percent) * F.col(n) / 100) - 1 for n in ("n_a", "n_b"))
-    a_first = F.struct("late_a", "end_a") <= F.struct(F.col("late_b").alias("late_a"), F.col("end_b").alias("end_a"))
-    same_end = (F.col("late_a") == F.col("late_b")) & (F.col("end_a") == F.col("end_b"))
-    most = F.when(same_end, F.greatest(rest_a, rest_b)).when(a_first, rest_a).otherwise(rest_b)
-    kept = sized(product).filter(F.col("overlap") + most >= need).select("a", "b")
+    kept = sized(product).filter(F.col("overlap") + of_earlier(rest_a, rest_b) >= need).select("a", "b")
     kept = kept.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     return links.union(stored(_similar(kept, texts, words, percent), "join-links"))
 
