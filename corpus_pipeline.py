@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wirespan.llm.common import stored
-from wirespan.llm.line_dedup import dedup_lines
+from wirespan.llm.line_dedup import dedup_passages
 from wirespan.llm.mixing import mixed_rows
 from wirespan.llm.ngram_join import one_of_each
 from wirespan.llm.packing import pack_documents
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less their repeated chunks of lines."""
-    return dedup_lines(docs)
+    """Documents less their repeated passages of lines."""
+    return dedup_passages(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

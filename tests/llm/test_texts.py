@@ -172,6 +172,28 @@ def test_line_dedup(spark, corpus):
     assert all(r.n_chars == len(r.text or "") for r in got)
 
 
+def test_repeated_passages_between_other_lines(spark, corpus):
+    from wirespan.llm.line_dedup import dedup_passages
+
+    passage = corpus[3][1].split("\n")[:3]
+    rows = corpus + [(80 + i, "\n".join([f"{i} before", *passage[i % 2 :], f"{i} after"]), "s") for i in range(20)]
+    rows += [(110, "a\n\n\n\nb", "s"), (111, "c\n\n\n\nd", "s"), (112, "x\nx\nx", "s"), (113, "one line", "s"), (114, "one line", "s"), (115, "q\nr", "s"), (115, "q\nr", "s")]
+    seen, want = {}, {}
+    for i, t, _ in sorted({(i, t, "") for i, t, _ in rows}):
+        lines = t.split("\n") if t is not None else []
+        gone = set()
+        for k, pair in enumerate(zip(lines, lines[1:])):
+            if "".join(pair).strip(" ") and seen.setdefault(pair, (i, k)) != (i, k):
+                gone |= {k, k + 1}
+        want[i] = (None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone))
+    got = dedup_passages(frame(spark, rows), counts=True)
+    assert got.columns == [*frame(spark, rows).columns, "n_lines", "n_removed_lines"]
+    found = got.collect()
+    assert len(found) == len(rows) and {r.doc_id: (r.text, r.n_lines, r.n_removed_lines) for r in found} == want
+    assert all(r.n_chars == len(r.text or "") for r in found)
+    assert all(want[80 + i][0] == f"{i} before\n{i} after" for i in range(20))
+
+
 def test_substring_dedup(spark, corpus):
     from wirespan.llm import repeats
 

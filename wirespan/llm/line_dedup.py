@@ -4,6 +4,9 @@ Each line is hashed; a hash rolling over the last two line hashes ends a chunk w
 so inserted or deleted lines move no boundary but their own. A chunk of two lines or more that starts earlier anywhere
 (smaller doc_id, or same document, earlier place) is removed. Hashes only find the chunks that may repeat; rows are
 matched on the chunk's bytes.
+
+Chunks miss a passage whose copy stands between other lines, as its first and last lines fall into chunks with those.
+dedup_passages therefore takes every run of two lines as a chunk of its own, which leaves no boundary to miss.
 """
 
 from __future__ import annotations
@@ -74,7 +77,57 @@ def dedup_lines(docs: DataFrame, every: int = LINES, min_lines: int = MIN_LINES,
     return out.select(*columns)
 
 
-#: The same in DuckDB.
+def _windows(text: Column, min_lines: int) -> Column:
+    """For each run of min_lines lines, from its first, 65 characters for each line: b for a blank one or t, and digest."""
+    digests = F.transform(F.split(text, "\n", -1), lambda x: F.concat(F.when(F.trim(x) == "", "b").otherwise("t"), F.sha2(x.cast("binary"), 256)))
+    runs = F.greatest(F.size(digests) - (min_lines - 1), F.lit(0))
+    out = F.slice(digests, F.lit(1), runs)
+    for k in range(1, min_lines):
+        out = F.zip_with(out, F.slice(digests, F.lit(k + 1), runs), lambda x, y: F.concat(x, y))
+    return out
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """doc_id, version (hash of the text), i (first line, from 0) of each run of min_lines lines that starts earlier.
+
+    Runs of blank lines alone never count.
+    """
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", F.xxhash64(text).alias("version"), F.posexplode(_windows(text, min_lines)).alias("i", "w"))
+    some_text = F.lit(False)
+    for k in range(min_lines):
+        some_text = some_text | (F.substring("w", 65 * k + 1, 1) == "t")
+    rows = stored(rows.filter(some_text).select("doc_id", "version", "i", F.unhex(F.sha2(F.col("w").cast("binary"), 256)).alias("w")), "runs")
+    place = F.struct("doc_id", "version", "i")
+    first = rows.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    return rows.join(first, "w").filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "version", "i")
+
+
+def dedup_passages(docs: DataFrame, min_lines: int = MIN_LINES, counts: bool = False) -> DataFrame:
+    """The documents, all columns, less each line of a run of min_lines lines that starts earlier anywhere (smaller
+    doc_id, or same document, earlier line); runs are judged on the input. n_chars, if there, follows a changed text.
+
+    Null texts stay null; a text whose lines all repeat becomes empty. Rows with the same doc_id and text are one
+    document; those with the same doc_id and another text are documents of their own; a null doc_id comes first. With
+    counts, adds n_lines and n_removed_lines.
+    """
+    gone = repeated_runs(docs, min_lines).groupBy(F.col("doc_id").alias("__doc"), F.col("version").alias("__of")).agg(F.collect_set("i").alias("__gone"))
+    text = F.col("text").cast("string")
+    # Lines are split before the join, so that what picks them afterwards does not split the text for each line.
+    rows = docs.select(*(c for c in docs.columns if c != "text"), F.xxhash64(text).alias("__version"), F.split(text, "\n", -1).alias("__lines"))
+    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["__doc"]) & (rows["__version"] == gone["__of"]), "left")
+    covered = F.flatten(F.transform("__gone", lambda i: F.sequence(i, i + (min_lines - 1))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), covered)
+    rows = rows.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.transform(left, lambda i: F.get("__lines", i))))
+    new = F.array_join("__kept", "\n")
+    columns = [new.alias("text") if c == "text" else F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    if counts:
+        size = lambda c: F.when(F.col("__lines").isNull(), 0).otherwise(F.size(c)).cast("long")
+        columns += [size("__lines").alias("n_lines"), (size("__lines") - size("__kept")).alias("n_removed_lines")]
+    return rows.select(*columns)
+
+
+#: dedup_lines in DuckDB.
 SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),

@@ -74,9 +74,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .line_dedup import dedup_lines
+    from .line_dedup import dedup_passages
 
-    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
