@@ -215,6 +215,32 @@ def test_substring_dedup(spark, corpus):
         assert got == want
 
 
+def test_substring_dedup_of_rows_that_share_a_doc_id(spark, corpus):
+    from wirespan.llm import repeats
+
+    rng = random.Random(4)
+    fresh = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    a, b, c, d = fresh(300), fresh(150), fresh(150), fresh(300)
+    texts = [(1, a), (2, a + b), (2, fresh(400)), (2, None), (3, b + c), (3, c + d), (None, fresh(350)), (None, "x" + a), (None, None), (4, c[:120] + fresh(200)), (4, d[50:200] + fresh(220))]
+    rows = [(i, t, "s") for i, t in texts] + [(2, a + b, "s"), (None, None, "s")]  # repeated rows are one document
+    version = {r.t: r.v for r in spark.createDataFrame([(t,) for _, t in texts], "t string").selectExpr("t", "xxhash64(t) v").collect()}
+    seen, want = set(), []
+    for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, version[x[1]])):
+        data = (t or "").encode()
+        gone = set()
+        for k in range(len(data) - 99):
+            if data[k : k + 100] in seen:
+                gone |= set(range(k, k + 100))
+            seen.add(data[k : k + 100])
+        want += [(i, bytes(x for k, x in enumerate(data) if k not in gone), len(data), len(gone))] * sum((i, t) == r[:2] for r in rows)
+    order = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    for variants in (repeats.VARIANTS, 0):
+        old, repeats.removed_ranges.__defaults__ = repeats.removed_ranges.__defaults__, (100, 32, variants)
+        got = [(r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed) for r in repeats.dedup_substrings(frame(spark, rows)).collect()]
+        repeats.removed_ranges.__defaults__ = old
+        assert sorted(got, key=order) == sorted(want, key=order)
+
+
 def test_equal_windows():
     from wirespan.llm.suffix_array import equal_windows
 

@@ -5,6 +5,8 @@ of WINDOW bytes has an anchor, the least-hashed of its GRAM-byte substrings (lef
 equal anchors; the windows of a text with the same anchor are one segment. Segments whose anchor no other has hold no
 repeat. Equal segments are copies of the earliest one. The different segments of an anchor meet in one task, whose
 Burrows-Wheeler transform says which of their windows are equal (see suffix_array).
+
+A document is named by its doc_id and version, a hash of its text, as rows may share a doc_id.
 """
 
 from __future__ import annotations
@@ -80,10 +82,15 @@ def segments(buffer: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tu
     return first, stop - first, grams[anchor[first]], content
 
 
+def _versioned(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+
+
 def text_segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """anchor, content, doc_id, at, n: the segments of each text; n windows start at bytes at, at + 1, ..."""
+    """anchor, content, doc_id, version, at, n: the segments of each text; n windows start at bytes at, at + 1, ..."""
 
-    def rows(doc_ids: list, buffer: np.ndarray, offsets: np.ndarray) -> Iterator:
+    def rows(doc_ids: list, versions: list, buffer: np.ndarray, offsets: np.ndarray) -> Iterator:
         import pyarrow as pa
 
         text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -91,44 +98,44 @@ def text_segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
         if len(at):
             own = text[at]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), doc_ids.take(pa.array(own)), pa.array((at - offsets[own]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["anchor", "content", "doc_id", "at", "n"],
+                [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), doc_ids.take(pa.array(own)), versions.take(pa.array(own)), pa.array((at - offsets[own]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                ["anchor", "content", "doc_id", "version", "at", "n"],
             )
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            buffer, offsets = text_bytes(batch.column(1))
-            ids = batch.column(0)
+            buffer, offsets = text_bytes(batch.column(2))
+            ids, versions = batch.column(0), batch.column(1)
             i, texts = 0, len(offsets) - 1
             while i < texts:
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
                 size = int(offsets[j] - offsets[i])
                 if size <= CHUNK:
-                    yield from rows(ids.slice(i, j - i), buffer[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    yield from rows(ids.slice(i, j - i), versions.slice(i, j - i), buffer[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 else:  # a text longer than a chunk: chunks that overlap by a window less one byte
                     for a in range(0, size, CHUNK):
                         part = buffer[offsets[i] + a : offsets[i] + min(size, a + CHUNK + window - 1)]
-                        for found in rows(ids.slice(i, 1), part, np.array([0, len(part)])):
-                            at = pa.array(found.column(3).to_numpy() + np.int32(a))
-                            yield pa.RecordBatch.from_arrays([*found.columns[:3], at, found.column(4)], ["anchor", "content", "doc_id", "at", "n"])
+                        for found in rows(ids.slice(i, 1), versions.slice(i, 1), part, np.array([0, len(part)])):
+                            at = pa.array(found.column(4).to_numpy() + np.int32(a))
+                            yield pa.RecordBatch.from_arrays([*found.columns[:4], at, found.column(5)], ["anchor", "content", "doc_id", "version", "at", "n"])
                 i = j
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "anchor long, content long, doc_id long, at int, n int")
+    return _versioned(docs).mapInArrow(run, "anchor long, content long, doc_id long, version long, at int, n int")
 
 
 def _variants_removed(parts: DataFrame, window: int) -> DataFrame:
-    """doc_id, s, e: removed bytes of the different segments (anchor, doc_id, at, bytes) of each anchor."""
+    """doc_id, version, s, e: removed bytes of the different segments (anchor, doc_id, version, at, bytes) of each anchor."""
 
-    def judged(rows: list[tuple]) -> tuple[list, list, list]:
-        rows.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
-        label, text, offset = equal_windows([r[3] for r in rows], window)
+    def judged(rows: list[tuple]) -> tuple[list, list, list, list]:
+        rows.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        label, text, offset = equal_windows([r[4] for r in rows], window)
         if not len(label):
-            return [], [], []
+            return [], [], [], []
         # Rows are in corpus order, but segments of one document overlap: windows order by document, then place.
-        doc = np.cumsum([0] + [a[1] != b[1] for a, b in zip(rows[1:], rows, strict=False)])
-        place = np.array([r[2] for r in rows])[text] + offset
+        doc = np.cumsum([0] + [a[1:3] != b[1:3] for a, b in zip(rows[1:], rows, strict=False)])
+        place = np.array([r[3] for r in rows])[text] + offset
         order = np.lexsort((place, doc[text], label))
         label, text, offset, place = label[order], text[order], offset[order], place[order]
         later = np.zeros(len(label), bool)
@@ -143,8 +150,8 @@ def _variants_removed(parts: DataFrame, window: int) -> DataFrame:
         new[1:] = (text[1:] != text[:-1]) | (offset[1:] != offset[:-1] + 1)
         starts = np.flatnonzero(new)
         stops = np.append(starts[1:], len(text)) - 1
-        at = np.array([r[2] for r in rows], np.int64)[text[starts]] if len(starts) else np.zeros(0, np.int64)
-        return [rows[t][1] for t in text[starts].tolist()], (at + offset[starts]).tolist(), (at + offset[stops] + window).tolist()
+        at = np.array([r[3] for r in rows], np.int64)[text[starts]] if len(starts) else np.zeros(0, np.int64)
+        return [rows[t][1] for t in text[starts].tolist()], [rows[t][2] for t in text[starts].tolist()], (at + offset[starts]).tolist(), (at + offset[stops] + window).tolist()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -153,8 +160,7 @@ def _variants_removed(parts: DataFrame, window: int) -> DataFrame:
         size = 0
 
         def out():
-            doc, s, e = judged(held)
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["doc_id", "s", "e"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in judged(held)], ["doc_id", "version", "s", "e"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -162,11 +168,11 @@ def _variants_removed(parts: DataFrame, window: int) -> DataFrame:
                     yield out()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield out()
 
-    return parts.select("anchor", "doc_id", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, s long, e long")
+    return parts.select("anchor", "doc_id", "version", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, version long, s long, e long")
 
 
 def _shared_segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -174,52 +180,52 @@ def _shared_segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
     by_anchor = Window.partitionBy("anchor")
     rows = text_segments(docs, window, gram)
     rows = rows.withColumn("c", F.count("*").over(by_anchor)).withColumn("least", F.min("content").over(by_anchor)).withColumn("most", F.max("content").over(by_anchor))
-    return stored(rows.filter("c > 1").select("anchor", "content", "doc_id", "at", "n", (F.col("least") < F.col("most")).alias("varied")), "segments")
+    return stored(rows.filter("c > 1").select("anchor", "content", "doc_id", "version", "at", "n", (F.col("least") < F.col("most")).alias("varied")), "segments")
 
 
 def _first_segments(rows: DataFrame) -> DataFrame:
-    return stored(rows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.first("n").alias("n"), F.first("varied").alias("varied")), "first-segments")
+    return stored(rows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "version", "at")).alias("first"), F.first("n").alias("n"), F.first("varied").alias("varied")), "first-segments")
 
 
 def _copies(rows: DataFrame, first: DataFrame, window: int) -> DataFrame:
-    """Stored doc_id, s, e of the segments that an equal one comes before; in ranges of bytes."""
-    copies = rows.join(first.select("anchor", "content", "first"), ["anchor", "content"]).filter(~F.struct("doc_id", "at").eqNullSafe(F.col("first")))
-    return stored(copies.select("doc_id", F.col("at").cast("long").alias("s"), (F.col("at") + F.col("n") + (window - 1)).cast("long").alias("e")), "copied-ranges")
+    """Stored doc_id, version, s, e of the segments that an equal one comes before; in ranges of bytes."""
+    copies = rows.join(first.select("anchor", "content", "first"), ["anchor", "content"]).filter(~F.struct("doc_id", "version", "at").eqNullSafe(F.col("first")))
+    return stored(copies.select("doc_id", "version", F.col("at").cast("long").alias("s"), (F.col("at") + F.col("n") + (window - 1)).cast("long").alias("e")), "copied-ranges")
 
 
 def _segment_bytes(docs: DataFrame, first: DataFrame, window: int) -> DataFrame:
-    """Stored anchor, doc_id, at, bytes of the segments that differ under one anchor, cut from their texts."""
-    varied = first.filter("varied").select("anchor", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"), (F.col("n") + (window - 1)).alias("length"))
-    wanted = varied.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("anchor", "at", "length")).alias("wanted"))
+    """Stored anchor, doc_id, version, at, bytes of the segments that differ under one anchor, cut from their texts."""
+    varied = first.filter("varied").select("anchor", F.col("first.doc_id").alias("doc_id"), F.col("first.version").alias("version"), F.col("first.at").alias("at"), (F.col("n") + (window - 1)).alias("length"))
+    wanted = varied.groupBy(F.col("doc_id").alias("d"), F.col("version").alias("of")).agg(F.collect_list(F.struct("anchor", "at", "length")).alias("wanted"))
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for doc_id, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, version, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                yield pa.RecordBatch.from_arrays([pa.array([p["anchor"] for p in parts], pa.int64()), pa.array([doc_id] * len(parts), pa.int64()), pa.array([p["at"] for p in parts], pa.int32()), pa.array([data[p["at"] : p["at"] + p["length"]] for p in parts], pa.binary())], ["anchor", "doc_id", "at", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([p["anchor"] for p in parts], pa.int64()), pa.array([doc_id] * len(parts), pa.int64()), pa.array([version] * len(parts), pa.int64()), pa.array([p["at"] for p in parts], pa.int32()), pa.array([data[p["at"] : p["at"] + p["length"]] for p in parts], pa.binary())], ["anchor", "doc_id", "version", "at", "bytes"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"])).select("doc_id", "text", "wanted").mapInArrow(cut, "anchor long, doc_id long, at int, bytes binary")
+    texts = _versioned(docs).filter("text is not null")
+    parts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["version"] == wanted["of"])).select("doc_id", "version", "text", "wanted").mapInArrow(cut, "anchor long, doc_id long, version long, at int, bytes binary")
     return stored(parts, "segment-bytes")  # a segment that repeated rows cut twice is one place, which removes nothing
 
 
 def _varied_ranges(parts: DataFrame, window: int, variants: int) -> DataFrame:
-    """Stored doc_id, s, e of the repeats among segments that differ under one anchor."""
+    """Stored doc_id, version, s, e of the repeats among segments that differ under one anchor."""
     counts = parts.groupBy("anchor").agg(F.count("*").alias("c"))
     usual = parts.join(counts.filter(F.col("c") <= variants).select("anchor"), "anchor", "left_semi")
     many = parts.join(counts.filter(F.col("c") > variants).select("anchor"), "anchor", "left_semi")
     # Anchors of very many different segments: each window by its digest, the earliest of which is found in partial sums.
     single = many.withColumn("o", F.explode(F.sequence(F.lit(0), F.length("bytes") - window)))
-    single = single.select("anchor", F.unhex(F.md5(F.expr(f"substring(bytes, o + 1, {window})"))).alias("digest"), "doc_id", (F.col("at") + F.col("o")).cast("long").alias("s"))
-    earliest = single.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    spread = single.join(earliest, ["anchor", "digest"]).filter(~F.struct("doc_id", "s").eqNullSafe(F.col("first"))).select("doc_id", "s", (F.col("s") + window).alias("e"))
+    single = single.select("anchor", F.unhex(F.md5(F.expr(f"substring(bytes, o + 1, {window})"))).alias("digest"), "doc_id", "version", (F.col("at") + F.col("o")).cast("long").alias("s"))
+    earliest = single.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "version", "s")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    spread = single.join(earliest, ["anchor", "digest"]).filter(~F.struct("doc_id", "version", "s").eqNullSafe(F.col("first"))).select("doc_id", "version", "s", (F.col("s") + window).alias("e"))
     return stored(_variants_removed(usual, window).unionByName(spread), "varied-ranges")
 
 
 def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, variants: int = VARIANTS) -> DataFrame:
-    """doc_id, s, e: byte ranges covered by windows that also start earlier; ranges may overlap and repeat."""
+    """doc_id, version, s, e: byte ranges covered by windows that also start earlier; ranges may overlap and repeat."""
     spark = docs.sparkSession
     rows = _shared_segments(docs, window, gram)
     release(spark)
@@ -238,11 +244,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     A byte goes if a string of `window` bytes over it also starts earlier, in a smaller doc_id or before in the same
     text; strings are judged on the input. Null texts are empty; texts shorter than window stay whole. Rows that repeat
-    a doc_id with its text are one document; a null doc_id comes first. Other columns are ignored.
+    a doc_id with its text are one document; rows that share a doc_id with different texts, null ones included, are
+    documents of their own, in the order of their texts' hashes; a null doc_id comes first. Other columns are ignored.
     """
     # Ranges of a document join up in its own array; copies of whole texts send one range for each segment.
-    gone = removed_ranges(docs, window, gram).groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    gone = removed_ranges(docs, window, gram).groupBy(F.col("doc_id").alias("d"), F.col("version").alias("of")).agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
+    texts = _versioned(docs)
 
     def keep(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -271,5 +278,5 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                     spans.append(len(joined))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, removed, spans))], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = texts.join(gone, texts["doc_id"].eqNullSafe(gone["d"]), "left").select("doc_id", "text", "ranges")
+    joined = texts.join(gone, texts["doc_id"].eqNullSafe(gone["d"]) & (texts["version"] == gone["of"]), "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(keep, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
