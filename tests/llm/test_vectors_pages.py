@@ -83,6 +83,23 @@ PAGES = {
     "": "",
 }
 
+#: Article text that was dropped: after self-closed tags, of formulas and fallbacks, under names that say little.
+KEPT = {
+    "<article><svg class='i'/><p>one two three</p></article>": "one two three",
+    "<svg viewBox=\"0 0 1 1\" /><math/><article><p>one two three</p><svg><text>no</text></svg><p>more</p></article>": "one two three more",
+    "<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2 in TeX</annotation></math> holds</p></article>": "so x=2 holds",
+    "<body><noscript>Please enable scripts</noscript><article><p>one two</p><noscript><p>three</p></noscript><object data=a><p>four</p></object><canvas>five</canvas><p>six</p></article>": "one two three four five six",
+    "<main><div class='share-of-votes'><p>one</p></div><p id='meta-analysis'>two</p><section class='legal-history'><p>three</p></section><div class='byline'>By four</div><div class='section-header'><h2>five</h2></div><p class='tags'>six</p><div class='ad-slot'>buy</div></main>": "one two three By four five six",
+    "<div class='legal'>terms</div><noscript>Please enable scripts</noscript><div class='post'><p>text of the page here and more</p></div><div class='share'>tell all</div>": "text of the page here and more",
+}
+
+
+@pytest.mark.parametrize("page", KEPT)
+def test_article_text_stays(page):
+    from wirespan.llm.html_text import main_text
+
+    assert main_text(page) == KEPT[page]
+
 
 def test_pages(spark):
     from wirespan.llm.html_text import extract, main_text

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Elements whose text is never shown, or is no part of a page's prose.
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "textarea", "select", "title", "xmp", "noembed", "noframes")
+RAW = ("script", "style", "template", "iframe", "svg", "audio", "video", "textarea", "select", "title", "xmp", "noembed", "noframes")
 #: Elements that start and end a block.
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -32,9 +32,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that open anew although an older one of the kind is still open.
 REOPENED = frozenset("p li td th tr dt dd option".split())
 ROOTS = frozenset(("article", "main"))
+#: Elements whose text stands in for something else; it is read in an article or main element alone.
+FALLBACK = frozenset(("noscript", "object", "canvas"))
 
 _TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>" + "|".join(RAW) + r")(?P<rawattrs>(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>|<(?P<raw>" + "|".join(RAW) + r")(?P<rawattrs>(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -54,11 +56,14 @@ KINDS = {
     "share": "share sharing social follow tags tagcloud meta byline toolbar".split(),
 }
 _KIND_OF = {name: kind for kind, names in KINDS.items() for name in names}
-_ELEMENT_KIND = {"nav": "menu", "menu": "menu", "header": "head", "footer": "foot", "aside": "side", "form": "form", "fieldset": "form", "button": "form", "label": "form", "dialog": "notice", "search": "form", "head": "head"}
+_ELEMENT_KIND = {"nav": "menu", "menu": "menu", "header": "head", "footer": "foot", "aside": "side", "form": "form", "fieldset": "form", "button": "form", "label": "form", "dialog": "notice", "search": "form", "head": "head", "annotation": "hidden", "annotation-xml": "hidden"}
+#: Kinds that an author's names do not give to a part of an article or main element, as its own headings, legal passages,
+#: bylines and sections on shares or tags have such names too.
+OUTSIDE = frozenset(("head", "foot", "share"))
 
 
-def _kind(name: str, attrs: str) -> str:
-    """What an element is by its name and attributes; '' for nothing in particular."""
+def _kind(name: str, attrs: str, inside: bool) -> str:
+    """What an element is by its name, attributes and whether it is inside a root; '' for nothing in particular."""
     if name in ("body", "html"):
         return ""
     if name in ROOTS:
@@ -66,6 +71,8 @@ def _kind(name: str, attrs: str) -> str:
         return next((k for k in own if k in ("comments", "advert", "notice")), "root")
     if name in _ELEMENT_KIND:
         return _ELEMENT_KIND[name]
+    if name in FALLBACK and not inside:
+        return "hidden"
     if "=" in attrs or "hidden" in attrs:
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "")
@@ -75,7 +82,8 @@ def _kind(name: str, attrs: str) -> str:
                 return "root"
             if key in ("class", "id", "role", "aria-label"):
                 for part in _PART.findall(value):
-                    if kind := _KIND_OF.get(part.lower()):
+                    kind = _KIND_OF.get(part.lower())
+                    if kind and not (inside and kind in OUTSIDE):
                         return kind
     return ""
 
@@ -108,7 +116,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool]]:
                 del stack[depth:]
             yield "close", name, around(), False
             continue
-        kind = _kind(name, m["attrs"] or "")
+        kind = _kind(name, m["attrs"] or "", any(k == "root" for _, k in stack))
         if kind == "root" and not any(k == "root" for _, k in stack):
             if any(k in ("comments", "side") for _, k in stack):
                 kind = ""
