@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +130,36 @@ def test_line_diff():
     assert diff.diff_lines("a\nb\nc", "a\nx\nc") == [("context", "a"), ("del", "b"), ("add", "x"), ("context", "c")]
     assert diff.diff_lines("a\nb", "b\na") == [("del", "a"), ("context", "b"), ("add", "a")]
     assert [o for o, _ in diff.diff_lines("a\nb", "c\nd", cells=1)] == ["del", "del", "add", "add"]
+
+
+def test_line_diff_of_long_texts_and_ties(spark):
+    def whole_table(x, y):
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in reversed(range(len(x))):
+            for j in reversed(range(len(y))):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < len(x) and j < len(y):
+            if x[i] == y[j]:
+                yield "context", x[i]
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                yield "del", x[i]
+                i += 1
+            else:
+                yield "add", y[j]
+                j += 1
+        yield from [("del", t) for t in x[i:]] + [("add", t) for t in y[j:]]
+
+    rng = random.Random(6)
+    for _ in range(400):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randint(1, 14))] for _ in range(2))
+        assert diff.diff_lines("\n".join(x), "\n".join(y)) == list(whole_table(x, y))
+    x, y = ([rng.choice("abcdefgh") for _ in range(rng.randint(120, 150))] for _ in range(2))
+    assert diff.diff_lines("\n".join(x), "\n".join(y)) == list(whole_table(x, y))
+    lines = [f"line {k}" for k in range(3000)]
+    changed = [lines[0], *lines[2:], "end"]
+    want = [("context", lines[0]), ("del", lines[1]), *(("context", t) for t in lines[2:]), ("add", "end")]
+    assert diff.diff_lines("\n".join(lines), "\n".join(changed)) == want
+    pairs = spark.createDataFrame([(1, "\n".join(lines), "\n".join(changed))], "id long, a string, b string")
+    assert {r.op: r["count"] for r in diff.text_diffs(pairs).groupBy("op").count().collect()} == {"context": 2999, "del": 1, "add": 1}

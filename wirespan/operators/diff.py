@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of the comparison that a text diff may fill; larger texts count as changed whole.
-CELLS = 4_000_000
-
-
 def models_in_order(requests: DataFrame, by: list[str]) -> DataFrame:
     """by, models in order of first use, and whether the run changed its model."""
     first = requests.filter("model is not null").groupBy(*by, "model").agg(F.min("seq").alias("at"))
@@ -54,39 +51,88 @@ def shape_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.withColumn("delta", F.col("b") - F.col("a"))
 
 
-def diff_lines(a: str, b: str, cells: int = CELLS) -> list[tuple[str, str]]:
+def _suffix_rows(x: list[str], y: list[str]):
+    """Rows of the table of common subsequences of suffixes, as bits, by their number; asked for in rising order.
+
+    Bit len(y) - 1 - j of row i says whether x[i:] and y[j:] have a longer one than x[i:] and y[j + 1:] (Hyyro's
+    bit-parallel recurrence). About sqrt(len(x)) rows are held; those between are made again.
+    """
+    m = len(y)
+    every = (1 << m) - 1
+    places: dict[str, int] = {}
+    for j, t in enumerate(y):
+        places.setdefault(t, 0)
+        places[t] |= 1 << (m - 1 - j)
+
+    def above(same: int, i: int) -> int:
+        u = same & places.get(x[i], 0)
+        return ((same + u) | (same - u)) & every
+
+    step = math.isqrt(len(x)) + 1
+    row, kept = every, {len(x): every}  # zero bits of a row mark the steps
+    for i in reversed(range(len(x))):
+        row = above(row, i)
+        if i % step == 0:
+            kept[i] = row
+    held: dict[int, int] = {}
+
+    def at(i: int) -> int:
+        if i in kept:
+            return every ^ kept[i]
+        if i not in held:
+            held.clear()
+            end = min((i // step + 1) * step, len(x))
+            below = kept[end]
+            for k in reversed(range(i, end)):
+                below = held[k] = above(below, k)
+        return every ^ held[i]
+
+    return at
+
+
+def diff_lines(a: str, b: str, cells: int | None = None) -> list[tuple[str, str]]:
     """('context', 'del' or 'add', line) of a shortest edit by longest common subsequence; deletions first on ties.
 
-    Common lines at both ends are set aside first, which leaves the same length of subsequence.
+    With cells, as a dashboard has it, texts that differ over more pairs of lines than that count as changed whole.
+    Common lines at the start are set aside first, and for that count those at the end.
     """
     x, y = a.split("\n"), b.split("\n")
     head = 0
     while head < min(len(x), len(y)) and x[head] == y[head]:
         head += 1
-    tail = 0
-    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
-        tail += 1
-    mid_x, mid_y = x[head : len(x) - tail], y[head : len(y) - tail]
-    middle: list[tuple[str, str]] = []
-    if len(mid_x) * len(mid_y) > cells:
-        middle = [("del", t) for t in mid_x] + [("add", t) for t in mid_y]
-    else:
-        best = [[0] * (len(mid_y) + 1) for _ in range(len(mid_x) + 1)]
-        for i in reversed(range(len(mid_x))):
-            for j in reversed(range(len(mid_y))):
-                best[i][j] = best[i + 1][j + 1] + 1 if mid_x[i] == mid_y[j] else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        while i < len(mid_x) or j < len(mid_y):
-            if i < len(mid_x) and j < len(mid_y) and mid_x[i] == mid_y[j]:
-                middle.append(("context", mid_x[i]))
-                i, j = i + 1, j + 1
-            elif j == len(mid_y) or i < len(mid_x) and best[i + 1][j] >= best[i][j + 1]:
-                middle.append(("del", mid_x[i]))
-                i += 1
-            else:
-                middle.append(("add", mid_y[j]))
-                j += 1
-    return [("context", t) for t in x[:head]] + middle + [("context", t) for t in x[len(x) - tail :]]
+    if cells is not None:
+        tail = 0
+        while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+            tail += 1
+        if (len(x) - head - tail) * (len(y) - head - tail) > cells:
+            changed = [("del", t) for t in x[head : len(x) - tail]] + [("add", t) for t in y[head : len(y) - tail]]
+            return [("context", t) for t in x[:head]] + changed + [("context", t) for t in x[len(x) - tail :]]
+    ops = [("context", t) for t in x[:head]]
+    x, y = x[head:], y[head:]
+    row = _suffix_rows(x, y)
+    n, m = len(x), len(y)
+    i = j = 0
+    # Longest common subsequences of x[i:] and y[j:], and of x[i + 1:] and y[j:]; now and then are their rows.
+    count = lambda bits: (bits & ((1 << (m - j)) - 1)).bit_count()
+    now, then = row(0), row(1) if n else 0
+    size, size_then = count(now), count(then)
+    while i < n and j < m:
+        if x[i] != y[j] and size_then < size:
+            # Without y[j] it is as long: were it shorter, x[i] could go instead.
+            ops.append(("add", y[j]))
+            size -= now >> (m - 1 - j) & 1
+            size_then -= then >> (m - 1 - j) & 1
+            j += 1
+            continue
+        if x[i] == y[j]:
+            ops.append(("context", x[i]))
+            j += 1
+        else:
+            ops.append(("del", x[i]))
+        i += 1
+        now, then = then, row(i + 1) if i < n else 0
+        size, size_then = count(now), count(then)
+    return ops + [("del", t) for t in x[i:]] + [("add", t) for t in y[j:]]
 
 
 def text_diffs(pairs: DataFrame) -> DataFrame:
