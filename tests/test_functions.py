@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import math
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from wirespan.functions import texts as T
 from wirespan.functions.times import bucket_label, elapsed_ms, iso_time, parse_when
 from wirespan.operators import diff, redact, search
 from wirespan.operators.fleet import percentile
+from wirespan.plans import content
 from wirespan.sources.wire import djb2
 
 
@@ -163,3 +165,19 @@ def test_line_diff_of_long_texts_and_ties(spark):
     assert diff.diff_lines("\n".join(lines), "\n".join(changed)) == want
     pairs = spark.createDataFrame([(1, "\n".join(lines), "\n".join(changed))], "id long, a string, b string")
     assert {r.op: r["count"] for r in diff.text_diffs(pairs).groupBy("op").count().collect()} == {"context": 2999, "del": 1, "add": 1}
+
+
+@pytest.fixture(scope="module")
+def documents(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("sf"))
+    late = "Generated 2026-05-06 07:08:09 cch=ff; <system-reminder>s\nt</system-reminder> The user opened the file /a/b in the IDE."
+    rows = [(1, "a" * 40 + "bcd" * 40), (2, "aé中😀" * 3000), (3, ""), (4, None), (5, "x" * 60 + " " + late + " end")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return folder, dict(rows)
+
+
+def test_entropy_of_whole_texts(spark, documents):
+    folder, texts = documents
+    want = {i: round(-sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t)), 6) for i, t in texts.items() if t}
+    assert {r.doc_id: r.bits for r in content.entropy(spark, folder).collect()} == pytest.approx(want)
+    assert want[2] == 2 and one(spark, T.entropy(F.lit(None).cast("string"))) == 0 == one(spark, T.entropy(F.lit("")))

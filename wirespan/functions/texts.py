@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -114,12 +116,14 @@ def djb2(text: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters, bits a character."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.length(text).cast("double")
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.split(text, F.concat(F.lit("\\Q"), c, F.lit("\\E")), -1)) - 1)
-    total = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc - c / n * F.log2(c / n))
-    return F.when(n > 0, total).otherwise(F.lit(0.0))
+    """Shannon entropy of the characters, bits a character; 0 for empty and null texts."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: sum(-k / len(t) * math.log2(k / len(t)) for k in Counter(t).values()) if t else 0.0).astype("float64")
+
+    return run(text)
 
 
 def fuzzy_score(text: str, query: str) -> int:

@@ -161,7 +161,7 @@ def audit_strict(spark, sf_dir):
 @query("entropy", "WITH c AS (SELECT doc_id, length(t) AS n, unnest(string_split(t, '')) AS c FROM (SELECT doc_id, substr(text, 1, 40) AS t FROM documents WHERE text <> '')), k AS (SELECT doc_id, n, c, count(*) AS m FROM c GROUP BY ALL) SELECT doc_id, round(-sum(m / n::DOUBLE * log2(m / n::DOUBLE)), 6) AS bits FROM k GROUP BY 1")
 def entropy(spark, sf_dir):
     d = B.table(spark, sf_dir, "documents").filter("text <> ''")
-    return d.select("doc_id", F.round(T.entropy(F.substring("text", 1, 40)), 6).alias("bits"))
+    return d.select("doc_id", F.round(T.entropy(F.col("text")), 6).alias("bits"))
 
 
 @query("header_mask", "SELECT 'authorization' AS name, 'Bearer abc...cdef' AS value UNION ALL SELECT 'X-Api-Key', '12...90' UNION ALL SELECT 'cookie', '[REDACTED]' UNION ALL SELECT 'accept', 'application/json'")
