@@ -181,3 +181,10 @@ def test_entropy_of_whole_texts(spark, documents):
     want = {i: round(-sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t)), 6) for i, t in texts.items() if t}
     assert {r.doc_id: r.bits for r in content.entropy(spark, folder).collect()} == pytest.approx(want)
     assert want[2] == 2 and one(spark, T.entropy(F.lit(None).cast("string"))) == 0 == one(spark, T.entropy(F.lit("")))
+
+
+def test_volatile_parts_of_whole_texts(spark, documents):
+    folder, texts = documents
+    head = "Generated [TIMESTAMP] cch=[HASH]; [SYSTEM-REMINDER] The user opened file in IDE. "
+    got = {r.doc_id: r.text for r in content.volatile_normalize(spark, folder).collect()}
+    assert got == {i: head + (t or "") if i != 5 else head + "x" * 60 + " " + head + "end" for i, t in texts.items()}

@@ -103,7 +103,7 @@ def snippet(spark, sf_dir):
 @query("volatile_normalize", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace('Generated 2026-01-02 03:04:05 cch=0a' || doc_id || '; <system-reminder>x' || chr(10) || 'y</system-reminder> The user opened the file a' || doc_id || '.py in the IDE. ' || substr(coalesce(text, ''), 1, 40), 'Generated \d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}', 'Generated [TIMESTAMP]', 'g'), 'The user opened the file [^\s]+ in the IDE\.', 'The user opened file in IDE.', 'g'), '<system-reminder>.*?</system-reminder>', '[SYSTEM-REMINDER]', 'gs'), 'cch=[0-9a-f]+;?', 'cch=[HASH];', 'g') AS text FROM documents")
 def volatile_normalize(spark, sf_dir):
     d = B.table(spark, sf_dir, "documents")
-    text = F.expr(r"concat('Generated 2026-01-02 03:04:05 cch=0a', cast(doc_id as string), '; <system-reminder>x\ny</system-reminder> The user opened the file a', cast(doc_id as string), '.py in the IDE. ', substring(coalesce(text, ''), 1, 40))")
+    text = F.expr(r"concat('Generated 2026-01-02 03:04:05 cch=0a', cast(doc_id as string), '; <system-reminder>x\ny</system-reminder> The user opened the file a', cast(doc_id as string), '.py in the IDE. ', coalesce(text, ''))")
     return d.select("doc_id", T.without_volatile(text).alias("text"))
 
 
