@@ -188,3 +188,16 @@ def test_volatile_parts_of_whole_texts(spark, documents):
     head = "Generated [TIMESTAMP] cch=[HASH]; [SYSTEM-REMINDER] The user opened file in IDE. "
     got = {r.doc_id: r.text for r in content.volatile_normalize(spark, folder).collect()}
     assert got == {i: head + (t or "") if i != 5 else head + "x" * 60 + " " + head + "end" for i, t in texts.items()}
+
+
+def test_search_for_all_hits(spark):
+    steps = spark.createDataFrame([(f"s{i // 10}", i % 10, "user", "the word" if i % 2 else "none", "", [], "", "") for i in range(60)], "session_id string, step_index int, role string, message string, reasoning string, tool_names array<string>, tool_input string, observation string")
+    sessions = spark.createDataFrame([(f"s{i}", "codex") for i in range(6)], "session_id string, agent string")
+    assert search.search(steps, sessions, "word", stem=False, limit=None).count() == 30
+    assert search.search(steps, sessions, "word", stem=False).count() == search.LIMIT
+
+
+@pytest.mark.parametrize("name", ["search_all", "search_field", "search_phrase", "search_filtered"])
+def test_search_queries_have_no_limit(spark, name):
+    plan = content.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Limit" not in plan

@@ -152,10 +152,10 @@ def scores(terms: DataFrame, phrases: list[list[str]], field: str = "all") -> Da
     return rows.groupBy("session_id", "step_index").agg((-F.sum(part)).alias("score"), F.count("*").alias("found")).filter(F.col("found") == len(phrases)).drop("found")
 
 
-def search(steps: DataFrame, sessions: DataFrame, query: str, *, field: str = "all", limit: int = LIMIT, role: str | None = None, tool: str | None = None, errored: bool = False, stem: bool = True, terms: DataFrame | None = None, **filters) -> DataFrame:
+def search(steps: DataFrame, sessions: DataFrame, query: str, *, field: str = "all", limit: int | None = LIMIT, role: str | None = None, tool: str | None = None, errored: bool = False, stem: bool = True, terms: DataFrame | None = None, **filters) -> DataFrame:
     """The best hits of query with their session's columns and a snippet, score first, ties by session and step.
 
-    terms: a stored index of the same steps, or None to make it. filters: as sessions.filtered takes them.
+    limit: how many, or None for all hits. terms: a stored index of the same steps, or None to make it. filters: as sessions.filtered takes them.
     """
     phrases = query_phrases(query, stem)
     found = scores(index_terms(steps, stem) if terms is None else terms, phrases or [["\0"]], field)
@@ -166,7 +166,8 @@ def search(steps: DataFrame, sessions: DataFrame, query: str, *, field: str = "a
         rows = rows.filter(has_tool(tool))
     if errored:
         rows = rows.filter("errored")
-    rows = rows.orderBy("score", "session_id", "step_index").limit(limit).withColumn("tool_name", F.array_join("tool_names", " "))
+    rows = rows.orderBy("score", "session_id", "step_index")
+    rows = (rows if limit is None else rows.limit(limit)).withColumn("tool_name", F.array_join("tool_names", " "))
     order = FIELDS[field] if field != "all" else SHOWN
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     name, text = F.lit(order[-1]), F.col(order[-1])

@@ -76,7 +76,7 @@ def _search(name: str, text: str, field: str = "all", where: str = "true", **mor
 
     def run(spark, sf_dir):
         steps = B.steps(spark, sf_dir).withColumn("errored", T.looks_errored(F.col("observation")))
-        hits = search.search(steps, B.step_sessions(spark, sf_dir), text, field=field, stem=False, limit=1_000_000, **more)
+        hits = search.search(steps, B.step_sessions(spark, sf_dir), text, field=field, stem=False, limit=None, **more)
         return hits.select("session_id", "step_index", "agent", F.round("score", 6).alias("score"))
 
     query(name, sql)(run)
