@@ -201,3 +201,16 @@ def test_search_for_all_hits(spark):
 def test_search_queries_have_no_limit(spark, name):
     plan = content.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and "Limit" not in plan
+
+
+def test_model_diff_of_all_requests(spark):
+    from wirespan.plans import bindings
+
+    folder = "/root/testdata/sf0.001"
+    first = [{}, {}]
+    for r in bindings.requests(spark, folder).select("session_id", "model", "ts").collect():
+        if r.model is not None:
+            of = first[int(r.session_id[1:]) % 2]
+            of[r.model] = min(of.get(r.model, r.ts), r.ts)
+    a, b = (sorted(of, key=lambda m: (of[m], m)) for of in first)
+    assert [tuple(r) for r in content.model_diff(spark, folder).collect()] == [(a, len(a) > 1, b, len(b) > 1, a != b)]

@@ -234,8 +234,9 @@ def shape_diff(spark, sf_dir):
 
 @query("model_diff", f"WITH {B.REQUESTS_SQL}, f AS (SELECT session_id, model, min(seq) AS first_at FROM requests WHERE session_id IN ('u4', 'u5') GROUP BY ALL), m AS (SELECT session_id, list(model ORDER BY first_at, model) AS models FROM f GROUP BY 1) SELECT a.models AS models_a, len(a.models) > 1 AS swapped_a, b.models AS models_b, len(b.models) > 1 AS swapped_b, a.models <> b.models AS changed FROM m a, m b WHERE a.session_id = 'u4' AND b.session_id = 'u5'")
 def model_diff(spark, sf_dir):
-    rows = diff.models_in_order(B.requests(spark, sf_dir).filter("session_id in ('u4', 'u5')"), ["session_id"])
-    return diff.model_diff(rows.filter("session_id = 'u4'"), rows.filter("session_id = 'u5'"))
+    # seq counts within a session, so the order over all sessions of a half is that of time.
+    a, b = (diff.models_in_order(_run(spark, sf_dir, h).withColumn("seq", F.col("ts")), []) for h in (0, 1))
+    return diff.model_diff(a, b)
 
 
 @query("text_diff")
