@@ -1,11 +1,14 @@
 """N-gram Jaccard join: documents linked when their sets of word shingles are similar enough, and their components.
 
-The incidence matrix of documents by n-grams is multiplied with its transpose in blocks of n-grams. Only the columns
-that a pair must share enter the product: under one order of all n-grams (frequent ones last), two sets as similar as
-asked share an n-gram among the first n - ceil(t n) + 1 of either. The product adds up each pair's overlap in these
-columns, and a pair whose overlap plus what the rest could add stays under the size-derived need is discarded; the
-others are counted in full. Equal sets are one row of the matrix. Rows that a first, linear product (each row with the
-commonest row of its columns) already joined need no pair of their own, so large groups of near copies stay linear.
+The incidence matrix of documents by n-grams is multiplied with its transpose in blocks of n-grams (ranges of their
+hashes), each within one task, so that only pairs of documents leave it, with their overlap in the block. Equal sets are
+one row of the matrix. Only the columns that a pair must share enter: under one order of all n-grams, two sets as similar
+as asked share an n-gram among the first n - ceil(t n) + 1 of either. Frequent n-grams come last in that order and stay out
+of the blocks, so that the columns there are short and their product grows with the input.
+
+Pairs whose overlap in the blocks plus what the rest could add stays under the size-derived need are discarded; the others
+are counted in full. A pair without a common n-gram in the blocks shares frequent ones alone. Only rows that are mostly
+frequent can be that similar: they meet by their sets of frequent n-grams, in a product of their own (see frequent_links).
 """
 
 from __future__ import annotations
@@ -14,74 +17,319 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, slices, stored
+from .common import partitions, release, slices, stored
 from .components import components
 from .shingles import set_keys, shingle_sets, text_bytes
 
 WORDS = 5
 PERCENT = 75
-#: N-grams in more first columns than this come last in the order; the list of them has LISTED entries at most. Both
-#: only shape the order: the result is the same for any values.
-FREQUENT = 12
+#: N-grams in more documents than this are frequent; the list of them has LISTED entries at most, the commonest. Both only
+#: set where a pair is found: the result is the same for any values.
+FREQUENT = 16
 LISTED = 1_000_000
+#: N-grams that a task gathers before it deals them out to the blocks, and pairs that it holds before it adds them up.
+GATHERED = 1 << 21
+PAIRS = 1 << 21
+#: Texts of which a task remembers that it has sent their set, so that copies send it once.
+REMEMBERED = 1 << 20
+#: Rows on a side of one product of rows that share a frequent n-gram.
+SIDE = 1024
 
+_COUNTS = "block int, grams binary, counts binary, doc_id long, n_shingles long, node long, version long"
+_COLUMNS = "block int, grams binary, nodes binary, sizes binary, node long, n int, ids array<int>"
+_FREQUENT_ROW = np.uint32(1 << 31)
 
-def document_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, node (64-bit key of the set of shingles, 0 if empty), grams (the least-hashed first columns),
-    one row a document."""
 
-    def sets(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def _first(counts: np.ndarray, percent: int) -> np.ndarray:
+    """How many columns of a set of so many n-grams take part: n - ceil(t n) + 1, none of an empty one."""
+    return np.where(counts > 0, counts + (-percent * counts) // 100 + 1, 0)
 
-        for batch in slices(batches):
-            hashes, counts = shingle_sets(*text_bytes(batch.column(1)), words)
-            first = _first(counts, percent)
-            place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
-            grams = hashes[place < np.repeat(first, counts)].view(np.int64)
-            offsets = np.zeros(len(counts) + 1, np.int32)
-            np.cumsum(first, out=offsets[1:])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(set_keys(hashes, counts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams))], ["doc_id", "n_shingles", "node", "grams"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(sets, "doc_id long, n_shingles long, node long, grams array<long>")
+def _width(blocks: int) -> np.uint64:
+    return np.uint64(2**64 // blocks + 1)
 
 
-def _first(counts: np.ndarray, percent: int) -> np.ndarray:
-    """How many columns of a set of so many n-grams take part: n - ceil(t n) + 1, none of an empty one."""
-    return np.where(counts > 0, counts + (-percent * counts) // 100 + 1, 0)
+def _dealt(grams: np.ndarray, others: list[np.ndarray], blocks: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Number and contents of each block of the ascending n-grams and of what goes with each."""
+    cuts = np.append(np.searchsorted(grams, np.arange(blocks, dtype=np.uint64) * _width(blocks)), len(grams))
+    for block in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        part = slice(cuts[block], cuts[block + 1])
+        yield block, [x[part].tobytes() for x in (grams, *others)]
 
 
-def first_columns(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """gram, node, n, k, end_late, end: the first k = n - ceil(t n) + 1 n-grams of each document, frequent ones last."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _blocks_of(batches: Iterator, names: tuple[str, ...]) -> Iterator[list[bytes]]:
+    """Contents of each block, from rows in order of blocks."""
+    held: list[list[bytes]] = [[] for _ in names]
+    last = None
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(x)) for x in names]
+        for i, block in enumerate(batch.column(0).to_pylist()):
+            if not columns[0][i].is_valid:
+                continue
+            if block != last and held[0]:
+                yield [b"".join(x) for x in held]
+                held = [[] for _ in names]
+            last = block
+            for x, c in zip(held, columns, strict=True):
+                x.append(c[i].as_py())
+    if held[0]:
+        yield [b"".join(x) for x in held]
+
+
+def _unseen(keys: np.ndarray, counts: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which texts have a set of shingles that this task has not met; remembers them."""
+    if len(seen) > REMEMBERED:
+        seen.clear()
+    fresh = np.zeros(len(keys), bool)
+    for i, key in enumerate(keys.tolist()):
+        if counts[i] and key not in seen:
+            seen.add(key)
+            fresh[i] = True
+    return fresh
+
+
+def _in_blocks(df: DataFrame) -> DataFrame:
+    return df.repartition(partitions(df.sparkSession), "block").sortWithinPartitions("block")
+
+
+def counted_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Stored rows of two kinds: doc_id, n_shingles, node (64-bit key of the set of shingles, 0 if empty) and version (hash
+    of the text) of each document; gram and c (how many sets have it, about) of each frequent n-gram."""
+    blocks = 4 * partitions(docs.sparkSession)
+
+    def sets(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        schema = pa.schema([("block", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), *((x, pa.int64()) for x in ("doc_id", "n_shingles", "node", "version"))])
+        held: list[np.ndarray] = []
+        size = turn = 0
+        seen: set[int] = set()
+
+        def deal() -> pa.RecordBatch:
+            grams, counts = np.unique(np.concatenate(held), return_counts=True)
+            rows = list(_dealt(grams, [counts.astype(np.uint32)], blocks))
+            none = pa.nulls(len(rows), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([x[k] for _, x in rows], pa.binary()) for k in (0, 1)), none, none, none, none], schema=schema)
+
+        for batch in slices(batches):
+            hashes, counts = shingle_sets(*text_bytes(batch.column(2)), words)
+            keys = set_keys(hashes, counts)
+            none = pa.nulls(len(counts), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(((turn + np.arange(len(counts))) % blocks).astype(np.int32)), none, none, batch.column(0), pa.array(counts), pa.array(keys), batch.column(1)], schema=schema)
+            turn += len(counts)
+            own = hashes[np.repeat(_unseen(keys, counts, seen), counts)]
+            if len(own):
+                held.append(own)
+                size += len(own)
+            if size >= GATHERED:
+                yield deal()
+                held, size = [], 0
+        if held:
+            yield deal()
+
+    def summed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        names = ["gram", "c", "doc_id", "n_shingles", "node", "version"]
+
+        def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+            own = batch.filter(pc.is_valid(batch.column(5)))
+            return pa.RecordBatch.from_arrays([pa.nulls(own.num_rows, pa.int64())] * 2 + own.columns[3:], names)
+
+        passed: list = []
+
+        def noted() -> Iterator:
+            for batch in batches:
+                passed.append(sets_of(batch))
+                yield batch
+
+        for grams, counts in _blocks_of(noted(), ("grams", "counts")):
+            yield from passed
+            passed.clear()
+            grams, counts = np.frombuffer(grams, np.uint64), np.frombuffer(counts, np.uint32)
+            order = np.argsort(grams, kind="stable")
+            grams, counts = grams[order], counts[order].astype(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+            sums = np.add.reduceat(counts, starts)
+            often = sums > FREQUENT
+            none = pa.nulls(int(often.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(grams[starts][often].view(np.int64)), pa.array(sums[often]), none, none, none, none], names)
+        yield from passed
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("version"), F.col("text").cast("string"))
+    rows = _in_blocks(rows.mapInArrow(sets, _COUNTS))
+    return stored(rows.mapInArrow(summed, "gram long, c long, doc_id long, n_shingles long, node long, version long"), "join-sets")
+
+
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest n-grams, LISTED at most, ascending; and the rank of each, rarest first."""
+    often = counts.filter("c is not null").orderBy(F.desc("c"), "gram").limit(LISTED).select("gram").toArrow().column(0).to_numpy().view(np.uint64)
+    order = np.argsort(often)
+    return often[order], (len(often) - 1 - order).astype(np.int32)
+
+
+def _pairs_of(nodes: np.ndarray, sizes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs within each column (rows starts[i], starts[i] + 1, ...) that are near enough in size; rows
+    of a column are in order of sizes."""
+    n = (sizes & ~_FREQUENT_ROW).astype(np.int64)
+    for length in np.unique(lengths).tolist():
+        at = starts[lengths == length]
+        if length <= 64:
+            i, j = np.triu_indices(length, 1)
+            step = max(1, PAIRS // len(i))
+            for k in range(0, len(at), step):
+                a, b = ((at[k : k + step, None] + x[None]).ravel() for x in (i, j))
+                near = 100 * n[a] >= percent * n[b]
+                yield a[near], b[near]
+        else:  # of n-grams that the list had no place for
+            for first in at.tolist():
+                column = n[first : first + length]
+                stops = np.searchsorted(column, 100 * column // percent, "right")
+                for i in range(length):
+                    b = np.arange(first + i + 1, first + stops[i])
+                    yield np.full(len(b), first + i), b
+
+
+def _product(grams: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """a, b, overlap, lack of each pair of rows with a common column in a block; lack: the least overlap in all blocks
+    that can still meet the need of both sizes."""
+    order = np.lexsort((sizes & ~_FREQUENT_ROW, nodes, grams))
+    grams, nodes, sizes = grams[order], nodes[order], sizes[order]
+    once = np.ones(len(grams), bool)
+    once[1:] = (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])
+    grams, nodes, sizes = grams[once], nodes[once], sizes[once]
+    shared = np.zeros(len(grams), bool)
+    shared[1:] = grams[1:] == grams[:-1]
+    shared[:-1] |= shared[1:]
+    grams, nodes, sizes = grams[shared], nodes[shared], sizes[shared]
+    if not len(grams):
+        return
+    order = np.lexsort((nodes, sizes & ~_FREQUENT_ROW, grams))
+    grams, nodes, sizes = grams[order], nodes[order], sizes[order]
+    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    lengths = np.diff(np.append(starts, len(grams)))
+    held, size = [], 0
+
+    def added_up() -> tuple[np.ndarray, ...]:
+        one, other = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        low = np.where(nodes[one] < nodes[other], one, other)
+        high = one + other - low
+        order = np.lexsort((nodes[high], nodes[low]))
+        low, high = low[order], high[order]
+        a, b = nodes[low], nodes[high]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        overlap = np.diff(np.append(first, len(a)))
+        n = [(sizes[x[first]] & ~_FREQUENT_ROW).astype(np.int64) for x in (low, high)]
+        # What follows the first columns of a row; a row that reaches frequent ones may share them all.
+        rest = [np.where(sizes[x[first]] & _FREQUENT_ROW, m, m - _first(m, percent)) for x, m in zip((low, high), n, strict=True)]
+        lack = -(-percent * (n[0] + n[1]) // (100 + percent)) - np.maximum(*rest)
+        return a[first], b[first], overlap.astype(np.int32), np.maximum(lack, 1).astype(np.int32)
+
+    for pair in _pairs_of(nodes, sizes, starts, lengths, percent):
+        if len(pair[0]):
+            held.append(pair)
+            size += len(pair[0])
+        if size >= PAIRS:
+            yield added_up()
+            held, size = [], 0
+    if held:
+        yield added_up()
+
+
+def block_products(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Stored rows of two kinds: a, b, overlap, lack of pairs in each block (see _product); node, n, ids (its frequent
+    n-grams, rarest first) of each set whose first columns reach the frequent ones."""
+    spark = docs.sparkSession
+    blocks = 4 * partitions(spark)
+    shared = spark.sparkContext.broadcast(frequent)
 
     def columns(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        schema = pa.schema([("block", pa.int32()), ("grams", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("node", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
+        listed, ranks = shared.value
+        held: list[tuple] = []
+        size = 0
+        seen: set[int] = set()
+
+        def deal() -> pa.RecordBatch:
+            grams, nodes, sizes = (np.concatenate([x[k] for x in held]) for k in range(3))
+            order = np.argsort(grams, kind="stable")
+            rows = list(_dealt(grams[order], [nodes[order], sizes[order]], blocks))
+            none = len(rows)
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([x[k] for _, x in rows], pa.binary()) for k in range(3)), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.list_(pa.int32()))], schema=schema)
+
         for batch in slices(batches):
             hashes, counts = shingle_sets(*text_bytes(batch.column(0)), words)
+            keys = set_keys(hashes, counts)
+            fresh = _unseen(keys, counts, seen)
+            hashes, counts, keys = hashes[np.repeat(fresh, counts)], counts[fresh], keys[fresh]
             if not len(hashes):
                 continue
-            keys = set_keys(hashes, counts)
             text = np.repeat(np.arange(len(counts)), counts)
-            late, listed = np.zeros(len(hashes), bool), shared.value
+            often = np.zeros(len(hashes), bool)
             if len(listed):
-                late = listed[np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)] == hashes
-                order = np.lexsort((hashes, late, text))
-                hashes, late = hashes[order], late[order]
-            place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+                at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
+                often = listed[at] == hashes
+            rare = np.cumsum(~often)  # place among the rare ones, from 1
+            before = np.concatenate([[0], rare])[np.cumsum(counts) - counts]
+            n_rare = rare[np.cumsum(counts) - 1] - before
             first = _first(counts, percent)
-            ends = np.maximum(np.cumsum(counts) - counts + first - 1, 0)
-            keep = place < first[text]
-            t = text[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[keep].view(np.int64)), pa.array(keys[t]), pa.array(counts[t].astype(np.int32)), pa.array(late[ends][t]), pa.array((hashes[ends] >> np.uint64(1)).view(np.int64)[t])],
-                ["gram", "node", "n", "end_late", "end"],
-            )
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(columns, "gram long, node long, n int, end_late boolean, end long")
+            keep = ~often & (rare - before[text] <= first[text])
+            reach = n_rare < first
+            sizes = counts.astype(np.uint32) | np.where(reach, _FREQUENT_ROW, np.uint32(0))
+            held.append((hashes[keep], keys[text[keep]], sizes[text[keep]]))
+            size += int(keep.sum())
+            if reach.any():
+                own = often & reach[text]
+                order = np.lexsort((ranks[at[own]], text[own]))
+                offsets = np.zeros(int(reach.sum()) + 1, np.int32)
+                np.cumsum((counts - n_rare)[reach], out=offsets[1:])
+                k = len(offsets) - 1
+                block = (keys[reach].view(np.uint64) // _width(blocks)).astype(np.int32)
+                none = pa.nulls(k, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(block), none, none, none, pa.array(keys[reach]), pa.array(counts[reach].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ranks[at[own]][order]))], schema=schema)
+            if size >= GATHERED:
+                yield deal()
+                held, size = [], 0
+        if size:
+            yield deal()
+
+    def multiplied(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int32()), ("lack", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
+        rows: list = []
+        sent: set[int] = set()
+
+        def noted() -> Iterator:
+            for batch in batches:
+                own = batch.filter(pc.is_valid(batch.column(4)))
+                fresh = []
+                for node in own.column(4).to_pylist():
+                    fresh.append(node not in sent)
+                    sent.add(node)
+                own = own.filter(pa.array(fresh, pa.bool_()))
+                if own.num_rows:
+                    none = [pa.nulls(own.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+                    rows.append(pa.RecordBatch.from_arrays([*none, own.column(4), own.column(5), own.column(6).cast(schema.types[6])], schema=schema))
+                yield batch
+
+        for grams, nodes, sizes in _blocks_of(noted(), ("grams", "nodes", "sizes")):
+            yield from rows
+            rows.clear()
+            for pairs in _product(np.frombuffer(grams, np.uint64), np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.uint32), percent):
+                n = len(pairs[0])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in pairs), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
+        yield from rows
+
+    rows = _in_blocks(docs.select(F.col("text").cast("string")).mapInArrow(columns, _COLUMNS))
+    return stored(rows.mapInArrow(multiplied, "a long, b long, overlap int, lack int, node long, n int, ids array<int>"), "join-products")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -107,115 +355,159 @@ def _similar(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(counted, "a long, b long")
 
 
-def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node and text of one document for each of nodes."""
-    least = sets.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi").filter("doc_id is not null")
-
-    def own(batches: Iterator) -> Iterator:
-        for batch in slices(batches):  # where a doc_id repeats, the text that has the set
-            import pyarrow as pa
+def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Stored node and text of one document for each of nodes."""
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "version"))
+    named = sets.join(nodes, "node", "left_semi").groupBy("node").agg(row.alias("row")).select("node", F.col("row.doc_id").alias("d"), F.col("row.version").alias("v"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
+    found = rows.join(named, rows["doc_id"].eqNullSafe(named["d"]) & (rows["version"] == named["v"])).select("node", "doc_id", "text")
+    # Rows that repeat a document with its doc_id only repeat links; nameless copies may be many.
+    return stored(found.filter("doc_id is not null").select("node", "text").union(found.filter("doc_id is null").select("node", "text").dropDuplicates(["node"])), "join-texts")
 
-            yield batch.filter(pa.array(set_keys(*shingle_sets(*text_bytes(batch.column(1)), words)) == batch.column(0).to_numpy()))
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(least, "doc_id").select("node", "text").mapInArrow(own, "node long, text string")
-    return stored(found, "join-texts")  # rows that repeat a document repeat links, which changes nothing
+def _meets(overlap: Column, n: Column, m: Column, percent: int) -> Column:
+    return (100 + percent) * overlap >= percent * (n + m)
 
 
-def _shared_columns(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Stored first columns; a column that only one set has links nothing, and is left out."""
-    by_gram = Window.partitionBy("gram")
-    rows = first_columns(docs, frequent, words, percent)
-    rows = rows.withColumn("least", F.min("node").over(by_gram)).withColumn("most", F.max("node").over(by_gram)).filter("least < most")
-    return stored(rows.select("gram", "node", "n", "end_late", "end").distinct(), "join-columns")
+def frequent_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """Links that join what pairs of rows (node, n, ids: its frequent n-grams, rarest first) similar enough by these
+    alone join; None without rows.
 
-
-def _frequent(sets: DataFrame) -> np.ndarray:
-    """The commonest n-grams among first columns, LISTED at most, ascending."""
-    often = sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > FREQUENT).orderBy(F.desc("c"), "gram").limit(LISTED)
-    return np.sort(often.select("gram").toArrow().column(0).to_numpy().view(np.uint64))
-
-
-def similar_links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    Rows with the same ids differ in size alone, so the smallest of them has a link wherever another has one: it stands
+    for them. Representatives meet by columns, as sets of any kind, but by their frequent n-grams only. First each meets
+    the most frequent-laden one of its columns, which joins large groups of copies with one link a row; then those that
+    are still apart meet in blocks, each a matrix product within a task. A row that is too large for its representative
+    can have a link to a smaller one only: of all that its representative meets, the one that admits the largest rows.
+    """
+    rows = stored(rows, "join-frequent")
+    if not rows.limit(1).count():
+        return None
+    least = F.min(F.struct("n", "node"))
+    groups = rows.groupBy("ids").agg(least.alias("least"), F.max("n").alias("most"))
+    groups = stored(groups.select(F.col("least.node").alias("sig"), F.col("least.n").alias("n"), "ids", F.size("ids").alias("s"), "most"), "join-representatives")
+    members = rows.select(F.col("node"), F.col("n").alias("own_n"), "ids").join(groups.select("sig", "n", "s", "ids"), "ids").filter("node <> sig").select("node", "own_n", "sig", "n", "s")
+    alike = _meets(F.col("s"), F.col("own_n"), F.col("n"), percent)
+    links = [members.filter(alike).select(F.col("node").alias("a"), F.col("sig").alias("b"))]
+    # Whether a row may be too large for its representative and small enough to have a link at all.
+    groups = groups.withColumn("wide", ~_meets(F.col("s"), F.col("most"), F.col("n"), percent) & (F.col("most") > F.col("n")))
+    first = F.col("s") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
+    columns = groups.filter(first > 0).select("sig", "n", "s", "wide", F.explode(F.slice("ids", F.lit(1), first)).alias("id"))
+    columns = stored(columns, "join-frequent-columns")
+    # One link a row: to the row of its column and size class that is frequent to the largest part.
+    sized = columns.withColumn("shift", F.explode(F.array(F.lit(0.0), F.lit(0.5))))
+    sized = sized.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + F.col("shift")))
+    heads = sized.groupBy("id", "shift", "class").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("part"), "sig")).alias("head"), F.count("*").alias("c")).filter("c > 1")
+    star = sized.join(heads, ["id", "shift", "class"]).filter("sig <> head.sig").select(F.col("sig").alias("a"), F.col("head.sig").alias("b")).distinct()
+    side = lambda x: groups.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("ids").alias(f"ids_{x}"))
+    star = star.join(side("a"), "a").join(side("b"), "b").filter(_meets(F.size(F.array_intersect("ids_a", "ids_b")), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    star = stored(star, "join-frequent-star")
+    links.append(star)
+    parts = components(star)
+    columns = columns.join(parts.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    columns = stored(columns, "join-frequent-apart")
+    apart = columns.groupBy("id").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("wide").alias("any_wide"))
+    apart = apart.filter((F.col("c") > 1) & ((F.col("low") < F.col("high")) | F.col("any_wide"))).select("id", F.ceil(F.col("c") / SIDE).cast("int").alias("m"))
+    placed = columns.join(apart, "id").withColumn("i", F.pmod(F.xxhash64("sig"), F.col("m")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    placed = placed.join(groups.select("sig", "ids"), "sig").select("id", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "sig", "n", "component", "wide", "ids")
+    placed = placed.repartition(partitions(rows.sparkSession), "id", "lo", "hi").sortWithinPartitions("id", "lo", "hi")
+    met = stored(placed.mapInArrow(lambda batches: _met(batches, percent), "a long, b long, most int"), "join-frequent-product")
+    links.append(met.filter("most is null").select("a", "b"))
+    admits = met.filter("most is not null").groupBy("a").agg(F.max(F.struct("most", "b")).alias("best"))
+    wide = members.filter(~alike).join(admits, members["sig"] == admits["a"]).filter(F.col("own_n") <= F.col("best.most")).select(F.col("node").alias("a"), F.col("best.b").alias("b"))
+    links.append(wide)
+    out = links[0]
+    for more in links[1:]:
+        out = out.union(more)
+    return stored(out, "join-frequent-links")
+
+
+def _met(batches: Iterator, percent: int) -> Iterator:
+    """Products of the rows of each (id, lo, hi): links between components, and what each wide row admits at most."""
+    import pyarrow as pa
+
+    def product(rows: list[tuple]) -> pa.RecordBatch:
+        lo, hi = rows[0][1], rows[0][2]
+        ids, column = np.unique(np.concatenate([np.asarray(r[8], np.int32) for r in rows]), return_inverse=True)
+        at = np.repeat(np.arange(len(rows)), [len(r[8]) for r in rows])
+        own = np.array([r[3] for r in rows])
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        overlap = np.zeros((len(left), len(right)), np.float32)
+        step = 4096
+        for first in range(0, len(ids), step):
+            some = (column >= first) & (column < first + step)
+            part = np.zeros((len(rows), min(step, len(ids) - first)), np.float32)
+            part[at[some], column[some] - first] = 1
+            overlap += part[left] @ part[right].T
+        overlap = overlap.astype(np.int64)
+        sig, n, component, wide = (np.array([r[k] for r in rows]) for k in (4, 5, 6, 7))
+        n = n.astype(np.int64)
+        meets = (100 + percent) * overlap >= percent * (n[left][:, None] + n[right][None])
+        a, b = np.nonzero(meets & (component[left][:, None] != component[right][None]))
+        a, b = left[a], right[b]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        out: list[tuple] = []
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):  # links that join two groups of this product
+            x, y = find(int(component[i])), find(int(component[j]))
+            if x != y:
+                root[x] = y
+                out.append((int(sig[i]), int(sig[j]), None))
+        for mine, others, w in ((left, right, overlap), (right, left, overlap.T)):
+            for k in np.flatnonzero(wide[mine]).tolist():
+                most = (100 + percent) * w[k] // percent - n[others]
+                most[others == mine[k]] = 0
+                best = int(np.argmax(most))
+                if most[best] > 0:
+                    out.append((int(sig[mine[k]]), int(sig[others[best]]), int(most[best])))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32())], ["a", "b", "most"])
+
+    held: list[tuple] = []
+    for batch in slices(batches):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[:3] != held[-1][:3]:
+                yield product(held)
+                held = []
+            held.append(row)
+    if held:
+        yield product(held)
+
+
+def similar_links(docs: DataFrame, counts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between different sets that give the same components as all pairs similar enough."""
-    frequent = _frequent(sets)
-    by_gram = Window.partitionBy("gram")
-    rows = _shared_columns(docs, frequent, words, percent)
-    release(docs.sparkSession)
-    # Columns of the same rows, such as those of one passage, become one column with their number as its weight.
-    lists = rows.groupBy("gram").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    merged = lists.groupBy("c", "x", "y").agg(F.min("gram").alias("gram"), F.count("*").alias("weight")).select("gram", "c", "weight")
-    need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("end_late").alias("end_late"), F.first("end").alias("end"))
-    columns = stored(rows.select("gram", "node").join(merged, "gram"), "join-merged")
-    # How often a row's columns recur: what many copies were made from has more in common with them than they have.
-    middle = columns.groupBy("node").agg(F.sum(F.col("weight") * F.col("c")).alias("common"), F.sum("weight").alias("shared"))
-    # No overlap of a row exceeds its shared columns and all that follows its first columns.
-    most = F.col("shared") + F.ceil(F.lit(percent) * F.col("n") / 100) - 1
-    nodes = stored(nodes.join(middle, "node").select("node", "n", "end_late", "end", (F.col("common") / F.col("n")).alias("common"), most.cast("long").alias("most")), "join-nodes")
-    texts = _texts(docs, sets, nodes.select("node"), words)
-    release(docs.sparkSession)
-    def of_earlier(x: Column, y: Column) -> Column:
-        """x where a's first columns end before b's, y where after; the larger where they may end together."""
-        end_a, end_b = F.struct(F.col("late_a").alias("l"), F.col("end_a").alias("e")), F.struct(F.col("late_b").alias("l"), F.col("end_b").alias("e"))
-        return F.when(end_a < end_b, x).when(end_b < end_a, y).otherwise(F.greatest(x, y))
-
-    def may_link() -> Column:
-        """Whether sizes are near enough, and what the row whose first columns end earlier can share meets the need of
-        both sizes: those of its first columns that the other has are among the other's first columns too."""
-        near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        return near & ((100 + percent) * of_earlier(F.col("most_a"), F.col("most_b")) >= percent * (F.col("n_a") + F.col("n_b")))
-
-    n_a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("end_late").alias("late_a"), F.col("end").alias("end_a"))
-    n_b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("end_late").alias("late_b"), F.col("end").alias("end_b"))
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        return pairs.join(n_a, "a").join(n_b, "b").filter(may_link())
-
-    # Linear rounds: each row with the commonest row of its columns among those of about its size. Sizes that a link
-    # can join lie in one class of ratio 100 / percent, or in one of the classes shifted by half.
-    links = None
-    parts = nodes.select("node", F.col("node").alias("component"), "common", "n", "most")
-    for shift in (0.0, 0.5):
-        size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + shift)
-        placed = columns.join(parts, "node").withColumn("class", size)
-        head = F.max(F.struct("common", "node", "component")).over(Window.partitionBy("gram", "class"))
-        star = placed.withColumn("head", head).filter("component <> head.component").groupBy(F.col("head.node").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("overlap"))
-        best = sized(star).filter(F.col("overlap") * 8 >= F.least("n_a", "n_b") * (100 - percent) / 100)
-        if links is not None:
-            best = best.join(tried, ["a", "b"], "left_anti")
-        best = best.groupBy("b").agg(F.max_by("a", F.struct("overlap", "a")).alias("a")).select("a", "b")
-        best = stored(best, "join-tried")
-        tried = best if links is None else tried.union(best)
-        found = stored(_similar(best, texts, words, percent), "join-links")
-        links = found if links is None else links.union(found)
-        parts = nodes.select("node", "common", "n", "most").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "common", "n", "most")
-        parts = stored(parts, "join-parts")
-    # The product: overlaps of all pairs still in different components, block by block of columns.
-    placed = columns.join(parts, "node")
-    apart = placed.withColumn("low", F.min("component").over(by_gram)).withColumn("high", F.max("component").over(by_gram)).filter("low < high")
-    apart = stored(apart.join(nodes.select("node", "end_late", "end"), "node").select("gram", "node", "component", "weight", "n", "most", "end_late", "end"), "join-apart")
-    side = lambda x: apart.select("gram", *(F.col(c).alias(f"{k}_{x}") for c, k in (("node", "node"), ("component", "c"), ("weight", "w"), ("n", "n"), ("most", "most"), ("end_late", "late"), ("end", "end"))))
-    product = side("a").join(side("b"), "gram").filter((F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & may_link())
-    product = product.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.sum("w_a").alias("overlap"))
-    # What follows the earlier end adds at most the rest of that row.
-    rest_a, rest_b = (F.ceil(F.lit(percent) * F.col(n) / 100) - 1 for n in ("n_a", "n_b"))
-    kept = sized(product).filter(F.col("overlap") + of_earlier(rest_a, rest_b) >= need).select("a", "b")
-    kept = kept.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    return links.union(stored(_similar(kept, texts, words, percent), "join-links"))
+    spark: SparkSession = docs.sparkSession
+    products = block_products(docs, _frequent(counts), words, percent)
+    release(spark)
+    pairs = products.filter("a is not null").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.max("lack").alias("lack"))
+    pairs = stored(pairs.filter("overlap >= lack").select("a", "b"), "join-pairs")
+    sets = counts.filter("node <> 0").select("doc_id", "node", "version")
+    texts = _texts(docs, sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    release(spark)
+    links = stored(_similar(pairs, texts, words, percent), "join-links")
+    release(spark)
+    more = frequent_links(products.filter("node is not null").select("node", "n", "ids"), percent)
+    return links if more is None else links.union(more)
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each document (doc_id, text).
 
     Null and empty texts have no shingles, and link with nothing: their component is their own doc_id. Repeated rows
-    are equal sets. A null doc_id keeps its row, but names no component. Other columns are ignored.
+    are equal sets. A null doc_id keeps its row and its links, but names no component. Other columns are ignored.
     """
-    sets = stored(document_sets(docs, words, percent), "join-sets")
-    joined = components(similar_links(docs, sets, words, percent))
+    counts = counted_sets(docs, words)
+    sets = counts.filter("node is not null").select("doc_id", "n_shingles", "node")
+    joined = components(similar_links(docs, counts, words, percent))
     placed = sets.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     where = placed.join(names, "component").select("node", "component_id")
-    return sets.join(where, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    found = sets.filter("node <> 0").join(where, "node").select("doc_id", "n_shingles", "component_id")
+    return found.union(sets.filter("node = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
