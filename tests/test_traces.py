@@ -23,9 +23,9 @@ def rebuilt(spark, *runs):
 @pytest.mark.parametrize(
     "run, agent, model, call, output, totals",
     [
-        (L.claude, "claude", "claude-opus-4", ("t1", "Read", '{"path":"foo.txt"}'), "hello world", (250, 40, 20, 170, None)),
-        (L.codex, "codex", "gpt-5", ("c1", "shell", '{"cmd":"ls"}'), "a\nb", (460, 60, 0, 280, 23)),
-        (L.gemini, "gemini", "gemini-2.5-flash", ("f1", "ls", '{"d":"."}'), "x.py", (250, 27, 0, 40, 5)),
+        (L.claude, "claude", "claude-sonnet-4", ("g-17", "Gauge", '{"station":"north"}'), "17 millimetres", (700, 63, 64, 1088, None)),
+        (L.codex, "codex", "gpt-5", ("b-2", "run_shell", '{"line":"git branch"}'), "* main", (925, 45, 0, 512, 13)),
+        (L.gemini, "gemini", "gemini-2.5-pro", ("w-5", "forecast", '{"city":"Bergen"}'), "showers", (219, 29, 0, 32, 6)),
     ],
 )
 def test_providers(spark, run, agent, model, call, output, totals):
@@ -43,9 +43,9 @@ def test_providers(spark, run, agent, model, call, output, totals):
 def test_costs_and_requests(spark):
     turns, steps = rebuilt(spark, L.claude())
     head = trajectory.session_rows(turns, steps, P.price_table(spark)).first()
-    assert head.cost_usd == pytest.approx((250 * 15 + 40 * 75 + 20 * 18.75 + 170 * 1.5) / 1e6) and head.duration_ms == 2000
+    assert head.cost_usd == pytest.approx((700 * 3 + 63 * 15 + 64 * 3.75 + 1088 * 0.3) / 1e6) and head.duration_ms == 5000
     first, second = trajectory.request_rows(turns, steps).orderBy("seq").collect()
-    assert (first.ttft_ms, first.duration_ms, first.stop_reason, first.transcript_items, first.agent_step_index) == (250, 1000, "tool_use", 1, 2)
+    assert (first.ttft_ms, first.duration_ms, first.stop_reason, first.transcript_items, first.agent_step_index) == (500, 2000, "tool_use", 1, 2)
     assert (second.ttft_ms, second.transcript_items, second.agent_step_index) == (None, 4, 3)
     assert first.prompt_hash == second.prompt_hash != ""
 
@@ -84,7 +84,7 @@ def test_documents(spark):
     inner = docs[0]["subagent_trajectories"][0]
     ref = docs[0]["steps"][1]["observation"]["results"][0]["subagent_trajectory_ref"][0]
     assert ref["trajectory_id"] == inner["trajectory_id"] and docs[0]["steps"][0]["message"] == "go [REDACTED:github_token]"
-    assert docs[0]["final_metrics"]["total_prompt_tokens"] == 5 and docs[0]["steps"][0]["timestamp"] == "2023-11-14T22:13:20.000Z"
+    assert docs[0]["final_metrics"]["total_prompt_tokens"] == 5 and docs[0]["steps"][0]["timestamp"] == "2024-04-01T19:33:20.000Z"
 
 
 def test_audit(spark):
@@ -104,10 +104,10 @@ def test_store(spark, tmp_path):
     assert store.index_paths([str(tmp_path / "work")]) == {"files_indexed": 3, "files_skipped": 0, "sessions": 3, "steps": 9}
     assert store.index_paths([str(tmp_path / "work")]) == {"files_indexed": 0, "files_skipped": 3, "sessions": 0, "steps": 0}
     assert {r.project_cwd for r in store.sessions().collect()} == {str(tmp_path / "work")}
-    hits = store.search("hello world", field="tool-output").collect()
-    assert [(h.agent, h.step_index, h.snippet) for h in hits] == [("claude", 2, "[hello] [world]")]
-    assert [r.agent for r in store.list_sessions(tool="shell").collect()] == ["codex"]
-    assert store.list_sessions(text="listing").count() == 1 and store.list_sessions(errored=True).count() == 0
+    hits = store.search("17 millimetre", field="tool-output").collect()
+    assert [(h.agent, h.step_index, h.snippet) for h in hits] == [("claude", 2, "[17] [millimetre]s")]
+    assert [r.agent for r in store.list_sessions(tool="run_shell").collect()] == ["codex"]
+    assert store.list_sessions(text="branches").count() == 1 and store.list_sessions(errored=True).count() == 0
     assert store.usage_events(agent="CODEX").count() == 2 and store.prompts().count() == 2
     # A log that grows replaces its own rows alone.
     more = L.codex()
@@ -117,7 +117,7 @@ def test_store(spark, tmp_path):
     store.vacuum()
     assert store.prompts().count() == 2
     digest = store.prompts("claude").first()
-    assert digest.content == "Be brief. cch=[HASH];" and store.get_prompt(digest.prompt_hash[:8]).first().agent == "claude"
+    assert digest.content == "Only quote gauges. cch=[HASH];" and store.get_prompt(digest.prompt_hash[:8]).first().agent == "claude"
 
     import threading
     import urllib.error
@@ -142,7 +142,7 @@ def test_store(spark, tmp_path):
 
 def test_reading_logs(spark, tmp_path):
     path = L.write(tmp_path / "a b.jsonl", L.claude(), tail='\n{"x": 1}\nnot json\n5\n')
-    assert [(r.pair_index, r.ts) for r in logs.pairs(spark, [path], loose=True).orderBy("pair_index").collect()] == [(0, 1700000000.0), (1, 1700000002.0)]
+    assert [(r.pair_index, r.ts) for r in logs.pairs(spark, [path], loose=True).orderBy("pair_index").collect()] == [(0, L.START), (1, L.START + 5)]
     assert {r.source_path for r in logs.pairs(spark, [path]).collect()} == {path}
     with pytest.raises(ValueError):
         logs.pairs_or_fail(spark, [L.write(tmp_path / "none.jsonl", [])])
@@ -156,7 +156,7 @@ def test_command_line(spark, tmp_path, capsys):
     a, b = L.write(tmp_path / "a.jsonl", L.claude()), L.write(tmp_path / "b.jsonl", L.claude()[:1])
     main(["--json", "diff", a, b])
     rows = {(r["section"], r["name"]): r for r in json.loads(capsys.readouterr().out)}
-    assert rows["shape", "steps"]["a"] == "3.0" and rows["shape", "steps"]["b"] == "2.0" and rows["tools", "Read"]["a"] == "same"
+    assert rows["shape", "steps"]["a"] == "3.0" and rows["shape", "steps"]["b"] == "2.0" and rows["tools", "Gauge"]["a"] == "same"
     assert main(["--json", "audit", a]) == 0
     capsys.readouterr()
     main(["atif", a])
@@ -168,13 +168,13 @@ def test_tail(spark, tmp_path):
     L.write(path, L.claude()[:1], tail='{"request": {"time')
     reader = TailReader({"path": str(tmp_path)})
     rows, offset = reader.read(reader.initialOffset())
-    assert [r[2] for r in rows] == [1700000000.0]
+    assert [r[2] for r in rows] == [L.START]
     assert list(reader.read(offset)[0]) == []
     L.write(path, L.claude())
     again, later = reader.read(offset)
-    assert [r[2] for r in again] == [1700000002.0] and [r[2] for r in reader.readBetweenOffsets(offset, later)] == [1700000002.0]
+    assert [r[2] for r in again] == [L.START + 5] and [r[2] for r in reader.readBetweenOffsets(offset, later)] == [L.START + 5]
     path.write_text(json.dumps(L.claude()[1]) + "\n")  # shorter: replaced
-    assert [r[2] for r in reader.read(later)[0]] == [1700000002.0]
+    assert [r[2] for r in reader.read(later)[0]] == [L.START + 5]
 
 
 def test_follow(spark, tmp_path):
@@ -200,8 +200,8 @@ def test_display(spark, tmp_path):
     turns, steps = rebuilt(spark, L.claude(), L.codex() + L.gemini())
     heads = turns.groupBy(*trajectory.KEY).agg(F.min("pair_index").alias("at"), F.max_by("agent", "seq").alias("agent"), F.max_by("model", "seq").alias("model"))
     got = {r.source_path: r.digest for r in display.digests(steps, heads).collect()}
-    assert got["log0"] == '## Session — claude (claude-opus-4)\nUSER: Read foo.txt please\nAGENT: I\'ll read it.\n  TOOL Read({"path":"foo.txt"})\n    -> hello world\nAGENT: It says hello world.'
-    assert got["log1"].startswith("## Session 1 — codex (gpt-5)\n") and "\n\n## Session 2 — gemini (gemini-2.5-flash)\nUSER: show" in got["log1"]
+    assert got["log0"] == '## Session — claude (claude-sonnet-4)\nUSER: How much rain fell in the north?\nAGENT: Asking the north station.\n  TOOL Gauge({"station":"north"})\n    -> 17 millimetres\nAGENT: The north had 17 millimetres.'
+    assert got["log1"].startswith("## Session 1 — codex (gpt-5)\n") and "\n\n## Session 2 — gemini (gemini-2.5-pro)\nUSER: Will Bergen" in got["log1"]
     stats = display.summary(turns, trajectory.session_rows(turns, steps, P.price_table(spark)))
     path = display.write_stats(str(tmp_path / "a.jsonl"), stats)
     assert path.endswith("a.stats.json") and json.loads(open(path).read())["pair_count"] == 6
