@@ -6,8 +6,9 @@ one row of the matrix. Only the columns that a pair must share enter: under one
 as asked share an n-gram among the first n - ceil(t n) + 1 of either. Frequent n-grams come last in that order and stay out
 of the blocks, so that the columns there are short and their product grows with the input.
 
-Pairs whose overlap in the blocks plus what the rest could add stays under the size-derived need are discarded; the others
-are counted in full. A pair without a common n-gram in the blocks shares frequent ones alone. Only rows that are mostly
+Pairs whose overlap in the blocks plus what the rest could add stays under the size-derived need are discarded, and so are
+those whose overlap can't be enough by their sketches, counts of n-grams by bits of their hashes; the others are counted
+in full. A pair without a common n-gram in the blocks shares frequent ones alone. Only rows that are mostly
 frequent can be that similar: they meet by their sets of frequent n-grams, in a product of their own (see frequent_links).
 """
 
@@ -39,7 +40,7 @@ REMEMBERED = 1 << 20
 SIDE = 1024
 
 _COUNTS = "block int, grams binary, counts binary, doc_id long, n_shingles long, node long, version long"
-_COLUMNS = "block int, grams binary, nodes binary, sizes binary, node long, n int, ids array<int>"
+_COLUMNS = "block int, grams binary, nodes binary, sizes binary, node long, n int, ids array<int>, sketch binary"
 _FREQUENT_ROW = np.uint32(1 << 31)
 
 
@@ -79,6 +80,31 @@ def _blocks_of(batches: Iterator, names: tuple[str, ...]) -> Iterator[list[bytes
         yield [b"".join(x) for x in held]
 
 
+def _sketches(hashes: np.ndarray, counts: np.ndarray):
+    """For each set how many of its n-grams have each value of the low bits of their hashes, one byte a value; as many
+    values as a quarter to half of its n-grams. Null where a count is too large for a byte."""
+    import pyarrow as pa
+
+    width = 1 << np.maximum(3, np.log2(np.maximum(counts, 1)).astype(np.int64) - 1)
+    ends = np.cumsum(width)
+    text = np.repeat(np.arange(len(counts)), counts)
+    bins = np.bincount((ends - width)[text] + (hashes & (width - 1).astype(np.uint64)[text]).astype(np.int64), minlength=int(ends[-1]))
+    most = np.maximum.reduceat(bins, ends - width)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(bins.astype(np.uint8).tobytes())])
+    return pa.compute.if_else(pa.array(most < 256), packed, pa.scalar(None, pa.binary()))
+
+
+def _may_meet(a: bytes | None, b: bytes | None, n: int, m: int, percent: int) -> bool:
+    """Whether sets of n and m n-grams can have enough in common by their sketches."""
+    if a is None or b is None:
+        return True
+    x, y = (np.frombuffer(s, np.uint8).astype(np.int32) for s in (a, b))
+    least = min(len(x), len(y))
+    common = int(np.minimum(x.reshape(-1, least).sum(0), y.reshape(-1, least).sum(0)).sum())
+    return (100 + percent) * common >= percent * (n + m)
+
+
 def _unseen(keys: np.ndarray, counts: np.ndarray, seen: set[int]) -> np.ndarray:
     """Which texts have a set of shingles that this task has not met; remembers them."""
     if len(seen) > REMEMBERED:
@@ -241,16 +267,17 @@ def _product(grams: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, percent: i
 
 
 def block_products(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Stored rows of two kinds: a, b, overlap, lack of pairs in each block (see _product); node, n, ids (its frequent
-    n-grams, rarest first) of each set whose first columns reach the frequent ones."""
+    """Stored rows of two kinds: a, b, overlap, lack of pairs in each block (see _product); node, n, sketch of each set, with
+    ids (its frequent n-grams, rarest first) where its first columns reach the frequent ones."""
     spark = docs.sparkSession
     blocks = 4 * partitions(spark)
     shared = spark.sparkContext.broadcast(frequent)
 
     def columns(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute  # noqa: F401
 
-        schema = pa.schema([("block", pa.int32()), ("grams", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("node", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
+        schema = pa.schema([("block", pa.int32()), ("grams", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("node", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(pa.int32())), ("sketch", pa.binary())])
         listed, ranks = shared.value
         held: list[tuple] = []
         size = 0
@@ -261,7 +288,7 @@ def block_products(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], wor
             order = np.argsort(grams, kind="stable")
             rows = list(_dealt(grams[order], [nodes[order], sizes[order]], blocks))
             none = len(rows)
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([x[k] for _, x in rows], pa.binary()) for k in range(3)), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.list_(pa.int32()))], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.array([x[k] for _, x in rows], pa.binary()) for k in range(3)), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.list_(pa.int32())), pa.nulls(none, pa.binary())], schema=schema)
 
         for batch in slices(batches):
             hashes, counts = shingle_sets(*text_bytes(batch.column(0)), words)
@@ -272,6 +299,7 @@ def block_products(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], wor
                 continue
             text = np.repeat(np.arange(len(counts)), counts)
             often = np.zeros(len(hashes), bool)
+            at = np.zeros(len(hashes), np.int64)
             if len(listed):
                 at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
                 often = listed[at] == hashes
@@ -284,15 +312,16 @@ def block_products(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], wor
             sizes = counts.astype(np.uint32) | np.where(reach, _FREQUENT_ROW, np.uint32(0))
             held.append((hashes[keep], keys[text[keep]], sizes[text[keep]]))
             size += int(keep.sum())
-            if reach.any():
-                own = often & reach[text]
-                order = np.lexsort((ranks[at[own]], text[own]))
-                offsets = np.zeros(int(reach.sum()) + 1, np.int32)
-                np.cumsum((counts - n_rare)[reach], out=offsets[1:])
-                k = len(offsets) - 1
-                block = (keys[reach].view(np.uint64) // _width(blocks)).astype(np.int32)
-                none = pa.nulls(k, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(block), none, none, none, pa.array(keys[reach]), pa.array(counts[reach].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ranks[at[own]][order]))], schema=schema)
+            own = often & reach[text]
+            order = np.lexsort((ranks[at[own]], text[own])) if own.any() else np.zeros(0, np.int64)
+            ids = ranks[at[own]][order] if own.any() else np.zeros(0, np.int32)
+            k = len(counts)
+            offsets = np.zeros(k + 1, np.int32)
+            np.cumsum(np.where(reach, counts - n_rare, 0), out=offsets[1:])
+            lists = pa.compute.if_else(pa.array(reach), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.scalar(None, pa.list_(pa.int32())))
+            block = (keys.view(np.uint64) // _width(blocks)).astype(np.int32)
+            none = pa.nulls(k, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(block), none, none, none, pa.array(keys), pa.array(counts.astype(np.int32)), lists, _sketches(hashes, counts)], schema=schema)
             if size >= GATHERED:
                 yield deal()
                 held, size = [], 0
@@ -303,7 +332,7 @@ def block_products(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], wor
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int32()), ("lack", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int32()), ("lack", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(pa.int32())), ("sketch", pa.binary())])
         rows: list = []
         sent: set[int] = set()
 
@@ -317,7 +346,7 @@ def block_products(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], wor
                 own = own.filter(pa.array(fresh, pa.bool_()))
                 if own.num_rows:
                     none = [pa.nulls(own.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-                    rows.append(pa.RecordBatch.from_arrays([*none, own.column(4), own.column(5), own.column(6).cast(schema.types[6])], schema=schema))
+                    rows.append(pa.RecordBatch.from_arrays([*none, own.column(4), own.column(5), own.column(6).cast(schema.types[6]), own.column(7)], schema=schema))
                 yield batch
 
         for grams, nodes, sizes in _blocks_of(noted(), ("grams", "nodes", "sizes")):
@@ -325,11 +354,26 @@ def block_products(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], wor
             rows.clear()
             for pairs in _product(np.frombuffer(grams, np.uint64), np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.uint32), percent):
                 n = len(pairs[0])
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in pairs), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in pairs), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.binary())], schema=schema)
         yield from rows
 
     rows = _in_blocks(docs.select(F.col("text").cast("string")).mapInArrow(columns, _COLUMNS))
-    return stored(rows.mapInArrow(multiplied, "a long, b long, overlap int, lack int, node long, n int, ids array<int>"), "join-products")
+    return stored(rows.mapInArrow(multiplied, "a long, b long, overlap int, lack int, node long, n int, ids array<int>, sketch binary"), "join-products")
+
+
+def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b, overlap) that can be similar enough by the sketches of their sets (node, n, sketch)."""
+
+    def bounded(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            rows = zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True)
+            keep = pa.array([_may_meet(a, b, n, m, percent) for n, a, m, b in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1, 2)], ["a", "b", "overlap"])
+
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "overlap", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(bounded, "a long, b long, overlap long")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -484,13 +528,15 @@ def similar_links(docs: DataFrame, counts: DataFrame, words: int = WORDS, percen
     products = block_products(docs, _frequent(counts), words, percent)
     release(spark)
     pairs = products.filter("a is not null").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.max("lack").alias("lack"))
-    pairs = stored(pairs.filter("overlap >= lack").select("a", "b"), "join-pairs")
+    pairs = pairs.filter("overlap >= lack").select("a", "b", "overlap")
+    pairs = stored(_sketched(pairs, products.filter("node is not null").select("node", "n", "sketch"), percent), "join-pairs")
+    release(spark)
     sets = counts.filter("node <> 0").select("doc_id", "node", "version")
     texts = _texts(docs, sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     release(spark)
-    links = stored(_similar(pairs, texts, words, percent), "join-links")
+    links = stored(_similar(pairs.select("a", "b"), texts, words, percent), "join-links")
     release(spark)
-    more = frequent_links(products.filter("node is not null").select("node", "n", "ids"), percent)
+    more = frequent_links(products.filter("ids is not null").select("node", "n", "ids"), percent)
     return links if more is None else links.union(more)
 
 
@@ -501,6 +547,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     are equal sets. A null doc_id keeps its row and its links, but names no component. Other columns are ignored.
     """
     counts = counted_sets(docs, words)
+    release(docs.sparkSession)
     sets = counts.filter("node is not null").select("doc_id", "n_shingles", "node")
     joined = components(similar_links(docs, counts, words, percent))
     placed = sets.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
