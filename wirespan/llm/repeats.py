@@ -4,20 +4,23 @@ A global suffix array cannot be held by one task, so strings that may repeat are
 of WINDOW bytes has an anchor, the least-hashed of its GRAM-byte substrings (leftmost of equals), so equal windows have
 equal anchors; the windows of a text with the same anchor are one segment. Segments whose anchor no other has hold no
 repeat. Equal segments are copies of the earliest one. The different segments of an anchor meet in one task, whose
-Burrows-Wheeler transform says which of their windows are equal (see suffix_array).
+Burrows-Wheeler transform says which of their windows are equal (see suffix_array). An anchor of very many different
+segments, such as the edge of a common passage, is parted first: its windows by where the anchor is in them, and those by
+the bytes around the anchor that all of them have, again and again until a task can hold what is left of one.
 
 A document is named by its doc_id and version, a hash of its text, as rows may share a doc_id.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import release, slices, stored
 from .shingles import mixed, text_bytes
 from .suffix_array import equal_windows
 
@@ -26,7 +29,7 @@ GRAM = 32
 #: Bytes hashed at once, and bytes of segments transformed at once.
 CHUNK = 1 << 20
 TASK_BYTES = 1 << 20
-#: Anchors with more different segments than this compare single windows instead, which any number of tasks can share.
+#: Anchors with more different segments than this are parted before they are transformed.
 VARIANTS = 1000
 
 _U = np.uint64
@@ -211,17 +214,68 @@ def _segment_bytes(docs: DataFrame, first: DataFrame, window: int) -> DataFrame:
     return stored(parts, "segment-bytes")  # a segment that repeated rows cut twice is one place, which removes nothing
 
 
-def _varied_ranges(parts: DataFrame, window: int, variants: int) -> DataFrame:
-    """Stored doc_id, version, s, e of the repeats among segments that differ under one anchor."""
-    counts = parts.groupBy("anchor").agg(F.count("*").alias("c"))
-    usual = parts.join(counts.filter(F.col("c") <= variants).select("anchor"), "anchor", "left_semi")
-    many = parts.join(counts.filter(F.col("c") > variants).select("anchor"), "anchor", "left_semi")
-    # Anchors of very many different segments: each window by its digest, the earliest of which is found in partial sums.
-    single = many.withColumn("o", F.explode(F.sequence(F.lit(0), F.length("bytes") - window)))
-    single = single.select("anchor", F.unhex(F.md5(F.expr(f"substring(bytes, o + 1, {window})"))).alias("digest"), "doc_id", "version", (F.col("at") + F.col("o")).cast("long").alias("s"))
-    earliest = single.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "version", "s")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    spread = single.join(earliest, ["anchor", "digest"]).filter(~F.struct("doc_id", "version", "s").eqNullSafe(F.col("first"))).select("doc_id", "version", "s", (F.col("s") + window).alias("e"))
-    return stored(_variants_removed(usual, window).unionByName(spread), "varied-ranges")
+def _parted(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """rows (key, lo, hi, lead, doc_id, version, at, bytes) in two parts each: windows with the anchor at lo to the middle,
+    and above it. The key of a part is a digest of what its windows have in common around the anchor, so equal windows
+    have equal keys. lead: place of the anchor in the first window, -1 if not known yet."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            out: list[tuple] = []
+            for key, lo, hi, lead, doc_id, version, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if lead < 0:
+                    lead = _anchor(data[:window], gram)
+                middle = (lo + hi) // 2
+                for low, high in ((lo, middle), (middle + 1, hi)):
+                    first, last = min(lead, high), max(lead - (len(data) - window), low)
+                    if first < last:
+                        continue
+                    skip = lead - first
+                    part = data[skip : skip + first - last + window]
+                    common = part[first - low : first + window - high]
+                    digest = hashlib.blake2b(key.to_bytes(8, "little", signed=True) + bytes((low % 256, high % 256)) + common, digest_size=8).digest()
+                    out.append((int.from_bytes(digest, "little", signed=True), low, high, first, doc_id, version, at + skip, part))
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "lo", "hi", "lead", "doc_id", "version", "at", "bytes"])
+
+    return rows.select("key", "lo", "hi", "lead", "doc_id", "version", "at", "bytes").mapInArrow(run, "key long, lo int, hi int, lead int, doc_id long, version long, at int, bytes binary")
+
+
+def _anchor(data: bytes, gram: int) -> int:
+    """Place of the least-hashed gram of one window, as in segments()."""
+    grams, width = _BYTE[np.frombuffer(data, np.uint8)], 1
+    while width < gram:
+        grams = grams[:-width] * _UP[width] + grams[width:]
+        width *= 2
+    return int(np.argmin(mixed(grams) & ~_U(0xFFFFFF)))
+
+
+def _varied_ranges(parts: DataFrame, window: int, variants: int, gram: int = GRAM) -> DataFrame:
+    """Stored doc_id, version, s, e of the repeats among segments that differ under one anchor.
+
+    A round transforms the keys of at most `variants` different segments and parts the others. In a part, equal segments
+    are copies of the earliest one, as among whole segments. Windows with the anchor at one place are parted by all their
+    bytes, so no more rounds than the logarithm of a window's places are needed.
+    """
+    rows = parts.select(F.col("anchor").alias("key"), F.lit(0).alias("lo"), F.lit(window - gram).alias("hi"), F.lit(-1).alias("lead"), "doc_id", "version", "at", "bytes")
+    found = None
+    while True:
+        counts = rows.groupBy("key").agg(F.count("*").alias("c"), F.max(F.col("hi") - F.col("lo")).alias("places")).filter("c > 1")
+        is_large = (F.col("c") > variants) & (F.col("places") > 0)
+        usual = rows.join(counts.filter(~is_large).select("key"), "key", "left_semi").select(F.col("key").alias("anchor"), "doc_id", "version", "at", "bytes")
+        now = stored(_variants_removed(usual, window), "varied-ranges")
+        found = now if found is None else found.unionByName(now)
+        large = stored(_parted(rows.join(counts.filter(is_large).select("key"), "key", "left_semi"), window, gram), "segment-parts")
+        if not large.limit(1).count():
+            return found
+        place = F.struct("doc_id", "version", "at")
+        first = stored(large.groupBy("key", "bytes").agg(F.min(place).alias("first"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("lead").alias("lead"), F.count("*").alias("c")), "first-parts")
+        copies = large.join(first.filter("c > 1").select("key", "bytes", "first"), ["key", "bytes"]).filter(~place.eqNullSafe(F.col("first")))
+        copies = stored(copies.select("doc_id", "version", F.col("at").cast("long").alias("s"), (F.col("at") + F.length("bytes")).cast("long").alias("e")), "copied-ranges")
+        found = found.unionByName(copies)
+        rows = first.select("key", "lo", "hi", "lead", "first.doc_id", "first.version", "first.at", "bytes")
 
 
 def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, variants: int = VARIANTS) -> DataFrame:
@@ -234,7 +288,7 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, vari
     release(spark)
     parts = _segment_bytes(docs, first, window)
     release(spark)
-    varied = _varied_ranges(parts, window, variants)
+    varied = _varied_ranges(parts, window, variants, gram)
     release(spark)
     return copies.unionByName(varied)
 
