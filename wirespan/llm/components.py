@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,6 +22,8 @@ def components(links: DataFrame) -> DataFrame:
         own = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
         step = stored(own.join(jump, "to", "left").select("node", F.least("to", F.coalesce("further", "to")).alias("label"), (F.least("to", F.coalesce("further", "to")) < F.col("label")).alias("moved")), "labels")
-        labels = step.select("node", "label")
+        discard(labels)
+        labels = step
         if not step.filter("moved").limit(1).count():
+            discard(both)
             return labels.select("node", F.col("label").alias("component"))

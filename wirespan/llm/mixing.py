@@ -3,7 +3,8 @@
 A source's target is its weight's share of all words, at most three times its own; what that frees is shared by weight
 among the rest. The whole epochs in a target take every document; the fraction left takes documents in order of
 exponential keys, -ln(u) / quality, while their running sum stays within the budget, and what then remains is filled
-in the same order by documents that still fit. Running sums go through buckets of the key, so no task holds a source.
+in the same order by documents that still fit. Running sums go through ranges of the key, even in rows whatever the
+qualities are, so no task holds a source.
 """
 
 from __future__ import annotations
@@ -11,12 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import partitions, stored, unused
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 PASSES = 3
-BUCKET_ROWS = 5000
 #: Characters that lower a document's quality weight.
 MARKS = "#$%&*|!=_<>{}[]^~"
 
@@ -66,19 +66,20 @@ def _pass(rows: DataFrame, name: str) -> DataFrame:
     placed = rows.join(sums, rows["source"].eqNullSafe(sums["s"]) & (rows["bucket"] == sums["b"]))
     placed = placed.withColumn("upto", F.col("before") + F.expr("sum(counted) over (partition by source, bucket order by key, doc_id, item rows between unbounded preceding and current row)"))
     placed = placed.withColumn("now", open_ & (F.col("upto") <= F.col("budget")))
-    placed = stored(placed.select("source", "item", "doc_id", "key", "bucket", "size", (F.col("chosen") + F.col("now").cast("int")).alias("chosen"), "budget", "now"), name)
-    spent = placed.filter("now").groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("spent"))
-    return placed.join(spent, placed["source"].eqNullSafe(spent["s"]), "left").withColumn("budget", F.col("budget") - F.coalesce("spent", F.lit(0))).drop("s", "spent", "now")
+    now = stored(placed.select("source", "item", "doc_id", "key", "bucket", "size", (F.col("chosen") + F.col("now").cast("int")).alias("chosen"), "budget", "now"), name)
+    spent = now.filter("now").groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("spent"))
+    return now.join(spent, now["source"].eqNullSafe(spent["s"]), "left").withColumn("budget", F.col("budget") - F.coalesce("spent", F.lit(0))).drop("s", "spent", "now")
 
 
 def mix_sizes(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """item, doc_id, size, source_size, target, copies of each row of sizes (item, doc_id, source, size, quality)."""
     goals = targets(sizes.select("source", "size"), weights, epochs)
     goals = stored(goals.select(F.col("source").alias("s"), "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int").alias("whole")), "mixing-targets")
-    buckets = max(16, sizes.count() // BUCKET_ROWS)
-    rows = sizes.withColumn("key", -F.log(uniform(F.col("doc_id"))) / F.col("quality")).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets))
+    rows = sizes.withColumn("key", -F.log(uniform(F.col("doc_id"))) / F.col("quality"))
     budgets = goals.select("s", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
-    rows = rows.join(budgets, rows["source"].eqNullSafe(budgets["s"])).select("source", "item", "doc_id", "key", "bucket", "size", F.lit(0).alias("chosen"), "budget")
+    rows = rows.join(budgets, rows["source"].eqNullSafe(budgets["s"])).select("source", "item", "doc_id", "key", "size", F.lit(0).alias("chosen"), "budget")
+    rows = rows.repartitionByRange(partitions(sizes.sparkSession), "source", "key", "doc_id", "item").withColumn("bucket", F.spark_partition_id())
+    rows = stored(rows, "mixing-keys")
     for _ in range(PASSES):
         rows = _pass(rows, "mixing-pass")
     return rows.join(goals, rows["source"].eqNullSafe(goals["s"])).select("item", "doc_id", "size", "source_size", "target", (F.col("whole") + F.col("chosen")).alias("copies"))
@@ -102,11 +103,12 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: i
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """The documents, all columns, each as often as the mix takes it (not at all, or up to epochs times)."""
-    rows = stored(docs.withColumn("__item", F.monotonically_increasing_id()), "mixing-documents")
+    item, copies, copy = unused(docs.columns, "item", "copies", "copy")
+    rows = stored(docs.withColumn(item, F.monotonically_increasing_id()), "mixing-documents")
     text = F.col("text").cast("string")
-    sizes = stored(rows.select(F.col("__item").alias("item"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), n_words(text).alias("size"), quality(text).alias("quality")), "mixing-sizes")
-    taken = mix_sizes(sizes, weights, epochs).filter("copies > 0").select(F.col("item").alias("__item"), F.col("copies").alias("__copies"))
-    return rows.join(taken, "__item").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    sizes = stored(rows.select(F.col(item).alias("item"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), n_words(text).alias("size"), quality(text).alias("quality")), "mixing-sizes")
+    taken = mix_sizes(sizes, weights, epochs).filter("copies > 0").select(F.col("item").alias(item), F.col("copies").alias(copies))
+    return rows.join(taken, item).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def _pass_sql(n: int) -> str:
