@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 #: A chunk ends after a line with probability 1 in so many.
 LINES = 4
@@ -60,20 +60,24 @@ def dedup_lines(docs: DataFrame, every: int = LINES, min_lines: int = MIN_LINES,
     """The documents, all columns, less their repeated chunks of lines; n_chars, if there, follows a changed text.
 
     Null texts stay null; a text whose chunks all repeat becomes empty. Rows with the same doc_id and text are one
-    document, kept or shortened alike; a null doc_id comes first. With counts, adds n_lines and n_removed_lines.
+    document, kept or shortened alike; a null doc_id comes first. With counts, adds n_lines and n_removed_lines, in
+    place of columns of these names.
     """
+    if counts:
+        docs = docs.drop("n_lines", "n_removed_lines")
+    doc, of_doc, lines, of_text, chunks, left = unused(docs.columns, "doc", "gone", "lines", "chunked", "chunks", "kept")
     gone = repeated_chunks(docs, every, min_lines).distinct()
-    gone = gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("no", "key")).alias("__gone"), F.sum("n_lines").alias("__lines"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__doc"]), "left")
-    joined = chunked(joined.withColumn("__text", F.when(F.col("__gone").isNotNull(), F.col("text"))), "__text", "__chunks", every)
-    numbered = F.transform("__chunks", lambda c, i: F.struct(i.alias("no"), F.xxhash64(c).alias("key"), c.alias("c")))
-    joined = joined.withColumn("__chunks", numbered)
-    is_gone = lambda x: F.array_contains("__gone", F.struct(x["no"].alias("no"), x["key"].alias("key")))
-    kept = F.array_join(F.transform(F.filter("__chunks", lambda x: ~is_gone(x)), lambda x: x["c"]), "\n")
-    out = joined.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-    columns = [F.col("__kept").alias("text") if c == "text" else F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.length("__kept")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    gone = gone.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("no", "key")).alias(of_doc), F.sum("n_lines").alias(lines))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[doc]), "left")
+    joined = chunked(joined.withColumn(of_text, F.when(F.col(of_doc).isNotNull(), F.col("text"))), of_text, chunks, every)
+    numbered = F.transform(chunks, lambda c, i: F.struct(i.alias("no"), F.xxhash64(c).alias("key"), c.alias("c")))
+    joined = joined.withColumn(chunks, numbered)
+    is_gone = lambda x: F.array_contains(of_doc, F.struct(x["no"].alias("no"), x["key"].alias("key")))
+    kept = F.array_join(F.transform(F.filter(chunks, lambda x: ~is_gone(x)), lambda x: x["c"]), "\n")
+    out = joined.withColumn(left, F.when(F.col(of_doc).isNull(), F.col("text")).otherwise(kept))
+    columns = [F.col(left).alias("text") if c == "text" else F.when(F.col(of_doc).isNull(), F.col(c)).otherwise(F.length(left)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
     if counts:
-        columns += [F.coalesce(_n_lines(F.col("text")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("__lines", F.lit(0)).alias("n_removed_lines")]
+        columns += [F.coalesce(_n_lines(F.col("text")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(lines, F.lit(0)).alias("n_removed_lines")]
     return out.select(*columns)
 
 
@@ -109,21 +113,24 @@ def dedup_passages(docs: DataFrame, min_lines: int = MIN_LINES, counts: bool = F
 
     Null texts stay null; a text whose lines all repeat becomes empty. Rows with the same doc_id and text are one
     document; those with the same doc_id and another text are documents of their own; a null doc_id comes first. With
-    counts, adds n_lines and n_removed_lines.
+    counts, adds n_lines and n_removed_lines, in place of columns of these names.
     """
-    gone = repeated_runs(docs, min_lines).groupBy(F.col("doc_id").alias("__doc"), F.col("version").alias("__of")).agg(F.collect_set("i").alias("__gone"))
+    if counts:
+        docs = docs.drop("n_lines", "n_removed_lines")
+    doc, of, of_doc, version, lines, left = unused(docs.columns, "doc", "of", "gone", "version", "lines", "kept")
+    gone = repeated_runs(docs, min_lines).groupBy(F.col("doc_id").alias(doc), F.col("version").alias(of)).agg(F.collect_set("i").alias(of_doc))
     text = F.col("text").cast("string")
     # Lines are split before the join, so that what picks them afterwards does not split the text for each line.
-    rows = docs.select(*(c for c in docs.columns if c != "text"), F.xxhash64(text).alias("__version"), F.split(text, "\n", -1).alias("__lines"))
-    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["__doc"]) & (rows["__version"] == gone["__of"]), "left")
-    covered = F.flatten(F.transform("__gone", lambda i: F.sequence(i, i + (min_lines - 1))))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), covered)
-    rows = rows.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.transform(left, lambda i: F.get("__lines", i))))
-    new = F.array_join("__kept", "\n")
-    columns = [new.alias("text") if c == "text" else F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    rows = docs.select(*(c for c in docs.columns if c != "text"), F.xxhash64(text).alias(version), F.split(text, "\n", -1).alias(lines))
+    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone[doc]) & (rows[version] == gone[of]), "left")
+    covered = F.flatten(F.transform(of_doc, lambda i: F.sequence(i, i + (min_lines - 1))))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
+    rows = rows.withColumn(left, F.when(F.col(of_doc).isNull(), F.col(lines)).otherwise(F.transform(places, lambda i: F.get(lines, i))))
+    new = F.array_join(left, "\n")
+    columns = [new.alias("text") if c == "text" else F.when(F.col(of_doc).isNull(), F.col(c)).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     if counts:
-        size = lambda c: F.when(F.col("__lines").isNull(), 0).otherwise(F.size(c)).cast("long")
-        columns += [size("__lines").alias("n_lines"), (size("__lines") - size("__kept")).alias("n_removed_lines")]
+        size = lambda c: F.when(F.col(lines).isNull(), 0).otherwise(F.size(c)).cast("long")
+        columns += [size(lines).alias("n_lines"), (size(lines) - size(left)).alias("n_removed_lines")]
     return rows.select(*columns)
 
 
