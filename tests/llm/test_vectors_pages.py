@@ -1,6 +1,8 @@
 """Vector searches and page text against brute force and written pages."""
 
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -111,3 +113,52 @@ def test_pages(spark):
     out = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in out) == [(0, 1), (1, 0), (2, 499_999), (2, 499_999)]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def _prose(n, stem="word"):
+    return " ".join(f"{stem}{i}" for i in range(n))
+
+
+#: Bodies of which every word of prose is the article's, whatever names or markup are around them.
+WHOLE = {
+    "heading": (f"<div class='entry-header'><h1>Big title here</h1></div><p>{_prose(50)}</p>", f"Big title here {_prose(50)}"),
+    "byline": (f"<h1>Title</h1><p class='meta'>By some one</p><p>{_prose(50)}</p>", f"Title By some one {_prose(50)}"),
+    "formula": (f"<p>{_prose(30)} <math><mi>x</mi></math> after</p>", f"{_prose(30)} x after"),
+    "named": (f"<section id='form-validation'><h2>Form validation</h2><p>{_prose(40, 'v')}</p></section><p>{_prose(40)}</p>", f"Form validation {_prose(40, 'v')} {_prose(40)}"),
+    "quote": (f"<p>{_prose(30)}</p><blockquote class='alert'><p>a quoted alarm</p></blockquote><p>{_prose(20)}</p>", f"{_prose(30)} a quoted alarm {_prose(20)}"),
+    "long menu": (f"<p>{_prose(60)}</p><div class='menu'>{_prose(3000, 'm')}</div><nav>{_prose(900, 'n')}</nav><p>{_prose(50, 't')}</p>", f"{_prose(60)} {_prose(50, 't')}"),
+    "breaks": ("<p>first words of it</p>" + "<br>" * 50 + f"<p>{_prose(60)}</p>", f"first words of it {_prose(60)}"),
+    "parts": (f"<p>{_prose(30)}</p><div class='ad'>buy this now</div><form><label>name</label><input></form><p>{_prose(30, 't')}</p><div id='comments'><h3>Two comments</h3><p>{_prose(40, 'c')}</p></div>", f"{_prose(30)} {_prose(30, 't')}"),
+}
+
+
+@pytest.mark.parametrize("body", WHOLE)
+@pytest.mark.parametrize("start, end", [("<article>", "</article>"), ("<main>", "</main>"), ("<div class='content'>", "</div>"), ("<div>", "</div>")])
+def test_article_stays_whole(body, start, end):
+    from wirespan.llm.html_text import main_text
+
+    page = f"<html><body><header><p>Site name</p></header><ul class='menu'><li><a href='/'>Home</a></li></ul>{start}{WHOLE[body][0]}{end}<aside><p>{_prose(30, 's')}</p></aside><footer><p>All rights reserved by us</p></footer></body></html>"
+    assert main_text(page) == WHOLE[body][1]
+
+
+def test_best_run_is_the_best_of_all():
+    from wirespan.llm.html_text import best_run
+
+    rng = random.Random(5)
+    for _ in range(300):
+        values = [rng.choice([-4, -1, -0.25, 0, 0.5, 1, 3]) for _ in range(rng.randrange(12))]
+        start, stop = best_run(values)
+        every = [sum(values[i:j]) for i in range(len(values)) for j in range(i + 1, len(values) + 1)]
+        assert sum(values[start:stop]) == max([0, *every])
+
+
+def test_words_and_tags_have_graded_weights():
+    from wirespan.llm.html_text import labelled_pages, main_text, weights
+
+    _, words, tags = weights()
+    assert len({round(v, 3) for v in words.values()}) > 20 and all(v < 0 for v in tags.values())
+    for page in labelled_pages():  # what was learned tells the labelled pages themselves apart
+        got = main_text(page).split()
+        own = [w for w in re.sub(r"<[^>]*>", " ", page).split() if w[0] == "w"]
+        kept = sum(w[0] == "w" for w in got)
+        assert kept >= 0.95 * len(got) and kept >= 0.9 * len(own)
