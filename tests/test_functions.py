@@ -82,6 +82,7 @@ def test_texts(spark):
     assert one(spark, T.flattened(F.col("t"), 5), t=" a  b\nc d e") == "a b …"
     assert one(spark, T.entropy(F.col("t")), t="aabb") == pytest.approx(1.0)
     assert djb2("hello") == format((lambda s: __import__("functools").reduce(lambda h, c: (h * 33 + ord(c)) % 2**32, s, 5381))("hello"), "x")
+    assert T.fuzzy_score("ab c/d", "") == 0 and T.fuzzy_score("ab c/d", "ab cd") == 6 + 4 + 2 + 4 + 2 + 4 and T.fuzzy_score("x-ab", "ab") == 6
     assert T.fuzzy_score("open session", "os") > T.fuzzy_score("close", "os") >= 0 and T.fuzzy_score("abc", "cb") == -1
 
 
@@ -111,7 +112,10 @@ def test_redaction(spark):
     assert redact.redact_string("sk-short and task-force is plain") == "sk-short and task-force is plain"
     key = "Ab3/dEf6hIj9lMn2pQr5tUv8xYz1Kw4+sGo7Bc0D"
     assert len(key) == 40 and redact.redact_string(key, "strict") == "[REDACTED:aws_secret_access_key]" and redact.redact_string(key) == key
-    assert redact.redact_string("DB_PASSWORD='h4x0r9q2w8e7z1'", "strict") == "DB_PASSWORD='[REDACTED:env_secret]'"
+    strict = lambda t: redact.redact_string(t, "strict")
+    assert strict('DB_PASSWORD="h4x0r9q2w8e7z1"') == 'DB_PASSWORD="[REDACTED:env_secret]"' and strict("DB_PASSWORD = h4x0r9q2w8e7z1") == "DB_PASSWORD=[REDACTED:env_secret]"
+    for kept in ("TOKEN=h4x0r9q2w8e7z1", "DB_PASSWORDS=h4x0r9q2w8e7z1", "DB_PASSWORD='h4x0r9q2w8e7z1'", 'DB_PASSWORD="h4x0r9q2w8e7z1', "db_password=h4x0r9q2w8e7z1"):
+        assert strict(kept) == kept
     assert redact.redact_string("a" * 40, "strict") == "a" * 40
     pair = {"request": {"headers": {"x": key}, "body": {"m": [tokens()["github_token"]]}}, "response": None}
     assert redact.redact_pair(pair)["request"] == {"headers": {"x": key}, "body": {"m": ["[REDACTED:github_token]"]}}
@@ -130,6 +134,7 @@ def test_queries_of_search():
 
 def test_line_diff():
     assert diff.diff_lines("a\nb\nc", "a\nx\nc") == [("context", "a"), ("del", "b"), ("add", "x"), ("context", "c")]
+    assert diff.diff_lines("", "a\nb") == [("add", "a"), ("add", "b")] and diff.diff_lines("a", "") == [("del", "a")] and diff.diff_lines("", "") == []
     assert diff.diff_lines("a\nb", "b\na") == [("del", "a"), ("context", "b"), ("add", "a")]
     assert [o for o, _ in diff.diff_lines("a\nb", "c\nd", cells=1)] == ["del", "del", "add", "add"]
 

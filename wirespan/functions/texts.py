@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -126,18 +127,34 @@ def entropy(text: Column) -> Column:
     return run(text)
 
 
+def _places(text: str, query: str) -> list[list[int]] | None:
+    """For each word of query where its letters are first found in text, one after the other; None where one is not."""
+    found, start = [], 0
+    for word in query.split(" "):
+        word_places = []
+        for letter in word:
+            place = text.find(letter, start)
+            if place < 0:
+                return None
+            word_places.append(place)
+            start = place + 1
+        found.append(word_places)
+    return found
+
+
 def fuzzy_score(text: str, query: str) -> int:
-    """Score of query as a subsequence of text: each letter counts the length of its streak twice, and 4 more at the
-    start of a word; -1 where it is none."""
-    low, at, streak, score = text.lower(), 0, 0, 0
-    for c in query.lower():
-        found = low.find(c, at)
-        if found < 0:
-            return -1
-        streak = streak + 1 if found == at and at else 1
-        score += 2 * streak + (4 if found == 0 or not low[found - 1].isalnum() else 0)
-        at = found + 1
-    return score
+    """Score of query as a subsequence of text, case aside; -1 where it is none.
+
+    n letters of a word that are found next to each other score n (n + 1), and each letter found at the start, after a
+    space or after a slash 4 more. Spaces in query only part its words.
+    """
+    text = text.lower()
+    words = _places(text, query.lower())
+    if words is None:
+        return -1
+    runs = [len(list(run)) for word in words for _, run in groupby(place - k for k, place in enumerate(word))]
+    starts = sum(place == 0 or text[place - 1] in " /" for word in words for place in word)
+    return sum(n * (n + 1) for n in runs) + 4 * starts
 
 
 def fuzzy(text: Column, query: str) -> Column:

@@ -93,10 +93,10 @@ def _suffix_rows(x: list[str], y: list[str]):
 def diff_lines(a: str, b: str, cells: int | None = None) -> list[tuple[str, str]]:
     """('context', 'del' or 'add', line) of a shortest edit by longest common subsequence; deletions first on ties.
 
-    With cells, as a dashboard has it, texts that differ over more pairs of lines than that count as changed whole.
+    An empty text has no lines. With cells, as a dashboard has it, texts that differ over more pairs of lines than that count as changed whole.
     Common lines at the start are set aside first, and for that count those at the end.
     """
-    x, y = a.split("\n"), b.split("\n")
+    x, y = (t.split("\n") if t else [] for t in (a, b))
     head = 0
     while head < min(len(x), len(y)) and x[head] == y[head]:
         head += 1

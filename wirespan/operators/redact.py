@@ -33,7 +33,7 @@ STANDARD = (
 #: Strict detectors: 40 characters of both cases and digits with entropy over 4, and assigned secrets.
 STRICT_KEY = r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"
 STRICT_KEY_BITS = 4.0
-STRICT_ENV = r"(?<![A-Za-z0-9_])((?:[A-Z][A-Z0-9_]*)?(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD|PASS|PWD|CREDENTIAL)S?[ \t]*=[ \t]*[\"']?)([^\s\"';,]{12,})"
+STRICT_ENV = r"""(?<![A-Za-z0-9_])([A-Z][A-Z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD|PASS|PWD|CREDENTIAL))\s*=\s*("?)([^\s"';,]{12,})\2"""
 STRICT_ENV_BITS = 3.2
 PLACEHOLDER = r"\[REDACTED:[a-z_]+\]"
 
@@ -68,7 +68,7 @@ def redact_string(text: str, mode: str = "standard") -> str:
         text = pattern.sub(f"{before}[REDACTED:{kind}]", text)
     if mode == "strict":
         text = _STRICT_KEY.sub(lambda m: "[REDACTED:aws_secret_access_key]" if _is_key(m[0]) else m[0], text)
-        text = _STRICT_ENV.sub(lambda m: m[1] + "[REDACTED:env_secret]" if not _PLACEHOLDER.match(m[2]) and bits(m[2]) > STRICT_ENV_BITS else m[0], text)
+        text = _STRICT_ENV.sub(lambda m: f"{m[1]}={m[2]}[REDACTED:env_secret]{m[2]}" if not _PLACEHOLDER.match(m[3]) and bits(m[3]) > STRICT_ENV_BITS else m[0], text)
     return text
 
 
@@ -97,7 +97,7 @@ def find_secrets(text: str, mode: str = "standard") -> list[tuple[str, str]]:
     found = [(kind, m[m.lastindex or 0]) for kind, pattern, _ in _STANDARD for m in pattern.finditer(text)]
     if mode == "strict":
         found += [("aws_secret_access_key", m[0]) for m in _STRICT_KEY.finditer(text) if _is_key(m[0])]
-        found += [("env_secret", m[2]) for m in _STRICT_ENV.finditer(text) if bits(m[2]) > STRICT_ENV_BITS]
+        found += [("env_secret", m[3]) for m in _STRICT_ENV.finditer(text) if bits(m[3]) > STRICT_ENV_BITS]
     return [(kind, token) for kind, token in found if not _PLACEHOLDER.match(token)]
 
 
