@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wirespan.functions.times import GRANULARITIES, parse_when
 from wirespan.operators import atif, diff, redact, trajectory, usage
+from wirespan.serve import as_json, serve
 from wirespan.session import session
 from wirespan.sources import logs
 from wirespan.sources.store import Store
@@ -20,12 +21,15 @@ from wirespan.sources.wire import decoded
 DAYS = 30
 
 
-def show(df, as_json: bool, limit: int = 1000) -> None:
-    rows = df.limit(limit)
-    if as_json:
-        print(json.dumps([json.loads(r) for r in rows.toJSON().collect()], indent=2, ensure_ascii=False))
-    else:
-        rows.show(limit, truncate=60)
+def show(df, json_rows: bool) -> None:
+    """All rows, read partition by partition: a JSON list, or a line each."""
+    if json_rows:
+        for part in as_json(df):
+            print(part, end="\n" if part.startswith(("[", "]", "{", ", ")) else "")
+        return
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join("" if x is None else " ".join(str(x).split()) for x in row))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -61,8 +65,8 @@ def parser() -> argparse.ArgumentParser:
     out = sub.add_parser("atif")
     out.add_argument("log")
     out.add_argument("--redact", choices=("off", "standard", "strict"), default="standard")
-    serve = sub.add_parser("serve")
-    serve.add_argument("--port", type=int, default=4848)
+    served = sub.add_parser("serve")
+    served.add_argument("--port", type=int, default=4848)
     return p
 
 
@@ -103,8 +107,6 @@ def main(argv: list[str] | None = None) -> int:
         docs = [json.loads(r.document) for r in atif.documents(turns, trajectory.steps(turns), a.redact).collect()]
         print(json.dumps(docs[0] if len(docs) == 1 else docs, indent=2, ensure_ascii=False))
     else:
-        from wirespan.serve import serve
-
         serve(store, a.port)
     return 0
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlparse
 
@@ -17,19 +18,35 @@ from wirespan.sources import logs
 from wirespan.sources.store import Store
 
 POLL_S = 1.5
-ROWS = 1000
 
 
-def rows_of(df: DataFrame, limit: int = ROWS) -> list[dict]:
-    return [json.loads(x) for x in df.limit(limit).toJSON().collect()]
+def rows_of(df: DataFrame) -> list[dict]:
+    return [json.loads(x) for x in df.toJSON().toLocalIterator()]
 
 
 def one_of(df: DataFrame) -> dict:
-    return next(iter(rows_of(df, 1)), {})
+    return next(iter(rows_of(df.limit(1))), {})
+
+
+def as_json(value) -> Iterator[str]:
+    """JSON text in parts; a DataFrame is a list of its rows, however many, read partition by partition."""
+    if isinstance(value, DataFrame):
+        yield "["
+        for i, row in enumerate(value.toJSON().toLocalIterator()):
+            yield f", {row}" if i else row
+        yield "]"
+    elif isinstance(value, dict):
+        for i, (key, one) in enumerate(value.items()):
+            yield f"{', ' if i else '{'}{json.dumps(key)}: "
+            yield from as_json(one)
+        yield "}" if value else "{}"
+    else:
+        yield json.dumps(value, ensure_ascii=False)
 
 
 class Api:
-    """Answers by route; each takes the query's parameters and returns what becomes JSON, or None for none."""
+    """Answers by route; each takes the query's parameters and returns what becomes JSON, or None for none. Lists of rows
+    are whole unless the query names a limit; search has one of its own."""
 
     def __init__(self, store: Store):
         self.store = store
@@ -55,20 +72,20 @@ class Api:
         if "agent" in filters:
             filters["agent_part"] = filters.pop("agent")
         more = {"min_cost": float(q["minCost"])} if q.get("minCost") else {}
-        return rows_of(self.store.list_sessions(tool=q.get("tool"), errored=q.get("errored") == "1", text=q.get("text"), sort=q.get("sort", "started_at"), descending=q.get("dir") != "asc", limit=float(q.get("limit", ROWS)), **filters, **more))
+        return self.store.list_sessions(tool=q.get("tool"), errored=q.get("errored") == "1", text=q.get("text"), sort=q.get("sort", "started_at"), descending=q.get("dir") != "asc", limit=float(q["limit"]) if q.get("limit") else None, **filters, **more)
 
     def get_search(self, q):
-        return rows_of(self.store.search(q.get("q", ""), limit=int(q.get("limit", 20)), tool=q.get("tool"), errored=q.get("errored") == "1", **self.filters(q)))
+        return self.store.search(q.get("q", ""), limit=int(q.get("limit", 20)), tool=q.get("tool"), errored=q.get("errored") == "1", **self.filters(q))
 
     def get_session(self, q, session_id=""):
         head = one_of(self.store.get_session(session_id))
         requests = self.store.list_requests(session_id)
-        return head | {"steps": rows_of(self.store.list_steps(session_id)), "requests": rows_of(requests), "compactions": rows_of(fleet.compactions(requests)), "layout": rows_of(fleet.waterfall(requests))} if head else None
+        return head | {"steps": self.store.list_steps(session_id), "requests": requests, "compactions": fleet.compactions(requests), "layout": fleet.waterfall(requests)} if head else None
 
     def get_usage(self, q):
         events = self.store.usage_events(**self.filters(q))
         rows = usage.usage_rows(events, q.get("granularity", "daily"), q.get("breakdown") == "1", q.get("tz", "UTC")).orderBy("bucket", "label")
-        return {"rows": rows_of(rows), "totals": one_of(usage.usage_totals(events)), "unpriced": [r["model"] for r in rows_of(usage.unpriced_models(events))]}
+        return {"rows": rows, "totals": one_of(usage.usage_totals(events)), "unpriced": [r["model"] for r in rows_of(usage.unpriced_models(events))]}
 
     def get_analytics(self, q):
         requests, heads = self.store._of_sessions("requests"), self.store.sessions()
@@ -76,19 +93,19 @@ class Api:
         tops = heads.orderBy(F.coalesce("cost_usd", F.lit(0.0)).desc(), "session_id").limit(8)
         wire = requests.agg(F.count("*").alias("requests"), F.count_if("errored").alias("errored"))
         return {
-            "totals": one_of(fleet.totals(events)) | one_of(wire), "agents": rows_of(fleet.per_agent(events).orderBy(F.desc("cost_usd"))), "projects": rows_of(fleet.per_project(events).orderBy(F.desc("cost_usd"))), "trend": rows_of(fleet.daily_trend(events)),
-            "models": rows_of(fleet.wire_metrics(requests).orderBy(F.desc("requests"))), "tools": rows_of(usage.merged_histogram(heads, 20)), "top_sessions": rows_of(tops), "compactions": one_of(fleet.compaction_summary(requests)),
+            "totals": one_of(fleet.totals(events)) | one_of(wire), "agents": (fleet.per_agent(events).orderBy(F.desc("cost_usd"))), "projects": (fleet.per_project(events).orderBy(F.desc("cost_usd"))), "trend": (fleet.daily_trend(events)),
+            "models": (fleet.wire_metrics(requests).orderBy(F.desc("requests"))), "tools": (usage.merged_histogram(heads, 20)), "top_sessions": (tops), "compactions": one_of(fleet.compaction_summary(requests)),
         }
 
     def get_prompts(self, q):
-        return rows_of(self.store.prompts(q.get("agent"), int(q.get("limit", ROWS))))
+        return self.store.prompts(q.get("agent"), int(q["limit"]) if q.get("limit") else None)
 
     def get_prompt(self, q, prefix=""):
         found = one_of(self.store.get_prompt(prefix))
         if not found:
             return None
         used = self.store._of_sessions("requests").filter(F.col("prompt_hash") == found["prompt_hash"]).groupBy("session_id").agg(F.max("ts").alias("last_used"))
-        return found | {"sessions": rows_of(used.orderBy(F.col("last_used").desc_nulls_last(), "session_id"))}
+        return found | {"sessions": used.orderBy(F.col("last_used").desc_nulls_last(), "session_id")}
 
     def get_audit(self, q):
         mode = redact.parse_mode(q.get("mode"))
@@ -97,7 +114,10 @@ class Api:
         if key not in self.audits:
             pairs = logs.pairs(self.store.spark, self.store.log_files(), loose=True)
             found = redact.scanned(pairs, mode)
-            self.audits = {key: {"mode": mode, "groups": rows_of(redact.grouped(found).orderBy(F.desc("egress_count"), "fingerprint")), "totals": one_of(redact.audit_totals(found)), "redact_check": one_of(redact.redact_check(pairs))}}
+            groups = redact.grouped(found).orderBy(F.desc("egress_count"), "fingerprint").persist()
+            for old in self.audits.values():
+                old["groups"].unpersist()
+            self.audits = {key: {"mode": mode, "groups": groups, "totals": one_of(redact.audit_totals(found)), "redact_check": one_of(redact.redact_check(pairs))}}
         return self.audits[key]
 
     def signature(self) -> str:
@@ -130,7 +150,15 @@ def handler(api: Api) -> type[BaseHTTPRequestHandler]:
                 found = api.answer(url.path, {k: v[0] for k, v in parse_qs(url.query).items()})
             except (ValueError, LookupError) as e:
                 return self.send(400, json.dumps({"error": str(e)}).encode())
-            self.send(404 if found is None else 200, json.dumps({"error": "not found"} if found is None else found, ensure_ascii=False).encode())
+            if found is None:
+                return self.send(404, b'{"error": "not found"}')
+            # Without a length, as rows are sent as they come; the connection's end is theirs.
+            self.send_response(200)
+            self.send_header("content-type", "application/json; charset=utf-8")
+            self.end_headers()
+            if self.command != "HEAD":
+                for part in as_json(found):
+                    self.wfile.write(part.encode())
 
         do_HEAD = do_GET
 
