@@ -87,6 +87,24 @@ def test_documents(spark):
     assert docs[0]["final_metrics"]["total_prompt_tokens"] == 5 and docs[0]["steps"][0]["timestamp"] == "2024-04-01T19:33:20.000Z"
 
 
+def test_subagents_go_to_the_first_free_run(spark):
+    def run(name, message, *prompts):
+        calls = [{"type": "tool_use", "id": f"{name}{i}", "name": "Task", "input": p} for i, p in enumerate(prompts)]
+        return L.pair({"model": "m", "system": name, "messages": [{"role": "user", "content": message}]}, {"body": {"content": calls or [{"type": "text", "text": "done"}], "usage": {"input_tokens": 5, "output_tokens": 1}}})
+
+    top = run("top", "go", {"prompt": "count"}, {"prompt": "count"}, {"prompt": 5}, {"description": "sort the words at once"}, {"prompt": "none of them"})
+    subs = [run("a", "please count"), run("b", "sort the words"), run("c", "count the words"), run("d", "something else")]
+    docs = [json.loads(r.document) for r in atif.documents(*rebuilt(spark, [top, *subs], [top, subs[0], top | {"request": top["request"] | {"body": top["request"]["body"] | {"system": "other"}}}])).collect()]
+    alone, nested = sorted(docs, key=lambda d: "subagent_trajectories" in d)[:-1], next(d for d in docs if "subagent_trajectories" in d)
+    inner = [d["steps"][0]["message"] for d in nested["subagent_trajectories"]]
+    assert inner == ["please count", "sort the words", "count the words", "something else"]
+    message = {d["trajectory_id"]: d["steps"][0]["message"] for d in nested["subagent_trajectories"]}
+    results = nested["steps"][1]["observation"]["results"]
+    # By prompt, by prompt again, none (its place is taken), by prompt, none (there is no fifth run).
+    assert [(r["source_call_id"], message[r["subagent_trajectory_ref"][0]["trajectory_id"]]) for r in results] == [("top0", "please count"), ("top1", "count the words"), ("top3", "sort the words")]
+    assert len(alone) == 3  # two runs of the second log call tasks, so none is put under another
+
+
 def test_audit(spark):
     token = tokens()["github_token"]
     leak = L.pair({"model": "m", "messages": [{"role": "user", "content": "use " + token}]}, {"body_raw": "echo " + token})
@@ -138,6 +156,12 @@ def test_store(spark, tmp_path):
             urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", method=method))
         assert e.value.code == status
     server.shutdown()
+    # A log that is replaced by one without a call leaves nothing behind, and one that can't be read stops no other.
+    L.write(tmp_path / "work" / ".codex-trace" / "log.jsonl", [L.pair({"x": 1})])
+    (tmp_path / "work" / ".codex-trace" / "odd.jsonl").write_bytes(b"\xff\xfe{broken\x00\n")
+    assert store.index_paths([str(tmp_path / "work")]) == {"files_indexed": 2, "files_skipped": 2, "sessions": 0, "steps": 0}
+    assert store.sessions().count() == 2 and store.steps().count() == 6 and store.usage_events(agent="codex").count() == 0
+    assert {r.agent for r in store.list_sessions().collect()} == {"claude", "gemini"}
 
 
 def test_reading_logs(spark, tmp_path):

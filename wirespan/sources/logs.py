@@ -55,13 +55,14 @@ def agent_calls(pairs: DataFrame, agent: str, url: str = "url") -> DataFrame:
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """source_path, line (from 0, in the file's order) and raw of every line that is not blank; missing files give none.
+    """source_path, line (from 0, in the file's order) and raw of every line that is not blank. Missing files and those
+    that can't be opened give none, and a file that can't be read to its end gives the lines before.
 
     A block of a file is read in order by one task, so the block's start and the row's number within it order lines.
     """
     if not paths:
         return spark.createDataFrame([], "source_path string, line long, raw string")
-    text = spark.read.option("lineSep", "\n").option("ignoreMissingFiles", True).text(list(paths))
+    text = spark.read.option("lineSep", "\n").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).text(list(paths))
     text = text.select(F.expr("_metadata.file_path").alias("file"), F.expr("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.trim(F.regexp_replace("value", "\r$", "")).alias("raw"))
     place = F.row_number().over(Window.partitionBy("file").orderBy("block", "n")) - 1
     plain = F.regexp_replace(F.url_decode("file"), "^file:/*", "/")
@@ -91,7 +92,7 @@ def hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
     """source_path, content_hash, mtime_ms, size of each file that is there."""
     if not paths:
         return spark.createDataFrame([], "source_path string, content_hash string, mtime_ms long, size long")
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(list(paths))
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(list(paths))
     return files.select(F.regexp_replace(F.url_decode("path"), "^file:/*", "/").alias("source_path"), F.sha2("content", 256).alias("content_hash"), (F.unix_micros("modificationTime") / 1000).cast("long").alias("mtime_ms"), F.col("length").alias("size"))
 
 

@@ -1,7 +1,9 @@
 """A store of traces: Parquet tables under one folder, rebuilt source by source as logs change.
 
-Every table is partitioned by source_path, and a changed log overwrites its partitions alone. The prompt registry is
-only added to: a prompt stays when its log goes.
+Every table is partitioned by source_path, and a changed log overwrites its partitions alone. Rows carry the hash of the
+log they come from, and only those of a log's last hash count: what an older one left behind is not read, and a run that
+breaks off changes nothing that is read before the table of files, the last to be written, names the new hashes. The
+prompt registry is only added to: a prompt stays when its log goes.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from wirespan.sources import logs
 from wirespan.sources.wire import decoded
 
 #: Tables of another version are left aside and built anew.
-VERSION = 1
+VERSION = 2
 TABLES = ("files", "turns", "steps", "sessions", "requests", "usage_events", "terms", "prompts")
 
 
@@ -41,7 +43,16 @@ class Store:
     def table(self, name: str) -> DataFrame:
         if not self.has(name):
             raise LookupError(f"nothing is indexed in {self.folder}")
-        return self.spark.read.option("mergeSchema", name == "prompts").parquet(self.path(name))
+        rows = self.spark.read.option("mergeSchema", name == "prompts").parquet(self.path(name))
+        if name in ("files", "prompts"):
+            return rows
+        return rows.join(self.table("files").select("source_path", "content_hash"), ["source_path", "content_hash"], "left_semi").drop("content_hash")
+
+    def _written(self, rows: DataFrame, name: str, new: DataFrame) -> DataFrame:
+        """rows written as those of the logs new (source_path, content_hash), and read again."""
+        rows = rows.join(new, "source_path")
+        self._write(rows, name)
+        return self.spark.read.schema(rows.schema).parquet(self.path(name)).join(new, ["source_path", "content_hash"], "left_semi").drop("content_hash")
 
     def _write(self, rows: DataFrame, name: str) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_path").parquet(self.path(name))
@@ -52,29 +63,28 @@ class Store:
         found = logs.hashes(self.spark, paths)
         if self.has("files"):
             found = logs.changed(found, self.table("files"))
-        new = [r.source_path for r in found.select("source_path").toLocalIterator()]
+        # Read once: a file may change meanwhile, and its rows must carry the hash under which it will be known.
+        found = self.spark.createDataFrame(found.collect(), found.schema)
+        new = [r.source_path for r in found.collect()]
         counts = {"files_indexed": len(new), "files_skipped": len(paths) - len(new), "sessions": 0, "steps": 0}
         if not new:
             return counts
+        own = found.select("source_path", "content_hash")
         # Spark can't read the partitions that it overwrites, and steps are used several times: a table in between.
-        self._write(trajectory.conversations(decoded(logs.pairs(self.spark, new))), "turns")
-        turns = self.table("turns").filter(F.col("source_path").isin(new))
-        self._write(trajectory.steps(turns), "steps")
-        steps = self.table("steps").filter(F.col("source_path").isin(new))
-        heads = trajectory.session_rows(turns, steps, self.prices).withColumn("project_cwd", project_of(F.col("source_path")))
-        self._write(heads, "sessions")
-        heads = self.table("sessions").filter(F.col("source_path").isin(new))
+        turns = self._written(trajectory.conversations(decoded(logs.pairs(self.spark, new))), "turns", own)
+        steps = self._written(trajectory.steps(turns), "steps", own)
+        heads = self._written(trajectory.session_rows(turns, steps, self.prices).withColumn("project_cwd", project_of(F.col("source_path"))), "sessions", own)
         requests = trajectory.request_rows(turns, steps)
-        self._write(requests.drop("system_prompt"), "requests")
-        self._write(trajectory.usage_rows(steps, heads, self.prices), "usage_events")
+        self._written(requests.drop("system_prompt"), "requests", own)
+        self._written(trajectory.usage_rows(steps, heads, self.prices), "usage_events", own)
         texts = trajectory.search_rows(steps)
         terms = S.index_terms(texts.withColumn("session_id", F.concat_ws("\0", "source_path", "session_id")))
-        self._write(terms.withColumns({"source_path": F.split("session_id", "\0")[0], "session_id": F.split("session_id", "\0")[1]}), "terms")
+        self._written(terms.withColumns({"source_path": F.split("session_id", "\0")[0], "session_id": F.split("session_id", "\0")[1]}), "terms", own)
         calls = requests.filter("prompt_hash <> ''").select("agent", "session_id", F.when(F.col("ts") > 0, F.col("ts")).alias("ts"), "seq", F.col("system_prompt").alias("prompt"))
         sessions.prompt_registry(calls).write.mode("append").parquet(self.path("prompts"))
-        stamped = logs.hashes(self.spark, new).withColumn("indexed_at", F.current_timestamp())
-        self._write(stamped, "files")
-        return counts | {"sessions": heads.count(), "steps": steps.count()}
+        counts |= {"sessions": heads.count(), "steps": steps.count()}
+        self._write(found.withColumn("indexed_at", F.current_timestamp()), "files")
+        return counts
 
     def sessions(self) -> DataFrame:
         """One row a session_id: that of the last source by path, where several hold it."""

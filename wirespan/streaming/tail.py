@@ -98,12 +98,12 @@ def follow(spark: SparkSession, roots: list[str], folder: str, on_change: Callab
     from wirespan.sources.wire import decoded
 
     def batch(rows: DataFrame, number: int) -> None:
-        touched = [r.source_path for r in rows.select("source_path").distinct().collect()]
-        if not touched:
+        if rows.isEmpty():
             return
+        touched = rows.select("source_path").distinct()
         # A batch that runs again overwrites what it wrote; a log read anew from its start repeats places, of which the last counts.
         rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/pairs")
-        known = spark.read.parquet(f"{folder}/pairs").filter(F.col("source_path").isin(touched))
+        known = spark.read.parquet(f"{folder}/pairs").join(touched, "source_path", "left_semi")
         latest = known.groupBy("source_path", "pair_index").agg(F.max_by("raw", "batch").alias("raw"))
         on_change(trajectory.steps(trajectory.conversations(decoded(latest))), number)
 
