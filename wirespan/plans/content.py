@@ -100,7 +100,7 @@ def snippet(spark, sf_dir):
     return B.steps(spark, sf_dir).select("observation").distinct().withColumn("snippet", T.snippet(F.col("observation"), ["denied", "make"]))
 
 
-@query("volatile_normalize", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace('Generated 2026-01-02 03:04:05 cch=0a' || doc_id || '; <system-reminder>x' || chr(10) || 'y</system-reminder> The user opened the file a' || doc_id || '.py in the IDE. ' || substr(coalesce(text, ''), 1, 40), 'Generated \d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}', 'Generated [TIMESTAMP]', 'g'), 'The user opened the file [^\s]+ in the IDE\.', 'The user opened file in IDE.', 'g'), '<system-reminder>.*?</system-reminder>', '[SYSTEM-REMINDER]', 'gs'), 'cch=[0-9a-f]+;?', 'cch=[HASH];', 'g') AS text FROM documents")
+@query("volatile_normalize", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace('Generated 2026-01-02 03:04:05 cch=0a' || doc_id || '; <system-reminder>x' || chr(10) || 'y</system-reminder> The user opened the file a' || doc_id || '.py in the IDE. ' || coalesce(text, ''), 'Generated \d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}', 'Generated [TIMESTAMP]', 'g'), 'The user opened the file [^\s]+ in the IDE\.', 'The user opened file in IDE.', 'g'), '<system-reminder>.*?</system-reminder>', '[SYSTEM-REMINDER]', 'gs'), 'cch=[0-9a-f]+;?', 'cch=[HASH];', 'g') AS text FROM documents")
 def volatile_normalize(spark, sf_dir):
     d = B.table(spark, sf_dir, "documents")
     text = F.expr(r"concat('Generated 2026-01-02 03:04:05 cch=0a', cast(doc_id as string), '; <system-reminder>x\ny</system-reminder> The user opened the file a', cast(doc_id as string), '.py in the IDE. ', coalesce(text, ''))")
@@ -158,7 +158,7 @@ def audit_strict(spark, sf_dir):
     return rows.select("doc_id", redact.redaction_count(F.col("text")).alias("n"))
 
 
-@query("entropy", "WITH c AS (SELECT doc_id, length(t) AS n, unnest(string_split(t, '')) AS c FROM (SELECT doc_id, substr(text, 1, 40) AS t FROM documents WHERE text <> '')), k AS (SELECT doc_id, n, c, count(*) AS m FROM c GROUP BY ALL) SELECT doc_id, round(-sum(m / n::DOUBLE * log2(m / n::DOUBLE)), 6) AS bits FROM k GROUP BY 1")
+@query("entropy", "WITH c AS (SELECT doc_id, length(t) AS n, unnest(string_split(t, '')) AS c FROM (SELECT doc_id, text AS t FROM documents WHERE text <> '')), k AS (SELECT doc_id, n, c, count(*) AS m FROM c GROUP BY ALL) SELECT doc_id, round(-sum(m / n::DOUBLE * log2(m / n::DOUBLE)), 6) AS bits FROM k GROUP BY 1")
 def entropy(spark, sf_dir):
     d = B.table(spark, sf_dir, "documents").filter("text <> ''")
     return d.select("doc_id", F.round(T.entropy(F.col("text")), 6).alias("bits"))
@@ -232,7 +232,7 @@ def shape_diff(spark, sf_dir):
     return diff.shape_diff(shape(0), shape(1))
 
 
-@query("model_diff", f"WITH {B.REQUESTS_SQL}, f AS (SELECT session_id, model, min(seq) AS first_at FROM requests WHERE session_id IN ('u4', 'u5') GROUP BY ALL), m AS (SELECT session_id, list(model ORDER BY first_at, model) AS models FROM f GROUP BY 1) SELECT a.models AS models_a, len(a.models) > 1 AS swapped_a, b.models AS models_b, len(b.models) > 1 AS swapped_b, a.models <> b.models AS changed FROM m a, m b WHERE a.session_id = 'u4' AND b.session_id = 'u5'")
+@query("model_diff", f"WITH {B.REQUESTS_SQL}, f AS (SELECT {_HALF} AS half, model, min(ts) AS first_at FROM requests WHERE model IS NOT NULL GROUP BY ALL), m AS (SELECT half, list(model ORDER BY first_at, model) AS models FROM f GROUP BY 1) SELECT a.models AS models_a, len(a.models) > 1 AS swapped_a, b.models AS models_b, len(b.models) > 1 AS swapped_b, a.models <> b.models AS changed FROM m a, m b WHERE a.half = 0 AND b.half = 1")
 def model_diff(spark, sf_dir):
     # seq counts within a session, so the order over all sessions of a half is that of time.
     a, b = (diff.models_in_order(_run(spark, sf_dir, h).withColumn("seq", F.col("ts")), []) for h in (0, 1))
