@@ -75,5 +75,27 @@ def slices(batches: Iterator, rows: int = ROWS) -> Iterator:
             yield batch.slice(at, rows)
 
 
+def trimmed(run):
+    """run, a function of Arrow batches, giving the memory it has freed back to the system when it ends: workers are kept
+    for later stages, and their unused memory counts as the executor's."""
+
+    def trimming(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            del batches
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return trimming
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

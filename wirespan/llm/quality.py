@@ -163,8 +163,8 @@ def monotone(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def fit(stats: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
     """The model of labels (doc_id, column 0/1) over stats (doc_id, stats), from rows of folds other than 0 alone.
 
-    All labelled rows count; null labels and labels of absent documents don't. With too few labels, or one class only,
-    every score is the mean label (0.5 without labels).
+    All labelled rows count, a label that is given twice twice; null labels and labels of absent documents don't. With one
+    class only every score is the mean label (0.5 without labels); without labels in fold 1 raw scores stay uncalibrated.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("double").alias("y")).filter("y is not null and doc_id is not null")
     known = known.withColumn("fold", fold(F.col("doc_id"))).filter("fold <> 0")
@@ -180,7 +180,7 @@ def fit(stats: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
     mean = sums[2 : 2 + d] / max(n, 1)
     scale = np.sqrt(np.maximum(sums[2 + d :] / max(n, 1) - mean**2, 0))
     scale[scale < 1e-9] = 1.0
-    if n < 10 or positive in (0, n):
+    if positive in (0, n):
         level = positive / n if n else 0.5
         return Model(mean, scale, np.zeros(m), np.array([0.0, 1.0]), np.array([level, level]))
 

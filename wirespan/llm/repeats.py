@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, slices, stored
+from .common import release, slices, stored, trimmed
 from .shingles import mixed, text_bytes
 from .suffix_array import equal_windows
 
@@ -125,7 +125,7 @@ def text_segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
                             yield pa.RecordBatch.from_arrays([*found.columns[:4], at, found.column(5)], ["anchor", "content", "doc_id", "version", "at", "n"])
                 i = j
 
-    return _versioned(docs).mapInArrow(run, "anchor long, content long, doc_id long, version long, at int, n int")
+    return _versioned(docs).mapInArrow(trimmed(run), "anchor long, content long, doc_id long, version long, at int, n int")
 
 
 def _variants_removed(parts: DataFrame, window: int) -> DataFrame:
@@ -175,7 +175,7 @@ def _variants_removed(parts: DataFrame, window: int) -> DataFrame:
         if held:
             yield out()
 
-    return parts.select("anchor", "doc_id", "version", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, version long, s long, e long")
+    return parts.select("anchor", "doc_id", "version", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(run), "doc_id long, version long, s long, e long")
 
 
 def _shared_segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -210,7 +210,7 @@ def _segment_bytes(docs: DataFrame, first: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([p["anchor"] for p in parts], pa.int64()), pa.array([doc_id] * len(parts), pa.int64()), pa.array([version] * len(parts), pa.int64()), pa.array([p["at"] for p in parts], pa.int32()), pa.array([data[p["at"] : p["at"] + p["length"]] for p in parts], pa.binary())], ["anchor", "doc_id", "version", "at", "bytes"])
 
     texts = _versioned(docs).filter("text is not null")
-    parts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["version"] == wanted["of"])).select("doc_id", "version", "text", "wanted").mapInArrow(cut, "anchor long, doc_id long, version long, at int, bytes binary")
+    parts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["version"] == wanted["of"])).select("doc_id", "version", "text", "wanted").mapInArrow(trimmed(cut), "anchor long, doc_id long, version long, at int, bytes binary")
     return stored(parts, "segment-bytes")  # a segment that repeated rows cut twice is one place, which removes nothing
 
 
@@ -240,7 +240,7 @@ def _parted(rows: DataFrame, window: int, gram: int) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "lo", "hi", "lead", "doc_id", "version", "at", "bytes"])
 
-    return rows.select("key", "lo", "hi", "lead", "doc_id", "version", "at", "bytes").mapInArrow(run, "key long, lo int, hi int, lead int, doc_id long, version long, at int, bytes binary")
+    return rows.select("key", "lo", "hi", "lead", "doc_id", "version", "at", "bytes").mapInArrow(trimmed(run), "key long, lo int, hi int, lead int, doc_id long, version long, at int, bytes binary")
 
 
 def _anchor(data: bytes, gram: int) -> int:
@@ -333,4 +333,4 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, removed, spans))], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     joined = texts.join(gone, texts["doc_id"].eqNullSafe(gone["d"]) & (texts["version"] == gone["of"]), "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(keep, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(trimmed(keep), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
