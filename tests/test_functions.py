@@ -219,3 +219,32 @@ def test_model_diff_of_all_requests(spark):
             of[r.model] = min(of.get(r.model, r.ts), r.ts)
     a, b = (sorted(of, key=lambda m: (of[m], m)) for of in first)
     assert [tuple(r) for r in content.model_diff(spark, folder).collect()] == [(a, len(a) > 1, b, len(b) > 1, a != b)]
+
+
+def test_durations_and_dates(spark):
+    from wirespan.functions.times import parse_when
+    from wirespan.operators import display as D
+
+    rows = spark.createDataFrame([(m,) for m in (None, 0, 850, 3400, 12400, 303_000, 3_600_000, 7_500_000)], "ms long")
+    got = rows.select(D.report_duration(F.col("ms")), D.request_duration(F.col("ms")), D.list_duration(F.col("ms"))).collect()
+    assert [tuple(r) for r in got[1:]] == [("0s", "0ms", "—"), ("0.9s", "850ms", "1s"), ("3.4s", "3.4s", "3s"), ("12s", "12.4s", "12s"), ("5m 3s", "5m 3s", "5m3s"), ("1h 0m", "1h 0m", "1h0m"), ("2h 5m", "2h 5m", "2h5m")]
+    assert got[0][1:] == ("—", "—")
+    assert spark.range(1).select(D.minute_of(F.lit(1706691900.0)), D.minute_of(F.lit(0.0))).first()[:] == ("2024-01-31 09:05", "—")
+    assert parse_when("2024-01-31T09:05:00Z", True) == 1706691900 == parse_when("2024-01-31 10:05", tz="Europe/Paris")
+    with pytest.raises(ValueError):
+        parse_when("2024-31-01T00:00")
+
+
+def test_prompts_projects_and_appended_pairs(spark, tmp_path):
+    from wirespan.operators import fleet, sessions
+    from wirespan.sources import logs
+
+    registry = spark.createDataFrame([("a", "p1"), ("a", "p2"), ("a", "p3"), ("b", "p4")], "agent string, prompt_hash string")
+    assert sorted(r.prompt_hash for r in sessions.other_prompts(registry, "p2").collect()) == ["p1", "p3"] and sessions.other_prompts(registry, "p4").count() == 0
+    assert sorted(tuple(r) for r in sessions.prompts_beside(registry).collect()) == [("a", "p1", 2), ("a", "p2", 2), ("a", "p3", 2)]
+    requests = spark.createDataFrame([("s", 0, 5), ("s", 1, 2), ("s", 2, 3)], "session_id string, seq long, transcript_items int")
+    assert [r.items_from for r in fleet.with_compactions(requests).orderBy("seq").collect()] == [None, 5, None]
+    path = str(tmp_path / "log.jsonl")
+    token = tokens()["github_token"]
+    assert logs.append(path, {"request": {"url": "u", "body": token}}) and logs.append(path, {"request": {}}) and not logs.append(str(tmp_path), {})
+    assert open(path).read() == '{"request": {"url": "u", "body": "[REDACTED:github_token]"}}\n{"request": {}}\n'

@@ -127,6 +127,13 @@ def test_store(spark, tmp_path):
     assert [r.agent for r in store.list_sessions(tool="run_shell").collect()] == ["codex"]
     assert store.list_sessions(text="branches").count() == 1 and store.list_sessions(errored=True).count() == 0
     assert store.usage_events(agent="CODEX").count() == 2 and store.prompts().count() == 2
+    path = str(tmp_path / "work" / ".gemini-trace" / "log.jsonl")
+    steps = [r.message for r in store.load_session(path).collect()]
+    assert steps[0] == "Will Bergen stay dry?" and [r.message for r in store.load_session(path, "no such id").collect()] == steps
+    assert [r.session_id for r in store.newest(2).collect()] == [r.session_id for r in store.list_sessions().collect()][:2]
+    lost = Store(spark, str(tmp_path / "store"), {"gpt": (1, 1, 1, 1)})
+    costs = lambda s: {r.model: r.cost_usd for r in s.usage_events().groupBy("model").agg(F.sum("cost_usd").alias("cost_usd")).collect()}
+    assert costs(lost)["claude-sonnet-4"] == costs(store)["claude-sonnet-4"] > 0  # as it was when indexed
     # A log that grows replaces its own rows alone.
     more = L.codex()
     L.write(tmp_path / "work" / ".codex-trace" / "log.jsonl", more[:1])
@@ -185,6 +192,8 @@ def test_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
     main(["atif", a])
     assert json.loads(capsys.readouterr().out)["session_id"].startswith("claude:")
+    main(["atif", a, "--write"])
+    assert json.loads((tmp_path / "a.atif.json").read_text())["session_id"].startswith("claude:")
 
 
 def test_tail(spark, tmp_path):

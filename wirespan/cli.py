@@ -9,6 +9,7 @@ import sys
 
 from pyspark.sql import functions as F
 
+from wirespan.functions import prices as P
 from wirespan.functions.times import GRANULARITIES, parse_when
 from wirespan.operators import atif, diff, redact, trajectory, usage
 from wirespan.serve import as_json, serve
@@ -64,6 +65,7 @@ def parser() -> argparse.ArgumentParser:
     two.add_argument("b")
     out = sub.add_parser("atif")
     out.add_argument("log")
+    out.add_argument("--write", action="store_true", help="to a file beside the log")
     out.add_argument("--redact", choices=("off", "standard", "strict"), default="standard")
     served = sub.add_parser("serve")
     served.add_argument("--port", type=int, default=4848)
@@ -105,7 +107,12 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "atif":
         turns = trajectory.conversations(decoded(logs.pairs_or_fail(spark, [a.log])))
         docs = [json.loads(r.document) for r in atif.documents(turns, trajectory.steps(turns), a.redact).collect()]
-        print(json.dumps(docs[0] if len(docs) == 1 else docs, indent=2, ensure_ascii=False))
+        text = json.dumps(docs[0] if len(docs) == 1 else docs, indent=2, ensure_ascii=False)
+        if a.write:
+            with open(a.log.removesuffix(".jsonl") + ".atif.json", "w", encoding="utf-8") as f:
+                f.write(text + "\n")
+        else:
+            print(text)
     else:
         serve(store, a.port)
     return 0
@@ -128,16 +135,20 @@ def run_diff(spark, a: str, b: str):
     models = diff.model_diff(*(diff.models_in_order(t, ["run"]) for t in runs))
     prompts = [diff.representative_prompt(t.withColumn("prompt", F.col("diff_prompt"))) for t in runs]
     lines = diff.text_diffs(prompts[0].select(F.lit(1).alias("id"), F.col("prompt").alias("a")).crossJoin(prompts[1].select(F.col("prompt").alias("b"))))
-    counts = lambda s: s.agg(F.count("*").alias("steps"), F.count_if(F.col("role") == "user").alias("user_steps"), F.count_if(F.col("role") == "agent").alias("agent_steps"), F.coalesce(F.sum(F.size("tool_calls")), F.lit(0)).alias("tool_calls"), *(F.coalesce(F.sum(f"usage.{c}"), F.lit(0)).alias(c) for c in ("prompt_tokens", "completion_tokens", "cache_creation_tokens", "cache_read_tokens")))
+    tokens = ("prompt_tokens", "completion_tokens", "cache_creation_tokens", "cache_read_tokens")
+    counts = lambda s: s.agg(F.count("*").alias("steps"), F.count_if(F.col("role") == "user").alias("user_steps"), F.count_if(F.col("role") == "agent").alias("agent_steps"), F.coalesce(F.sum(F.size("tool_calls")), F.lit(0)).alias("tool_calls"), *(F.coalesce(F.sum(f"usage.{c}"), F.lit(0)).alias(c) for c in tokens), F.sum("usage.reasoning_tokens").alias("reasoning_tokens"))
+    prices = P.price_table(spark)
+    heads = lambda t, s: trajectory.session_rows(t, s, prices).agg(F.count("*").alias("trajectories"), F.sum("cost_usd").alias("cost_usd"))
+    profiles = [counts(s).crossJoin(heads(t, s)) for t, s in ((turns_a, steps_a), (turns_b, steps_b))]
     calls = lambda s: s.select(F.explode("tool_calls").alias("c")).groupBy(F.col("c.name").alias("name")).agg(F.count("*").alias("n"))
-    shape, tools, used = diff.shape_diff(counts(steps_a), counts(steps_b)), diff.tools_diff(tools_a, tools_b), diff.histogram_diff(calls(steps_a), calls(steps_b))
+    shape, tools, used = diff.run_shapes(*profiles), diff.tools_diff(tools_a, tools_b), diff.histogram_diff(calls(steps_a), calls(steps_b))
     none = F.lit(None)
     return (
         text(models, "model", F.lit("models"), F.array_join("models_a", ","), F.array_join("models_b", ","))
         .union(text(lines.filter("op <> 'context'"), "prompt", F.concat(F.col("op"), F.lit(" "), F.col("line")), F.when(F.col("op") == "del", F.col("text")), F.when(F.col("op") == "add", F.col("text"))))
-        .union(text(tools, "tools", F.col("name"), F.col("change"), none))
+        .union(text(tools.orderBy("name"), "tools", F.col("name"), F.col("change"), none))
         .union(text(shape, "shape", F.col("metric"), F.col("a"), F.col("b")))
-        .union(text(used, "calls", F.col("name"), F.col("n_a"), F.col("n_b")))
+        .union(text(used.orderBy("name"), "calls", F.col("name"), F.col("n_a"), F.col("n_b")))
     )
 
 

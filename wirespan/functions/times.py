@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import re
 from zoneinfo import ZoneInfo
 
@@ -36,7 +37,8 @@ def utc_day(seconds: Column) -> Column:
 
 
 def parse_when(text: str, end_of_day: bool = False, tz: str = "UTC", now: dt.datetime | None = None) -> float:
-    """Epoch seconds of 'today', 'yesterday', '<n>d' (days ago) or a date, at the start of that day in tz, or its end."""
+    """Epoch seconds of 'today', 'yesterday', '<n>d' (days ago) or a date, at the start of that day in tz, or its end; or of
+    an ISO date with a time (in tz, if it names no offset), in whole seconds."""
     zone = ZoneInfo(tz)
     today = (now or dt.datetime.now(zone)).astimezone(zone).date()
     text = text.strip().lower()
@@ -47,7 +49,11 @@ def parse_when(text: str, end_of_day: bool = False, tz: str = "UTC", now: dt.dat
     elif re.fullmatch(r"\d{4}-\d{2}-\d{2}", text):
         day = dt.date.fromisoformat(text)
     else:
-        raise ValueError(f"not a date: {text}")
+        try:
+            moment = dt.datetime.fromisoformat(text.upper())
+        except ValueError:
+            raise ValueError(f"not a date: {text}") from None
+        return math.floor((moment if moment.tzinfo else moment.replace(tzinfo=zone)).timestamp())
     return dt.datetime.combine(day, dt.time(), zone).timestamp() + (86399 if end_of_day else 0)
 
 

@@ -51,6 +51,14 @@ def shape_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.withColumn("delta", F.col("b") - F.col("a"))
 
 
+def run_shapes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """shape_diff of two runs; a metric that neither has (reasoning tokens, cost) is left out, one that one has is 0 in the
+    other."""
+    rows = shape_diff(a, b).filter("a is not null or b is not null")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("a", "b")})
+    return rows.withColumn("delta", F.col("b") - F.col("a"))
+
+
 def _suffix_rows(x: list[str], y: list[str]):
     """Rows of the table of common subsequences of suffixes, as bits, by their number; asked for in rising order.
 

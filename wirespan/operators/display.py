@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirespan.functions.prices import COUNTERS
+from wirespan.functions.times import local_time
 from wirespan.operators.trajectory import KEY
 
 #: Most characters of a message, of a call's arguments and of an output in a digest, and of a digest.
@@ -69,6 +70,37 @@ def short_cost(usd: Column, unpriced: Column) -> Column:
     return F.when(usd.isNull(), "—").otherwise(F.concat(shown, F.when(unpriced, "+").otherwise("")))
 
 
+def _minutes(ms: Column, seconds: Column, apart: str) -> Column:
+    """'5m 3s' or '2h 5m' of milliseconds from a minute on; seconds: those beyond whole minutes."""
+    minutes = F.floor(ms / 60_000)
+    hours = F.concat(F.floor(minutes / 60).cast("string"), F.lit(f"h{apart}"), (minutes % 60).cast("string"), F.lit("m"))
+    return F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit(f"m{apart}"), seconds.cast("string"), F.lit("s"))).otherwise(hours)
+
+
+def report_duration(ms: Column) -> Column:
+    """Milliseconds as a report shows them: 0s, 3.4s, 12s, 5m 3s, 2h 5m."""
+    seconds = F.when(ms < 10_000, F.format_string("%.1fs", ms / 1000)).otherwise(F.format_string("%.0fs", ms / 1000))
+    return F.when(ms <= 0, "0s").when(ms < 60_000, seconds).otherwise(_minutes(ms, F.floor(ms / 1000 % 60 + 0.5), " "))
+
+
+def request_duration(ms: Column) -> Column:
+    """Milliseconds as a list of requests shows them: a dash for none, 850ms, 3.4s, 5m 3s, 2h 5m."""
+    seconds = F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(F.format_string("%.1fs", ms / 1000))
+    return F.when(ms.isNull(), "—").when(ms < 60_000, seconds).otherwise(_minutes(ms, F.floor(ms / 1000 % 60 + 0.5), " "))
+
+
+def list_duration(ms: Column) -> Column:
+    """Milliseconds as a list of sessions shows them, in whole seconds: a dash for none, 3s, 5m3s, 5m, 2h5m."""
+    whole = F.floor(ms / 1000 + 0.5)
+    shown = F.regexp_replace(_minutes(whole * 1000, whole % 60, ""), "m0s$", "m")
+    return F.when(F.coalesce(ms, F.lit(0)) <= 0, "—").when(whole < 60, F.concat(whole.cast("string"), F.lit("s"))).otherwise(shown)
+
+
+def minute_of(seconds: Column, tz: str = "UTC") -> Column:
+    """Epoch seconds as 2024-01-31 09:05, a dash for none."""
+    return F.when(seconds > 0, F.date_format(local_time(seconds, tz), "yyyy-MM-dd HH:mm")).otherwise(F.lit("—"))
+
+
 def calendar(trend: DataFrame, last: str, days: int = 182) -> DataFrame:
     """day, week, weekday (0 is Sunday), cost_usd, opacity of a grid of days up to last that starts on a Sunday."""
     spark = trend.sparkSession

@@ -29,6 +29,11 @@ def per_project(events: DataFrame) -> DataFrame:
     return events.groupBy(project).agg(F.count_distinct("session_id").alias("sessions"), _cost(), F.count("*").alias("events"), F.sum("completion_tokens").alias("out_tokens"))
 
 
+def paid_projects(events: DataFrame) -> DataFrame:
+    """Projects that cost anything, as a map of areas shows them."""
+    return per_project(events).filter("cost_usd > 0")
+
+
 def daily_trend(events: DataFrame, days: int = TREND_DAYS) -> DataFrame:
     """day, cost, events of the last so many UTC days that have events, in order; events without a time don't count."""
     rows = events.filter("ts > 0").groupBy(utc_day(F.col("ts")).alias("day")).agg(_cost(), F.count("*").alias("events"))
@@ -61,6 +66,11 @@ def compactions(requests: DataFrame) -> DataFrame:
     return rows.filter("items_from > 0 AND items_to < items_from")
 
 
+def with_compactions(requests: DataFrame) -> DataFrame:
+    """Requests with items_from of the compaction that each is, null where it is none."""
+    return requests.join(compactions(requests).select("session_id", "seq", "items_from"), ["session_id", "seq"], "left")
+
+
 def compaction_summary(requests: DataFrame) -> DataFrame:
     return compactions(requests).agg(F.count("*").alias("compactions"), F.count_distinct("session_id").alias("sessions"))
 

@@ -71,6 +71,18 @@ def prompt_sessions(calls: DataFrame, prompt_hash: str) -> DataFrame:
     return rows.groupBy("session_id").agg(F.max("ts").alias("last_used")).orderBy(F.col("last_used").desc_nulls_last(), "session_id")
 
 
+def other_prompts(registry: DataFrame, prompt_hash: str) -> DataFrame:
+    """The other prompts of a prompt's agent, which it can be compared with."""
+    agent = registry.filter(F.col("prompt_hash") == prompt_hash).select("agent")
+    return registry.join(agent, "agent", "left_semi").filter(F.col("prompt_hash") != prompt_hash)
+
+
+def prompts_beside(registry: DataFrame) -> DataFrame:
+    """agent, prompt_hash, others: how many prompts other_prompts gives for each, where there are any."""
+    counts = registry.groupBy("agent").agg((F.count("*") - 1).alias("others")).filter("others > 0")
+    return registry.select("agent", "prompt_hash").join(counts, "agent")
+
+
 def prompt_by_prefix(registry: DataFrame, prefix: str) -> DataFrame:
     """The most recently seen prompt whose hash begins with prefix."""
     return registry.filter(F.startswith("prompt_hash", F.lit(prefix.lower()))).orderBy(F.col("last_seen").desc_nulls_last(), "prompt_hash").limit(1)

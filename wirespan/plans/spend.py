@@ -137,6 +137,11 @@ def fleet_per_project(spark, sf_dir):
     return fleet.per_project(B.usage_events(spark, sf_dir))
 
 
+@query("paid_projects", f"WITH {B.USAGE_SQL} SELECT coalesce(project_cwd, '(unknown)') AS project, count(DISTINCT session_id) AS sessions, coalesce(sum(micro_cost), 0)::DOUBLE / 1e12 AS cost_usd, count(*) AS events, sum(completion_tokens)::BIGINT AS out_tokens FROM usage_events GROUP BY 1 HAVING coalesce(sum(micro_cost), 0) > 0")
+def paid_projects(spark, sf_dir):
+    return fleet.paid_projects(B.usage_events(spark, sf_dir))
+
+
 @query("fleet_trend", f"WITH {B.USAGE_SQL} SELECT {DAY_SQL['daily']} AS day, coalesce(sum(micro_cost), 0)::DOUBLE / 1e12 AS cost_usd, count(*) AS events FROM usage_events WHERE ts > 0 GROUP BY 1 ORDER BY 1 DESC LIMIT 182")
 def fleet_trend(spark, sf_dir):
     return fleet.daily_trend(B.usage_events(spark, sf_dir))
@@ -251,3 +256,10 @@ def prompt_sessions(spark, sf_dir):
 @query("prompt_prefix_lookup", f"WITH {B.PROMPT_CALLS_SQL}, p AS (SELECT sha256(prompt) AS prompt_hash, max(ts) AS last_seen, count(*) AS request_count FROM calls WHERE trim(prompt) <> '' GROUP BY 1) SELECT * FROM p WHERE starts_with(prompt_hash, 'ab') ORDER BY last_seen DESC NULLS LAST, prompt_hash LIMIT 1")
 def prompt_prefix_lookup(spark, sf_dir):
     return sessions.prompt_by_prefix(sessions.prompt_registry(B.prompt_calls(spark, sf_dir)), "AB").select("prompt_hash", "last_seen", "request_count")
+
+
+@query("other_prompts", f"WITH {B.PROMPT_CALLS_SQL}, p AS (SELECT sha256(prompt) AS prompt_hash, arg_min(agent, seq) AS agent FROM calls WHERE trim(prompt) <> '' GROUP BY 1) SELECT a.agent, a.prompt_hash, count(*) AS others FROM p a JOIN p b ON a.agent = b.agent AND a.prompt_hash <> b.prompt_hash GROUP BY ALL")
+def other_prompts(spark, sf_dir):
+    """How many prompts of the same agent each prompt can be compared with."""
+    registry = sessions.prompt_registry(B.prompt_calls(spark, sf_dir))
+    return sessions.prompts_beside(registry)

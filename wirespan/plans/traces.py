@@ -136,3 +136,14 @@ def trend_calendar(spark, sf_dir):
 def short_numbers(spark, sf_dir):
     rows = B.usage_events(spark, sf_dir).groupBy("agent").agg(F.sum("cache_read_tokens").alias("n"))
     return rows.select("agent", display.short_tokens(F.col("n")).alias("tokens"))
+
+
+_MS = "doc_id * doc_id * 1400"
+
+
+@query("durations", f"""WITH d AS (SELECT doc_id, {_MS} AS ms FROM documents), t AS (SELECT *, ms / 1000 AS s, ms // 60000 AS m FROM d)
+SELECT doc_id, CASE WHEN ms <= 0 THEN '0s' WHEN ms < 10000 THEN printf('%.1fs', s) WHEN ms < 60000 THEN printf('%.0fs', s) WHEN m < 60 THEN m::VARCHAR || 'm ' || floor(s % 60 + 0.5)::BIGINT::VARCHAR || 's' ELSE (m // 60)::VARCHAR || 'h ' || (m % 60)::VARCHAR || 'm' END AS report,
+  CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.1fs', s) WHEN m < 60 THEN m::VARCHAR || 'm ' || floor(s % 60 + 0.5)::BIGINT::VARCHAR || 's' ELSE (m // 60)::VARCHAR || 'h ' || (m % 60)::VARCHAR || 'm' END AS request FROM t""")
+def durations(spark, sf_dir):
+    ms = F.expr(_MS)
+    return B.table(spark, sf_dir, "documents").select("doc_id", display.report_duration(ms).alias("report"), display.request_duration(ms).alias("request"))

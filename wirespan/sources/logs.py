@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wirespan.operators.redact import redact_pair
+
 #: Folders that hold logs, and folders never searched.
 TRACE_FOLDERS = (".claude-trace", ".codex-trace", ".gemini-trace")
 SKIPPED = ("node_modules", ".git", ".cache", ".npm", ".pnpm-store", "Library", ".Trash")
@@ -99,3 +102,14 @@ def hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
 def changed(found: DataFrame, known: DataFrame) -> DataFrame:
     """Files whose content is not the one known under their path."""
     return found.join(known.select("source_path", "content_hash"), ["source_path", "content_hash"], "left_anti")
+
+
+def append(path: str, pair: dict, mode: str = "standard") -> bool:
+    """Adds a pair to a log as one line, its bodies redacted; whether that went well, as a log never stops its writer."""
+    try:
+        line = json.dumps(redact_pair(pair, mode), ensure_ascii=False) + "\n"
+        with open(path, "a", encoding="utf-8") as f:
+            f.write(line)
+    except (OSError, TypeError, ValueError):
+        return False
+    return True

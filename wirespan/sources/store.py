@@ -110,6 +110,17 @@ class Store:
             rows = rows.join(found.select("session_id"), "session_id", "left_semi")
         return sessions.listed(sessions.with_counts(rows, steps), sort, descending, limit)
 
+    def newest(self, n: int = 50) -> DataFrame:
+        """The sessions that started last, as a listing without a terminal shows them."""
+        return self.list_sessions(limit=n)
+
+    def load_session(self, source_path: str, session_id: str | None = None) -> DataFrame:
+        """Steps of one session of a log: the one of that id, else the first of the log."""
+        own = F.col("source_path") == source_path
+        heads = self.table("turns").filter(own).groupBy("adapter", "session_id").agg(F.min("pair_index").alias("at"))
+        wanted = heads.orderBy(F.coalesce(F.col("session_id") != F.lit(session_id), F.lit(True)), "at").limit(1)
+        return self.table("steps").filter(own).join(wanted, ["adapter", "session_id"], "left_semi").orderBy("step_index")
+
     def get_session(self, session_id: str) -> DataFrame:
         return sessions.with_counts(self.sessions().filter(F.col("session_id") == session_id), self.steps())
 
@@ -121,8 +132,10 @@ class Store:
 
     def usage_events(self, **filters) -> DataFrame:
         """Events with their session's project, in order of time; filters as sessions.filtered takes them."""
-        events = self._of_sessions("usage_events").drop("source_path", "micro_cost")
-        events = P.priced(events, self.prices).join(self.sessions().select("session_id", "project_cwd"), "session_id", "left").withColumn("cost_usd", P.usd(F.col("micro_cost")))
+        events = self._of_sessions("usage_events").drop("source_path").withColumnRenamed("micro_cost", "indexed_cost")
+        # A model that has lost its price keeps the cost it had when its log was indexed.
+        events = P.priced(events, self.prices).withColumn("micro_cost", F.coalesce("micro_cost", "indexed_cost")).drop("indexed_cost")
+        events = events.join(self.sessions().select("session_id", "project_cwd"), "session_id", "left").withColumn("cost_usd", P.usd(F.col("micro_cost")))
         return sessions.filtered(events, time="ts", **filters).orderBy("ts", "session_id", "step_index")
 
     def prompts(self, agent: str | None = None, limit: int | None = None) -> DataFrame:
