@@ -147,3 +147,111 @@ SELECT doc_id, CASE WHEN ms <= 0 THEN '0s' WHEN ms < 10000 THEN printf('%.1fs',
 def durations(spark, sf_dir):
     ms = F.expr(_MS)
     return B.table(spark, sf_dir, "documents").select("doc_id", display.report_duration(ms).alias("report"), display.request_duration(ms).alias("request"))
+
+
+def _json(**fields: str) -> str:
+    """SQL of a JSON object from the SQL of its values; those that begin with '{' or '[' in JSON are given as raw()."""
+    parts = ", ',', ".join(f"""'"{k}":', {v.removeprefix('raw:') if v.startswith('raw:') else f"substring(to_json(array({v})), 2, length(to_json(array({v}))) - 2)"}""" for k, v in fields.items())
+    return f"concat('{{', {parts}, '}}')"
+
+
+def raw(sql: str) -> str:
+    return f"raw:{sql}"
+
+
+def _list(*items: str) -> str:
+    return raw("concat('[', " + ", ',', ".join(items) + ", ']')")
+
+
+def _events(*items: tuple[str, str]) -> str:
+    return "concat(" + ", ".join(f"'event: {name}\\ndata: ', {data}, '\\n\\n'" for name, data in items) + ")"
+
+
+_TEXT = "said"
+_ID, _BEFORE = "concat('call', cast(turn as string))", "concat('call', cast(turn - 1 as string))"
+_OUT, _THINK = "concat('out', cast(turn as string))", "concat('think', cast(turn as string))"
+_ARGS = _json(n="turn")
+_IN, _MADE = "10 * turn + 1", "turn + 2"
+
+
+def _codex() -> tuple[str, str, str, str]:
+    call = _json(type="'function_call'", call_id=_ID, name="'shell'", arguments=_ARGS)
+    said = lambda role, kind: _json(type="'message'", role=role, content=_list(_json(type=kind, text=_TEXT)))
+    mine = f"concat({said(repr('assistant'), repr('output_text'))}, ',', {call})"
+    other = f"concat({_json(type=repr('function_call_output'), call_id=_BEFORE, output=_OUT)}, ',', {said(repr('user'), repr('input_text'))})"
+    body = _json(model="'gpt-5'", prompt_cache_key="concat('k', cast(conv_id as string))", instructions="'Be brief.'", input=raw("concat('[', items, ']')"))
+    used = _json(input_tokens=_IN, output_tokens=_MADE, input_tokens_details=raw(_json(cached_tokens="7")), output_tokens_details=raw(_json(reasoning_tokens="2")))
+    output = _list(_json(type="'reasoning'", summary=_list(_json(text=_THINK))), said("'assistant'", "'output_text'"), call)
+    done = _json(type="'response.completed'", response=raw(_json(model="'gpt-5'", status="'completed'", output=output, usage=raw(used))))
+    return mine, other, body, _events(("response.completed", done))
+
+
+def _gemini() -> tuple[str, str, str, str]:
+    text = lambda t, **more: _json(text=t, **more)
+    call = _json(functionCall=raw(_json(id=_ID, name="'shell'", args=raw(_ARGS))))
+    back = _json(functionResponse=raw(_json(id=_BEFORE, name="'shell'", response=raw(_json(output=_OUT)))))
+    mine, other = _json(role="'model'", parts=_list(text(_TEXT), call)), _json(role="'user'", parts=_list(back, text(_TEXT)))
+    opening = "concat('Conversation ', cast(conv_id as string))"
+    body = _json(systemInstruction=raw(_json(parts=_list(text(opening)))), contents=raw("concat('[', items, ']')"))
+    used = _json(promptTokenCount=_IN, candidatesTokenCount="turn", thoughtsTokenCount="2", cachedContentTokenCount="7")
+    chunk = lambda *parts, **more: _json(candidates=_list(_json(content=raw(_json(parts=_list(*parts))))), **more)
+    first = chunk(text(_THINK, thought="true"), text(f"substring({_TEXT}, 1, 3)"))
+    last = chunk(text(f"substring({_TEXT}, 4)"), call, usageMetadata=raw(used), modelVersion="'gemini-2.5-pro'")
+    return mine, other, body, f"concat('data: ', {first}, '\\n\\ndata: ', {last}, '\\n\\n')"
+
+
+def _stream() -> tuple[str, str, str, str]:
+    call = _json(type="'tool_use'", id=_ID, name="'shell'", input=raw(_ARGS))
+    text = _json(type="'text'", text=_TEXT)
+    back = _json(type="'tool_result'", tool_use_id=_BEFORE, content=_OUT)
+    mine, other = _json(role="'assistant'", content=_list(text, call)), _json(role="'user'", content=_list(back, text))
+    body = _json(model="'claude-sonnet-4'", system="concat('Conversation ', cast(conv_id as string))", messages=raw("concat('[', items, ']')"))
+    used = _json(input_tokens=_IN, cache_read_input_tokens="7", output_tokens="0")
+    opened = lambda at, **block: ("content_block_start", _json(type="'content_block_start'", index=at, content_block=raw(_json(**block))))
+    grown = lambda at, **delta: ("content_block_delta", _json(type="'content_block_delta'", index=at, delta=raw(_json(**delta))))
+    events = _events(
+        ("message_start", _json(type="'message_start'", message=raw(_json(model="'claude-sonnet-4'", usage=raw(used))))),
+        opened("0", type="'thinking'", thinking="''"), grown("0", type="'thinking_delta'", thinking=_THINK),
+        opened("1", type="'text'", text="''"), grown("1", type="'text_delta'", text=f"substring({_TEXT}, 1, 3)"), grown("1", type="'text_delta'", text=f"substring({_TEXT}, 4)"),
+        opened("2", type="'tool_use'", id=_ID, name="'shell'"), grown("2", type="'input_json_delta'", partial_json="'{\"n\"'"), grown("2", type="'input_json_delta'", partial_json="concat(':', cast(turn as string), '}')"),
+        ("message_delta", _json(type="'message_delta'", delta=raw(_json(stop_reason="'tool_use'")), usage=raw(_json(output_tokens=_MADE)))),
+    )
+    return mine, other, body, events
+
+
+FORMATS = {"codex": (_codex, "https://host/v1/responses"), "gemini": (_gemini, "https://host/v1beta/models/gemini-2.5-pro:streamGenerateContent"), "stream": (_stream, "https://host/v1/messages")}
+
+
+def format_steps(spark, sf_dir, kind: str):
+    """Steps of logs that hold conversations in one wire format, answers streamed. Each assistant turn thinks, speaks and
+    calls a tool; each other turn brings a result for the call that the turn before it would have made, and speaks."""
+    make, url = FORMATS[kind]
+    mine, other, body, stream = make()
+    c = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.expr("concat('T', cast(turn as string), ' ', coalesce(text, ''))").alias(_TEXT))
+    c = c.withColumn("item", F.expr(f"CASE WHEN role = 'assistant' THEN {mine} ELSE {other} END"))
+    before = "over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding)"
+    c = c.withColumn("items", F.expr(f"array_join(collect_list(item) {before}, ',')")).filter("role = 'assistant'")
+    at = "cast(1700000000 + conv_id * 1000 + turn as string)"
+    text = f"""concat('{{"request":{{"timestamp":', {at}, ',"method":"POST","url":"{url}","body":', {body}, '}},"response":{{"timestamp":', {at}, '.5,"status_code":200,"body_raw":', substring(to_json(array(streamed)), 2, length(to_json(array(streamed))) - 2), '}}}}')"""
+    c = c.withColumn("streamed", F.expr(stream))
+    rows = c.select(F.expr("concat('log', cast(conv_id as string))").alias("source_path"), F.col("turn").alias("pair_index"), F.expr(text).alias("raw"))
+    steps = trajectory.steps(trajectory.conversations(decoded(rows)))
+    calls = F.array_join(F.transform("tool_calls", lambda t: F.concat_ws(" ", t["id"], t["name"], t["args_json"])), ",")
+    outputs = F.array_join(F.transform("observations", lambda o: o["content"]), ",")
+    used = [F.col(f"usage.{n}").alias(n) for n in ("prompt_tokens", "completion_tokens", "cache_read_tokens", "reasoning_tokens")]
+    return steps.select("source_path", "step_index", "role", "message", "reasoning", F.coalesce(calls, F.lit("")).alias("calls"), F.coalesce(outputs, F.lit("")).alias("outputs"), *used)
+
+
+def _format_sql(thought: str) -> str:
+    return f"""WITH c AS (SELECT conv_id, turn, role, 'T' || turn || ' ' || coalesce(text, '') AS text, max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last_turn FROM conversations),
+steps AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS step_index, role = 'assistant' AS made, text FROM c WHERE role = 'assistant' OR turn < last_turn),
+results AS (SELECT conv_id, turn, (SELECT max(s.turn) FROM steps s WHERE s.made AND s.conv_id = c.conv_id AND s.turn < c.turn) AS made_at FROM c WHERE role <> 'assistant' AND turn < last_turn),
+seen AS (SELECT conv_id, made_at AS turn, string_agg('out' || turn, ',' ORDER BY turn) AS outputs FROM results WHERE made_at IS NOT NULL GROUP BY conv_id, made_at)
+SELECT 'log' || conv_id AS source_path, step_index, CASE WHEN made THEN 'agent' ELSE 'user' END AS role, text AS message, CASE WHEN made THEN 'think' || turn ELSE '' END AS reasoning,
+  CASE WHEN made THEN 'call' || turn || ' shell {{"n":' || turn || '}}' ELSE '' END AS calls, coalesce(outputs, '') AS outputs,
+  CASE WHEN made THEN (10 * turn + 1)::BIGINT END AS prompt_tokens, CASE WHEN made THEN (turn + 2)::BIGINT END AS completion_tokens, CASE WHEN made THEN 7::BIGINT END AS cache_read_tokens, CASE WHEN made THEN {thought} END AS reasoning_tokens
+FROM steps LEFT JOIN seen USING (conv_id, turn)"""
+
+
+for _kind in FORMATS:
+    query(f"traj_{_kind}_steps", _format_sql("NULL::BIGINT" if _kind == "stream" else "2::BIGINT"))(lambda spark, sf_dir, kind=_kind: format_steps(spark, sf_dir, kind))
