@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, release, slices, stored
+from .common import discard, partitions, release, slices, stored, trimmed
 from .components import components
 from .shingles import set_keys, shingle_sets, text_bytes
 
@@ -32,10 +32,12 @@ PERCENT = 75
 FREQUENT = 16
 LISTED = 1_000_000
 #: N-grams that a task gathers before it deals them out to the blocks, and pairs that it holds before it adds them up.
-GATHERED = 1 << 21
-PAIRS = 1 << 21
+GATHERED = 1 << 20
+PAIRS = 1 << 20
 #: Texts of which a task remembers that it has sent their set, so that copies send it once.
 REMEMBERED = 1 << 20
+#: Rounds that try one pair a row before all others.
+ROUNDS = 2
 #: Rows on a side of one product of rows that share a frequent n-gram.
 SIDE = 1024
 
@@ -187,8 +189,8 @@ def counted_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
         yield from passed
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("version"), F.col("text").cast("string"))
-    rows = _in_blocks(rows.mapInArrow(sets, _COUNTS))
-    return stored(rows.mapInArrow(summed, "gram long, c long, doc_id long, n_shingles long, node long, version long"), "join-sets")
+    rows = _in_blocks(rows.mapInArrow(trimmed(sets), _COUNTS))
+    return stored(rows.mapInArrow(trimmed(summed), "gram long, c long, doc_id long, n_shingles long, node long, version long"), "join-sets")
 
 
 def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -357,8 +359,8 @@ def block_products(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], wor
                 yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in pairs), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.binary())], schema=schema)
         yield from rows
 
-    rows = _in_blocks(docs.select(F.col("text").cast("string")).mapInArrow(columns, _COLUMNS))
-    return stored(rows.mapInArrow(multiplied, "a long, b long, overlap int, lack int, node long, n int, ids array<int>, sketch binary"), "join-products")
+    rows = _in_blocks(docs.select(F.col("text").cast("string")).mapInArrow(trimmed(columns), _COLUMNS))
+    return stored(rows.mapInArrow(trimmed(multiplied), "a long, b long, overlap int, lack int, node long, n int, ids array<int>, sketch binary"), "join-products")
 
 
 def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -373,7 +375,39 @@ def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1, 2)], ["a", "b", "overlap"])
 
     side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "overlap", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(bounded, "a long, b long, overlap long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "overlap", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(trimmed(bounded), "a long, b long, overlap long")
+
+
+def _hubs(pairs: DataFrame) -> DataFrame:
+    """For each row of pairs (a, b, overlap), the smallest it may link to among those that share half as much with it as
+    the nearest does: rows of a group of copies all take the same one."""
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap"))
+    near = both.groupBy("a").agg(F.max("overlap").alias("most"))
+    hubs = both.join(near, "a").filter(2 * F.col("overlap") >= F.col("most")).groupBy("a").agg(F.min("b").alias("b"))
+    return hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified_links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links that join what those of pairs (a, b, overlap) that are similar enough join.
+
+    Two rounds try one pair a row, which joins groups of copies; then all pairs whose rows are still apart are tried.
+    """
+    links = None
+    for _ in range(ROUNDS):
+        hubs = stored(_hubs(pairs), "join-hubs")
+        found = stored(_similar(hubs, texts, words, percent), "join-links")
+        links = found if links is None else links.union(found)
+        parts = components(links)
+        of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+        left = pairs.join(hubs, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        left = left.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
+        left = stored(left.select("a", "b", "overlap"), "join-pairs")
+        discard(pairs, hubs)
+        pairs = left
+        release(texts.sparkSession)
+    links = links.union(stored(_similar(pairs.select("a", "b"), texts, words, percent), "join-links"))
+    discard(pairs)
+    return links
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -396,7 +430,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(counted, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(trimmed(counted), "a long, b long")
 
 
 def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -435,7 +469,7 @@ def frequent_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     # Whether a row may be too large for its representative and small enough to have a link at all.
     groups = groups.withColumn("wide", ~_meets(F.col("s"), F.col("most"), F.col("n"), percent) & (F.col("most") > F.col("n")))
     first = F.col("s") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
-    columns = groups.filter(first > 0).select("sig", "n", "s", "wide", F.explode(F.slice("ids", F.lit(1), first)).alias("id"))
+    columns = groups.filter(first > 0).select("sig", "n", "s", "wide", F.posexplode(F.slice("ids", F.lit(1), first)).alias("place", "id"))
     columns = stored(columns, "join-frequent-columns")
     # One link a row: to the row of its column and size class that is frequent to the largest part.
     sized = columns.withColumn("shift", F.explode(F.array(F.lit(0.0), F.lit(0.5))))
@@ -452,74 +486,62 @@ def frequent_links(rows: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     apart = columns.groupBy("id").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("wide").alias("any_wide"))
     apart = apart.filter((F.col("c") > 1) & ((F.col("low") < F.col("high")) | F.col("any_wide"))).select("id", F.ceil(F.col("c") / SIDE).cast("int").alias("m"))
     placed = columns.join(apart, "id").withColumn("i", F.pmod(F.xxhash64("sig"), F.col("m")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    placed = placed.join(groups.select("sig", "ids"), "sig").select("id", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "sig", "n", "component", "wide", "ids")
+    placed = placed.select("id", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "sig", "n", (F.col("s") - F.col("place")).alias("left"), "component", "wide")
     placed = placed.repartition(partitions(rows.sparkSession), "id", "lo", "hi").sortWithinPartitions("id", "lo", "hi")
-    met = stored(placed.mapInArrow(lambda batches: _met(batches, percent), "a long, b long, most int"), "join-frequent-product")
-    links.append(met.filter("most is null").select("a", "b"))
-    admits = met.filter("most is not null").groupBy("a").agg(F.max(F.struct("most", "b")).alias("best"))
-    wide = members.filter(~alike).join(admits, members["sig"] == admits["a"]).filter(F.col("own_n") <= F.col("best.most")).select(F.col("node").alias("a"), F.col("best.b").alias("b"))
+    met = placed.mapInArrow(lambda batches: _met(batches, percent), "a long, b long").distinct()
+    met = met.join(side("a"), "a").join(side("b"), "b").withColumn("w", F.size(F.array_intersect("ids_a", "ids_b"))).select("a", "b", "n_a", "n_b", "w")
+    met = stored(met, "join-frequent-product")
+    links.append(met.filter(_meets(F.col("w"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
+    # The size up to which each admits a row that has the other's frequent n-grams.
+    admits = lambda x, y: met.select(F.col(x).alias("sig"), F.col(y).alias("other"), (F.floor(F.lit(100 + percent) * F.col("w") / percent) - F.col(f"n_{y}")).alias("most"))
+    admits = admits("a", "b").union(admits("b", "a")).groupBy("sig").agg(F.max(F.struct("most", "other")).alias("best"))
+    wide = members.filter(~alike).join(admits, "sig").filter(F.col("own_n") <= F.col("best.most")).select(F.col("node").alias("a"), F.col("best.other").alias("b"))
     links.append(wide)
     out = links[0]
     for more in links[1:]:
         out = out.union(more)
-    return stored(out, "join-frequent-links")
+    out = stored(out, "join-frequent-links")
+    discard(rows, star, met)
+    return out
 
 
 def _met(batches: Iterator, percent: int) -> Iterator:
-    """Products of the rows of each (id, lo, hi): links between components, and what each wide row admits at most."""
+    """Pairs (a < b) of the rows of each (id, lo, hi) that are apart, or of which one is wide, and that have enough left
+    from this column on: in the first column that two rows share, no more than that can be common."""
     import pyarrow as pa
 
-    def product(rows: list[tuple]) -> pa.RecordBatch:
-        lo, hi = rows[0][1], rows[0][2]
-        ids, column = np.unique(np.concatenate([np.asarray(r[8], np.int32) for r in rows]), return_inverse=True)
-        at = np.repeat(np.arange(len(rows)), [len(r[8]) for r in rows])
-        own = np.array([r[3] for r in rows])
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        overlap = np.zeros((len(left), len(right)), np.float32)
-        step = 4096
-        for first in range(0, len(ids), step):
-            some = (column >= first) & (column < first + step)
-            part = np.zeros((len(rows), min(step, len(ids) - first)), np.float32)
-            part[at[some], column[some] - first] = 1
-            overlap += part[left] @ part[right].T
-        overlap = overlap.astype(np.int64)
-        sig, n, component, wide = (np.array([r[k] for r in rows]) for k in (4, 5, 6, 7))
-        n = n.astype(np.int64)
-        meets = (100 + percent) * overlap >= percent * (n[left][:, None] + n[right][None])
-        a, b = np.nonzero(meets & (component[left][:, None] != component[right][None]))
-        a, b = left[a], right[b]
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                root[x] = root.get(root[x], root[x])
-                x = root[x]
-            return x
-
-        out: list[tuple] = []
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):  # links that join two groups of this product
-            x, y = find(int(component[i])), find(int(component[j]))
-            if x != y:
-                root[x] = y
-                out.append((int(sig[i]), int(sig[j]), None))
-        for mine, others, w in ((left, right, overlap), (right, left, overlap.T)):
-            for k in np.flatnonzero(wide[mine]).tolist():
-                most = (100 + percent) * w[k] // percent - n[others]
-                most[others == mine[k]] = 0
-                best = int(np.argmax(most))
-                if most[best] > 0:
-                    out.append((int(sig[mine[k]]), int(sig[others[best]]), int(most[best])))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32())], ["a", "b", "most"])
-
-    held: list[tuple] = []
-    for batch in slices(batches):
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and row[:3] != held[-1][:3]:
-                yield product(held)
+    def pairs(parts: list) -> Iterator:
+        i, sig, n, left, component, wide = (np.concatenate([np.asarray(p.column(k).to_numpy(zero_copy_only=False)) for p in parts]) for k in range(3, 9))
+        n, left = n.astype(np.int64), left.astype(np.int64)
+        lo, hi = parts[0].column(1)[0].as_py(), parts[0].column(2)[0].as_py()
+        one, other = np.flatnonzero(i == lo), np.flatnonzero(i == hi)
+        for at in range(0, len(one), SIDE):
+            x = one[at : at + SIDE, None]
+            y = other[None]
+            take = (component[x] != component[y]) | wide[x] | wide[y]
+            take &= (100 + percent) * np.minimum(left[x], left[y]) >= percent * (n[x] + n[y])
+            take &= (sig[x] < sig[y]) if lo == hi else (sig[x] != sig[y])
+            a, b = np.nonzero(take)
+            a, b = sig[one[at + a]], sig[other[b]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    held: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(keys[:, start].tolist())
+            if held and key != last:
+                yield from pairs(held)
                 held = []
-            held.append(row)
+            held.append(batch.slice(start, stop - start))
+            last = key
     if held:
-        yield product(held)
+        yield from pairs(held)
 
 
 def similar_links(docs: DataFrame, counts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -534,9 +556,11 @@ def similar_links(docs: DataFrame, counts: DataFrame, words: int = WORDS, percen
     sets = counts.filter("node <> 0").select("doc_id", "node", "version")
     texts = _texts(docs, sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     release(spark)
-    links = stored(_similar(pairs.select("a", "b"), texts, words, percent), "join-links")
+    links = verified_links(pairs, texts, words, percent)
+    discard(texts)
     release(spark)
     more = frequent_links(products.filter("ids is not null").select("node", "n", "ids"), percent)
+    discard(products)
     return links if more is None else links.union(more)
 
 
