@@ -91,11 +91,29 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages")).drop("url")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import tamper_check
+
+    return tamper_check(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_source_mixing, op4_token_output, op5_suffix_array_dedup, op6_nearest_neighbours, op7_quality_classifier, op8_line_dedup, op9_ngram_jaccard_join, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_source_mixing, op4_token_output, op5_suffix_array_dedup, op6_nearest_neighbours, op7_quality_classifier, op8_line_dedup, op9_ngram_jaccard_join, op10_html_extraction, op11_warc, op12_merkle_manifest, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup, mixing
+    from . import fill_in_middle, line_dedup, merkle, mixing, warc
 
-    return {"op3_source_mixing": mixing.SQL, "op8_line_dedup": line_dedup.SQL}
+    return {"op3_source_mixing": mixing.SQL, "op8_line_dedup": line_dedup.SQL, "op11_warc": warc.SQL, "op12_merkle_manifest": merkle.SQL, "op13_fill_in_middle": fill_in_middle.SQL}
