@@ -119,8 +119,8 @@ def test_store(spark, tmp_path):
         L.write(tmp_path / "work" / f".{name}-trace" / "log.jsonl", run(), tail="{broken\n\n")
     (tmp_path / "work" / "node_modules" / ".claude-trace").mkdir(parents=True)
     store = Store(spark, str(tmp_path / "store"))
-    assert store.index_paths([str(tmp_path / "work")]) == {"files_indexed": 3, "files_skipped": 0, "sessions": 3, "steps": 9}
-    assert store.index_paths([str(tmp_path / "work")]) == {"files_indexed": 0, "files_skipped": 3, "sessions": 0, "steps": 0}
+    assert store.index_paths([str(tmp_path / "work")]) == {"files_indexed": 3, "files_skipped": 0, "sessions": 3, "steps": 9, "lines_not_json": 3, "pairs_unmatched": 0}
+    assert store.index_paths([str(tmp_path / "work")]) == {"files_indexed": 0, "files_skipped": 3, "sessions": 0, "steps": 0, "lines_not_json": 0, "pairs_unmatched": 0}
     assert {r.project_cwd for r in store.sessions().collect()} == {str(tmp_path / "work")}
     hits = store.search("17 millimetre", field="tool-output").collect()
     assert [(h.agent, h.step_index, h.snippet) for h in hits] == [("claude", 2, "[17] [millimetre]s")]
@@ -166,7 +166,7 @@ def test_store(spark, tmp_path):
     # A log that is replaced by one without a call leaves nothing behind, and one that can't be read stops no other.
     L.write(tmp_path / "work" / ".codex-trace" / "log.jsonl", [L.pair({"x": 1})])
     (tmp_path / "work" / ".codex-trace" / "odd.jsonl").write_bytes(b"\xff\xfe{broken\x00\n")
-    assert store.index_paths([str(tmp_path / "work")]) == {"files_indexed": 2, "files_skipped": 2, "sessions": 0, "steps": 0}
+    assert store.index_paths([str(tmp_path / "work")]) == {"files_indexed": 2, "files_skipped": 2, "sessions": 0, "steps": 0, "lines_not_json": 1, "pairs_unmatched": 1}
     assert store.sessions().count() == 2 and store.steps().count() == 6 and store.usage_events(agent="codex").count() == 0
     assert {r.agent for r in store.list_sessions().collect()} == {"claude", "gemini"}
 

@@ -23,11 +23,13 @@ FIELDS = {"all": COLUMNS, "message": ("message",), "reasoning": ("reasoning",),
 SHOWN = ("message", "observation", "tool_input", "reasoning", "tool_name")
 K1, B = 1.2, 0.75
 LIMIT = 20
+#: A term, as the index splits lower-case text.
+WORD = r"[\p{L}\p{N}]+"
 
 
 def query_phrases(query: str, stem: bool = False) -> list[list[str]]:
     """Phrases of a query, all of which must match: each of its tokens, split into terms as the index splits text."""
-    fold = lambda w: porter(w) if stem else w
+    fold = lambda w: folded(w) if stem else w
     tokens = re.findall(r"[\w./@-]+", query)
     phrases = [[fold(w) for w in re.findall(r"[^\W_]+", t.lower())] for t in tokens]
     return [p for p in phrases if p]
@@ -116,9 +118,12 @@ def index_terms(steps: DataFrame, stem: bool = True) -> DataFrame:
     """session_id, step_index, col, pos, term of every word of the indexed columns."""
     rows = steps.withColumn("tool_name", F.array_join("tool_names", " "))
     texts = F.array(*(F.struct(F.lit(c).alias("col"), F.coalesce(F.col(c), F.lit("")).alias("text")) for c in COLUMNS))
-    rows = rows.select("session_id", "step_index", F.explode(texts).alias("t")).select("session_id", "step_index", "t.col", F.posexplode(F.regexp_extract_all(F.lower("t.text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("pos", "term"))
-    if not stem:
-        return rows
+    rows = rows.select("session_id", "step_index", F.explode(texts).alias("t")).select("session_id", "step_index", "t.col", F.posexplode(F.regexp_extract_all(F.lower("t.text"), F.lit(WORD), F.lit(0))).alias("pos", "term"))
+    return fold_terms(rows) if stem else rows
+
+
+def fold_terms(rows: DataFrame) -> DataFrame:
+    """rows with their column term folded."""
 
     @F.pandas_udf("string")
     def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -152,13 +157,14 @@ def scores(terms: DataFrame, phrases: list[list[str]], field: str = "all") -> Da
     return rows.groupBy("session_id", "step_index").agg((-F.sum(part)).alias("score"), F.count("*").alias("found")).filter(F.col("found") == len(phrases)).drop("found")
 
 
-def search(steps: DataFrame, sessions: DataFrame, query: str, *, field: str = "all", limit: int | None = LIMIT, role: str | None = None, tool: str | None = None, errored: bool = False, stem: bool = True, terms: DataFrame | None = None, **filters) -> DataFrame:
+def search(steps: DataFrame, sessions: DataFrame, query: str, *, field: str = "all", limit: int | None = LIMIT, role: str | None = None, tool: str | None = None, errored: bool = False, stem: bool = True, found: DataFrame | None = None, **filters) -> DataFrame:
     """The best hits of query with their session's columns and a snippet, score first, ties by session and step.
 
-    limit: how many, or None for all hits. terms: a stored index of the same steps, or None to make it. filters: as sessions.filtered takes them.
+    limit: how many, or None for all hits. found: session_id, step_index, score from a stored index of the same steps, which
+    need not hold more than the limit's hits if nothing else filters them. filters: as sessions.filtered takes them.
     """
-    phrases = query_phrases(query, stem)
-    found = scores(index_terms(steps, stem) if terms is None else terms, phrases or [["\0"]], field)
+    if found is None:
+        found = scores(index_terms(steps, stem), query_phrases(query, stem) or [["\0"]], field)
     rows = steps.join(found, ["session_id", "step_index"]).join(filtered(sessions, **filters), "session_id")
     if role:
         rows = rows.filter(F.col("role") == role)

@@ -60,12 +60,13 @@ def steps(turns: DataFrame) -> DataFrame:
     return rows.withColumn("step_index", index).drop("at")
 
 
-def search_rows(step_rows: DataFrame) -> DataFrame:
-    """Steps as the search index takes them: tool names, their arguments a line each, observations joined, errored."""
+def search_rows(step_rows: DataFrame, *more: str) -> DataFrame:
+    """Steps as the search index takes them: tool names, their arguments a line each, observations joined, errored; and
+    the columns more."""
     # Arguments that are a JSON string count as the string itself.
     args = F.transform(F.coalesce("tool_calls", F.array().cast("array<struct<id:string,name:string,args_json:string>>")), lambda c: F.coalesce(F.get_json_object(F.concat(F.lit('{"a":'), c["args_json"], F.lit("}")), "$.a"), c["args_json"], F.lit("")))
     observed = F.coalesce(F.array_join(F.transform("observations", lambda o: o["content"]), "\n"), F.lit(""))
-    rows = step_rows.select(*KEY, "step_index", "role", "message", "reasoning", F.coalesce(F.transform("tool_calls", lambda c: c["name"]), F.array().cast("array<string>")).alias("tool_names"), F.array_join(args, "\n").alias("tool_input"), observed.alias("observation"), "ts")
+    rows = step_rows.select(*KEY, "step_index", "role", "message", "reasoning", F.coalesce(F.transform("tool_calls", lambda c: c["name"]), F.array().cast("array<string>")).alias("tool_names"), F.array_join(args, "\n").alias("tool_input"), observed.alias("observation"), "ts", *more)
     return rows.withColumn("errored", looks_errored(F.col("observation")))
 
 

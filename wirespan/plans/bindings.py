@@ -129,11 +129,11 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, every tenth with a token of some provider's shape at its end."""
     d = table(spark, sf_dir, "documents")
     hexed = "sha2(cast(doc_id as string), 256)"
-    token = f"""CASE doc_id % 50 WHEN 0 THEN concat('ghp', '_', substring({hexed}, 1, 36)) WHEN 10 THEN concat('sk', '-', substring({hexed}, 1, 40))
-      WHEN 20 THEN concat('Bearer ', substring({hexed}, 1, 30)) WHEN 30 THEN concat('AKIA', upper(substring({hexed}, 1, 16))) ELSE concat('xoxb', '-', substring({hexed}, 1, 24)) END"""
+    token = f"""CASE doc_id % 50 WHEN 0 THEN concat('ghp_', substring({hexed}, 1, 36)) WHEN 10 THEN concat('sk-', substring({hexed}, 1, 40))
+      WHEN 20 THEN concat('Bearer ', substring({hexed}, 1, 30)) WHEN 30 THEN concat('AKIA', upper(substring({hexed}, 1, 16))) ELSE concat('xoxb-', substring({hexed}, 1, 24)) END"""
     return d.select("doc_id", F.expr(f"CASE WHEN doc_id % 10 = 0 THEN concat(coalesce(text, ''), ' ', {token}) ELSE text END").alias("text"))
 
 
-PLANTED_SQL = """planted AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN coalesce(text, '') || ' ' || CASE doc_id % 50 WHEN 0 THEN 'ghp' || '_' || substr(sha256(doc_id::VARCHAR), 1, 36)
-  WHEN 10 THEN 'sk' || '-' || substr(sha256(doc_id::VARCHAR), 1, 40) WHEN 20 THEN 'Bearer ' || substr(sha256(doc_id::VARCHAR), 1, 30)
-  WHEN 30 THEN 'AKIA' || upper(substr(sha256(doc_id::VARCHAR), 1, 16)) ELSE 'xoxb' || '-' || substr(sha256(doc_id::VARCHAR), 1, 24) END ELSE text END AS text FROM documents)"""
+PLANTED_SQL = """planted AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN coalesce(text, '') || ' ' || CASE doc_id % 50 WHEN 0 THEN 'ghp_' || substr(sha256(doc_id::VARCHAR), 1, 36)
+  WHEN 10 THEN 'sk-' || substr(sha256(doc_id::VARCHAR), 1, 40) WHEN 20 THEN 'Bearer ' || substr(sha256(doc_id::VARCHAR), 1, 30)
+  WHEN 30 THEN 'AKIA' || upper(substr(sha256(doc_id::VARCHAR), 1, 16)) ELSE 'xoxb-' || substr(sha256(doc_id::VARCHAR), 1, 24) END ELSE text END AS text FROM documents)"""

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from wirespan.functions import texts as T
 from wirespan.functions.times import bucket_label, iso_time
-from wirespan.operators import diff, redact, search, sessions
+from wirespan.operators import diff, postings, redact, search, sessions
 from wirespan.plans import bindings as B
+from wirespan.session import scratch
+from wirespan.sources.snapshots import Snapshots
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -88,6 +90,54 @@ _search("search_phrase", "permission.denied the")
 _search("search_filtered", "make", where="agent = 'codex' AND cost_usd >= 0.2 AND lower(project_cwd) LIKE '%p%' AND started_at >= 1700010000", agent="codex", min_cost=0.2, project="/P", since=1700010000.0)
 
 
+def _stored(name: str, text: str, field: str = "all", k: int | None = None):
+    """A search of an index that is written first; with k, of the best hits, which passes over blocks."""
+    phrases = search.query_phrases(text)
+    cut = f"ORDER BY scored.score, session_id, step_index LIMIT {k}" if k else ""
+    sql = f"WITH {_hits_sql(phrases, search.FIELDS[field])} SELECT session_id, step_index, round(score, 6) AS score FROM scored {cut}"
+
+    def run(spark, sf_dir):
+        folder = scratch(spark, "index")
+        postings.numbered(B.steps(spark, sf_dir), "all").write.parquet(f"{folder}/steps")
+        steps = spark.read.parquet(f"{folder}/steps")
+        postings.documents(steps, ["session_id", "step_index"]).write.parquet(f"{folder}/documents")
+        laid = postings.laid_out(postings.blocks(steps, stem=False), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        laid.write.partitionBy("bucket").options(**postings.WRITER).parquet(f"{folder}/postings")
+        documents = spark.read.parquet(f"{folder}/documents")
+        sizes = documents.agg(F.count("*").alias("n"), F.sum("size").alias("words")).first()
+        index = postings.Index(spark.read.parquet(f"{folder}/postings"), sizes.n, sizes.words or 0)
+        found = index.top([p[0] for p in phrases], k) if k else index.scores(phrases, field)
+        found = found.join(documents, ["segment", "doc"]).select("session_id", "step_index", "score")
+        found = found.orderBy("score", "session_id", "step_index").limit(k) if k else found
+        return found.withColumn("score", F.round("score", 6))
+
+    query(name, sql)(run)
+
+
+_stored("search_stored_best", "make the", k=10)
+_stored("search_stored_phrase", "permission.denied the")
+_stored("search_stored_field", "ok", field="tool-output")
+
+
+@query("snapshot_upsert", """SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderpriority IS DISTINCT FROM '1-URGENT'
+  UNION ALL SELECT o_orderkey, o_orderpriority, o_totalprice + 1 FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 3 <> 0
+  UNION ALL SELECT -o_orderkey, '6-NEW', o_totalprice FROM orders WHERE o_orderkey % 5 = 0""")
+def snapshot_upsert(spark, sf_dir):
+    """Orders keyed by priority: a run writes all, a second replaces one key's rows, a third adds a key and breaks off, a
+    fourth adds it again; parts are merged and what no commit names is deleted."""
+    o = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    store = Snapshots(spark, scratch(spark, "snapshots"), "o_orderpriority")
+    now = store.commit(store.after(store.snapshot(), {"orders": store.add("orders", o, "one")}))
+    later = o.filter("o_orderpriority = '1-URGENT' and o_orderkey % 3 <> 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    now = store.commit(store.after(now, {"orders": store.add("orders", later, "two")}, {"one": ["1-URGENT"]}))
+    new = o.filter("o_orderkey % 5 = 0").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("6-NEW").alias("o_orderpriority"), "o_totalprice")
+    store.add("orders", new, "three")
+    now = store.commit(store.after(now, {"orders": store.add("orders", new, "four")}))
+    now = store.commit(store.merged(now, ["orders"], parts=2))
+    store.vacuum(hours=-1)
+    return store.table(now, "orders")
+
+
 @query("search_top")
 def search_top(spark, sf_dir):
     """Ten best stemmed hits with snippets."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -120,13 +119,9 @@ class Api:
             self.audits = {key: {"mode": mode, "groups": groups, "totals": one_of(redact.audit_totals(found)), "redact_check": one_of(redact.redact_check(pairs))}}
         return self.audits[key]
 
-    def signature(self) -> str:
-        """Changes with each write to the store."""
-        folder = self.store.path("files")
-        try:
-            return ",".join(f"{e.name}:{e.stat().st_mtime_ns}" for e in sorted(os.scandir(folder), key=lambda e: e.name))
-        except OSError:
-            return ""
+    def signature(self) -> int:
+        """Changes with each commit to the store."""
+        return self.store.version()
 
 
 def handler(api: Api) -> type[BaseHTTPRequestHandler]:

@@ -75,7 +75,12 @@ def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 def pairs(spark: SparkSession, paths: list[str], loose: bool = False) -> DataFrame:
     """source_path, pair_index, ts, raw of every line that is JSON (loose: an object with a request or a response), in
     order; pair_index counts the lines kept. Other lines are dropped."""
-    rows = lines(spark, paths).withColumn("v", F.try_parse_json("raw")).filter("v is not null")
+    return json_pairs(lines(spark, paths), loose)
+
+
+def json_pairs(rows: DataFrame, loose: bool = False) -> DataFrame:
+    """pairs of lines already read."""
+    rows = rows.withColumn("v", F.try_parse_json("raw")).filter("v is not null")
     if loose:
         rows = rows.filter(F.expr("schema_of_variant(v) like 'OBJECT<%' and (try_variant_get(v, '$.request', 'variant') is not null or try_variant_get(v, '$.response', 'variant') is not null)"))
     place = F.row_number().over(Window.partitionBy("source_path").orderBy("line")) - 1

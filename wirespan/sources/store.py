@@ -1,91 +1,138 @@
-"""A store of traces: Parquet tables under one folder, rebuilt source by source as logs change.
+"""A store of traces: Parquet tables under one folder that change by snapshots, and an index of their steps' words.
 
-Every table is partitioned by source_path, and a changed log overwrites its partitions alone. Rows carry the hash of the
-log they come from, and only those of a log's last hash count: what an older one left behind is not read, and a run that
-breaks off changes nothing that is read before the table of files, the last to be written, names the new hashes. The
-prompt registry is only added to: a prompt stays when its log goes.
+Each run adds one part to each table, whatever the number of logs, and commits once; the rows of a log that changed stop
+counting in the same commit. A Store reads the last commit with each operation, and all tables of an operation from it.
+The prompt registry is only added to: a prompt stays when its log goes.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wirespan.functions import prices as P
 from wirespan.functions.texts import project_of
+from wirespan.operators import postings
 from wirespan.operators import search as S
 from wirespan.operators import sessions, trajectory
 from wirespan.sources import logs
+from wirespan.sources.snapshots import Snapshot, Snapshots
 from wirespan.sources.wire import decoded
 
 #: Tables of another version are left aside and built anew.
-VERSION = 2
-TABLES = ("files", "turns", "steps", "sessions", "requests", "usage_events", "terms", "prompts")
+VERSION = 3
+TABLES = ("files", "turns", "steps", "sessions", "requests", "usage_events", "documents", "postings", "prompts", "hidden")
+#: The index is built anew once so large a share of its steps no longer counts.
+DEAD_SHARE = 0.2
 
 
 class Store:
     """Tables and the operations on them; each returns a DataFrame unless it says otherwise."""
 
-    def __init__(self, spark: SparkSession, folder: str, prices: P.Prices | None = None):
+    def __init__(self, spark: SparkSession, folder: str, prices: P.Prices | None = None, at: Snapshot | None = None):
         self.spark, self.folder = spark, f"{folder.rstrip('/')}/v{VERSION}"
         self.prices = P.price_table(spark, prices)
+        self.snapshots = Snapshots(spark, self.folder, "source_path")
+        self.fixed = at
 
-    def path(self, name: str) -> str:
-        return f"{self.folder}/{name}"
+    def snapshot(self) -> Snapshot:
+        return self.fixed or self.snapshots.snapshot()
 
-    def has(self, name: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    def pinned(self) -> Store:
+        """This store as it is now, whatever runs follow."""
+        out = Store.__new__(Store)
+        out.__dict__ |= self.__dict__ | {"fixed": self.snapshot()}
+        return out
+
+    def version(self) -> int:
+        """Number of the last commit: it changes with each run that changes the store."""
+        return self.snapshots.version()
 
     def table(self, name: str) -> DataFrame:
-        if not self.has(name):
-            raise LookupError(f"nothing is indexed in {self.folder}")
-        rows = self.spark.read.option("mergeSchema", name == "prompts").parquet(self.path(name))
-        if name in ("files", "prompts"):
-            return rows
-        return rows.join(self.table("files").select("source_path", "content_hash"), ["source_path", "content_hash"], "left_semi").drop("content_hash")
-
-    def _written(self, rows: DataFrame, name: str, new: DataFrame) -> DataFrame:
-        """rows written as those of the logs new (source_path, content_hash), and read again."""
-        rows = rows.join(new, "source_path")
-        self._write(rows, name)
-        return self.spark.read.schema(rows.schema).parquet(self.path(name)).join(new, ["source_path", "content_hash"], "left_semi").drop("content_hash")
-
-    def _write(self, rows: DataFrame, name: str) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_path").parquet(self.path(name))
+        return self.snapshots.table(self.snapshot(), name)
 
     def index_paths(self, roots: list[str]) -> dict[str, int]:
-        """Reads the logs under roots that changed; returns counts: files indexed and skipped, sessions, steps."""
-        paths = logs.discover(roots)
+        """Reads the logs under roots that changed; returns counts: files indexed and skipped, sessions, steps, lines that are
+        no JSON and pairs that no provider matches (neither is kept). Conflict if another run commits meanwhile."""
+        base, paths, run = self.snapshots.snapshot(), logs.discover(roots), uuid.uuid4().hex
         found = logs.hashes(self.spark, paths)
-        if self.has("files"):
-            found = logs.changed(found, self.table("files"))
-        # Read once: a file may change meanwhile, and its rows must carry the hash under which it will be known.
-        found = self.spark.createDataFrame(found.collect(), found.schema)
-        new = [r.source_path for r in found.collect()]
-        counts = {"files_indexed": len(new), "files_skipped": len(paths) - len(new), "sessions": 0, "steps": 0}
-        if not new:
+        if base.version:
+            known = self.snapshots.table(base, "files")
+            found = logs.changed(found, known).join(known.select("source_path", F.col("run").alias("old_run")), "source_path", "left")
+        else:
+            found = found.withColumn("old_run", F.lit(None).cast("string"))
+        # One row a changed log, as Spark takes the paths of its input from the driver. Read once: a file may change
+        # meanwhile, and its rows must carry the hash under which it will be known.
+        rows = found.collect()
+        counts = {"files_indexed": len(rows), "files_skipped": len(paths) - len(rows), "sessions": 0, "steps": 0, "lines_not_json": 0, "pairs_unmatched": 0}
+        if not rows:
             return counts
-        own = found.select("source_path", "content_hash")
-        # Spark can't read the partitions that it overwrites, and steps are used several times: a table in between.
-        turns = self._written(trajectory.conversations(decoded(logs.pairs(self.spark, new))), "turns", own)
-        steps = self._written(trajectory.steps(turns), "steps", own)
-        heads = self._written(trajectory.session_rows(turns, steps, self.prices).withColumn("project_cwd", project_of(F.col("source_path"))), "sessions", own)
+        gone: dict[str, list[str]] = {}
+        for r in rows:
+            if r.old_run:
+                gone.setdefault(r.old_run, []).append(r.source_path)
+        read, whole, known_pairs = Observation(), Observation(), Observation()
+        lines = logs.lines(self.spark, [r.source_path for r in rows]).observe(read, F.count("*").alias("n"))
+        pairs = logs.json_pairs(lines).observe(whole, F.count("*").alias("n"))
+        records = decoded(pairs).observe(known_pairs, F.count("*").alias("n"))
+        added = {}
+
+        def add(name: str, rows: DataFrame, by: list[str] | None = None, **options) -> DataFrame:
+            added[name] = self.snapshots.add(name, rows, run, by, **options)
+            return added[name][1]
+
+        turns = add("turns", trajectory.conversations(records))
+        steps = add("steps", postings.numbered(trajectory.steps(turns), run))
+        heads = add("sessions", trajectory.session_rows(turns, steps, self.prices).withColumn("project_cwd", project_of(F.col("source_path"))))
         requests = trajectory.request_rows(turns, steps)
-        self._written(requests.drop("system_prompt"), "requests", own)
-        self._written(trajectory.usage_rows(steps, heads, self.prices), "usage_events", own)
-        texts = trajectory.search_rows(steps)
-        terms = S.index_terms(texts.withColumn("session_id", F.concat_ws("\0", "source_path", "session_id")))
-        self._written(terms.withColumns({"source_path": F.split("session_id", "\0")[0], "session_id": F.split("session_id", "\0")[1]}), "terms", own)
+        add("requests", requests.drop("system_prompt"))
+        add("usage_events", trajectory.usage_rows(steps, heads, self.prices))
+        texts = trajectory.search_rows(steps, "segment", "doc")
+        documents = add("documents", postings.documents(texts, [*trajectory.KEY, "step_index"]))
+        add("postings", self._laid_out(postings.blocks(texts)), ["bucket"], **postings.WRITER)
         calls = requests.filter("prompt_hash <> ''").select("agent", "session_id", F.when(F.col("ts") > 0, F.col("ts")).alias("ts"), "seq", F.col("system_prompt").alias("prompt"))
-        sessions.prompt_registry(calls).write.mode("append").parquet(self.path("prompts"))
-        counts |= {"sessions": heads.count(), "steps": steps.count()}
-        self._write(found.withColumn("indexed_at", F.current_timestamp()), "files")
+        add("prompts", sessions.prompt_registry(calls).drop("request_count", "session_count"))
+        files = self.spark.createDataFrame(rows, found.schema).drop("old_run")
+        add("files", files.withColumns({"indexed_at": F.current_timestamp(), "run": F.lit(run)}))
+        made = self.snapshots.after(base, added, gone)
+        built = documents.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
+        self.snapshots.commit(self._counted(made, run, {"built": built.n, "n": built.n, "words": built.words}, bool(gone)))
+        # Where no pair is kept, Spark leaves out the empty part of the plan, and what it observes with it.
+        n_lines, n_pairs, n_known = (x.get["n"] for x in (read, whole, known_pairs)) if added["turns"][0].rows else (lines.count(), pairs.count(), 0)
+        counts |= {"sessions": added["sessions"][0].rows, "steps": added["steps"][0].rows, "lines_not_json": n_lines - n_pairs, "pairs_unmatched": n_pairs - n_known}
         return counts
 
+    def _laid_out(self, blocks: DataFrame) -> DataFrame:
+        return postings.laid_out(blocks, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def _counted(self, made: Snapshot, run: str, own: dict[str, int], gone: bool) -> Snapshot:
+        """made with the conversations that a later source hides, and with the index's counts of steps that count."""
+        heads = self.snapshots.table(made, "sessions").select("source_path", "session_id")
+        hidden = heads.join(trajectory.latest_source(heads), ["source_path", "session_id"], "left_anti").distinct()
+        part = self.snapshots.add("hidden", hidden, run)
+        segments = {**made.notes.get("segments", {}), run: own}
+        made = self.snapshots.after(made, {"hidden": part}, replaced=("hidden",), notes={"segments": segments})
+        if gone or part[0].rows:
+            live = self._live(made).groupBy("segment").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+            left = {r.segment: r for r in live.collect()}  # a row a run
+            segments = {s: {"built": c["built"], "n": left[s].n, "words": left[s].words} for s, c in segments.items() if s in left}
+            made = self.snapshots.after(made, {}, notes={"segments": segments})
+        return made
+
+    def _live(self, snapshot: Snapshot) -> DataFrame:
+        """The index's steps that count: of logs as they are now, and of sessions' latest sources."""
+        return self.snapshots.table(snapshot, "documents").join(self.snapshots.table(snapshot, "hidden"), ["source_path", "session_id"], "left_anti")
+
+    def _index(self, snapshot: Snapshot) -> postings.Index:
+        segments = snapshot.notes.get("segments", {})
+        dirty = tuple(s for s, c in segments.items() if c["n"] < c["built"])
+        rows = self.snapshots.table(snapshot, "postings").filter(F.col("segment").isin(*segments))
+        return postings.Index(rows, sum(c["n"] for c in segments.values()), sum(c["words"] for c in segments.values()), dirty, self._live(snapshot))
+
     def sessions(self) -> DataFrame:
         """One row a session_id: that of the last source by path, where several hold it."""
         return trajectory.latest_source(self.table("sessions"))
@@ -96,18 +143,31 @@ class Store:
     def steps(self) -> DataFrame:
         return trajectory.search_rows(self._of_sessions("steps"))
 
-    def search(self, query: str, **options) -> DataFrame:
-        return S.search(self.steps(), self.sessions().drop("source_path"), query, terms=self._of_sessions("terms"), **options)
+    def search(self, query: str, *, field: str = "all", limit: int | None = S.LIMIT, role: str | None = None, tool: str | None = None, errored: bool = False, **filters) -> DataFrame:
+        """As operators.search.search, from the stored index. Blocks that can't hold one of the limit's hits are passed over
+        where the query is of single words in all fields, nothing else filters its hits, and every indexed step counts."""
+        store, phrases = self.pinned(), S.query_phrases(query, True)
+        snapshot = store.fixed
+        index = store._index(snapshot)
+        plain = limit is not None and field == "all" and not (role or tool or errored or any(v is not None for v in filters.values()))
+        if plain and not index.dirty and all(len(p) == 1 for p in phrases):
+            found = index.top([w for p in phrases for w in p], limit)
+        else:
+            found = index.scores(phrases or [["\0"]], field)
+        found = found.join(store._live(snapshot), ["segment", "doc"]).select("session_id", "step_index", "score")
+        return S.search(store.steps(), store.sessions().drop("source_path"), query, field=field, limit=limit, role=role, tool=tool, errored=errored, found=found, **filters)
 
     def list_sessions(self, *, tool: str | None = None, errored: bool = False, text: str | None = None, sort: str = "started_at", descending: bool = True, limit: float | None = None, **filters) -> DataFrame:
-        rows, steps = sessions.filtered(self.sessions(), **filters), self.steps()
+        store = self.pinned()
+        rows, steps = sessions.filtered(store.sessions(), **filters), store.steps()
         if tool:
             rows = sessions.with_steps(rows, steps, sessions.has_tool(tool))
         if errored:
             rows = sessions.with_steps(rows, steps, F.col("errored"))
         if text:
-            found = S.scores(self._of_sessions("terms"), S.query_phrases(text, True) or [["\0"]])
-            rows = rows.join(found.select("session_id"), "session_id", "left_semi")
+            found = store._index(store.fixed).hits(S.query_phrases(text, True) or [["\0"]])
+            each = found.groupBy("segment", "doc").agg(F.count("*").alias("c")).filter(F.col("c") == max(1, len(S.query_phrases(text, True))))
+            rows = rows.join(each.join(store._live(store.fixed), ["segment", "doc"]).select("session_id"), "session_id", "left_semi")
         return sessions.listed(sessions.with_counts(rows, steps), sort, descending, limit)
 
     def newest(self, n: int = 50) -> DataFrame:
@@ -138,9 +198,14 @@ class Store:
         events = events.join(self.sessions().select("session_id", "project_cwd"), "session_id", "left").withColumn("cost_usd", P.usd(F.col("micro_cost")))
         return sessions.filtered(events, time="ts", **filters).orderBy("ts", "session_id", "step_index")
 
+    def _known_prompts(self) -> DataFrame:
+        rows = self.table("prompts")
+        merged = rows.groupBy("prompt_hash").agg(F.min_by("agent", "first_seen").alias("agent"), F.first("content").alias("content"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.first("approx_tokens").alias("approx_tokens"))
+        return merged.select(*rows.columns)
+
     def prompts(self, agent: str | None = None, limit: int | None = None) -> DataFrame:
         """Prompts by last use, with the requests and sessions that use them now."""
-        known = self.table("prompts").groupBy("prompt_hash").agg(F.min_by("agent", "first_seen").alias("agent"), F.first("content").alias("content"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.first("approx_tokens").alias("approx_tokens"))
+        known = self._known_prompts()
         used = self._of_sessions("requests").groupBy("prompt_hash").agg(F.count("*").alias("request_count"), F.count_distinct("session_id").alias("session_count"))
         rows = known.join(used, "prompt_hash", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("request_count", "session_count")})
         rows = rows.filter(F.lower("agent") == agent.lower()) if agent else rows
@@ -154,8 +219,32 @@ class Store:
         """Paths of the indexed logs that are still there."""
         return [r.source_path for r in self.table("files").select("source_path").distinct().toLocalIterator() if os.path.exists(r.source_path)]
 
-    def vacuum(self) -> None:
-        """Writes the prompt registry anew, one row a prompt, in place of the rows that each run added."""
-        kept = f"{self.path('prompts')}-{uuid.uuid4().hex}"
-        self.prompts().drop("request_count", "session_count").write.parquet(kept)
-        self.spark.read.parquet(kept).write.mode("overwrite").parquet(self.path("prompts"))
+    def vacuum(self, hours: float = 24.0) -> int:
+        """Joins small parts, makes the prompt registry one row a prompt, builds the index anew if a share of its steps no
+        longer counts, and deletes what no commit of the last hours names; returns how many parts were deleted."""
+        base = self.snapshots.snapshot()
+        if base.version:
+            run, added, notes = uuid.uuid4().hex, {}, dict(base.notes)
+            if len(base.parts["prompts"]) > 1:
+                added["prompts"] = self.snapshots.add("prompts", self.pinned()._known_prompts(), run)
+            segments = base.notes.get("segments", {})
+            lost = sum(c["built"] - c["n"] for c in segments.values())
+            if lost > DEAD_SHARE * sum(c["built"] for c in segments.values()):
+                texts = self._anew(base, run)
+                added["documents"] = self.snapshots.add("documents", postings.documents(texts, [*trajectory.KEY, "step_index"]), run)
+                added["postings"] = self.snapshots.add("postings", self._laid_out(postings.blocks(texts)), run, ["bucket"], **postings.WRITER)
+                # Logs name the run that read them; their rows are in these parts now.
+                runs = tuple({r for p in base.parts["documents"] for r in p.runs} | {run})
+                added["documents"] = (replace(added["documents"][0], runs=runs), added["documents"][1])
+                sizes = added["documents"][1].agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
+                notes["segments"] = {run: {"built": sizes.n, "n": sizes.n, "words": sizes.words}}
+            made = self.snapshots.after(base, added, replaced=tuple(added), notes=notes)
+            made = self.snapshots.merged(made, [n for n in TABLES if n not in ("prompts", "hidden")], layouts={"postings": (self._laid_out, ["bucket"], postings.WRITER)})
+            if made.parts != base.parts:
+                self.snapshots.commit(made)
+        return self.snapshots.vacuum(hours)
+
+    def _anew(self, base: Snapshot, run: str) -> DataFrame:
+        """The texts of all steps that count, numbered anew and written, so that both tables of the index see the same numbers."""
+        steps = self.snapshots.table(base, "steps").drop("segment", "doc").join(self.snapshots.table(base, "hidden"), ["source_path", "session_id"], "left_anti")
+        return self.snapshots.add("texts", postings.numbered(trajectory.search_rows(steps), run), run)[1]
