@@ -11,7 +11,7 @@ from wirespan.operators import atif, redact, trajectory
 from wirespan.sources import logs
 from wirespan.sources.store import Store
 from wirespan.sources.wire import decode, decoded
-from wirespan.streaming.tail import TailReader, follow
+from wirespan.streaming.tail import TailReader, follow, steps_so_far
 
 
 def rebuilt(spark, *runs):
@@ -200,31 +200,96 @@ def test_tail(spark, tmp_path):
     path = tmp_path / ".claude-trace" / "log.jsonl"
     L.write(path, L.claude()[:1], tail='{"request": {"time')
     reader = TailReader({"path": str(tmp_path)})
-    rows, offset = reader.read(reader.initialOffset())
-    assert [r[2] for r in rows] == [L.START]
-    assert list(reader.read(offset)[0]) == []
+
+    def between(start, end):
+        return [r[2] for p in reader.partitions(start, end) for r in reader.read(p)]
+
+    offset = reader.latestOffset()
+    assert between(reader.initialOffset(), offset) == [L.START] and reader.partitions(offset, offset) == []
     L.write(path, L.claude())
-    again, later = reader.read(offset)
-    assert [r[2] for r in again] == [L.START + 5] and [r[2] for r in reader.readBetweenOffsets(offset, later)] == [L.START + 5]
+    later = reader.latestOffset()
+    assert between(offset, later) == [L.START + 5] == between(offset, later)  # a batch can run again
     path.write_text(json.dumps(L.claude()[1]) + "\n")  # shorter: replaced
-    assert [r[2] for r in reader.read(later)[0]] == [L.START + 5]
+    assert between(later, reader.latestOffset()) == [L.START + 5]
+
+
+def test_lines_belong_to_the_range_in_which_they_end(tmp_path, monkeypatch):
+    import random
+
+    from wirespan.streaming import tail
+
+    rng = random.Random(3)
+    monkeypatch.setattr(tail, "READ_BYTES", 7)
+    data = b"".join(bytes(rng.choice(b"ab\xc3\xa9 ") for _ in range(rng.choice([0, 1, 5, 40]))) + b"\n" for _ in range(60)) + b"rest"
+    (tmp_path / "f").write_bytes(data)
+    whole = list(tail.ended_lines(str(tmp_path / "f"), 0, len(data)))
+    assert len(whole) == 60
+    for _ in range(50):
+        cuts = [0, *sorted(rng.sample(range(len(data)), rng.randrange(6))), len(data)]
+        assert [x for a, b in zip(cuts, cuts[1:]) for x in tail.ended_lines(str(tmp_path / "f"), a, b)] == whole
 
 
 def test_follow(spark, tmp_path):
     path = tmp_path / "logs" / ".claude-trace" / "log.jsonl"
     L.write(path, L.claude()[:1])
     seen = []
-    query = follow(spark, [str(tmp_path / "logs")], str(tmp_path / "state"), lambda steps, n: seen.append(steps.count()))
+    run = lambda: follow(spark, [str(tmp_path / "logs")], str(tmp_path / "state"), lambda changes, n: seen.append(sorted((r.kind, r.step_index) for r in changes.collect())))
+    query = run()
     try:
-        for want, write in ((2, None), (3, L.claude())):
+        for want, write in (([("step", 1), ("step", 2)], None), ([("observation", 2), ("step", 3)], L.claude())):
             if write:
+                query.stop()  # what goes on from its checkpoint brings what is new alone
                 L.write(path, write)
-            stop = time.time() + 60
+                query = run()
+            stop = time.time() + 90
             while time.time() < stop and (not seen or seen[-1] != want):
                 time.sleep(0.2)
-            assert seen[-1] == want
+            assert seen[-1:] == [want], query.exception()
     finally:
         query.stop()
+    _, steps = rebuilt(spark, L.claude())
+    shown = lambda rows: [(r.step_index, r.role, r.message, r.observations) for r in rows.orderBy("step_index").collect()]
+    assert shown(steps_so_far(spark, str(tmp_path / "state"), str(path))) == shown(steps)
+    assert steps_so_far(spark, str(tmp_path / "state"), session_id="no such").count() == 0
+
+
+def test_state_equals_batch_after_any_split(spark, tmp_path):
+    import random
+
+    from wirespan.streaming import state
+
+    rng = random.Random(8)
+    use = lambda i: {"type": "tool_use", "id": f"t{i % 5}", "name": "Run", "input": {"n": i}}
+    said = lambda t: {"role": "user", "content": t}
+    back = lambda i: {"role": "user", "content": [{"type": "tool_result", "tool_use_id": f"t{i}", "content": f"r{rng.random()}"}]}
+    runs = []
+    for k in range(6):
+        held, run = [], []
+        for i in range(9):
+            if rng.random() < 0.15:
+                held = held[: rng.randrange(3)]  # compacted
+            held = held + rng.sample([said(f"m{i}"), said(" \u3000\n"), back(rng.randrange(6)), back(9), {"role": "user", "content": [{"type": "tool_result", "content": "no id"}]}], rng.randrange(4))
+            answer = {"body": {"content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": f"a{i}"}] + [use(rng.randrange(9)) for _ in range(rng.randrange(3))], "usage": {"input_tokens": i}}}
+            run.append(L.pair({"model": "m", "system": f"run {k}", "messages": held}, None if rng.random() < 0.2 else answer))
+        runs.append(run)
+    _, steps = rebuilt(spark, *runs)
+    columns = ["source_path", "session_id", "step_index", "seq", "ts", "role", "message", "reasoning", "tool_calls", "observations", "usage"]
+    shown = lambda rows: sorted(map(repr, rows.select(*columns).collect()))
+    want = shown(steps)
+    rows = [(f"log{i}", n, json.dumps(p)) for i, run in enumerate(runs) for n, p in enumerate(run)]
+    schema = "source_path string, pair_index long, raw string"
+    spark.conf.set(*state.STATE_STORE)
+    try:
+        assert shown(state.steps_of(state.events(decoded(spark.createDataFrame(rows, schema))))) == want  # one batch, no stream
+        cuts = {i: sorted(rng.sample(range(10), 2)) for i in range(6)}
+        for part in range(3):
+            of = lambda r: sum(r[1] >= c for c in cuts[int(r[0][3:])])
+            spark.createDataFrame([r for r in rows if of(r) == part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            found = state.events(decoded(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))))
+            found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
+    finally:
+        spark.conf.unset(state.STATE_STORE[0])
+    assert shown(state.steps_of(spark.read.schema(state.EVENT).parquet(str(tmp_path / "out")))) == want
 
 
 def test_display(spark, tmp_path):

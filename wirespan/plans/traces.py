@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from wirespan.functions import prices as P
 from wirespan.operators import atif, display, fleet, trajectory
 from wirespan.plans import bindings as B
+from wirespan.session import scratch
 from wirespan.sources.wire import decoded
+from wirespan.streaming import state
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -92,6 +94,29 @@ def traj_stitch(spark, sf_dir):
     return rows.select("source_path", "step_index", F.explode("observations").alias("o")).select("source_path", "step_index", "o.content")
 
 
+@query("traj_state_steps", f"""WITH {STEPS_SQL}, made AS (SELECT source_path, conv_id, turn, step_index FROM steps WHERE role = 'agent'),
+placed AS (SELECT conv_id, 'out' || turn AS content, turn, (SELECT max(m.turn) FROM made m WHERE m.conv_id = c.conv_id AND m.turn < c.turn) AS at_turn FROM c WHERE role <> 'assistant' AND turn < last_turn),
+stitched AS (SELECT conv_id, at_turn, string_agg(content, ',' ORDER BY turn) AS observed FROM placed GROUP BY ALL)
+SELECT source_path, step_index, role, message, observed FROM steps s LEFT JOIN stitched p ON s.role = 'agent' AND p.conv_id = s.conv_id AND p.at_turn = s.turn""")
+def traj_state_steps(spark, sf_dir):
+    """Steps out of a stream's state: the logs come in three appended parts, each followed to its end by a query that goes on
+    from the checkpoint of the one before."""
+    folder, pairs = scratch(spark, "state"), logs(spark, sf_dir, tools=True)
+    key, provider = state.STATE_STORE
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, provider)
+    try:
+        for part in ("pair_index < 3", "pair_index >= 3 and pair_index < 8", "pair_index >= 8"):
+            pairs.filter(part).write.mode("append").parquet(f"{folder}/pairs")
+            stream = spark.readStream.schema(pairs.schema).parquet(f"{folder}/pairs")
+            found = state.events(decoded(stream)).writeStream.format("parquet").option("path", f"{folder}/events").option("checkpointLocation", f"{folder}/checkpoint")
+            found.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    steps = state.steps_of(spark.read.schema(state.EVENT).parquet(f"{folder}/events"))
+    return steps.select("source_path", "step_index", "role", "message", F.array_join(F.transform("observations", lambda o: o["content"]), ",").alias("observed"))
+
+
 @query("traj_tool_calls", f"WITH {STEPS_SQL} SELECT source_path, step_index, 'call' || turn AS id, 'Bash' AS name, '{{\"n\":' || turn || '}}' AS args_json FROM steps WHERE role = 'agent'")
 def traj_tool_calls(spark, sf_dir):
     return trajectory.steps(turns(spark, sf_dir, tools=True)).select("source_path", "step_index", F.explode("tool_calls").alias("c")).select("source_path", "step_index", "c.*")

@@ -1,7 +1,9 @@
-"""A stream of the lines appended to logs, by byte offset, and what each batch of them changes.
+"""A stream of the lines appended to logs, by byte offset, and of the steps that they add.
 
-Spark's file streams take a file once and see nothing appended later, so the source keeps offsets of its own. A line
-without an end waits for the rest; a file shorter than its offset was replaced and is read from its start.
+Spark's file streams take a file once and see nothing appended later, so the source keeps offsets of its own: the sizes of
+the logs, which the driver asks for and no more. A batch has a partition for each log that grew, and an executor reads it.
+A line belongs to the batch in which it ends, so one without an end waits for the rest; a log shorter than its offset was
+replaced and is read from its start, its pairs after those before.
 """
 
 from __future__ import annotations
@@ -9,35 +11,65 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from wirespan.operators.trajectory import KEY
 from wirespan.sources import logs
+from wirespan.sources.wire import decoded
+from wirespan.streaming import state
 
 SCHEMA = "source_path string, pair_index long, ts double, raw string"
+#: Bytes read at once, also when looking back for the start of a line.
+READ_BYTES = 1 << 20
 
 
-def appended(path: str, offset: int) -> tuple[list[tuple[int, str]], int]:
-    """(byte place, text) of the whole lines in path from offset on, and the offset after them."""
-    try:
-        size = os.path.getsize(path)
-        with open(path, "rb") as f:
-            if size < offset:
-                offset = 0
-            f.seek(offset)
-            data = f.read()
-    except OSError:
-        return [], offset
-    whole = data[: data.rfind(b"\n") + 1]
-    out, at = [], offset
-    for line in whole.splitlines(keepends=True):
-        out.append((at, line.decode("utf-8", "replace").strip()))
-        at += len(line)
-    return out, at
+@dataclass
+class Range(InputPartition):
+    """The bytes of one log from start to end."""
+
+    path: str
+    start: int
+    end: int
+
+    def __init__(self, path: str, start: int, end: int):
+        self.path, self.start, self.end = path, start, end
+
+
+def line_start(f, at: int) -> int:
+    """Where the line begins that the byte before at belongs to, or at itself if that byte ends a line."""
+    while at > 0:
+        size = min(READ_BYTES, at)
+        f.seek(at - size)
+        found = f.read(size).rfind(b"\n")
+        if found >= 0:
+            return at - size + found + 1
+        at -= size
+    return 0
 
 
-def as_rows(path: str, found: list[tuple[int, str]]) -> Iterator[tuple]:
+def ended_lines(path: str, start: int, end: int) -> Iterator[tuple[int, str]]:
+    """(byte place, text) of the lines of path whose end lies in the range; one is held at a time. A log that can't be read
+    gives none."""
+    try:
+        f = open(path, "rb")
+    except OSError:
+        return
+    with f:
+        at = line_start(f, start)
+        f.seek(at)
+        while at < end:
+            line = f.readline()
+            if not line.endswith(b"\n") or at + len(line) > end:
+                return
+            yield at, line.decode("utf-8", "replace").strip()
+            at += len(line)
+
+
+def as_rows(path: str, found: Iterator[tuple[int, str]]) -> Iterator[tuple]:
     for at, text in found:
         try:
             pair = json.loads(text)
@@ -47,8 +79,8 @@ def as_rows(path: str, found: list[tuple[int, str]]) -> Iterator[tuple]:
         yield path, at, float(ts) if isinstance(ts, (int, float)) else 0.0, text
 
 
-class TailReader(SimpleDataSourceStreamReader):
-    """Offsets are bytes read of each log; pair_index is the byte place of the pair, which grows with the log."""
+class TailReader(DataSourceStreamReader):
+    """Offsets are the sizes of the logs; pair_index is the byte place of the pair, which grows with the log."""
 
     def __init__(self, options: dict):
         self.roots = options["path"].split(",")
@@ -56,17 +88,22 @@ class TailReader(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"files": {}}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        files, rows = dict(start["files"]), []
+    def latestOffset(self) -> dict:
+        sizes = {}
         for path in logs.discover(self.roots):
-            found, files[path] = appended(path, files.get(path, 0))
-            rows += as_rows(path, found)
-        return iter(rows), {"files": files}
+            try:
+                sizes[path] = os.path.getsize(path)
+            except OSError:
+                pass  # it has gone meanwhile
+        return {"files": sizes}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        known = start["files"]
+        begins = {path: known.get(path, 0) if known.get(path, 0) <= size else 0 for path, size in end["files"].items()}
+        return [Range(path, begins[path], size) for path, size in end["files"].items() if size > begins[path]]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        for path, stop in end["files"].items():
-            found, _ = appended(path, start["files"].get(path, 0))
-            yield from as_rows(path, [x for x in found if x[0] < stop])
+    def read(self, partition: Range) -> Iterator[tuple]:
+        return as_rows(partition.path, ended_lines(partition.path, partition.start, partition.end))
 
 
 class TailSource(DataSource):
@@ -79,7 +116,7 @@ class TailSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def simpleStreamReader(self, schema) -> TailReader:
+    def streamReader(self, schema) -> TailReader:
         return TailReader(self.options)
 
 
@@ -90,21 +127,34 @@ def tail(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 
 def follow(spark: SparkSession, roots: list[str], folder: str, on_change: Callable[[DataFrame, int], None], interval: str = "250 milliseconds"):
-    """Keeps the pairs seen so far under folder, and after each batch that brought some calls on_change with the steps of
-    the logs it touched, and the number of the batch. Returns the running query."""
-    from pyspark.sql import functions as F
-
-    from wirespan.operators import trajectory
-    from wirespan.sources.wire import decoded
+    """Keeps the events (see state) of the logs under roots in folder, and after each batch that brought some calls
+    on_change with them and the number of the batch. Returns the running query; with the same folder it goes on where it
+    stopped. steps_so_far reads what it has kept."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        if rows.isEmpty():
-            return
-        touched = rows.select("source_path").distinct()
-        # A batch that runs again overwrites what it wrote; a log read anew from its start repeats places, of which the last counts.
-        rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/pairs")
-        known = spark.read.parquet(f"{folder}/pairs").join(touched, "source_path", "left_semi")
-        latest = known.groupBy("source_path", "pair_index").agg(F.max_by("raw", "batch").alias("raw"))
-        on_change(trajectory.steps(trajectory.conversations(decoded(latest))), number)
-
-    return tail(spark, roots).writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime=interval).start()
+        # A batch that runs again overwrites what it wrote.
+        path = f"{folder}/events/batch={number}"
+        rows.write.mode("overwrite").parquet(path)
+        brought = spark.read.schema(state.EVENT).parquet(path)
+        if not brought.isEmpty():
+            on_change(brought, number)
+
+    key, provider = state.STATE_STORE
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, provider)
+    try:
+        found = state.events(decoded(tail(spark, roots)))
+        return found.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime=interval).start()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def steps_so_far(spark: SparkSession, folder: str, source_path: str | None = None, session_id: str | None = None) -> DataFrame:
+    """The steps of everything that follow has kept in folder, or of one log or session of it, which is how a selected
+    session is followed while others grow."""
+    found = spark.read.schema(f"{state.EVENT}, batch long").parquet(f"{folder}/events")
+    if source_path is not None:
+        found = found.filter(F.col("source_path") == source_path)
+    if session_id is not None:
+        found = found.filter(F.col("session_id") == session_id)
+    return state.steps_of(found).orderBy(*KEY, "step_index")
