@@ -138,38 +138,53 @@ def test_ngram_join(spark, corpus):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in sets if least[i] == i)
 
 
-def test_line_dedup(spark, corpus):
-    from wirespan.llm.line_dedup import LINES, dedup_lines
+def test_line_dedup(spark, corpus, monkeypatch):
+    from wirespan.llm import line_dedup as D
+
+    monkeypatch.setattr(D, "MAX_LINES", 5)
 
     def chunks(text):
         lines = text.split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-        out = [[lines[0]]]
-        for i in range(1, len(lines)):
-            if i >= 2 and (h[i - 2] * 31 + h[i - 1]) % LINES == 0:
-                out.append([])
-            out[-1].append(lines[i])
-        return out
-
-    rows = corpus + [(70, "+a\n-b\n+c\n\n\n", "s"), (71, "+a\n-b\n+c\n\n\n", "s")]
-    seen, want = set(), {}
-    for i, t, _ in sorted(rows):
-        if t is None:
-            want[i] = None
-            continue
-        kept = []
-        for c in chunks(t):
-            x = "\n".join(c)
-            if len(c) >= 2 and x.replace("\n", "").strip(" ") and x in seen:
-                continue
-            seen.add(x)
-            kept.append(x)
-        want[i] = "\n".join(kept)
-    out = dedup_lines(frame(spark, rows))
-    assert out.columns == frame(spark, rows).columns
-    got = out.collect()
-    assert {r.doc_id: r.text for r in got} == want
-    assert all(r.n_chars == len(r.text or "") for r in got)
+        h = [hashlib.md5(x.encode()).hexdigest() for x in lines]
+        out = set()
+        for k in range(D.HASHES):
+            first = 0
+            for i in range(1, len(lines) + 1):
+                cut = i == len(lines) or int(h[i - 1][k], 16) >= D.ENDS or int(h[i][k], 16) < D.BEGINS
+                if cut or i - first == D.MAX_LINES:
+                    out |= {(first, i)} if i - first >= 2 else set()
+                    first = i
+        return sorted(out)
+
+    passage = corpus[3][1].split("\n")[:4]
+    rows = corpus + [(70, "+a\n-b\n+c\n\n\n", "s"), (71, "+a\n-b\n+c\n\n\n", "s"), (72, "x\n" * 40, "s"), (73, "\n \n" * 9, "s"), (74, "\n \n" * 9, "s"), (75, "q\nr", "s"), (75, "q\nr", "s"), (75, "q\nr\ns", "s")]
+    rows += [(80 + i, "\n".join([f"{i} before", *passage[i % 2 :], f"{i} after"]), "s") for i in range(20)]
+    version = {t: r for t, r in ((r.t, r.v) for r in spark.createDataFrame([(t,) for _, t, _ in rows], "t string").selectExpr("t", "xxhash64(t) as v").collect())}
+    places = {}
+    for i, t, _ in rows:
+        for a, b in chunks(t) if t is not None else ():
+            x = "\n".join(t.split("\n")[a:b])
+            if x.replace("\n", "").strip(" "):
+                places.setdefault(x, set()).add((i, version[t], a, b))
+    gone = {}
+    for found in places.values():
+        for i, v, a, b in sorted(found)[1:]:
+            gone.setdefault((i, v), set()).update(range(a, b))
+    want = []
+    for i, t, _ in rows:
+        lines = t.split("\n") if t is not None else []
+        own = gone.get((i, version[t]), set())
+        want.append((i, None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in own), len(lines), len(own)))
+    for collide in (False, True):
+        if collide:  # all chunks share a few keys, so that bytes alone tell them apart
+            keys = D.chunk_keys
+            monkeypatch.setattr(D, "chunk_keys", lambda docs: keys(docs).selectExpr("doc_id", "version", "chunk", "key % 3 as key"))
+        out = D.dedup_lines(frame(spark, rows), counts=True)
+        assert out.columns == [*frame(spark, rows).columns, "n_lines", "n_removed_lines"]
+        got = out.collect()
+        assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed_lines) for r in got), key=str) == sorted(want, key=str)
+        assert all(r.n_chars == len(r.text or "") for r in got)
+    assert sum(w[3] >= len(passage) - 1 - w[0] % 2 for w in want if 80 <= w[0] < 100) >= 18  # of the copies between other lines
 
 
 def test_repeated_passages_between_other_lines(spark, corpus):

@@ -1,12 +1,10 @@
 """Line dedup over content-defined chunks of lines, with DataFrame functions alone.
 
-Each line is hashed; a hash rolling over the last two line hashes ends a chunk where it is divisible by a fixed number,
-so inserted or deleted lines move no boundary but their own. A chunk of two lines or more that starts earlier anywhere
-(smaller doc_id, or same document, earlier place) is removed. Hashes only find the chunks that may repeat; rows are
-matched on the chunk's bytes.
-
-Chunks miss a passage whose copy stands between other lines, as its first and last lines fall into chunks with those.
-dedup_passages therefore takes every run of two lines as a chunk of its own, which leaves no boundary to miss.
+Each line has a hash; a hash rolling over two line hashes decides whether a chunk ends between these lines. Of its values
+those are boundaries whose first digit ends a chunk or whose second digit begins one, so where a passage starts or ends
+between other lines, its own line can make the boundary whatever the neighbour is. Several such rolling hashes cut every
+document several times, each about every two lines, and what any of them finds repeated goes. A chunk of two lines or more
+that starts earlier anywhere (smaller doc_id, or same document, earlier line) is removed, after a comparison of bytes.
 """
 
 from __future__ import annotations
@@ -14,71 +12,112 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, unused
+from .common import release, stored, unused
 
-#: A chunk ends after a line with probability 1 in so many.
-LINES = 4
+#: Rolling hashes: the k-th takes the k-th hexadecimal digit of both lines' MD5.
+HASHES = 12
+#: A line begins a chunk where its digit is under BEGINS, and ends one where its digit is at least ENDS.
+BEGINS, ENDS = 7, 9
 MIN_LINES = 2
+#: Longer chunks are cut after so many lines.
+MAX_LINES = 32
+#: A chunk is one number: its first line times this, plus the line after its last.
+_WIDE = 1 << 31
+
+
+def _chunks(hashes: Column, k: int) -> Column:
+    """First lines and ends of the chunks of at least MIN_LINES lines that the k-th rolling hash makes."""
+    digit = lambda i: F.shiftright(F.get(hashes, i), 4 * (HASHES - 1 - k)).bitwiseAND(15)
+    inner = F.when(F.size(hashes) > 1, F.sequence(F.lit(1), F.size(hashes) - 1)).otherwise(F.array().cast("array<int>"))
+    cuts = F.concat(F.array(F.lit(0)), F.filter(inner, lambda i: (digit(i - 1) >= ENDS) | (digit(i) < BEGINS)))
+    ends = F.concat(F.slice(cuts, F.lit(2), F.size(cuts)), F.array(F.size(hashes)))
+    pieces = F.flatten(F.zip_with(cuts, ends, lambda a, b: F.transform(F.sequence(a, b - 1, F.lit(MAX_LINES)), lambda x: x.cast("long") * _WIDE + F.least(x + MAX_LINES, b))))
+    return F.filter(pieces, lambda x: x % _WIDE - F.shiftright(x, 31) >= MIN_LINES)
+
+
+def _span(chunk: Column) -> tuple[Column, Column]:
+    """From which line (from 1), and how many lines."""
+    first = F.shiftright(chunk, 31)
+    return (first + 1).cast("int"), (chunk % _WIDE - first).cast("int")
+
+
+def chunk_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, version (hash of the text), chunk, key (hash of its lines) of every chunk that is not of blank lines alone.
+    Rows with the same doc_id and text give each chunk once for each row."""
+    lines = F.split(F.col("text").cast("string"), "\n", -1)
+    rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("version"), lines.alias("lines")).filter("lines is not null")
+    number = lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, HASHES), 16, 10).cast("long")
+    rows = rows.select("doc_id", "version", F.transform("lines", number).alias("h"), F.transform("lines", lambda x: F.xxhash64(x)).alias("x"), F.transform("lines", lambda x: F.trim(x) != "").alias("some"))
+    each = F.array_distinct(F.concat(*(_chunks(F.col("h"), k) for k in range(HASHES))))
+    rows = rows.select("doc_id", "version", "x", "some", F.explode(each).alias("chunk"))
+    rows = rows.filter(F.exists(F.slice("some", *_span(F.col("chunk"))), lambda x: x))
+    return rows.select("doc_id", "version", "chunk", F.xxhash64(F.slice("x", *_span(F.col("chunk")))).alias("key"))
+
+
+def _texts(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunks (doc_id, version, chunk, key) with their text."""
+    text = F.col("text").cast("string")
+    own = chunks.groupBy(F.col("doc_id").alias("doc"), F.col("version").alias("of")).agg(F.collect_set(F.struct("chunk", "key")).alias("found"))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("version"), F.split(text, "\n", -1).alias("lines"))
+    rows = rows.join(own, rows["doc_id"].eqNullSafe(own["doc"]) & (rows["version"] == own["of"])).select("doc_id", "version", "lines", F.explode("found").alias("c"))
+    return rows.select("doc_id", "version", "c.chunk", "c.key", F.array_join(F.slice("lines", *_span(F.col("c.chunk"))), "\n").alias("text"))
 
 
-def _marked(lines: Column, hashes: Column, every: int) -> Column:
-    """The text again, each line led by '-' where a chunk starts and by '+' elsewhere."""
-    before = F.concat(F.array(F.lit(None).cast("long")), F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))))
-    # Whether a chunk ends after the line before: its rolling hash covers that line and the one before it.
-    two_before = F.concat(F.array(F.lit(None).cast("long"), F.lit(None).cast("long")), F.slice(hashes, 1, F.greatest(F.size(hashes) - 2, F.lit(0))))
-    zipped = F.arrays_zip(lines.alias("l"), before.alias("p"), two_before.alias("q"))
-    starts = lambda x: x["p"].isNull() | F.coalesce((x["q"] * 31 + x["p"]) % every == 0, F.lit(False))
-    return F.array_join(F.transform(F.filter(zipped, lambda x: x["l"].isNotNull()), lambda x: F.concat(F.when(starts(x), F.lit("-")).otherwise(F.lit("+")), x["l"])), "\n")
-
-
-def chunked(docs: DataFrame, text: str, chunks: str, every: int = LINES) -> DataFrame:
-    """docs with an array of chunks; joined by line ends they are the text. Null texts have a null array."""
-    marked = docs.withColumn(chunks, F.split(F.col(text), "\n", -1))
-    hashes = f"{chunks}_hashes"
-    marked = marked.withColumn(hashes, F.transform(chunks, lambda line: F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")))
-    marked = marked.withColumn(chunks, F.split(F.substring(_marked(F.col(chunks), F.col(hashes), every), 2, 2**31 - 1), "\n-", -1)).drop(hashes)
-    return marked.withColumn(chunks, F.transform(chunks, lambda c: F.replace(c, F.lit("\n+"), F.lit("\n"))))
-
-
-def _n_lines(chunk: Column) -> Column:
-    return F.length(chunk) - F.length(F.replace(chunk, F.lit("\n"), F.lit(""))) + 1
-
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """doc_id, version, chunk of each chunk whose lines start earlier anywhere.
 
-def repeated_chunks(docs: DataFrame, every: int = LINES, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc_id, no (of the chunk, from 0), key, n_lines of each chunk that starts earlier; chunks of blank lines never."""
-    rows = chunked(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", "chunks", every)
-    rows = rows.select("doc_id", F.posexplode("chunks").alias("no", "chunk"))
-    rows = rows.filter((_n_lines(F.col("chunk")) >= min_lines) & (F.trim(F.replace("chunk", F.lit("\n"), F.lit(""))) != "")).withColumn("key", F.xxhash64("chunk"))
+    Hashes find what may repeat. The texts of chunks that share a hash are then grouped by their bytes: where they are one
+    text, as ever but for collisions, chunks need no text any more to be told from the first; where they are several, each
+    is told from the first with its own bytes.
+    """
+    spark, place = docs.sparkSession, F.struct("doc_id", "version", "chunk")
+    rows = stored(chunk_keys(docs), "chunks")
     often = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    maybe = stored(rows.join(often, "key", "left_semi"), "chunks")
-    first = maybe.groupBy("key", "chunk").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    found = maybe.join(first, ["key", "chunk"])
-    return found.filter(~F.struct("doc_id", "no").eqNullSafe(F.col("first"))).select("doc_id", "no", "key", _n_lines(F.col("chunk")).cast("long").alias("n_lines"))
-
+    rows = stored(rows.join(often, "key", "left_semi"), "repeated")
+    release(spark)
+    firsts = _texts(docs, rows).groupBy("key", "text").agg(F.min(place).alias("first"))
+    firsts = stored(firsts.groupBy("key").agg(F.count("*").alias("texts"), F.min("first").alias("first")), "firsts")
+    release(spark)
+    gone = rows.join(firsts.filter("texts = 1"), "key").filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "version", "chunk")
+    mixed = firsts.filter("texts > 1")
+    if not mixed.isEmpty():
+        texts = stored(_texts(docs, rows.join(mixed, "key", "left_semi")), "mixed")
+        first = texts.groupBy("key", "text").agg(F.min(place).alias("first"))
+        gone = gone.unionByName(texts.join(first, ["key", "text"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "version", "chunk"))
+    return gone
+
+
+def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
+    """The documents, all columns, less the lines of chunks that start earlier anywhere; chunks are judged on the input.
+    n_chars, if there, follows a changed text.
+
+    Null texts stay null; a text whose lines all repeat becomes empty. Rows with the same doc_id and text are one document;
+    those with the same doc_id and another text are documents of their own; a null doc_id comes first. With counts, adds
+    n_lines and n_removed_lines, in place of columns of these names.
+    """
+    spans = F.transform(F.col("chunks"), lambda c: F.sequence(F.shiftright(c, 31).cast("int"), (c % _WIDE).cast("int") - 1))
+    gone = repeated_chunks(docs).groupBy("doc_id", "version").agg(F.collect_set("chunk").alias("chunks"))
+    return _without(docs, gone.select("doc_id", "version", F.flatten(spans).alias("covered")), counts)
 
-def dedup_lines(docs: DataFrame, every: int = LINES, min_lines: int = MIN_LINES, counts: bool = False) -> DataFrame:
-    """The documents, all columns, less their repeated chunks of lines; n_chars, if there, follows a changed text.
 
-    Null texts stay null; a text whose chunks all repeat becomes empty. Rows with the same doc_id and text are one
-    document, kept or shortened alike; a null doc_id comes first. With counts, adds n_lines and n_removed_lines, in
-    place of columns of these names.
-    """
+def _without(docs: DataFrame, gone: DataFrame, counts: bool) -> DataFrame:
+    """docs without the lines that gone (doc_id, version, covered) numbers from 0."""
     if counts:
         docs = docs.drop("n_lines", "n_removed_lines")
-    doc, of_doc, lines, of_text, chunks, left = unused(docs.columns, "doc", "gone", "lines", "chunked", "chunks", "kept")
-    gone = repeated_chunks(docs, every, min_lines).distinct()
-    gone = gone.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("no", "key")).alias(of_doc), F.sum("n_lines").alias(lines))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[doc]), "left")
-    joined = chunked(joined.withColumn(of_text, F.when(F.col(of_doc).isNotNull(), F.col("text"))), of_text, chunks, every)
-    numbered = F.transform(chunks, lambda c, i: F.struct(i.alias("no"), F.xxhash64(c).alias("key"), c.alias("c")))
-    joined = joined.withColumn(chunks, numbered)
-    is_gone = lambda x: F.array_contains(of_doc, F.struct(x["no"].alias("no"), x["key"].alias("key")))
-    kept = F.array_join(F.transform(F.filter(chunks, lambda x: ~is_gone(x)), lambda x: x["c"]), "\n")
-    out = joined.withColumn(left, F.when(F.col(of_doc).isNull(), F.col("text")).otherwise(kept))
-    columns = [F.col(left).alias("text") if c == "text" else F.when(F.col(of_doc).isNull(), F.col(c)).otherwise(F.length(left)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    doc, of, of_doc, version, lines, left = unused(docs.columns, "doc", "of", "gone", "version", "lines", "kept")
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("version").alias(of), F.col("covered").alias(of_doc))
+    text = F.col("text").cast("string")
+    # Lines are split before the join, so that what picks them afterwards does not split the text for each line.
+    rows = docs.select(*(c for c in docs.columns if c != "text"), F.xxhash64(text).alias(version), F.split(text, "\n", -1).alias(lines))
+    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone[doc]) & (rows[version] == gone[of]), "left")
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), of_doc)
+    rows = rows.withColumn(left, F.when(F.col(of_doc).isNull(), F.col(lines)).otherwise(F.transform(places, lambda i: F.get(lines, i))))
+    new = F.array_join(left, "\n")
+    columns = [new.alias("text") if c == "text" else F.when(F.col(of_doc).isNull(), F.col(c)).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     if counts:
-        columns += [F.coalesce(_n_lines(F.col("text")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(lines, F.lit(0)).alias("n_removed_lines")]
-    return out.select(*columns)
+        size = lambda c: F.when(F.col(lines).isNull(), 0).otherwise(F.size(c)).cast("long")
+        columns += [size(lines).alias("n_lines"), (size(lines) - size(left)).alias("n_removed_lines")]
+    return rows.select(*columns)
 
 
 def _windows(text: Column, min_lines: int) -> Column:
@@ -115,35 +154,24 @@ def dedup_passages(docs: DataFrame, min_lines: int = MIN_LINES, counts: bool = F
     document; those with the same doc_id and another text are documents of their own; a null doc_id comes first. With
     counts, adds n_lines and n_removed_lines, in place of columns of these names.
     """
-    if counts:
-        docs = docs.drop("n_lines", "n_removed_lines")
-    doc, of, of_doc, version, lines, left = unused(docs.columns, "doc", "of", "gone", "version", "lines", "kept")
-    gone = repeated_runs(docs, min_lines).groupBy(F.col("doc_id").alias(doc), F.col("version").alias(of)).agg(F.collect_set("i").alias(of_doc))
-    text = F.col("text").cast("string")
-    # Lines are split before the join, so that what picks them afterwards does not split the text for each line.
-    rows = docs.select(*(c for c in docs.columns if c != "text"), F.xxhash64(text).alias(version), F.split(text, "\n", -1).alias(lines))
-    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone[doc]) & (rows[version] == gone[of]), "left")
-    covered = F.flatten(F.transform(of_doc, lambda i: F.sequence(i, i + (min_lines - 1))))
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
-    rows = rows.withColumn(left, F.when(F.col(of_doc).isNull(), F.col(lines)).otherwise(F.transform(places, lambda i: F.get(lines, i))))
-    new = F.array_join(left, "\n")
-    columns = [new.alias("text") if c == "text" else F.when(F.col(of_doc).isNull(), F.col(c)).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    if counts:
-        size = lambda c: F.when(F.col(lines).isNull(), 0).otherwise(F.size(c)).cast("long")
-        columns += [size(lines).alias("n_lines"), (size(lines) - size(left)).alias("n_removed_lines")]
-    return rows.select(*columns)
+    gone = repeated_runs(docs, min_lines).groupBy("doc_id", "version").agg(F.collect_set("i").alias("runs"))
+    covered = F.flatten(F.transform("runs", lambda i: F.sequence(i, i + (min_lines - 1))))
+    return _without(docs, gone.select("doc_id", "version", covered.alias("covered")), counts)
 
 
-#: dedup_lines in DuckDB.
+#: dedup_lines with counts in DuckDB.
 SQL = f"""
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-hashed AS (SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM lines),
-flagged AS (SELECT doc_id, i, line, CASE WHEN lag(h) OVER w IS NULL THEN 0 WHEN (lag(h, 2) OVER w * 31 + lag(h) OVER w) % {LINES} = 0 THEN 1 ELSE 0 END AS s FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-placed AS (SELECT doc_id, i, line, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM flagged),
-chunks AS (SELECT doc_id, no, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n FROM placed GROUP BY ALL),
-judged AS (SELECT *, n >= {MIN_LINES} AND trim(replace(chunk, chr(10), '')) <> '' AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, no) > 1 AS gone FROM chunks),
-done AS (SELECT doc_id, sum(n) AS n_lines, coalesce(sum(n) FILTER (WHERE gone), 0) AS n_removed, coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS text FROM judged GROUP BY 1)
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+digits AS (SELECT doc_id, i, line, k, ('0x' || substr(md5(line), k, 1))::INT AS d FROM lines, range(1, {HASHES + 1}) r(k)),
+cut AS (SELECT *, CASE WHEN d < {BEGINS} OR lag(d) OVER w >= {ENDS} THEN 1 ELSE 0 END AS c FROM digits WINDOW w AS (PARTITION BY doc_id, k ORDER BY i)),
+numbered AS (SELECT *, sum(c) OVER (PARTITION BY doc_id, k ORDER BY i) AS no FROM cut),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, k, no ORDER BY i) - 1) // {MAX_LINES} AS piece FROM numbered),
+chunks AS (SELECT DISTINCT doc_id, first, n, chunk FROM (SELECT doc_id, min(i) AS first, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM placed GROUP BY doc_id, k, no, piece)
+  WHERE n >= {MIN_LINES} AND trim(replace(chunk, chr(10), '')) <> ''),
+judged AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) > 1 AS gone FROM chunks),
+removed AS (SELECT DISTINCT doc_id, unnest(range(first, first + n)) AS i FROM judged WHERE gone),
+done AS (SELECT l.doc_id, count(*) AS n_lines, count(r.i) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE r.i IS NULL), '') AS text FROM lines l LEFT JOIN removed r ON r.doc_id = l.doc_id AND r.i = l.i GROUP BY 1)
 SELECT d.doc_id, done.text AS text, coalesce(done.n_lines, 0)::BIGINT AS n_lines, coalesce(done.n_removed, 0)::BIGINT AS n_removed_lines
 FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
 """
