@@ -119,23 +119,23 @@ _stored("search_stored_phrase", "permission.denied the")
 _stored("search_stored_field", "ok", field="tool-output")
 
 
-@query("snapshot_upsert", """SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderpriority IS DISTINCT FROM '1-URGENT'
-  UNION ALL SELECT o_orderkey, o_orderpriority, o_totalprice + 1 FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 3 <> 0
-  UNION ALL SELECT -o_orderkey, '6-NEW', o_totalprice FROM orders WHERE o_orderkey % 5 = 0""")
+@query("snapshot_upsert", """SELECT doc_id, lang, n_chars FROM documents WHERE lang IS DISTINCT FROM 'de'
+  UNION ALL SELECT doc_id, lang, n_chars + 1 FROM documents WHERE lang = 'de' AND doc_id % 3 <> 0
+  UNION ALL SELECT -doc_id, 'new', n_chars FROM documents WHERE doc_id % 5 = 0""")
 def snapshot_upsert(spark, sf_dir):
-    """Orders keyed by priority: a run writes all, a second replaces one key's rows, a third adds a key and breaks off, a
+    """Documents keyed by language: a run writes all, a second replaces one key's rows, a third adds a key and breaks off, a
     fourth adds it again; parts are merged and what no commit names is deleted."""
-    o = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    store = Snapshots(spark, scratch(spark, "snapshots"), "o_orderpriority")
-    now = store.commit(store.after(store.snapshot(), {"orders": store.add("orders", o, "one")}))
-    later = o.filter("o_orderpriority = '1-URGENT' and o_orderkey % 3 <> 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
-    now = store.commit(store.after(now, {"orders": store.add("orders", later, "two")}, {"one": ["1-URGENT"]}))
-    new = o.filter("o_orderkey % 5 = 0").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("6-NEW").alias("o_orderpriority"), "o_totalprice")
-    store.add("orders", new, "three")
-    now = store.commit(store.after(now, {"orders": store.add("orders", new, "four")}))
-    now = store.commit(store.merged(now, ["orders"], parts=2))
+    d = B.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    store = Snapshots(spark, scratch(spark, "snapshots"), "lang")
+    now = store.commit(store.after(store.snapshot(), {"documents": store.add("documents", d, "one")}))
+    later = d.filter("lang = 'de' and doc_id % 3 <> 0").withColumn("n_chars", F.col("n_chars") + 1)
+    now = store.commit(store.after(now, {"documents": store.add("documents", later, "two")}, {"one": ["de"]}))
+    new = d.filter("doc_id % 5 = 0").select((-F.col("doc_id")).alias("doc_id"), F.lit("new").alias("lang"), "n_chars")
+    store.add("documents", new, "three")
+    now = store.commit(store.after(now, {"documents": store.add("documents", new, "four")}))
+    now = store.commit(store.merged(now, ["documents"], parts=2))
     store.vacuum(hours=-1)
-    return store.table(now, "orders")
+    return store.table(now, "documents")
 
 
 @query("search_top")
