@@ -1,4 +1,5 @@
 import json
+import re
 import time
 
 import pytest
@@ -114,6 +115,54 @@ def test_audit(spark):
     assert tuple(redact.redact_check(pairs).first()) == (4, 4, 2)
 
 
+def test_walk_in_the_jvm_equals_a_walk_of_each_pair(spark):
+    import random
+
+    rng, shapes = random.Random(6), tokens()
+
+    def value(depth):
+        kind = rng.randrange(8 if depth < 5 else 4)
+        if kind < 4:
+            return rng.choice(["", "plain", 5, None, True, 1.5, "é\u0001\n" + rng.choice(list(shapes.values())), f"a {rng.choice(list(shapes.values()))} b", "PASSWORD=h4x0r9q2w8e7z1 DB_PASSWORD=h4x0r9q2w8e7z1", "[REDACTED:jwt]"])
+        if kind < 6:
+            return [value(depth + 1) for _ in range(rng.randrange(4))]
+        return {rng.choice(["role", "content", "messages", "response", "x y", "é"]): value(depth + 1) for _ in range(rng.randrange(4))}
+
+    pairs = [{"request": {"timestamp": i, "headers": {"x": shapes["jwt"]}, "body": value(0)}, "response": rng.choice([None, {"body": value(0)}, {"body_raw": value(3)}, {"body": value(0), "body_raw": f"raw {shapes['slack_token']}"}])} for i in range(150)]
+    pairs += [{}, {"request": None}, {"response": {"body": shapes["github_token"]}}, {"request": {"body": {"role": "user", "messages": [[{"role": {"a": 1}, "c": [shapes["openai_key"]]}]]}}}]
+    nested = shapes["github_token"]
+    for _ in range(150):
+        nested = [nested]
+    texts = [json.dumps(p, ensure_ascii=i % 2 == 0) for i, p in enumerate([*pairs, {"request": {"body": nested}}])]
+    texts.append(json.dumps({"request": {"body": shapes["aws_access_key_id"]}}).replace("AKIA", "\\u0041KIA"))
+    rows = spark.createDataFrame([("log", i, float(i), t) for i, t in enumerate(texts)], "source_path string, pair_index long, ts double, raw string")
+    for mode in ("standard", "strict"):
+        want = sorted((i, *found) for i, t in enumerate(texts) for found in redact.scan_pair(json.loads(t), mode))
+        assert len(want) > 100 and sorted((r.pair_index, r.type, r.token, r.location, r.direction) for r in redact.scanned(rows, mode).collect()) == want
+    assert redact.scanned(rows, "off").count() == 0
+    masked = [sum(len(re.findall(redact.PLACEHOLDER, json.dumps(redact.redact_pair(json.loads(t), m)))) for t in texts) for m in ("standard", "strict")]
+    assert tuple(redact.redact_check(rows).first()) == (*masked, len(texts))
+
+
+def test_table_functions(spark):
+    from wirespan.functions import tables
+
+    tables.register(spark)
+    rows = spark.createDataFrame([(1, '{"messages":[{"role":"u","content":["x"]}],"s":"y"}', "a\nb", "a\nc"), (2, "no json", None, "n"), (3, None, "", "")], "id int, raw string, a string, b string")
+    found = spark.sql("SELECT id, text, path, role, location FROM {rows}, LATERAL walk_strings(raw)", rows=rows).collect()
+    assert sorted(map(tuple, found), key=str) == [(1, "u", ".messages[0].role", "u", "messages[0] (u)"), (1, "x", ".messages[0].content[0]", "u", "messages[0] (u)"), (1, "y", ".s", None, "s")]
+    ops = spark.sql("SELECT id, line, op, text FROM {rows}, LATERAL diff_lines(a, b)", rows=rows).collect()
+    assert sorted(map(tuple, ops)) == [(1, 0, "context", "a"), (1, 1, "del", "b"), (1, 2, "add", "c"), (2, 0, "add", "n")]
+
+
+def test_longest_prefix_is_an_equal_join(spark):
+    models = spark.createDataFrame([("GPT-5-mini-2025",), ("gpt-5",), ("Gpt",), ("o3",), ("",), (None,)], "model string")
+    prices = P.price_table(spark, {"gpt-5": (1, 2, 3, 4), "GPT-5-mini": (2, 2, 3, 4), "gpt-5-MINI": (9, 2, 3, 4), "gpt": (5, 2, 3, 4)})
+    out = P.resolved(models, prices)
+    assert {r.model: r.key for r in out.collect() if r.model != "o3"} == {"GPT-5-mini-2025": "gpt-5-MINI", "gpt-5": "gpt-5", "Gpt": "gpt", "": None}
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_store(spark, tmp_path):
     for name, run in (("claude", L.claude), ("codex", L.codex), ("gemini", L.gemini)):
         L.write(tmp_path / "work" / f".{name}-trace" / "log.jsonl", run(), tail="{broken\n\n")

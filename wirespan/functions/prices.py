@@ -102,11 +102,11 @@ def loaded(cache: str, fetch=None, max_age_s: float = 7 * 86400, now: float | No
 
 def resolved(models: DataFrame, prices: DataFrame) -> DataFrame:
     """model, key and prices (null if none) of each distinct model: the exact id, else its lower case, else the longest
-    key that begins it. The table of prices is small by nature; the distinct models meet it, never the events."""
+    key that begins it. Each distinct model is unfolded into its beginnings, which meet the keys in an equal join."""
     distinct = models.select("model").filter("model is not null").distinct()
-    fits = F.lower("model").startswith(F.lower("key"))
+    begins = distinct.select("model", F.explode(F.sequence(F.lit(0), F.length("model"))).alias("n")).select("model", F.lower("model").substr(F.lit(1), F.col("n")).alias("begins"))
     rank = F.when(F.col("model") == F.col("key"), F.lit(1_000_000)).when(F.lower("model") == F.col("key"), F.lit(900_000)).otherwise(F.length("key"))
-    best = distinct.join(F.broadcast(prices), fits, "left").groupBy("model").agg(F.max_by(F.struct("key", *PRICES), F.struct(rank, "key")).alias("best"))
+    best = begins.join(prices, F.col("begins") == F.lower("key"), "left").groupBy("model").agg(F.max_by(F.struct("key", *PRICES), F.struct(rank, "key")).alias("best"))
     return best.select("model", "best.*")
 
 

@@ -166,9 +166,6 @@ def detected(rows: DataFrame, text: str = "text") -> DataFrame:
     return exploded.select(*(c for c in rows.columns if c != text), "secret.type", "secret.token").filter(~F.col("token").rlike(f"^{PLACEHOLDER}"))
 
 
-FOUND = "type string, token string, location string, direction string"
-
-
 def walk(value, path: tuple = (), role: str | None = None) -> Iterator[tuple[str, tuple, str | None]]:
     """(string, path, role of the nearest object that has one) of every string value in a JSON value."""
     if isinstance(value, str):
@@ -200,21 +197,57 @@ def scan_pair(pair: dict, mode: str = "standard") -> list[tuple[str, str, str, s
     return out
 
 
-def scanned(pairs: DataFrame, mode: str = "standard") -> DataFrame:
-    """One row a secret of pairs (source_path, pair_index, ts, raw): with type, token, location and direction."""
+#: Escapes in JSON text that may stand for a letter, digit or dash of a token.
+ESCAPED = "\\u00"
+#: A walk down JSON values, a level with each turn: objects give their keys, arrays their places. label is the first key and,
+#: if that holds an array, the place in it; a role is that of the nearest object that has one. Depth 3 keeps a given label.
+WALK = """
+WITH RECURSIVE walked(place, label, depth, role, v) MAX RECURSION LEVEL 100000 AS (
+  SELECT place, label, CASE WHEN label IS NULL THEN 0 ELSE 3 END, cast(NULL AS string), v FROM {bodies}
+  UNION ALL
+  SELECT place, CASE depth WHEN 0 THEN coalesce(e.key, cast(e.pos AS string)) WHEN 1 THEN CASE WHEN e.key IS NULL THEN concat(label, '[', e.pos, ']') ELSE label END ELSE label END, CASE depth WHEN 3 THEN 3 ELSE least(depth + 1, 2) END,
+    CASE WHEN e.key IS NOT NULL AND schema_of_variant(try_variant_get(v, '$.role', 'variant')) = 'STRING' THEN try_variant_get(v, '$.role', 'string') ELSE role END, e.value
+  FROM walked, LATERAL variant_explode(v) e
+  WHERE schema_of_variant(e.value) = 'STRING' OR schema_of_variant(e.value) LIKE 'OBJECT<%' OR schema_of_variant(e.value) LIKE 'ARRAY<%')
+SELECT place, label, CASE WHEN depth < 3 THEN role END AS role, cast(v AS string) AS text FROM walked WHERE schema_of_variant(v) = 'STRING'"""
+
+
+def strings(pairs: DataFrame, mode: str = "off") -> DataFrame:
+    """place (source_path, pair_index, ts, direction), location and text of every string value in the bodies of pairs
+    (source_path, pair_index, ts, raw), walked in the JVM; with mode standard, of pairs that may hold a standard secret.
+
+    Lifts the session's limit on the rows of recursive queries, as the walk is as long as its input.
+    """
+    spark = pairs.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    if mode == "standard":
+        pairs = pairs.filter(_has_any(F.col("raw"), (*(s for starts in STARTS for s in starts), ESCAPED)))
+    rows = pairs.select(F.col("source_path"), F.col("pair_index").cast("long").alias("pair_index"), F.col("ts").cast("double").alias("ts"), F.try_parse_json("raw").alias("pair"))
+    body = lambda path, direction, label: F.struct(F.lit(direction).alias("direction"), F.lit(label).cast("string").alias("label"), F.expr(f"try_variant_get(pair, '$.{path}', 'variant')").alias("v"))
+    rows = rows.select("source_path", "pair_index", "ts", F.explode(F.array(body("request.body", "egress", None), body("response.body", "response", None), body("response.body_raw", "response", "response"))).alias("b")).filter("b.v is not null")
+    bodies = rows.select(F.struct("source_path", "pair_index", "ts", "b.direction").alias("place"), "b.label", "b.v")
+    found = spark.sql(WALK, bodies=bodies)
+    at = F.when(F.col("label").isNull(), "(body)").when(F.col("role").isNull(), F.col("label")).otherwise(F.concat("label", F.lit(" ("), "role", F.lit(")")))
+    return found.select("place", at.alias("location"), "text")
+
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def scanned(pairs: DataFrame, mode: str = "standard") -> DataFrame:
+    """One row a secret of pairs (source_path, pair_index, ts, raw): with type, token, location and direction. JSON is walked
+    in the JVM; strict detectors see batches of strings."""
+    found = strings(pairs, mode)
+    if mode == "strict":
 
-        for batch in batches:
-            out = []
-            for path, index, ts, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += [(path, index, ts, *found) for found in scan_pair(json.loads(raw), mode)]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = (pa.string(), pa.int64(), pa.float64(), *[pa.string()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["source_path", "pair_index", "ts", "type", "token", "location", "direction"])
+        @F.pandas_udf("array<struct<type:string,token:string>>")
+        def finds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield texts.map(lambda t: [{"type": kind, "token": token} for kind, token in find_secrets(t, "strict")])
 
-    return pairs.select("source_path", F.col("pair_index").cast("long"), F.col("ts").cast("double"), "raw").mapInArrow(run, f"source_path string, pair_index long, ts double, {FOUND}")
+        found = found.select("place", "location", F.explode(finds("text")).alias("secret")).select("place", "location", "secret.*")
+    elif mode == "standard":
+        found = detected(found)
+    else:
+        found = found.limit(0).select("place", "location", F.lit("").alias("type"), F.lit("").alias("token"))
+    return found.select("place.source_path", "place.pair_index", "place.ts", "type", "token", "location", "place.direction")
 
 
 def grouped(found: DataFrame) -> DataFrame:
@@ -231,17 +264,13 @@ def audit_totals(found: DataFrame) -> DataFrame:
 
 
 def redact_check(pairs: DataFrame) -> DataFrame:
-    """How many placeholders either mode leaves in the bodies of pairs (raw): standard_masked, strict_masked, pairs."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            counts = []
-            for raw in batch.column(0).to_pylist():
-                pair = json.loads(raw)
-                counts.append([len(_PLACEHOLDER.findall(json.dumps(redact_pair(pair, m)))) for m in ("standard", "strict")])
-            yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1)], ["standard", "strict"])
-
-    rows = pairs.select("raw").mapInArrow(run, "standard long, strict long")
-    return rows.agg(F.coalesce(F.sum("standard"), F.lit(0)).alias("standard_masked"), F.coalesce(F.sum("strict"), F.lit(0)).alias("strict_masked"), F.count("*").alias("pairs_scanned"))
+    """How many placeholders either mode leaves in pairs (raw): standard_masked, strict_masked, pairs_scanned.
+
+    What stands in a pair already counts, and so does what each string of its bodies gains.
+    """
+    there = pairs.agg(F.coalesce(F.sum(redaction_count(F.col("raw"))), F.lit(0)).alias("there"), F.count("*").alias("pairs_scanned"))
+    own = strings(pairs.select(F.lit("").alias("source_path"), F.lit(0).alias("pair_index"), F.lit(0.0).alias("ts"), "raw"))
+    gained = lambda mode: F.coalesce(F.sum(redaction_count(redacted(F.col("text"), mode)) - redaction_count(F.col("text"))), F.lit(0))
+    sums = own.agg(gained("standard").alias("standard"), gained("strict").alias("strict"))
+    rows = there.crossJoin(F.broadcast(sums))  # a row each
+    return rows.select((F.col("there") + F.col("standard")).alias("standard_masked"), (F.col("there") + F.col("strict")).alias("strict_masked"), "pairs_scanned")

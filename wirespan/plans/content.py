@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wirespan.functions import tables
 from wirespan.functions import texts as T
 from wirespan.functions.times import bucket_label, iso_time
 from wirespan.operators import diff, postings, redact, search, sessions
@@ -289,6 +290,53 @@ def model_diff(spark, sf_dir):
     return diff.model_diff(a, b)
 
 
+@query("diff_lines_sql", r"""WITH cut AS (SELECT doc_id, text, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, CASE WHEN text = '' THEN 0 WHEN n = 1 THEN 0 ELSE 1 END AS deleted, CASE WHEN text = '' THEN 2 ELSE 1 END AS added, CASE WHEN text = '' THEN 0 WHEN n = 1 THEN 1 ELSE n - 1 END AS same FROM cut""")
+def diff_lines_sql(spark, sf_dir):
+    """In SQL text: how many lines differ between each document and a copy that lost its second line and gained a last one."""
+    tables.register(spark)
+    d = B.table(spark, sf_dir, "documents").filter("text is not null")
+    lines = F.split("text", "\n", -1)
+    changed = F.array_join(F.concat(F.slice(lines, 1, 1), F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), F.array(F.concat(F.lit("end of "), F.col("doc_id").cast("string")))), "\n")
+    return spark.sql("SELECT doc_id, count_if(op = 'del') AS deleted, count_if(op = 'add') AS added, count_if(op = 'context') AS same FROM {pairs}, LATERAL diff_lines(text, changed) GROUP BY doc_id", pairs=d.select("doc_id", "text", changed.alias("changed")))
+
+
+BODY_SQL = """bodies AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source FROM planted)"""
+
+
+def _pairs(spark, sf_dir):
+    """A captured pair a document: its text (some with a planted token) as a user's message, in a request without a role,
+    and, of every fourth, raw in the response."""
+    d = B.planted(spark, sf_dir).join(B.table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    said = "named_struct('role', 'user', 'content', array(named_struct('type', 'text', 'text', coalesce(text, ''))))"
+    body = f"named_struct('system', coalesce(lang, 'none'), 'messages', array(named_struct('role', 'assistant', 'content', array(named_struct('type', 'none', 'text', coalesce(source, 'none')))), {said}), 'meta', named_struct('note', coalesce(text, '')))"
+    raw = F.expr(f"to_json(named_struct('request', named_struct('timestamp', cast(doc_id as double), 'headers', named_struct('x', coalesce(text, '')), 'body', {body}), 'response', named_struct('body', coalesce(lang, 'none'), 'body_raw', CASE WHEN doc_id % 4 = 0 THEN coalesce(text, '') END)))")
+    return d.select(F.concat(F.lit("log"), (F.col("doc_id") % 3).cast("string")).alias("source_path"), F.col("doc_id").alias("pair_index"), F.col("doc_id").cast("double").alias("ts"), raw.alias("raw"))
+
+
+@query("scan_pairs", f"""WITH {B.PLANTED_SQL}, {FOUND_SQL} SELECT doc_id AS pair_index, 'log' || (doc_id % 3) AS source_path, type, token, p.location, p.direction
+  FROM secrets, (VALUES ('messages[1] (user)', 'egress', 1), ('meta', 'egress', 1), ('response', 'response', 4)) p(location, direction, every) WHERE doc_id % p.every = 0""")
+def scan_pairs(spark, sf_dir):
+    return redact.scanned(_pairs(spark, sf_dir)).select("pair_index", "source_path", "type", "token", "location", "direction")
+
+
+@query("walk_pairs", f"""WITH {B.PLANTED_SQL.replace('SELECT doc_id, CASE', 'SELECT doc_id, lang, source, CASE')}, {BODY_SQL}
+  SELECT doc_id AS pair_index, l.location, sum(l.n)::BIGINT AS strings, sum(l.size)::BIGINT AS chars FROM bodies,
+    LATERAL (VALUES ('system', 1, length(lang)), ('messages[0] (assistant)', 3, length('assistant') + length('none') + length(source)), ('messages[1] (user)', 3, length('user') + length('text') + length(text)), ('meta', 1, length(text)), ('(body)', 1, length(lang)), ('response', CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END, length(text))) l(location, n, size)
+  WHERE l.n > 0 GROUP BY ALL""")
+def walk_pairs(spark, sf_dir):
+    """Every string of the bodies, by place."""
+    return redact.strings(_pairs(spark, sf_dir)).groupBy(F.col("place.pair_index").alias("pair_index"), "location").agg(F.count("*").alias("strings"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("walk_strings_sql", f"""WITH {B.PLANTED_SQL.replace('SELECT doc_id, CASE', 'SELECT doc_id, lang, source, CASE')}, {BODY_SQL}
+  SELECT doc_id AS pair_index, 'request.headers.x' AS at, length(text) AS chars FROM bodies UNION ALL SELECT doc_id, 'request.body.messages[1].content[0].text', length(text) FROM bodies""")
+def walk_strings_sql(spark, sf_dir):
+    """In SQL text: where a pair's JSON holds the document's text."""
+    tables.register(spark)
+    return spark.sql("SELECT pair_index, substr(path, 2) AS at, length(text) AS chars FROM {pairs}, LATERAL walk_strings(raw) WHERE path IN ('.request.headers.x', '.request.body.messages[1].content[0].text')", pairs=_pairs(spark, sf_dir))
+
+
 @query("text_diff")
 def text_diff(spark, sf_dir):
     """Lines of the diff of each document with a copy that lost its second line and gained a last one."""
