@@ -162,3 +162,13 @@ def test_words_and_tags_have_graded_weights():
         own = [w for w in re.sub(r"<[^>]*>", " ", page).split() if w[0] == "w"]
         kept = sum(w[0] == "w" for w in got)
         assert kept >= 0.95 * len(got) and kept >= 0.9 * len(own)
+
+
+def test_stray_end_tags_take_no_time():
+    import time
+
+    from wirespan.llm.html_text import tokens
+
+    began = time.perf_counter()
+    assert sum(1 for _ in tokens("<div>" * 50_000 + "</p>" * 50_000 + "words")) == 100_001
+    assert time.perf_counter() - began < 10

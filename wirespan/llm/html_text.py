@@ -159,6 +159,7 @@ def tokens(page: str) -> Iterator[Token]:
     """
     none = Around({}, False, "", False)
     stack: list[tuple[str, Around]] = []
+    opened: Counter[str] = Counter()  # open elements by name, so that a stray end tag looks at no stack
     at = 0
 
     def text(raw: str) -> Token:
@@ -172,9 +173,11 @@ def tokens(page: str) -> Iterator[Token]:
             continue
         name = m["name"].lower()
         if m["end"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                del stack[depth:]
+            while opened[name]:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == name:
+                    break
             yield Token(name, False, "", stack[-1][1] if stack else none)
             continue
         now = stack[-1][1] if stack else none
@@ -184,14 +187,17 @@ def tokens(page: str) -> Iterator[Token]:
                 parts = tuple(x for x in parts if x[0] != "root")
             elif not now.rooted:
                 stack.clear()
+                opened.clear()
         if name == "header" and now.rooted:
             parts = tuple(x for x in parts if x[0] != "head")  # an article's own heading
         if name in REOPENED and stack and stack[-1][0] == name:
             stack.pop()
+            opened[name] -= 1
         now = stack[-1][1] if stack else none
         if name not in VOID and not (m["attrs"] or "").endswith("/"):
             now = now.within(name, parts)
             stack.append((name, now))
+            opened[name] += 1
         yield Token(name, True, "", now)
     if at < len(page):
         yield text(page[at:])
