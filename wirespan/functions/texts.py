@@ -105,7 +105,7 @@ def snippet(text: Column, tokens: list[str], radius: int = 60) -> Column:
 
 
 def djb2(text: Column) -> Column:
-    """The 32-bit times-33-xor hash in lower-case hexadecimal, over UTF-16 units as scripts count them."""
+    """The 32-bit times-33-plus hash in lower-case hexadecimal, over UTF-16 units as scripts count them."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:

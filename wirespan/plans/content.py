@@ -215,10 +215,13 @@ def entropy(spark, sf_dir):
     return d.select("doc_id", F.round(T.entropy(F.col("text")), 6).alias("bits"))
 
 
-@query("header_mask", "SELECT 'authorization' AS name, 'Bearer abc...cdef' AS value UNION ALL SELECT 'X-Api-Key', '12...90' UNION ALL SELECT 'cookie', '[REDACTED]' UNION ALL SELECT 'accept', 'application/json'")
+@query("header_mask", r"""WITH h AS (SELECT doc_id, ['authorization', 'X-Api-Key', 'cookie', 'accept'][doc_id % 4 + 1] AS name, substr(coalesce(text, ''), 1, (doc_id % 20)::INT) AS value FROM documents)
+  SELECT doc_id, name, CASE WHEN name = 'accept' THEN value WHEN length(value) > 14 THEN substr(value, 1, 10) || '...' || right(value, 4) WHEN length(value) > 4 THEN substr(value, 1, 2) || '...' || right(value, 2) ELSE '[REDACTED]' END AS value FROM h""")
 def header_mask(spark, sf_dir):
-    rows = spark.createDataFrame([("authorization", "Bearer abcdefghijklcdef"), ("X-Api-Key", "1234567890"), ("cookie", "a=b"), ("accept", "application/json")], "name string, value string")
-    return rows.select("name", T.masked_header(F.col("name"), F.col("value")).alias("value"))
+    """A header a document, of four names, its value the text's beginning."""
+    d = B.table(spark, sf_dir, "documents")
+    rows = d.select("doc_id", F.expr("element_at(array('authorization', 'X-Api-Key', 'cookie', 'accept'), cast(doc_id % 4 as int) + 1)").alias("name"), F.expr("substring(coalesce(text, ''), 1, cast(doc_id % 20 as int))").alias("value"))
+    return rows.select("doc_id", "name", T.masked_header(F.col("name"), F.col("value")).alias("value"))
 
 
 @query("approx_tokens", "SELECT doc_id, floor(length(text) / 4.0 + 0.5)::BIGINT AS tokens FROM documents")
@@ -242,12 +245,19 @@ def iso_timestamp(spark, sf_dir):
     return B.requests(spark, sf_dir).select("session_id", "seq", iso_time(F.col("ts")).alias("at"))
 
 
-@query("djb2")
+@query("djb2", """WITH letters AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT) AS cs FROM documents),
+units AS (SELECT doc_id, flatten(list_transform(cs, lambda c: CASE WHEN c > 65535 THEN [55296 + (c - 65536) // 1024, 56320 + (c - 65536) % 1024] ELSE [c] END)) AS us FROM letters)
+SELECT doc_id, printf('%x', list_reduce(list_prepend(5381::BIGINT, us), lambda h, c: (h * 33 + c) % 4294967296)) AS hash FROM units""")
 def djb2(spark, sf_dir):
     return B.table(spark, sf_dir, "documents").select("doc_id", T.djb2(F.col("text")).alias("hash"))
 
 
-@query("fuzzy_palette")
+@query("fuzzy_palette", f"""WITH {B.STEP_SESSIONS_SQL}, t AS (SELECT session_id, lower(concat_ws(' ', session_id, agent, model, project_cwd)) AS t FROM step_sessions),
+a AS (SELECT *, instr(t, 'c') AS p1 FROM t), b AS (SELECT *, instr(substr(t, p1 + 1), 'x') + p1 AS p2 FROM a WHERE p1 > 0), c AS (SELECT *, instr(substr(t, p2 + 1), 'p') + p2 AS p3 FROM b WHERE p2 > p1),
+d AS (SELECT *, instr(substr(t, p3 + 1), '3') + p3 AS p4 FROM c WHERE p3 > p2), e AS (SELECT *, p2 = p1 + 1 AS x, p3 = p2 + 1 AS y, p4 = p3 + 1 AS z FROM d WHERE p4 > p3)
+SELECT session_id, CASE WHEN x AND y AND z THEN 20 WHEN x AND y OR y AND z THEN 14 WHEN x AND z THEN 12 WHEN x OR y OR z THEN 10 ELSE 8 END
+  + 4 * list_sum(list_transform([p1, p2, p3, p4], lambda p: CASE WHEN p = 1 OR substr(t, p - 1, 1) IN (' ', '/') THEN 1 ELSE 0 END))::INT AS score
+FROM e ORDER BY score DESC, session_id LIMIT 12""")
 def fuzzy_palette(spark, sf_dir):
     rows = B.step_sessions(spark, sf_dir).withColumn("score", T.fuzzy(F.concat_ws(" ", "session_id", "agent", "model", "project_cwd"), "cxp3"))
     return rows.filter("score >= 0").select("session_id", "score").orderBy(F.desc("score"), "session_id").limit(12)

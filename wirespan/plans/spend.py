@@ -70,17 +70,29 @@ def price_resolution(spark, sf_dir):
     return P.resolved(B.requests(spark, sf_dir), P.price_table(spark))
 
 
-@query("price_overlay", f"WITH {B.PRICES_SQL} SELECT key, CASE WHEN key = 'o3' THEN 7000000 ELSE p_in END AS p_in, CASE WHEN key = 'o3' THEN 9000000 ELSE p_out END AS p_out, CASE WHEN key = 'o3' THEN 7000000 ELSE p_write END AS p_write, CASE WHEN key = 'o3' THEN 7000000 ELSE p_read END AS p_read FROM prices UNION ALL SELECT 'house-model', 1000000, 2000000, 1000000, 500000")
+@query("price_overlay", f"""WITH {B.REQUESTS_SQL}, {B.RESOLVED_SQL.replace("ranked AS (", """overlaid AS (SELECT key, CASE WHEN key = 'o3' THEN 7000000 ELSE p_in END AS p_in, CASE WHEN key = 'o3' THEN 9000000 ELSE p_out END AS p_out, CASE WHEN key = 'o3' THEN 7000000 ELSE p_write END AS p_write, CASE WHEN key = 'o3' THEN 7000000 ELSE p_read END AS p_read FROM prices
+  UNION ALL SELECT 'house-model', 1000000, 2000000, 1000000, 500000),
+ranked AS (""").replace("JOIN prices p", "JOIN overlaid p")}
+SELECT q.model, r.key, count(*) AS events, sum(prompt_tokens * p_in + completion_tokens * p_out + cache_creation_tokens * p_write + cache_read_tokens * p_read)::DOUBLE / 1e12 AS cost_usd FROM requests q LEFT JOIN resolved r ON q.model = r.model GROUP BY ALL""")
 def price_overlay(spark, sf_dir):
-    return P.price_table(spark, P.overlaid(P.BUILT_IN, {"o3": (7, 9, 7, 7), "house-model": (1, 2, 1, 0.5)}))
+    """What each model's requests cost with two prices laid over the built-in ones."""
+    prices = P.price_table(spark, P.overlaid(P.BUILT_IN, {"o3": (7, 9, 7, 7), "house-model": (1, 2, 1, 0.5)}))
+    return _by_model(B.requests(spark, sf_dir), prices)
 
 
-LISTING = {"sample_spec": {"input_cost_per_token": 1}, "a/m1": {"input_cost_per_token": 1e-6, "output_cost_per_token": 2e-6}, "b/m1": {"input_cost_per_token": 3e-6, "output_cost_per_token": 4e-6}, "m2": {"input_cost_per_token": 1e-6, "output_cost_per_token": 0, "cache_read_input_token_cost": 1e-7}, "free": {"input_cost_per_token": 0, "output_cost_per_token": 0}, "x/m2": {"input_cost_per_token": 9e-6, "output_cost_per_token": 9e-6}}
+def _by_model(requests, prices):
+    rows = P.priced(requests, prices).groupBy("model").agg(F.count("*").alias("events"), P.usd(F.sum("micro_cost")).alias("cost_usd"))
+    return rows.join(P.resolved(rows, prices).select("model", "key"), "model", "left").select("model", "key", "events", "cost_usd")
 
 
-@query("litellm_convert", "SELECT * FROM (VALUES ('m1', 3000000::BIGINT, 4000000::BIGINT, 3000000::BIGINT, 3000000::BIGINT), ('m2', 1000000, 0, 1000000, 100000)) t(key, p_in, p_out, p_write, p_read)")
+LISTING = {"sample_spec": {"input_cost_per_token": 1}, "a/gpt": {"input_cost_per_token": 1e-6, "output_cost_per_token": 2e-6}, "b/gpt": {"input_cost_per_token": 3e-6, "output_cost_per_token": 4e-6}, "o3": {"input_cost_per_token": 1e-6, "output_cost_per_token": 0, "cache_read_input_token_cost": 1e-7}, "claude": {"input_cost_per_token": 0, "output_cost_per_token": 0}, "x/o3": {"input_cost_per_token": 9e-6, "output_cost_per_token": 9e-6}}
+
+
+@query("litellm_convert", f"""WITH {B.REQUESTS_SQL}, listed(model, key, p_in, p_out, p_write, p_read) AS (VALUES ('gpt-5', 'gpt', 3000000::BIGINT, 4000000::BIGINT, 3000000::BIGINT, 3000000::BIGINT), ('o3', 'o3', 1000000, 0, 1000000, 100000))
+SELECT q.model, key, count(*) AS events, sum(prompt_tokens * p_in + completion_tokens * p_out + cache_creation_tokens * p_write + cache_read_tokens * p_read)::DOUBLE / 1e12 AS cost_usd FROM requests q LEFT JOIN listed l ON l.model = q.model GROUP BY ALL""")
 def litellm_convert(spark, sf_dir):
-    return P.price_table(spark, P.converted(LISTING))
+    """What each model's requests cost by a converted listing alone."""
+    return _by_model(B.requests(spark, sf_dir), P.price_table(spark, P.converted(LISTING)))
 
 
 STATS_SQL = f"""{B.USAGE_SQL},
