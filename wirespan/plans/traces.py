@@ -130,6 +130,38 @@ def atif_export(spark, sf_dir):
     return docs.select("source_path", F.get_json_object("document", "$.schema_version").alias("schema_version"), F.get_json_object("document", "$.final_metrics.total_steps").cast("int").alias("total_steps"), F.length("document").alias("size"))
 
 
+#: The step that each result goes to, and a user's step's time: that of the request that first holds it.
+STITCHED_SQL = f"""{STEPS_SQL}, made AS (SELECT source_path, conv_id, turn, step_index FROM steps WHERE role = 'agent'),
+placed AS (SELECT conv_id, 'out' || turn AS content, turn, (SELECT max(m.turn) FROM made m WHERE m.conv_id = c.conv_id AND m.turn < c.turn) AS at_turn FROM c WHERE role <> 'assistant' AND turn < last_turn),
+stitched AS (SELECT conv_id, at_turn, string_agg(content, ',' ORDER BY turn) AS results FROM placed GROUP BY ALL),
+asked AS (SELECT s.*, (SELECT min(m.turn) FROM made m WHERE m.conv_id = s.conv_id AND m.turn >= s.turn) AS asked_in FROM steps s)"""
+
+
+@query("atif_steps", f"""WITH {STITCHED_SQL}
+SELECT source_path, step_index AS step_id, role AS source, message, strftime(to_timestamp(1700000000 + a.conv_id * 1000 + asked_in) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') AS timestamp, CASE WHEN role = 'agent' THEN 'claude-sonnet-4' END AS model_name,
+  CASE WHEN role = 'agent' THEN 'call' || turn || ' Bash ' || turn END AS calls, results, CASE WHEN role = 'agent' THEN (10 * turn + 1)::BIGINT END AS prompt_tokens, CASE WHEN role = 'agent' THEN 7::BIGINT END AS cached_tokens
+FROM asked a LEFT JOIN stitched p ON a.role = 'agent' AND p.conv_id = a.conv_id AND p.at_turn = a.turn""")
+def atif_steps(spark, sf_dir):
+    """The steps of the interchange documents, as they stand in the documents' text."""
+    t = turns(spark, sf_dir, tools=True)
+    schema = """steps array<struct<step_id:int,source:string,message:string,timestamp:string,model_name:string,tool_calls:array<struct<tool_call_id:string,function_name:string,arguments:struct<n:bigint>>>,
+      observation:struct<results:array<struct<content:string,source_call_id:string>>>,metrics:struct<prompt_tokens:bigint,completion_tokens:bigint,cached_tokens:bigint>>>"""
+    rows = atif.documents(t, trajectory.steps(t)).select("source_path", F.inline(F.from_json("document", schema)["steps"]))
+    calls = F.transform("tool_calls", lambda c: F.concat_ws(" ", c["tool_call_id"], c["function_name"], c["arguments"]["n"].cast("string")))
+    return rows.select("source_path", "step_id", "source", "message", "timestamp", "model_name", F.array_join(calls, ",").alias("calls"), F.array_join(F.col("observation.results.content"), ",").alias("results"), "metrics.prompt_tokens", "metrics.cached_tokens")
+
+
+@query("atif_metrics", f"""WITH {STEPS_SQL} SELECT source_path, 'ATIF-v1.7' AS schema_version, 'claude' AS agent, count(*)::INT AS total_steps, sum(10 * turn + 1) FILTER (WHERE role = 'agent')::BIGINT AS total_prompt_tokens, sum(turn) FILTER (WHERE role = 'agent')::BIGINT AS total_completion_tokens,
+  (7 * count(*) FILTER (WHERE role = 'agent'))::BIGINT AS total_cached_tokens FROM steps GROUP BY 1""")
+def atif_metrics(spark, sf_dir):
+    """Heads and final metrics of the interchange documents."""
+    t = turns(spark, sf_dir, tools=True)
+    docs = atif.documents(t, trajectory.steps(t))
+    of = lambda path, kind: F.get_json_object("document", f"$.{path}").cast(kind).alias(path.split(".")[-1])
+    totals = [of(f"final_metrics.total_{n}", "long") for n in ("prompt_tokens", "completion_tokens", "cached_tokens")]
+    return docs.select("source_path", of("schema_version", "string"), F.get_json_object("document", "$.agent.name").alias("agent"), of("final_metrics.total_steps", "int"), *totals)
+
+
 @query("traj_summary", f"WITH {STEPS_SQL} SELECT count(*) AS pair_count, count(DISTINCT source_path) AS trajectory_count, sum(10 * turn + 1)::BIGINT AS prompt_tokens, sum(turn)::BIGINT AS completion_tokens, 0::BIGINT AS cache_creation_tokens, (7 * count(*))::BIGINT AS cache_read_tokens FROM steps WHERE role = 'agent'")
 def traj_summary(spark, sf_dir):
     t = turns(spark, sf_dir)
