@@ -162,13 +162,12 @@ def atif_metrics(spark, sf_dir):
     return docs.select("source_path", of("schema_version", "string"), F.get_json_object("document", "$.agent.name").alias("agent"), of("final_metrics.total_steps", "int"), *totals)
 
 
-@query("traj_summary", f"WITH {STEPS_SQL} SELECT count(*) AS pair_count, count(DISTINCT source_path) AS trajectory_count, sum(10 * turn + 1)::BIGINT AS prompt_tokens, sum(turn)::BIGINT AS completion_tokens, 0::BIGINT AS cache_creation_tokens, (7 * count(*))::BIGINT AS cache_read_tokens FROM steps WHERE role = 'agent'")
-def traj_summary(spark, sf_dir):
-    t = turns(spark, sf_dir)
-    return display.summary(t, trajectory.session_rows(t, trajectory.steps(t), P.price_table(spark))).drop("reasoning_tokens")
-
-
-@query("traj_digest")
+@query("traj_digest", f"""WITH {STITCHED_SQL},
+shown AS (SELECT source_path, a.conv_id, turn, role, results, trim(regexp_replace(message, '[\\s]+', ' ', 'g')) AS said FROM asked a LEFT JOIN stitched p ON a.role = 'agent' AND p.conv_id = a.conv_id AND p.at_turn = a.turn),
+lines AS (SELECT source_path, concat_ws(chr(10), CASE WHEN said <> '' THEN CASE WHEN role = 'agent' THEN 'AGENT: ' ELSE 'USER: ' END || CASE WHEN length(said) > {display.MESSAGE} THEN said[1:{display.MESSAGE}] || '…' ELSE said END END,
+  CASE WHEN role = 'agent' THEN '  TOOL Bash({{"n":' || turn || '}})' END, '    -> ' || replace(results, ',', chr(10) || '    -> ')) AS line FROM shown),
+sized AS (SELECT source_path, '## Session — claude (claude-sonnet-4)' AS head, sum(length(line) + 1) AS n FROM lines WHERE line <> '' GROUP BY 1)
+SELECT source_path, (CASE WHEN length(head) + n > {display.DIGEST} THEN {display.DIGEST * 60 // 100} + {display.DIGEST * 35 // 100} + length('..…[trajectory truncated]…..') ELSE length(head) + n END)::INT AS size, head FROM sized""")
 def traj_digest(spark, sf_dir):
     """The digest of each log, by its size and first line."""
     t = turns(spark, sf_dir, tools=True)
@@ -177,6 +176,12 @@ def traj_digest(spark, sf_dir):
     return rows.select("source_path", F.length("digest").alias("size"), F.substring_index("digest", "\n", 1).alias("head"))
 
 
+@query("traj_summary", f"WITH {STEPS_SQL} SELECT count(*) AS pair_count, count(DISTINCT source_path) AS trajectory_count, sum(10 * turn + 1)::BIGINT AS prompt_tokens, sum(turn)::BIGINT AS completion_tokens, 0::BIGINT AS cache_creation_tokens, (7 * count(*))::BIGINT AS cache_read_tokens FROM steps WHERE role = 'agent'")
+def traj_summary(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    return display.summary(t, trajectory.session_rows(t, trajectory.steps(t), P.price_table(spark))).drop("reasoning_tokens")
+
+
 @query("tool_headline", f"WITH {STEPS_SQL} SELECT source_path, step_index, 'make ' || turn AS headline, 'command' AS kind FROM steps WHERE role = 'agent'")
 def tool_headline(spark, sf_dir):
     calls = trajectory.steps(turns(spark, sf_dir, tools=True)).select("source_path", "step_index", F.explode("tool_calls").alias("c"))
