@@ -248,3 +248,24 @@ def test_prompts_projects_and_appended_pairs(spark, tmp_path):
     token = tokens()["github_token"]
     assert logs.append(path, {"request": {"url": "u", "body": token}}) and logs.append(path, {"request": {}}) and not logs.append(str(tmp_path), {})
     assert open(path).read() == '{"request": {"url": "u", "body": "[REDACTED:github_token]"}}\n{"request": {}}\n'
+
+
+def test_treemap_tiles_its_field(spark):
+    import random
+
+    from wirespan.operators.display import treemap
+
+    rng = random.Random(9)
+    for n in (0, 1, 2, 40):
+        areas = {f"p{i}": rng.choice([1.0, 3.0, rng.random() * 50]) for i in range(n)}
+        rows = [*areas.items(), ("none", 0.0), ("less", -1.0), ("null", None)]
+        got = treemap(spark.createDataFrame(rows, "p string, v double"), "p", "v", 3.0, 2.0).collect()
+        assert {r.label for r in got} == set(areas)
+        whole = sum(areas.values())
+        for r in got:
+            assert r.w * r.h == pytest.approx(6 * areas[r.label] / whole, rel=1e-9) and r.x >= -1e-9 and r.y >= -1e-9 and r.x + r.w <= 3 + 1e-9 and r.y + r.h <= 2 + 1e-9
+        for i, a in enumerate(got):
+            for b in got[:i]:
+                assert min(a.x + a.w, b.x + b.w) - max(a.x, b.x) < 1e-9 or min(a.y + a.h, b.y + b.h) - max(a.y, b.y) < 1e-9
+        if n == 40:
+            assert sum(max(r.w / r.h, r.h / r.w) for r in got) / n < 4

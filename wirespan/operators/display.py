@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 
 from pyspark.sql import Column, DataFrame
@@ -114,6 +115,48 @@ def calendar(trend: DataFrame, last: str, days: int = 182) -> DataFrame:
     return rows.select("day", "week", "weekday", F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"), opacity.alias("opacity"))
 
 
+def treemap(areas: DataFrame, label: str, value: str, width: float = 1.0, height: float = 1.0) -> DataFrame:
+    """label, x, y, w, h of a rectangle for each positive value, in proportion, tiling a field of that size.
+
+    Squarified: largest first (ties by label), values fill a row along the shorter side of what is left of the field until
+    one more would make its worst proportion worse. The rows that a chart shows are folded in one row, as each depends on
+    those before.
+    """
+    shown = areas.filter(F.col(value) > 0)
+    whole = shown.agg(F.sum(F.col(value).cast("double")).alias("whole"), F.array_sort(F.collect_list(F.struct((-F.col(value).cast("double")).alias("v"), F.col(label).cast("string").alias("label")))).alias("items"))
+    items = F.transform("items", lambda i: F.struct(i["label"].alias("label"), (-i["v"] * (width * height) / F.col("whole")).alias("a")))
+    cell = "array<struct<label:string,a:double,before:double>>"
+    out = "array<struct<label:string,x:double,y:double,w:double,h:double>>"
+    number = lambda v: F.lit(float(v))
+
+    def laid(t: Column) -> Column:
+        """The rectangles of a row, after those laid before."""
+        across = t["w"] < t["h"]
+        thick = t["sum"] / F.least(t["w"], t["h"])
+        placed = F.transform(t["row"], lambda c: F.struct(
+            c["label"].alias("label"), (t["x"] + F.when(across, c["before"] / thick).otherwise(number(0))).alias("x"), (t["y"] + F.when(across, number(0)).otherwise(c["before"] / thick)).alias("y"),
+            F.when(across, c["a"] / thick).otherwise(thick).alias("w"), F.when(across, thick).otherwise(c["a"] / thick).alias("h"),
+        ))
+        return F.concat(t["out"], placed)
+
+    def step(t: Column, i: Column) -> Column:
+        side, total = F.least(t["w"], t["h"]), t["sum"] + i["a"]
+        worst = lambda s, low, high: F.greatest(side * side * high / (s * s), s * s / (side * side * low))
+        closes = (F.size(t["row"]) > 0) & (worst(total, F.least(t["low"], i["a"]), F.greatest(t["high"], i["a"])) > worst(t["sum"], t["low"], t["high"]))
+        across, thick = t["w"] < t["h"], t["sum"] / side
+        pick = lambda new, old: F.when(closes, new).otherwise(old)
+        before = pick(number(0), t["sum"])
+        return F.struct(
+            pick(t["x"] + F.when(across, number(0)).otherwise(thick), t["x"]).alias("x"), pick(t["y"] + F.when(across, thick).otherwise(number(0)), t["y"]).alias("y"),
+            pick(t["w"] - F.when(across, number(0)).otherwise(thick), t["w"]).alias("w"), pick(t["h"] - F.when(across, thick).otherwise(number(0)), t["h"]).alias("h"),
+            F.concat(pick(F.array().cast(cell), t["row"]), F.array(F.struct(i["label"].alias("label"), i["a"].alias("a"), before.alias("before")))).alias("row"), (before + i["a"]).alias("sum"),
+            pick(i["a"], F.least(t["low"], i["a"])).alias("low"), pick(i["a"], F.greatest(t["high"], i["a"])).alias("high"), pick(laid(t), t["out"]).alias("out"),
+        )
+
+    start = F.struct(number(0).alias("x"), number(0).alias("y"), number(width).alias("w"), number(height).alias("h"), F.array().cast(cell).alias("row"), number(0).alias("sum"), number(math.inf).alias("low"), number(0).alias("high"), F.array().cast(out).alias("out"))
+    return whole.select(F.inline(F.aggregate(items, start, step, laid)))
+
+
 def histogram_text(histogram: Column) -> Column:
     """'name×n, ...' of a map of counts, most first."""
     ordered = F.array_sort(F.transform(F.map_entries(histogram), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("k"))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wirespan.functions import prices as P
 from wirespan.functions.times import bucket_label
-from wirespan.operators import fleet, sessions, usage
+from wirespan.operators import display, fleet, sessions, usage
 from wirespan.plans import bindings as B
 
 QUERIES: dict = {}
@@ -149,6 +149,23 @@ def fleet_per_project(spark, sf_dir):
     return fleet.per_project(B.usage_events(spark, sf_dir))
 
 
+@query("project_treemap", f"""WITH RECURSIVE {B.USAGE_SQL},
+costs AS (SELECT coalesce(project_cwd, '(unknown)') AS project, sum(micro_cost)::DOUBLE / 1e12 AS v FROM usage_events GROUP BY 1 HAVING sum(micro_cost) > 0),
+items AS (SELECT project, v * 2.0 / sum(v) OVER () AS a, row_number() OVER (ORDER BY v DESC, project) AS k FROM costs),
+fold AS (
+  SELECT 0::BIGINT AS k, 0::BIGINT AS in_row, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 2.0::DOUBLE AS w, 1.0::DOUBLE AS h, 0.0::DOUBLE AS total, 0.0::DOUBLE AS before, 0.0::DOUBLE AS low, 0.0::DOUBLE AS high
+  UNION ALL
+  SELECT next, CASE WHEN closes THEN next ELSE greatest(in_row, 1) END, CASE WHEN closes AND w >= h THEN x + total / h ELSE x END, CASE WHEN closes AND w < h THEN y + total / w ELSE y END, CASE WHEN closes AND w >= h THEN w - total / h ELSE w END, CASE WHEN closes AND w < h THEN h - total / w ELSE h END,
+    CASE WHEN closes THEN a ELSE total + a END, CASE WHEN closes THEN 0 ELSE total END, CASE WHEN closes OR total = 0 THEN a ELSE least(low, a) END, CASE WHEN closes THEN a ELSE greatest(high, a) END
+  FROM (SELECT f.*, i.k AS next, i.a, total > 0 AND greatest(least(w, h) ^ 2 * greatest(high, i.a) / (total + i.a) ^ 2, (total + i.a) ^ 2 / (least(w, h) ^ 2 * least(low, i.a))) > greatest(least(w, h) ^ 2 * high / total ^ 2, total ^ 2 / (least(w, h) ^ 2 * low)) AS closes FROM fold f JOIN items i ON i.k = f.k + 1) t),
+rows AS (SELECT *, max(total) OVER (PARTITION BY in_row) / least(w, h) AS thick FROM fold WHERE k > 0)
+SELECT project AS label, round(r.x + CASE WHEN r.w < r.h THEN r.before / thick ELSE 0 END, 6) AS x, round(r.y + CASE WHEN r.w < r.h THEN 0 ELSE r.before / thick END, 6) AS y, round(CASE WHEN r.w < r.h THEN a / thick ELSE thick END, 6) AS w, round(CASE WHEN r.w < r.h THEN thick ELSE a / thick END, 6) AS h
+FROM rows r JOIN items i ON i.k = r.k""")
+def project_treemap(spark, sf_dir):
+    costs = fleet.paid_projects(B.usage_events(spark, sf_dir))
+    return display.treemap(costs, "project", "cost_usd", 2.0, 1.0).select("label", *(F.round(c, 6).alias(c) for c in "xywh"))
+
+
 @query("paid_projects", f"WITH {B.USAGE_SQL} SELECT coalesce(project_cwd, '(unknown)') AS project, count(DISTINCT session_id) AS sessions, coalesce(sum(micro_cost), 0)::DOUBLE / 1e12 AS cost_usd, count(*) AS events, sum(completion_tokens)::BIGINT AS out_tokens FROM usage_events GROUP BY 1 HAVING coalesce(sum(micro_cost), 0) > 0")
 def paid_projects(spark, sf_dir):
     return fleet.paid_projects(B.usage_events(spark, sf_dir))
