@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored, unused
+from .common import partitions, release, stored, unused
 
 #: Rolling hashes: the k-th takes the k-th hexadecimal digit of both lines' MD5.
 HASHES = 12
@@ -73,10 +73,11 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     spark, place = docs.sparkSession, F.struct("doc_id", "version", "chunk")
     rows = stored(chunk_keys(docs), "chunks")
     often = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    rows = stored(rows.join(often, "key", "left_semi"), "repeated")
+    files = max(1, partitions(spark) // 8)  # rows of a few numbers
+    rows = stored(rows.join(often, "key", "left_semi").coalesce(files), "repeated")
     release(spark)
     firsts = _texts(docs, rows).groupBy("key", "text").agg(F.min(place).alias("first"))
-    firsts = stored(firsts.groupBy("key").agg(F.count("*").alias("texts"), F.min("first").alias("first")), "firsts")
+    firsts = stored(firsts.groupBy("key").agg(F.count("*").alias("texts"), F.min("first").alias("first")).coalesce(files), "firsts")
     release(spark)
     gone = rows.join(firsts.filter("texts = 1"), "key").filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "version", "chunk")
     mixed = firsts.filter("texts > 1")
