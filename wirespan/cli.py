@@ -9,10 +9,9 @@ import sys
 
 from pyspark.sql import functions as F
 
-from wirespan.functions import prices as P
 from wirespan.functions.times import GRANULARITIES, parse_when
-from wirespan.operators import atif, diff, redact, trajectory, usage
-from wirespan.serve import as_json, serve
+from wirespan.operators import atif, compare, redact, trajectory, usage
+from wirespan.serve import as_json, serve, started
 from wirespan.session import session
 from wirespan.sources import logs
 from wirespan.sources.store import Store
@@ -25,7 +24,7 @@ DAYS = 30
 def show(df, json_rows: bool) -> None:
     """All rows, read partition by partition: a JSON list, or a line each."""
     if json_rows:
-        for part in as_json(df):
+        for part in as_json(started(df)):
             print(part, end="\n" if part.startswith(("[", "]", "{", ", ")) else "")
         return
     print("\t".join(df.columns))
@@ -118,38 +117,10 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
-def profile(spark, path: str):
-    """Turns, steps and tool definitions of one run."""
-    turns = trajectory.conversations(decoded(logs.pairs_or_fail(spark, [path])))
-    tools = turns.filter("tools_json is not null").select(F.from_json("tools_json", "array<string>").alias("tools"), F.col("pair_index").alias("seq"))
-    best = diff.representative_tools(tools).select(F.explode("tools").alias("definition"))
-    name = F.coalesce(F.get_json_object("definition", "$.name"), F.get_json_object("definition", "$.function.name"), F.get_json_object("definition", "$.type"))
-    return turns, trajectory.steps(turns), best.select(name.alias("name"), "definition").filter("name is not null")
-
-
 def run_diff(spark, a: str, b: str):
-    """section, name, a, b of everything that differs or is compared between two runs."""
-    (turns_a, steps_a, tools_a), (turns_b, steps_b, tools_b) = profile(spark, a), profile(spark, b)
-    text = lambda df, section, name, left, right: df.select(F.lit(section).alias("section"), name.alias("name"), left.cast("string").alias("a"), right.cast("string").alias("b"))
-    runs = [t.withColumn("seq", F.col("pair_index")).withColumn("run", F.lit(1)) for t in (turns_a, turns_b)]
-    models = diff.model_diff(*(diff.models_in_order(t, ["run"]) for t in runs))
-    prompts = [diff.representative_prompt(t.withColumn("prompt", F.col("diff_prompt"))) for t in runs]
-    lines = diff.text_diffs(prompts[0].select(F.lit(1).alias("id"), F.col("prompt").alias("a")).crossJoin(prompts[1].select(F.col("prompt").alias("b"))))
-    tokens = ("prompt_tokens", "completion_tokens", "cache_creation_tokens", "cache_read_tokens")
-    counts = lambda s: s.agg(F.count("*").alias("steps"), F.count_if(F.col("role") == "user").alias("user_steps"), F.count_if(F.col("role") == "agent").alias("agent_steps"), F.coalesce(F.sum(F.size("tool_calls")), F.lit(0)).alias("tool_calls"), *(F.coalesce(F.sum(f"usage.{c}"), F.lit(0)).alias(c) for c in tokens), F.sum("usage.reasoning_tokens").alias("reasoning_tokens"))
-    prices = P.price_table(spark)
-    heads = lambda t, s: trajectory.session_rows(t, s, prices).agg(F.count("*").alias("trajectories"), F.sum("cost_usd").alias("cost_usd"))
-    profiles = [counts(s).crossJoin(heads(t, s)) for t, s in ((turns_a, steps_a), (turns_b, steps_b))]
-    calls = lambda s: s.select(F.explode("tool_calls").alias("c")).groupBy(F.col("c.name").alias("name")).agg(F.count("*").alias("n"))
-    shape, tools, used = diff.run_shapes(*profiles), diff.tools_diff(tools_a, tools_b), diff.histogram_diff(calls(steps_a), calls(steps_b))
-    none = F.lit(None)
-    return (
-        text(models, "model", F.lit("models"), F.array_join("models_a", ","), F.array_join("models_b", ","))
-        .union(text(lines.filter("op <> 'context'"), "prompt", F.concat(F.col("op"), F.lit(" "), F.col("line")), F.when(F.col("op") == "del", F.col("text")), F.when(F.col("op") == "add", F.col("text"))))
-        .union(text(tools.orderBy("name"), "tools", F.col("name"), F.col("change"), none))
-        .union(text(shape, "shape", F.col("metric"), F.col("a"), F.col("b")))
-        .union(text(used.orderBy("name"), "calls", F.col("name"), F.col("n_a"), F.col("n_b")))
-    )
+    """section, name, a, b of everything that differs or is compared between two logs."""
+    runs = [compare.run_of(decoded(logs.pairs_or_fail(spark, [path]))) for path in (a, b)]
+    return compare.listed(compare.compare(*runs))
 
 
 if __name__ == "__main__":

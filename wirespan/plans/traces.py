@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wirespan.functions import prices as P
-from wirespan.operators import atif, display, fleet, trajectory
+from wirespan.operators import atif, compare, display, fleet, trajectory
 from wirespan.plans import bindings as B
 from wirespan.session import scratch
 from wirespan.sources.wire import decoded
@@ -176,6 +176,28 @@ def traj_digest(spark, sf_dir):
     return rows.select("source_path", F.length("digest").alias("size"), F.substring_index("digest", "\n", 1).alias("head"))
 
 
+def _compared(metrics: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT 'shape' AS section, '{name}' AS name, a.{name}::DOUBLE AS a, b.{name}::DOUBLE AS b FROM halves a JOIN halves b ON a.half = 0 AND b.half = 1" for name in metrics)
+
+
+_METRICS = {
+    "steps": "count(*)", "user_steps": "count(*) FILTER (WHERE role = 'user')", "agent_steps": "count(*) FILTER (WHERE role = 'agent')", "tool_calls": "count(*) FILTER (WHERE role = 'agent')",
+    "prompt_tokens": "sum(10 * turn + 1) FILTER (WHERE role = 'agent')", "completion_tokens": "sum(turn) FILTER (WHERE role = 'agent')", "cache_creation_tokens": "0", "cache_read_tokens": "7 * count(*) FILTER (WHERE role = 'agent')",
+    "trajectories": "count(DISTINCT source_path)", "cost_usd": "(sum((10 * turn + 1) * 3000000 + turn * 15000000 + 7 * 300000) FILTER (WHERE role = 'agent'))::DOUBLE / 1e12",
+}
+
+
+@query("run_compare", f"""WITH {STEPS_SQL}, halves AS (SELECT conv_id % 2 AS half, {', '.join(f'{sql} AS {name}' for name, sql in _METRICS.items())} FROM steps GROUP BY 1)
+SELECT section, name, round(a, 6) AS a, round(b, 6) AS b FROM ({_compared(_METRICS)} UNION ALL SELECT 'calls', 'Bash', a.tool_calls, b.tool_calls FROM halves a JOIN halves b ON a.half = 0 AND b.half = 1)""")
+def run_compare(spark, sf_dir):
+    """Shape and calls of two runs: the logs of even and of odd conversations."""
+    pairs = logs(spark, sf_dir, tools=True)
+    half = F.substring("source_path", 4, 20).cast("long") % 2
+    tables = compare.compare(*(compare.run_of(decoded(pairs.filter(half == h))) for h in (0, 1)))
+    rows = compare.listed({**tables, "prompt": tables["prompt"].limit(0)}).filter("section in ('shape', 'calls')")
+    return rows.select("section", "name", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in "ab"))
+
+
 @query("traj_summary", f"WITH {STEPS_SQL} SELECT count(*) AS pair_count, count(DISTINCT source_path) AS trajectory_count, sum(10 * turn + 1)::BIGINT AS prompt_tokens, sum(turn)::BIGINT AS completion_tokens, 0::BIGINT AS cache_creation_tokens, (7 * count(*))::BIGINT AS cache_read_tokens FROM steps WHERE role = 'agent'")
 def traj_summary(spark, sf_dir):
     t = turns(spark, sf_dir)

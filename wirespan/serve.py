@@ -6,8 +6,10 @@ import json
 import time
 from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from itertools import chain
 from urllib.parse import parse_qs, unquote, urlparse
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +29,20 @@ def one_of(df: DataFrame) -> dict:
     return next(iter(rows_of(df.limit(1))), {})
 
 
-def as_json(value) -> Iterator[str]:
-    """JSON text in parts; a DataFrame is a list of its rows, however many, read partition by partition."""
+def started(value):
+    """value with each DataFrame in it as an iterator of JSON rows whose first row is computed, so that a query which fails
+    does so before an answer begins."""
     if isinstance(value, DataFrame):
+        rows = iter(value.toJSON().toLocalIterator())
+        return chain([x for x in [next(rows, None)] if x is not None], rows)
+    return {k: started(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+def as_json(value) -> Iterator[str]:
+    """JSON text in parts, of what started gives; an iterator is a list of its rows, however many, read partition by partition."""
+    if isinstance(value, chain):
         yield "["
-        for i, row in enumerate(value.toJSON().toLocalIterator()):
+        for i, row in enumerate(value):
             yield f", {row}" if i else row
         yield "]"
     elif isinstance(value, dict):
@@ -142,9 +153,11 @@ def handler(api: Api) -> type[BaseHTTPRequestHandler]:
             if url.path == "/api/events":
                 return self.events()
             try:
-                found = api.answer(url.path, {k: v[0] for k, v in parse_qs(url.query).items()})
+                found = started(api.answer(url.path, {k: v[0] for k, v in parse_qs(url.query).items()}))
             except (ValueError, LookupError) as e:
                 return self.send(400, json.dumps({"error": str(e)}).encode())
+            except PySparkException as e:
+                return self.send(500, json.dumps({"error": str(e)}).encode())
             if found is None:
                 return self.send(404, b'{"error": "not found"}')
             # Without a length, as rows are sent as they come; the connection's end is theirs.
