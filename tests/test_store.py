@@ -159,7 +159,7 @@ def test_store_index_after_changes(spark, tmp_path):
     assert len(parts) == 2 * 10  # a run adds a folder to each table, whatever the number of logs
     version = store.version()
     store.vacuum(hours=-1)
-    assert store.version() == version + 1 and ranked("deep rivers", limit=1)
+    assert store.version() == version + 1 and ranked("deep lakes", limit=1)
     L.write(work / "p2" / ".claude-trace" / "log.jsonl", [said("project 2: now only deserts")])  # a log that an older run read
     store.index_paths([str(work)])
     assert ranked("deserts") and not ranked("deep")
