@@ -144,6 +144,21 @@ def test_walk_in_the_jvm_equals_a_walk_of_each_pair(spark):
     assert tuple(redact.redact_check(rows).first()) == (*masked, len(texts))
 
 
+def test_a_walk_shuffles_nothing(spark):
+    from wirespan.plans import content
+
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    body = {"messages": [{"role": "u", "content": [{"text": 'brackets [[{{ "quoted" \\'}, "]"]}], "s": "\\"}
+    rows = spark.createDataFrame([("log", 0, 0.0, json.dumps({"request": {"body": body}}))], "source_path string, pair_index long, ts double, raw string")
+    found = redact.strings(rows)
+    assert sorted((r.location, r.text) for r in found.collect()) == [("messages[0] (u)", "]"), ("messages[0] (u)", 'brackets [[{{ "quoted" \\'), ("messages[0] (u)", "u"), ("s", "\\")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "UnionLoop" not in plan
+    plan = content.QUERIES["walk_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "UnionLoop" not in plan  # the sums by place alone
+    assert spark.conf.get("spark.sql.cteRecursionRowLimit") == before
+
+
 def test_table_functions(spark):
     from wirespan.functions import tables
 

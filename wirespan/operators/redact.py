@@ -199,34 +199,34 @@ def scan_pair(pair: dict, mode: str = "standard") -> list[tuple[str, str, str, s
 
 #: Escapes in JSON text that may stand for a letter, digit or dash of a token.
 ESCAPED = "\\u00"
-#: A walk down JSON values, a level with each turn: objects give their keys, arrays their places. label is the first key and,
-#: if that holds an array, the place in it; a role is that of the nearest object that has one. Depth 3 keeps a given label.
-WALK = """
-WITH RECURSIVE walked(place, label, depth, role, v) MAX RECURSION LEVEL 100000 AS (
-  SELECT place, label, CASE WHEN label IS NULL THEN 0 ELSE 3 END, cast(NULL AS string), v FROM {bodies}
-  UNION ALL
-  SELECT place, CASE depth WHEN 0 THEN coalesce(e.key, cast(e.pos AS string)) WHEN 1 THEN CASE WHEN e.key IS NULL THEN concat(label, '[', e.pos, ']') ELSE label END ELSE label END, CASE depth WHEN 3 THEN 3 ELSE least(depth + 1, 2) END,
-    CASE WHEN e.key IS NOT NULL AND schema_of_variant(try_variant_get(v, '$.role', 'variant')) = 'STRING' THEN try_variant_get(v, '$.role', 'string') ELSE role END, e.value
-  FROM walked, LATERAL variant_explode(v) e
-  WHERE schema_of_variant(e.value) = 'STRING' OR schema_of_variant(e.value) LIKE 'OBJECT<%' OR schema_of_variant(e.value) LIKE 'ARRAY<%')
-SELECT place, label, CASE WHEN depth < 3 THEN role END AS role, cast(v AS string) AS text FROM walked WHERE schema_of_variant(v) = 'STRING'"""
+#: How deep JSON text nests: escapes go, then strings, then all but brackets, which are counted.
+NESTING = r"""aggregate(split(regexp_replace(regexp_replace(regexp_replace(raw, r'(?s)\\.', ''), r'"[^"]*"', ''), r'[^\[\]{}]+', ''), ''), named_struct('now', 0, 'most', 0),
+  (a, c) -> CASE WHEN c IN ('[', '{') THEN named_struct('now', a.now + 1, 'most', greatest(a.most, a.now + 1)) WHEN c IN (']', '}') THEN named_struct('now', a.now - 1, 'most', a.most) ELSE a END, a -> a.most)"""
+_KIND = "substring_index(schema_of_variant({}), '<', 1)"
+_OWN_ROLE = "CASE WHEN schema_of_variant(try_variant_get(x.v, '$.role', 'variant')) = 'STRING' THEN try_variant_get(x.v, '$.role', 'string') ELSE x.role END"
+#: A walk down a body, a level with each turn, within its row: objects give their keys, arrays their places, strings stay.
+#: label is the first key and, if that holds an array, the place in it; a role is that of the nearest object that has one.
+#: Depth 3 keeps a given label.
+WALK = f"""aggregate(sequence(1, nesting), array(named_struct('label', label, 'depth', CASE WHEN label IS NULL THEN 0 ELSE 3 END, 'role', cast(NULL AS string), 'kind', {_KIND.format('v')}, 'v', v)), (walked, turn) -> flatten(transform(walked, x -> CASE x.kind
+  WHEN 'STRING' THEN array(x)
+  WHEN 'ARRAY' THEN transform(try_variant_get(x.v, '$', 'array<variant>'), (e, i) -> named_struct('label', CASE x.depth WHEN 0 THEN cast(i AS string) WHEN 1 THEN concat(x.label, '[', i, ']') ELSE x.label END,
+    'depth', CASE x.depth WHEN 3 THEN 3 ELSE least(x.depth + 1, 2) END, 'role', x.role, 'kind', {_KIND.format('e')}, 'v', e))
+  WHEN 'OBJECT' THEN transform(map_entries(try_variant_get(x.v, '$', 'map<string,variant>')), e -> named_struct('label', CASE x.depth WHEN 0 THEN e.key ELSE x.label END,
+    'depth', CASE x.depth WHEN 3 THEN 3 ELSE least(x.depth + 1, 2) END, 'role', {_OWN_ROLE}, 'kind', {_KIND.format('e.value')}, 'v', e.value))
+  ELSE slice(walked, 1, 0) END)))"""
 
 
 def strings(pairs: DataFrame, mode: str = "off") -> DataFrame:
     """place (source_path, pair_index, ts, direction), location and text of every string value in the bodies of pairs
-    (source_path, pair_index, ts, raw), walked in the JVM; with mode standard, of pairs that may hold a standard secret.
-
-    Lifts the session's limit on the rows of recursive queries, as the walk is as long as its input.
-    """
-    spark = pairs.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    (source_path, pair_index, ts, raw), walked in the JVM, each pair within its row, so that nothing is shuffled or kept
+    between levels; with mode standard, of pairs that may hold a standard secret."""
     if mode == "standard":
         pairs = pairs.filter(_has_any(F.col("raw"), (*(s for starts in STARTS for s in starts), ESCAPED)))
-    rows = pairs.select(F.col("source_path"), F.col("pair_index").cast("long").alias("pair_index"), F.col("ts").cast("double").alias("ts"), F.try_parse_json("raw").alias("pair"))
+    rows = pairs.select(F.col("source_path"), F.col("pair_index").cast("long").alias("pair_index"), F.col("ts").cast("double").alias("ts"), F.try_parse_json("raw").alias("pair"), F.greatest(F.expr(NESTING), F.lit(1)).alias("nesting"))
     body = lambda path, direction, label: F.struct(F.lit(direction).alias("direction"), F.lit(label).cast("string").alias("label"), F.expr(f"try_variant_get(pair, '$.{path}', 'variant')").alias("v"))
-    rows = rows.select("source_path", "pair_index", "ts", F.explode(F.array(body("request.body", "egress", None), body("response.body", "response", None), body("response.body_raw", "response", "response"))).alias("b")).filter("b.v is not null")
-    bodies = rows.select(F.struct("source_path", "pair_index", "ts", "b.direction").alias("place"), "b.label", "b.v")
-    found = spark.sql(WALK, bodies=bodies)
+    rows = rows.select("source_path", "pair_index", "ts", "nesting", F.explode(F.array(body("request.body", "egress", None), body("response.body", "response", None), body("response.body_raw", "response", "response"))).alias("b")).filter("b.v is not null")
+    bodies = rows.select(F.struct("source_path", "pair_index", "ts", "b.direction").alias("place"), "nesting", "b.label", "b.v")
+    found = bodies.select("place", F.explode(F.expr(WALK)).alias("x")).filter("x.kind = 'STRING'").select("place", "x.label", F.expr("CASE WHEN x.depth < 3 THEN x.role END").alias("role"), F.col("x.v").cast("string").alias("text"))
     at = F.when(F.col("label").isNull(), "(body)").when(F.col("role").isNull(), F.col("label")).otherwise(F.concat("label", F.lit(" ("), "role", F.lit(")")))
     return found.select("place", at.alias("location"), "text")
 
