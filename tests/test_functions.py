@@ -269,3 +269,13 @@ def test_treemap_tiles_its_field(spark):
                 assert min(a.x + a.w, b.x + b.w) - max(a.x, b.x) < 1e-9 or min(a.y + a.h, b.y + b.h) - max(a.y, b.y) < 1e-9
         if n == 40:
             assert sum(max(r.w / r.h, r.h / r.w) for r in got) / n < 4
+
+
+def test_djb2_takes_texts_one_at_a_time(spark):
+    values = ["", "hello", None, "é😀\U0010ffff" * 40_000, "x" * T.HASHED, "😀" * T.HASHED + "z"]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, t string").select("i", T.djb2(F.col("t")).alias("h"))
+    assert [r.h for r in rows.orderBy("i").collect()] == [None if v is None else djb2(v) for v in values]
+    from pyspark.util import PythonEvalType
+
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in plan  # a batch of pandas strings holds all texts twice

@@ -8,7 +8,9 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,14 +106,31 @@ def snippet(text: Column, tokens: list[str], radius: int = 60) -> Column:
     return F.regexp_replace(shown, f"(?i)({marked})", "[$1]")
 
 
+#: Characters of a text hashed at once.
+HASHED = 1 << 16
+
+
 def djb2(text: Column) -> Column:
-    """The 32-bit times-33-plus hash in lower-case hexadecimal, over UTF-16 units as scripts count them."""
+    """The 32-bit times-33-plus hash in lower-case hexadecimal, over UTF-16 units as scripts count them.
+
+    Texts leave the Arrow batch one at a time, a piece at a time: a worker holds little besides the batch.
+    """
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        powers = np.ones(2 * HASHED + 1, np.uint32)  # 33 ** k, modulo 2 ** 32
+        np.multiply.accumulate(np.full(2 * HASHED, 33, np.uint32), out=powers[1:])
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        from wirespan.sources.wire import djb2 as of
+        def of(t: str) -> str:
+            h = 5381
+            for at in range(0, len(t), HASHED):
+                units = np.frombuffer(t[at : at + HASHED].encode("utf-16-le", "surrogatepass"), "<u2")
+                own = int(np.multiply(units, powers[len(units) - 1 :: -1][: len(units)], dtype=np.uint32).sum(dtype=np.uint64))
+                h = (h * int(powers[len(units)]) + own) & 0xFFFFFFFF
+            return format(h, "x")
 
-        return texts.map(lambda t: None if t is None else of(t))
+        for texts in batches:
+            yield pa.array([None if not t.is_valid else of(t.as_py()) for t in texts], pa.string())
 
     return run(text)
 
