@@ -103,6 +103,36 @@ def test_token_files(spark, corpus):
     assert sorted((r.doc_id, r.start) for r in some) == [x[:2] for x in want if 10 <= x[0] <= 12]
 
 
+def test_reading_tokens_shuffles_no_ids(spark, corpus):
+    from wirespan.llm.common import shared_path
+    from wirespan.llm.token_files import read_tokens, write_tokens
+
+    path = shared_path(spark, "test")
+    write_tokens(frame(spark, corpus), path, public_tokenizers.path("word_bpe_49k.json"))
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # the small table stands for one that Spark takes for large
+    try:
+        plan = read_tokens(spark, path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_batches_of_texts_equal_the_library():
+    import pyarrow as pa
+
+    from wirespan.llm.encoding import encode_batch, library_encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, rng = library_encoder(path), random.Random(8)
+    words = ["a<|startoftext|>b", "<|endoftext|>", "a\x01b", "\x7f", "ß Straße", "don't I'LL", "\xa0a\u0085b\u3000", "日本 語", "Ω Σας", "é\u0301", "1234 5a6", "\n\n", "Hello, ", "World! ", "\t"]
+    for more in ([], ["x\x1cy"]):  # a separator that the library keeps sends its whole batch to the plain path
+        texts = [None, "", "  ", *words, *more, *("".join(rng.choices(words + more, k=6)) for _ in range(200)), *(f"a{chr(c)}b {chr(c)}" for c in range(0x20, 0x500))]
+        counts, ids = encode_batch(path, pa.array(texts, pa.string()), 2)
+        want = [whole(t or "") + (2).to_bytes(4, "little") for t in texts]
+        assert counts.tolist() == [len(x) // 4 for x in want] and ids.astype("<u4").tobytes() == b"".join(want)
+
+
 def test_ngram_join(spark, corpus):
     from wirespan.llm.ngram_join import jaccard_components, one_of_each
 

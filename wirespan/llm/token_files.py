@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, shared_path, slices
-from .encoding import encoder
+from .encoding import encode_batch
 
 END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
@@ -46,18 +46,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
         import pyarrow as pa
         from pyspark import TaskContext
 
-        ids_of = encoder(vocabulary)
-        end = np.array([end_id], "<u4").tobytes()
         file_no, at = TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            data = [(ids_of(t) if t else b"") + end for t in batch.column(1).to_pylist()]
-            counts = np.array([len(x) // 4 for x in data], np.int64)
+            counts, ids = encode_batch(vocabulary, batch.column(1), end_id)
             starts = at + np.cumsum(counts) - counts
             at += int(counts.sum())
-            offsets = np.zeros(len(data) + 1, np.int32)
+            offsets = np.zeros(len(counts) + 1, np.int32)
             np.cumsum(counts, out=offsets[1:])
-            values = pa.array(np.frombuffer(b"".join(data), "<u4").astype(np.int32, copy=False))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), file_no, np.int32)), batch.column(0), pa.array(starts), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), values)], ["file_no", "doc_id", "at", "n_tokens", "ids"])
+            values = pa.array(ids.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), file_no, np.int32)), batch.column(0), pa.array(starts), pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), values)], ["file_no", "doc_id", "at", "n_tokens", "ids"])
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, FILE_SCHEMA).write.options(**WRITER).parquet(path)
@@ -69,7 +66,7 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     The base of each file is the sum of the files before it: one row a file, summed in one small window.
     """
     rows = spark.read.schema(FILE_SCHEMA).parquet(path).select("file_no", "doc_id", "at", "n_tokens")
-    return rows.join(_bases(rows), "file_no").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens")
+    return rows.join(F.broadcast(_bases(rows)), "file_no").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens")
 
 
 def _bases(rows: DataFrame) -> DataFrame:
@@ -81,7 +78,8 @@ def _bases(rows: DataFrame) -> DataFrame:
 def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids of the documents with doc_id from first to last (all, if not given).
 
-    The bounds reach the scan as pushed filters, which skip row groups and pages.
+    The bounds reach the scan as pushed filters, which skip row groups and pages. The bases, a row a file, are broadcast:
+    ids go through no shuffle.
     """
     table = spark.read.schema(FILE_SCHEMA).parquet(path)
     rows = table
@@ -89,7 +87,7 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
         rows = rows.filter(F.col("doc_id") >= first)
     if last is not None:
         rows = rows.filter(F.col("doc_id") <= last)
-    return rows.join(_bases(table), "file_no").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(_bases(table)), "file_no").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
