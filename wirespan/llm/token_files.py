@@ -19,6 +19,8 @@ from .encoding import encode_batch
 
 END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
+#: Documents encoded at once: the more, the fewer words are looked up again.
+ROWS = 2048
 PAGE_BYTES = 64 << 10
 #: Version 2 pages: columns without a dictionary are delta-encoded; ids keep a dictionary of up to so many bytes.
 WRITER = {
@@ -47,7 +49,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
         from pyspark import TaskContext
 
         file_no, at = TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
+        for batch in slices(batches, ROWS):
             counts, ids = encode_batch(vocabulary, batch.column(1), end_id)
             starts = at + np.cumsum(counts) - counts
             at += int(counts.sum())
